@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing
+from . import bpe, minhash, mixing, toxicity
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -32,3 +32,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

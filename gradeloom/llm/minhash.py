@@ -6,13 +6,16 @@ filled in rounds: in round i < T every element falls into a hashed bin, in round
 keeps the least (round, hash). All coordinates are filled after 2 T rounds, mostly after very few, and the
 number of equal coordinates of two sets is concentrated about their similarity as with T independent samples.
 
-Equal sets are one class. Classes that agree in a band of ``ROWS`` coordinates are candidates. Within a bucket
-every class is compared with the least one, then (in later rounds) with one that still isn't joined to it; in
-the last round all pairs of a bucket that lie in different components are compared. Pairs in one component
-need no comparison, as only components are asked for. Every link is confirmed on the full sets.
-
-Cases: null and empty texts are kept, alone; texts of any length are read whole; repeated doc_ids and rows are
-one node of the graph; ties go to the smaller doc_id; an empty table gives an empty result; other columns of
+Equal sets are one class. Classes that agree in a band of ``ROWS`` coordinates share a bucket and are candidates:
+1. every class is compared with the least one of its bucket;
+2. in buckets that are not in one component yet, all classes of a block of ``BLOCK`` classes of the bucket;
+3. in what is left, every class outside its bucket's largest component with all the others of the bucket.
+After 3 every candidate pair is compared on the full sets or lies in one component anyway (only components are
+asked for). 2 and 3 compare the classes of a block in one task, by the product of their incidence matrices, and
+give one link for each two components that meet. No task ever holds a whole bucket.
+
+Cases: null and empty texts are kept, alone; texts of any length are read whole; rows with one doc_id are one
+node of the graph; ties go to the smaller doc_id; an empty table gives an empty result; other columns of
 the input are not looked at.
 """
 
@@ -27,13 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, prepare, stored
+from .shared import components, maybe_in, prepare, stored
 
-SHINGLE, T, ROWS = 5, 64, 4
-BANDS = T // ROWS
-#: Pairs whose sketches agree in fewer coordinates are not compared: at the threshold 0.85 that happens to
-#: one pair in ten million (binomial, 64 samples).
-AGREE = 38
+SHINGLE, ROWS, BANDS = 5, 6, 24
+T = ROWS * BANDS
+BLOCK = 256
 ODD = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -92,7 +93,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
         x = np.concatenate([sets[i] for i in todo])
         row = np.repeat(np.asarray(todo), [len(sets[i]) for i in todo])
         h = mix64(x + U((r + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-        bin_ = (h & U(T - 1)).astype(np.int64) if r < T else np.full(len(x), r - T)
+        bin_ = ((h >> U(32)) * U(T) >> U(32)).astype(np.int64) if r < T else np.full(len(x), r - T)
         value = (U(r) << U(56)) | (mix64(h) >> U(8))
         np.minimum.at(flat, row * T + bin_, value)
         todo = [i for i in todo if (out[i] == np.iinfo(U).max).any()]
@@ -119,18 +120,65 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column(0), pa.array(n), signed(k1), signed(k2),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), signed(band.reshape(-1))),
-                pa.array([x.tobytes() for x in (s >> U(8)).astype(np.uint16)], pa.binary()),
             ],
-            ["doc_id", "n", "k1", "k2", "bands", "sketch"],
+            ["doc_id", "n", "k1", "k2", "bands"],
         )
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose sketches (two more columns) agree in enough coordinates."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, T) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREE))
+def _links(percent: int, outer_only: bool):
+    """Rows (key, id, label, items, outer), together by key -> links (a, b) between different labels of a key."""
+
+    def of(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(outer) if outer_only else np.arange(len(ids))
+        cols = np.flatnonzero(~outer)
+        if not len(rows) or not len(cols):
+            return ids[:0], ids[:0]
+        n = np.asarray([len(x) for x in sets])
+        _, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        own, at = np.repeat(np.arange(len(sets)), n)[count[inv] > 1], number[inv[count[inv] > 1]]
+        common = np.zeros((len(rows), len(cols)), np.float32)
+        order = np.argsort(at, kind="stable")
+        own, at = own[order], at[order]
+        for lo in range(0, int(number[-1]) + 1, 4096):
+            x, y = np.searchsorted(at, (lo, lo + 4096))
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[own[x:y], at[x:y] - lo] = 1
+            common += m[rows] @ m[cols].T
+        linked = (common * 100 >= (n[rows][:, None] + n[cols][None] - common) * percent) & (labels[rows][:, None] != labels[cols][None])
+        i, j = np.nonzero(linked)
+        two = np.sort(np.stack([labels[rows[i]], labels[cols[j]]], 1), 1)
+        _, first = np.unique(two, axis=0, return_index=True)
+        return ids[rows[i[first]]], ids[cols[j[first]]]
+
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        key, ids, labels, outer = (t.column(c).to_numpy() for c in ("key", "id", "label", "outer"))
+        items = t.column("items").combine_chunks()
+        items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+        values, at = items.values.to_numpy(), items.offsets.to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+        got = [of(ids[x:y], labels[x:y], [values[at[k] : at[k + 1]] for k in range(x, y)], outer[x:y].astype(bool)) for x, y in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got]), pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            other = np.flatnonzero(key != key[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if rest and (cut or rest[-1].column(0)[0].as_py() != key[0]):
+                yield flush(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+                rest = []
+            elif cut:
+                yield flush(pa.Table.from_batches([batch.slice(0, cut)]))
+            rest.append(batch.slice(cut))
+        if rest:
+            yield flush(pa.Table.from_batches(rest))
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,56 +189,47 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, signed(np.concatenate(sets)))], ["id", "items"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) that are linked. A set that is in many pairs is sent once to each of 64 salts."""
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(64)).cast("int")
-    pairs = stored(pairs.withColumns({"sa": salt("b"), "sb": salt("a")}), "pairs")
-    need = pairs.select(F.col("a").alias("id"), F.col("sa").alias("s")).unionAll(pairs.select("b", "sb")).distinct()
-    texts = docs.join(need.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    sets = stored(texts.mapInArrow(_sets, "id long, items array<long>"), "sets")
-    left = pairs.join(need.join(sets, "id").select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("items").alias("x")), ["a", "sa"])
-    both = left.join(need.join(sets, "id").select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("items").alias("y")), ["b", "sb"])
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, pivots: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: a row for each input row."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     docs = docs.select(F.col("doc_id").alias("id"), "text")
-    sign = docs.mapInArrow(_signatures, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch binary")
-    sign = stored(sign, "signatures")
-    classes = sign.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"))
-    classes = stored(classes, "classes")
-    member = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "value"))
-    shared = member.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("id").alias("low")).where("m > 1")
-    shared = stored(shared, "buckets")
-    member = stored(member.join(shared.select("band", "value"), ["band", "value"]), "members")
-    sketch = classes.select(F.col("rep").alias("id"), "sketch")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        withs = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        return stored(_verified(withs.mapInArrow(_agree, "a long, b long"), docs, percent), "links")
-
-    links = compare(member.join(shared, ["band", "value"]).select(F.col("low").alias("a"), F.col("id").alias("b")))
-    for step in range(pivots):
-        label = stored(components(links), "labels")
+    sign = stored(docs.mapInArrow(_signatures, "doc_id long, n long, k1 long, k2 long, bands array<long>"), "signatures")
+    some = sign.where("n > 0 and doc_id is not null")
+    classes = stored(some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    member = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "value"))
+    buckets = stored(member.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("id").alias("low")).where("m > 1"), "buckets")
+    member = stored(member.join(buckets, ["band", "value"]), "members")
+    ids = stored(member.select("id").distinct(), "candidates")
+    sets = maybe_in(docs, "id", ids).join(ids, "id", "left_semi").mapInArrow(_sets, "id long, items array<long>")
+    sets = stored(sets, "sets")
+    a_set, b_set = (sets.select(F.col("id").alias(c), F.col("items").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    common = F.size(F.array_intersect("x", "y"))
+
+    pairs = stored(member.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    linked = pairs.join(a_set, "a").join(b_set, "b").where(common * 100 >= (F.size("x") + F.size("y") - common) * percent)
+    links = stored(linked.select("a", "b"), "links")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    label = stored(components(links), "labels")
+    for outer_only in (False, True):
         now = member.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        split = now.groupBy("band", "value").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max_by("id", "label").alias("other")).where("l0 <> l1")
+        by_label = now.groupBy("band", "value", "label").agg(F.count("*").alias("c"))
+        split = by_label.groupBy("band", "value").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label"))["label"].alias("most")).where("labels > 1")
         split = stored(split, "split")
         if not split.take(1):
             break
-        now = stored(now.join(split, ["band", "value"]), "unjoined")
-        if step < pivots - 1:
-            pairs = now.where("label <> l1").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        else:  # one end of each pair lies outside the bucket's least component: few, after the rounds before
-            out = now.where("label <> l0").select("band", "value", F.col("id").alias("a"), F.col("label").alias("la"))
-            pairs = now.join(out, ["band", "value"]).where("label <> la").select("a", F.col("id").alias("b"))
-        more = compare(pairs)
-        links = stored(links.unionAll(more), "links")
-    label = stored(components(links), "labels")
+        now = now.join(split, ["band", "value"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK))
+        own = F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks"))
+        rows = now.select("band", "value", "id", "label", own.alias("block"), F.lit(False).alias("outer"))
+        if outer_only:
+            outer = now.where("label <> most").select("band", "value", "id", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("outer"))
+            rows = rows.unionAll(outer)
+        rows = rows.join(sets, "id").select(F.xxhash64("band", "value", "block").alias("key"), "id", "label", "items", "outer")
+        more = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links(percent, outer_only), "a long, b long")
+        links = stored(links.unionAll(stored(more, "more").distinct()), "links")
+        label = stored(components(links), "labels")
     of = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("label", "rep").alias("component_id"))
-    out = sign.where("n > 0 and doc_id is not null").join(stored(of, "class-labels"), ["n", "k1", "k2"]).select("doc_id", "n", "component_id")
+    out = some.join(stored(of, "class-labels"), ["n", "k1", "k2"]).select("doc_id", "n", "component_id")
     out = out.unionAll(sign.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, mtree, pii, toxicity, vectors
+from . import bpe, minhash, mixing, mtree, pii, substrings, toxicity, vectors
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))

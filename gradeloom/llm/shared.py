@@ -46,13 +46,19 @@ def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose column may be among ids (one column): drops what a bitmap of hashes rules out, before a
     shuffle. Rows that stay by chance are for the join that follows; if the bitmap fills up, all stay.
     """
+    return with_maybe(df, column, ids).where("__maybe").select(*df.columns)
+
+
+def with_maybe(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """df with a boolean column __maybe: false where the column is surely not among ids."""
     place = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(BITS))
     spots = ids.select(place(F.col(ids.columns[0])).alias("p"))
     maps = spots.groupBy(F.expr("p div 32768").alias("__chunk")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("__map"))
     p = place(F.col(column))
     byte = F.conv(F.hex(F.expr("substring(__map, __bit div 8 + 1, 1)")), 16, 10).cast("int")
-    out = df.withColumns({"__chunk": F.floor(p / 32768).cast("long"), "__bit": (p % 32768).cast("int")}).join(F.broadcast(maps), "__chunk")
-    return out.where(F.floor(byte / F.pow(F.lit(2), F.expr("__bit % 8"))).cast("int") % 2 == 1).select(*df.columns)
+    out = df.withColumns({"__chunk": F.floor(p / 32768).cast("long"), "__bit": (p % 32768).cast("int")}).join(F.broadcast(maps), "__chunk", "left")
+    bit = F.floor(byte / F.pow(F.lit(2), F.expr("__bit % 8"))).cast("int") % 2 == 1
+    return out.withColumn("__maybe", F.coalesce(bit, F.lit(False))).drop("__chunk", "__map", "__bit")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

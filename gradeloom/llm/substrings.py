@@ -5,7 +5,7 @@ one suffix array; it is cut as follows, which loses no repeat:
 1. In each window the ``GRAM``-byte string of least hash is its anchor (all of them in a tie). Equal windows have equal
    anchors at equal offsets. An anchor's context is what windows with this anchor can cover.
 2. Anchors that occur once are out. Contexts that are equal as a whole are removed as a whole.
-3. The different contexts of an anchor are aligned at it. Columns at which none of them parts from another are
+3. The different contexts of an anchor are aligned at it, for ``TOGETHER`` starts at a time. Columns at which none of them parts from another are
    merged into one symbol, the contexts are concatenated with unique separators, and the suffix array with its
    common prefixes tells for each start how far any other context goes along: from 400 bytes on, it repeats.
 4. Anchors with more than ``MOST`` different contexts don't go to a task. For intervals of starts, halved and
@@ -20,6 +20,8 @@ told by its text; an empty table gives an empty result; columns other than doc_i
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,11 @@ from .gsaca import common_prefixes, suffix_array
 from .minhash import mix64
 from .shared import maybe_in, prepare, stored, with_maybe
 
-WINDOW, GRAM, MOST = 400, 32, 256
+WINDOW, GRAM, MOST = 400, 32, 512
 REACH = WINDOW - GRAM  # bytes before an anchor that its windows can cover
-#: Widths of the intervals of starts in step 4.
-WIDTHS = (46, 8, 1)
+#: Starts that are looked at together in step 3, and widths (each a multiple of the next) of intervals in step 4.
+TOGETHER = 46
+WIDTHS = (64, 8, 1)
 CHUNK = 1 << 19
 U = np.uint64
 TABLE = mix64(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -120,6 +123,17 @@ def shared_prefix(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
+def reach(sides: list[bytes]) -> tuple[list[int], set[int]]:
+    """How far each side agrees with any other one at most, and all lengths at which sides part or end."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    far, cuts = [0] * len(sides), {0}
+    for a, b in zip(order, order[1:]):
+        n = shared_prefix(sides[a], sides[b])
+        cuts.add(n)
+        far[a], far[b] = max(far[a], n), n
+    return far, cuts
+
+
 class Batch:
     """Aligned contexts of many anchors in one text of symbols."""
 
@@ -128,38 +142,68 @@ class Batch:
         self.at: list[int] = []  # where a symbol starts, relative to the anchor
         self.who: list[tuple[int, int] | None] = []  # document and anchor of a symbol; None: a separator
         self.symbols = 0
+        self.known: list[tuple[int, int, int]] = []  # ranges that need no sorting
 
     def add(self, group: list[tuple[int, int, int, bytes]]) -> None:
-        """Contexts (doc, pos, bytes before the anchor, bytes) of one anchor."""
-        cuts = {0}
-        for sides, sign in (([x[3][x[2] :] for x in group], 1), ([x[3][: x[2]][::-1] for x in group], -1)):
-            sides.sort()
-            cuts.update(sign * shared_prefix(a, b) for a, b in zip(sides, sides[1:]))
-            cuts.update(sign * len(s) for s in sides)
-        cuts = sorted(cuts)
+        """Contexts (doc, pos, bytes before the anchor, bytes) of one anchor, by intervals of starts: only
+        contexts with the bytes in common that all windows of an interval share can repeat in it.
+        """
+        for j0 in range(0, REACH + 1, TOGETHER):
+            j1 = min(REACH, j0 + TOGETHER - 1)
+            alike = defaultdict(list)
+            for doc, pos, at, data in group:
+                if at >= j0 and len(data) - at >= WINDOW - j1:
+                    a, b = max(0, at - j1), at + WINDOW - j0
+                    alike[data[at - j0 : at + WINDOW - j1]].append((doc, pos, at - a, data[a:b]))
+            for part in alike.values():
+                if len(part) > 1:
+                    self._align(part)
+
+    def _align(self, group: list[tuple[int, int, int, bytes]]) -> None:
+        """Contexts as in add().
+
+        First what no other context goes along with falls off, and rests that are equal repeat as they are.
+        """
+        lines = [([(doc, pos)], left, data) for doc, pos, left, data in group]
+        for _ in range(4):
+            right, _ = reach([data[at:] for _, at, data in lines])
+            left, _ = reach([data[:at][::-1] for _, at, data in lines])
+            same: dict[tuple[int, bytes], list[tuple[int, int]]] = defaultdict(list)
+            for (found, at, data), l, r in zip(lines, left, right):
+                if len(found) > 1:
+                    same[at, data] += found
+                elif l + r >= WINDOW:
+                    same[l, data[at - l : at + r]] += found
+            before, lines = lines, [(found, l, data) for (l, data), found in same.items()]
+            if [x[1:] for x in lines] == [x[1:] for x in before]:
+                break
+        for found, at, data in lines:
+            if len(found) > 1:
+                self.known += [(doc, pos - at, pos - at + len(data)) for doc, pos in found]
+        if all(len(found) > 1 for found, _, _ in lines):
+            return
+        cuts = reach([data[at:] for _, at, data in lines])[1] | {-c for c in reach([data[:at][::-1] for _, at, data in lines])[1]}
+        cuts = sorted(cuts | {-at for _, at, _ in lines} | {len(data) - at for _, at, data in lines})
         names: dict[tuple[int, bytes], int] = {}
-        for doc, pos, left, data in group:
-            inside = [c for c in cuts if -left <= c <= len(data) - left]
+        for found, at, data in lines:
+            inside = cuts[bisect_left(cuts, -at) : bisect_right(cuts, len(data) - at)]
             for a, b in zip(inside, inside[1:]):
-                key = (a, data[left + a : left + b])
-                if key not in names:
-                    names[key] = self.symbols = self.symbols + 1
-                self.text.append(names[key])
-                self.at.append(a)
-                self.who.append((doc, pos))
+                self.text.append(names.setdefault((a, data[at + a : at + b]), self.symbols + 1))
+                self.symbols += self.text[-1] > self.symbols
             self.symbols += 1
             self.text.append(self.symbols)
-            self.at.append(inside[-1])
-            self.who.append(None)
+            self.at += inside
+            self.who += [found[0] if len(found) == 1 else None] * (len(inside) - 1) + [None]
 
     def repeats(self) -> Iterator[tuple[int, int, int]]:
         """(doc, start, end) of bytes that repeated windows cover."""
+        yield from self.known
         text, at = self.text, self.at
         sa = suffix_array(text)
         lcp = [*common_prefixes(text, sa), 0]
         for r, i in enumerate(sa):
             n = max(lcp[r], lcp[r + 1])
-            if n and (goes := at[i + n] - at[i]) >= WINDOW:
+            if n and self.who[i] and (goes := at[i + n] - at[i]) >= WINDOW:
                 doc, pos = self.who[i]
                 last = min(at[i + 1] - 1, at[i] + goes - WINDOW)
                 yield doc, pos + at[i], pos + last + WINDOW
@@ -170,7 +214,13 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batch_, last, group = Batch(), None, []
 
     def out() -> pa.RecordBatch:
-        cols = list(zip(*sorted(set(batch_.repeats())))) or [(), (), ()]
+        rows: list[tuple[int, int, int]] = []
+        for doc, a, b in sorted(batch_.repeats()):
+            if rows and rows[-1][0] == doc and a <= rows[-1][2]:
+                rows[-1] = (doc, rows[-1][1], max(b, rows[-1][2]))
+            else:
+                rows.append((doc, a, b))
+        cols = list(zip(*rows)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], ["doc", "a", "b"])
 
     for b in batches:
@@ -178,15 +228,14 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if h != last and group:
                 batch_.add(group)
                 group = []
-                if len(batch_.text) > 40_000:
+                if len(batch_.text) > 40_000 or len(batch_.known) > 40_000:
                     yield out()
                     batch_ = Batch()
             last = h
             group.append((doc, pos, left, data))
     if group:
         batch_.add(group)
-    if batch_.text:
-        yield out()
+    yield out()
 
 
 def _crowded(contexts: DataFrame) -> DataFrame:
@@ -196,19 +245,27 @@ def _crowded(contexts: DataFrame) -> DataFrame:
     spans = contexts.select("h", "doc", "pos", F.greatest(F.lit(0), WINDOW - F.col("r")).alias("j0"), F.col("l").alias("j1"))
     found = None
     for width in WIDTHS:
-        x = spans.join(contexts.select("h", "doc", "pos", "l", "bytes"), ["h", "doc", "pos"])
-        cell = F.explode(F.sequence(F.floor(F.col("j0") / width), F.floor(F.col("j1") / width)))
-        x = x.withColumn("cell", cell).withColumns({"k0": F.greatest("j0", F.col("cell") * width).cast("int"), "k1": F.least("j1", F.col("cell") * width + width - 1).cast("int")})
+        x = spans.join(contexts.select("h", "doc", "pos", "l", "r", "bytes"), ["h", "doc", "pos"])
+        x = x.withColumn("k0", F.explode(F.sequence(F.expr(f"j0 div {width}"), F.expr(f"j1 div {width}"))))
+        x = x.withColumn("k0", (F.col("k0") * width).cast("int")).withColumn("k1", (F.col("k0") + width - 1).cast("int"))
         part = lambda a, b: F.xxhash64(F.substring("bytes", F.col("l") - a + 1, b + a))
-        x = x.select("h", "doc", "pos", F.col("k0").alias("j0"), F.col("k1").alias("j1"), part(F.col("k0"), WINDOW - F.col("k1")).alias("core"), part(F.col("k1"), WINDOW - F.col("k0")).alias("all"))
+        covered = (F.col("l") >= F.col("k1")) & (F.col("r") >= WINDOW - F.col("k0"))
+        x = x.select(
+            "h", "doc", "pos", "k0", F.greatest("j0", "k0").alias("j0"), F.least("j1", "k1").alias("j1"),
+            part(F.col("k0"), WINDOW - F.col("k1")).alias("core"), F.when(covered, part(F.col("k1"), WINDOW - F.col("k0"))).alias("all"),
+        )
         x = stored(x, "cells")
-        core = stored(x.groupBy("h", "j0", "j1", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "cores")
-        alike = stored(x.groupBy("h", "j0", "j1", F.col("all")).agg(F.count("*").alias("n")).where("n > 1").withColumn("yes", F.lit(True)).drop("n"), "alike")
-        x = x.join(core, ["h", "j0", "j1", "core"]).join(alike, ["h", "j0", "j1", "all"], "left")
-        x = stored(x.select("h", "doc", "pos", "j0", "j1", F.coalesce("yes", F.lit(False)).alias("yes")), "shared")
+        alike = x.where("all is not null").groupBy("h", "k0", F.col("all")).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
+        alike = stored(alike.where("n > 1").select("h", "k0", "all", "first", F.lit(True).alias("yes")), "alike")
+        x = x.join(alike.hint("merge"), ["h", "k0", "all"], "left").withColumn("yes", F.coalesce("yes", F.lit(False)))
+        x = stored(x.withColumn("stays", ~F.col("yes") | (F.struct("doc", "pos") == F.col("first"))).drop("all", "first"), "shared")
         hit = x.where("yes").select("doc", (F.col("pos") - F.col("j1")).alias("a"), (F.col("pos") - F.col("j0") + WINDOW).alias("b"))
         found = hit if found is None else found.unionAll(hit)
-        spans = x.where("not yes").drop("yes")
+        # one of those that are settled alike stays, as a partner, where others that share the core are not
+        x = x.where("stays")
+        core = x.groupBy("h", "k0", "core").agg(F.count("*").alias("n"), F.min("yes").alias("settled"))
+        core = stored(core.where("n > 1 and not settled").select("h", "k0", "core"), "cores")
+        spans = x.join(core.hint("merge"), ["h", "k0", "core"]).select("h", "doc", "pos", "j0", "j1")
     return found
 
 
@@ -219,19 +276,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(docs.mapInArrow(_anchor_rows, "doc long, pos int, l int, r int, h long, c long"), "anchors")
     often = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    rows = stored(rows.join(often, "h"), "repeated")
+    rows = stored(rows.join(often.hint("merge"), "h"), "repeated")
     kinds = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "l", "r")).alias("rep"))
     kinds = stored(kinds, "kinds")
     many = stored(kinds.where("n > 1").select("h", "c"), "copied")
-    whole = rows.join(many, ["h", "c"]).select("doc", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
+    whole = rows.join(many.hint("merge"), ["h", "c"]).select("doc", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
     crowd = stored(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "differing")
-    reps = kinds.join(crowd, "h").select("rep.doc", F.struct("h", "rep.pos", "rep.l", "rep.r", "m").alias("x"))
+    reps = kinds.join(crowd.hint("merge"), "h").select("rep.doc", F.struct("h", "rep.pos", "rep.l", "rep.r", "m").alias("x"))
     reps = stored(reps.groupBy("doc").agg(F.collect_list("x").alias("at")), "places")
-    context = maybe_in(docs, "doc", reps.select("doc")).join(reps, "doc").select("doc", "text", "at")
+    context = maybe_in(docs, "doc", reps.select("doc")).join(reps.hint("merge"), "doc").select("doc", "text", "at")
     context = stored(context.mapInArrow(_contexts, "h long, doc long, pos int, l int, r int, m long, bytes binary"), "contexts")
     few = context.where(F.col("m") <= MOST).select("h", "doc", "pos", "l", "bytes").repartition(parts, "h").sortWithinPartitions("h", "doc", "pos")
     found = whole.unionAll(few.mapInArrow(_repeats, "doc long, a int, b int")).unionAll(_crowded(context.where(F.col("m") > MOST)))
-    return stored(found.distinct().groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    return stored(found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -268,5 +325,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
-    rest = marked.where("__maybe").join(spans, "doc", "left").select("doc_id", "text", "spans")
+    rest = marked.where("__maybe").join(spans.hint("merge"), "doc", "left").select("doc_id", "text", "spans")
     return clean.unionAll(rest.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

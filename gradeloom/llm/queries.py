@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, mtree, pii, substrings, toxicity, vectors
+from . import bpe, licenses, minhash, mixing, mtree, pii, quality, substrings, toxicity, vectors
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,13 @@ def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.best(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
 
 
 #: Bits of maybe_in(); its bitmaps are BITS / 8 bytes whatever the data, so they can be broadcast.
-BITS = 1 << 23
+BITS = 1 << 25
 
 
 def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:

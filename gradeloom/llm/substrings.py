@@ -34,7 +34,7 @@ from .gsaca import common_prefixes, suffix_array
 from .minhash import mix64
 from .shared import maybe_in, prepare, stored, with_maybe
 
-WINDOW, GRAM, MOST = 400, 32, 512
+WINDOW, GRAM, MOST = 400, 32, 2048
 REACH = WINDOW - GRAM  # bytes before an anchor that its windows can cover
 #: Starts that are looked at together in step 3, and widths (each a multiple of the next) of intervals in step 4.
 TOGETHER = 46
@@ -242,10 +242,9 @@ def _crowded(contexts: DataFrame) -> DataFrame:
     """Step 4: (doc, a, b) for contexts(h, doc, pos, l, r, bytes) of crowded anchors. A start is counted by the
     bytes j between it and the anchor.
     """
-    spans = contexts.select("h", "doc", "pos", F.greatest(F.lit(0), WINDOW - F.col("r")).alias("j0"), F.col("l").alias("j1"))
+    x = contexts.select("h", "doc", "pos", "l", "r", "bytes", F.greatest(F.lit(0), WINDOW - F.col("r")).alias("j0"), F.col("l").alias("j1"))
     found = None
     for width in WIDTHS:
-        x = spans.join(contexts.select("h", "doc", "pos", "l", "r", "bytes"), ["h", "doc", "pos"])
         x = x.withColumn("k0", F.explode(F.sequence(F.expr(f"j0 div {width}"), F.expr(f"j1 div {width}"))))
         x = x.withColumn("k0", (F.col("k0") * width).cast("int")).withColumn("k1", (F.col("k0") + width - 1).cast("int"))
         part = lambda a, b: F.xxhash64(F.substring("bytes", F.col("l") - a + 1, b + a))
@@ -266,6 +265,7 @@ def _crowded(contexts: DataFrame) -> DataFrame:
         core = x.groupBy("h", "k0", "core").agg(F.count("*").alias("n"), F.min("yes").alias("settled"))
         core = stored(core.where("n > 1 and not settled").select("h", "k0", "core"), "cores")
         spans = x.join(core.hint("merge"), ["h", "k0", "core"]).select("h", "doc", "pos", "j0", "j1")
+        x = spans.join(contexts.select("h", "doc", "pos", "l", "r", "bytes"), ["h", "doc", "pos"])
     return found
 
 

@@ -31,7 +31,7 @@ def named_host_ok(url: Column) -> Column:
     """The guard but for addresses."""
     host = F.regexp_replace(F.lower(host_of(url)), r"\.+$", "")
     user = F.regexp_extract(url, r"^[^:]*://([^/?#]*)@", 1)
-    return F.lower(url).startswith("https://") & (host != "") & (user == "") & ~host.isin("localhost", "localhost.localdomain") & ~host.endswith(".local")
+    return F.lower(url).startswith("https://") & (host != "") & (~host.startswith("[") | host.endswith("]")) & (user == "") & ~host.isin("localhost", "localhost.localdomain") & ~host.endswith(".local")
 
 
 def safe_url(url: Column) -> Column:

@@ -22,6 +22,8 @@ import os
 import struct
 import tempfile
 import unicodedata
+import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
@@ -35,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .shared import prepare
 
-LEXICON_SIZE = 65_536
-#: Entries of a worker's memo of white-space separated strings; cleared when full.
-MEMO = 300_000
+LEXICON_SIZE = 131_072
+#: Entries of a worker's memos of words and of white-space separated strings; each is cleared when full.
+MEMO = 700_000
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 NOT_SPACE = regex.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
@@ -69,6 +71,10 @@ class Merges:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words_of = regex.compile(split["pattern"]["Regex"])
         self.letters = byte_letters()
+        self.bytes_ = [self.vocab[x] for x in self.letters]
+        self.last = [self.vocab[x + self.end] for x in self.letters]
+        self.pairs = {self.vocab[a] << 20 | self.vocab[b]: r for (a, b), r in self.ranks.items()}
+        self.made = [self.vocab[a + b] for a, b in self.ranks]
         self.text_of = {i: s.encode() for s, i in (self.vocab | self.special).items()}
 
     def split(self, string: str) -> Iterator[str | int]:
@@ -82,29 +88,26 @@ class Merges:
 
     def _words(self, s: str) -> list[str]:
         if not s.isascii():
-            s = "".join(c.lower() for c in unicodedata.normalize("NFC", s))  # by character: no final sigma
-        else:
-            s = s.lower()
-        return self.words_of.findall(s)
+            s = unicodedata.normalize("NFC", s)
+        s = s.lower() if "Σ" not in s else "".join(c.lower() for c in s)  # by character: no final sigma
+        return [s] if s.isalpha() else self.words_of.findall(s)
 
     def merge(self, word: str) -> list[int]:
-        parts = [self.letters[b] for b in word.encode("utf-8")]
-        parts[-1] += self.end
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, 1 << 60))
-            if best not in ranks:
-                break
-            out, i, a, b = [], 0, *best
-            while i < len(parts):
-                if parts[i] == a and i + 1 < len(parts) and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.vocab[p] for p in parts]
+        """The pair of least rank first, the left one of equals; ranks are kept by pair of ids."""
+        text = word.encode("utf-8")
+        ids = [self.bytes_[b] for b in text[:-1]]
+        ids.append(self.last[text[-1]])
+        get, none = self.pairs.get, len(self.made)
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
+            ids[i : i + 2] = [self.made[r]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+        return ids
 
 
 def merge_long(m: Merges, word: str) -> list[int]:
@@ -217,35 +220,37 @@ def pieces(text: str) -> list[str]:
 
 class Coder:
     def __init__(self, merges: Merges, lexicon: Lexicon):
-        self.m, self.lexicon, self.memo = merges, lexicon, {}
-
-    def ids(self, string: str) -> list[int]:
-        out: list[int] = []
-        for w in self.m.split(string):
-            if isinstance(w, int):
-                out.append(w)
-            elif (known := self.lexicon.find(w)) is not None:
-                out += known
-            else:
-                out += self.m.merge(w) if len(w) < 40 else merge_long(self.m, w)
-        return out
+        self.m, self.lexicon, self.memo, self.words = merges, lexicon, {}, {}
+
+    def word(self, w: str) -> bytes:
+        """Ids of a word: from the lexicon, or merged; remembered while there is room."""
+        if (x := self.words.get(w)) is None:
+            ids = self.lexicon.find(w)
+            if ids is None:
+                ids = self.m.merge(w) if len(w) < 200 else merge_long(self.m, w)
+            x = array("I", ids).tobytes()
+            if len(self.words) > MEMO:
+                self.words.clear()
+            if len(w) < 64:
+                self.words[w] = x
+        return x
+
+    def string(self, s: str) -> bytes:
+        return b"".join([self.word(w) if isinstance(w, str) else array("I", [w]).tobytes() for w in self.m.split(s)])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         memo, strings = self.memo, pieces(text)
-        try:
-            return b"".join([memo[s] for s in strings])
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-        out = []
-        for s in strings:
-            if (x := memo.get(s)) is None:
-                x = np.asarray(self.ids(s), "<u4").tobytes()
-                if len(s) < 64:
-                    memo[s] = x
-            out.append(x)
+        out = list(map(memo.get, strings))
+        if None in out:
+            if len(memo) > MEMO:
+                memo.clear()
+            for k, x in enumerate(out):
+                if x is None:
+                    s = strings[k]
+                    out[k] = x = memo.get(s) or self.string(s)
+                    if len(s) < 64:
+                        memo[s] = x
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
@@ -285,7 +290,7 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(pieces(text or ""))
-                if len(seen) > 400_000:
+                if len(seen) > 700_000:
                     yield words()
         yield words()
 
@@ -297,7 +302,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_SIZE) ->
     top = word_counts(docs, tokenizer).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
     m = Merges(tokenizer)
     data = compile_lexicon((r.word, m.merge(r.word)) for r in top)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="gradeloom-"), name)
     with open(path, "wb") as f:
         f.write(data)

@@ -38,7 +38,7 @@ WINDOW, GRAM, MOST = 400, 32, 2048
 REACH = WINDOW - GRAM  # bytes before an anchor that its windows can cover
 #: Starts that are looked at together in step 3, and widths (each a multiple of the next) of intervals in step 4.
 TOGETHER = 46
-WIDTHS = (64, 8, 1)
+WIDTHS = (128, 32, 8, 1)
 CHUNK = 1 << 19
 U = np.uint64
 TABLE = mix64(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))

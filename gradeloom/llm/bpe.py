@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-1. The words of all documents are counted; the ``lexicon_size`` most frequent ones (ties by code point) go into
-   the lexicon, each with the ids that the merges give.
+1. The words of all documents are counted; those from a frequency level on (a 16th of a power of two), the least at
+   which they are no more than ``lexicon_size``, go into the lexicon, each with the ids that the merges give.
 2. The sorted words are compiled into the minimal acyclic automaton (equal suffixes share states). Every
    transition carries how many words sort before those behind it; summed along a path these outputs are the
    word's number, which points at its ids.
@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare
+from .shared import prepare, stored
 
 LEXICON_SIZE = 131_072
 #: Entries of a worker's memos of words and of white-space separated strings; each is cleared when full.
@@ -299,7 +299,15 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_SIZE) -> str:
     """Count, compile and hand out the lexicon; returns the name of the Spark file."""
-    top = word_counts(docs, tokenizer).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    # not orderBy().limit(): every task would send so many words to the driver
+    counts = stored(word_counts(docs, tokenizer).where((F.col("n") > 1) & (F.length("word") <= 64)), "words")
+    level = F.floor(F.log2("n") * 16).cast("int").alias("level")
+    least, room = 1 << 30, size
+    for r in sorted(counts.groupBy(level).count().collect(), reverse=True):
+        if r["count"] > room:
+            break
+        least, room = r.level, room - r["count"]
+    top = counts.where(level >= least).select("word").collect()
     m = Merges(tokenizer)
     data = compile_lexicon((r.word, m.merge(r.word)) for r in top)
     name = f"lexicon-{uuid.uuid4().hex}.bin"

@@ -25,7 +25,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(COLUMNS).join(stored(kept, "kept"), "doc_id", "left_semi")
+    return docs.select(COLUMNS).join(stored(kept, "kept").hint("merge"), "doc_id", "left_semi")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each whole copy that the mix takes."""
     taken = mixing.mix(docs, whole=True).where("copies > 0").select("doc_id", "copies")
-    docs = docs.select(COLUMNS).join(stored(taken, "taken"), "doc_id")
+    docs = docs.select(COLUMNS).join(stored(taken, "taken").hint("merge"), "doc_id")
     return docs.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 

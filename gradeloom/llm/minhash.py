@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = stored(member.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("id").alias("low")).where("m > 1"), "buckets")
     member = stored(member.join(buckets, ["band", "value"]), "members")
     ids = stored(member.select("id").distinct(), "candidates")
-    sets = maybe_in(docs, "id", ids).join(ids, "id", "left_semi").mapInArrow(_sets, "id long, items array<long>")
+    sets = maybe_in(docs, "id", ids).join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, items array<long>")
     sets = stored(sets, "sets")
     a_set, b_set = (sets.select(F.col("id").alias(c), F.col("items").alias(x)) for c, x in (("a", "x"), ("b", "y")))
     common = F.size(F.array_intersect("x", "y"))

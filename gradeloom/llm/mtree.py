@@ -64,11 +64,15 @@ def build(ids: np.ndarray, v: np.ndarray) -> list[dict]:
     return pages
 
 
-def search(pages: list[dict], q: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
-    """The k nearest (distance^2, id), ties by id, without own."""
-    best: list[tuple[float, int]] = []  # heap of (-distance^2, -id)
+def search(pages: list[dict], q: np.ndarray, own: int, k: int, most: float) -> list[tuple[int, int]]:
+    """The k highest (score, id), ties to the smaller id, without own; most is the greatest squared length.
+
+    Distances only guide the search, with room for their rounding; entries of leaves are ranked by integer scores.
+    """
+    best: list[tuple[int, int]] = []  # heap of (score, -id)
     heap: list[tuple[float, int, float | None]] = [(0.0, 0, None)]
-    reach = math.inf
+    reach, far = math.inf, float(q @ q) + most
+    whole = q[:-1] if most < 2**53 else q[:-1].astype(np.int64)
     while heap:
         low, number, above = heapq.heappop(heap)
         if low > reach:
@@ -83,16 +87,16 @@ def search(pages: list[dict], q: np.ndarray, own: int, k: int) -> list[tuple[flo
                 radius = radius if p["leaf"] else radius[keep]
         if not len(ids):
             continue
-        diff = at - q
-        d2 = np.einsum("ij,ij->i", diff, diff)
         if not p["leaf"]:
-            d = np.sqrt(d2)
+            diff = at - q
+            d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
             for lo, x, n in zip(np.maximum(0, d - radius).tolist(), d.tolist(), ids.tolist()):
                 if lo <= reach:
                     heapq.heappush(heap, (lo, n, x))
             continue
-        for n in np.flatnonzero(d2 <= (reach + 1e-6) ** 2) if reach < math.inf else np.lexsort((ids, d2))[: k + 1]:
-            x = (-float(np.round(d2[n] * 4096) / 4096), -int(ids[n]))
+        score = at[:, :-1].astype(whole.dtype) @ whole
+        for n in np.flatnonzero(score >= best[0][0]) if reach < math.inf else np.lexsort((ids, -score))[: k + 1]:
+            x = (int(score[n]), -int(ids[n]))
             if -x[1] == own:
                 continue
             if len(best) < k:
@@ -100,8 +104,8 @@ def search(pages: list[dict], q: np.ndarray, own: int, k: int) -> list[tuple[flo
             elif x > best[0]:
                 heapq.heapreplace(best, x)
         if len(best) == k:
-            reach = math.sqrt(max(0.0, -best[0][0])) + 1e-6
-    return [(-a, -b) for a, b in best]
+            reach = math.sqrt(max(0.0, far - 2 * best[0][0])) + 1e-6 + 1e-9 * math.sqrt(far)
+    return [(a, -b) for a, b in best]
 
 
 def top_k(vectors: DataFrame, query_step: int = 50, k: int = 5) -> DataFrame:
@@ -141,9 +145,8 @@ def top_k(vectors: DataFrame, query_step: int = 50, k: int = 5) -> DataFrame:
             for r in t.to_pylist():
                 p = {"leaf": r["leaf"], "ids": np.frombuffer(r["ids"], "i8"), "at": np.frombuffer(r["at"], "f8").reshape(-1, d + 1), "up": np.frombuffer(r["up"], "f8")}
                 tree.append(p if r["leaf"] else p | {"radius": np.frombuffer(r["radius"], "f8")})
-            for q, x, s in zip(asked.column("vec_id").to_pylist(), asked.column("v").to_pylist(), asked.column("square").to_pylist()):
-                for d2, i in search(tree, np.asarray([*x, 0.0]), q, k):
-                    out.append((q, i, round((s + m - d2) / 2)))
+            for q, x in zip(asked.column("vec_id").to_pylist(), asked.column("v").to_pylist()):
+                out += [(q, i, s) for s, i in search(tree, np.asarray([*x, 0.0]), q, k, m)]
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 

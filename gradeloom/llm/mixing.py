@@ -18,8 +18,8 @@ from .shared import SPACE, prepare, stored
 
 WEIGHTS = (1, 2, 3)
 TILTS = (-0.5, 0.0, 0.5)
-#: Hash ranges of a source: no window ever holds a whole source.
-BUCKETS_LOG2 = 12
+#: Hash ranges of a source are told by so many hexadecimal digits: no window ever holds a whole source.
+PREFIX = 3
 
 
 def word_count(text: Column) -> Column:
@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = 3) -> Dat
 def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = 3, whole: bool = False) -> DataFrame:
     """One row per document: size, source_size, target, taken, copies, position; sorted by position.
 
-    A source is read in a fixed hashed order, again from the start when it is through, until its target is
+    A source is read in the order of the MD5 of its documents, again from the start when it is through, until its target is
     met. ``taken`` counts words, repeats included; the copy that meets the target is cut there, or with
     ``whole`` taken if the greater part of it fits. ``copies`` counts whole and cut copies. ``position`` is the
     time of the first copy in [0, 1]; documents that are not taken follow after 1.
@@ -67,8 +67,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = 3, whole: bool
     prepare(docs.sparkSession)
     rows = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
-        F.xxhash64("doc_id", "text").alias("mark"),
-    ).withColumn("bucket", F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", "mark"), 64 - BUCKETS_LOG2).cast("int"))
+        F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))), 1, 16).alias("mark"),
+    ).withColumn("bucket", F.substring("mark", 1, PREFIX))
     rows = stored(rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix")
 
     parts = rows.groupBy("key", "source", "bucket").agg(F.sum("size").alias("part"))
@@ -106,7 +106,7 @@ def due(tokens: Column) -> Column:
     """The time by which the schedule asks for so many of the quota's tokens."""
     a, x = F.col("tilt"), F.least(F.lit(1.0), tokens / F.col("quota"))
     root = (F.sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / (2 * a)
-    return F.when(a == 0, x).otherwise(root)
+    return F.when((a == 0) | (x == 0), x).otherwise(root)
 
 
 def schedule(mixed: DataFrame) -> DataFrame:

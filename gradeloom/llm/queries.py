@@ -67,3 +67,42 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+SQL["op2_mixing"] = f"""with d as (select doc_id, source, coalesce(len({WORDS.format("text")}), 0) as size, substr(md5(coalesce(cast(doc_id as varchar), '') || ' ' || coalesce(text, '')), 1, 16) as mark from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, (row_number() over (order by source nulls last) - 1) % 3 as i from d group by source),
+w as (select *, 1.0::double + i as weight, (i - 1) * 0.5::double as tilt, 3 * source_size as ceiling from s),
+o as (select *, row_number() over r as nth, sum(source_size) over () as total, coalesce(sum(ceiling) over (r rows between unbounded preceding and 1 preceding), 0) as fixed,
+ sum(weight) over (r rows between current row and unbounded following) as open from w window r as (order by ceiling / weight, source nulls last)),
+l as (select *, cast(total - fixed as double) / open as level, cast(total - fixed as double) / open * weight >= ceiling as capped from o),
+t as (select source, source_size, tilt, case when capped then cast(ceiling as double) else (select arg_min(level, nth) from l where not capped) * weight end as target from l),
+q as (select source, source_size, tilt, target, cast(round(target) as bigint) as quota, case when source_size > 0 then cast(round(target) as bigint) // source_size else 0 end as passes from t),
+b as (select doc_id, size, source_size, target, tilt, quota, passes, quota - passes * source_size as rest,
+ cast(coalesce(sum(size) over (partition by d.source order by mark, doc_id, size rows between unbounded preceding and 1 preceding), 0) as bigint) as begin from d join q on d.source is not distinct from q.source),
+c as (select *, greatest(0, least(size, rest - begin)) as last from b),
+e as (select *, passes * size + last as taken, case when size > 0 then passes + cast(last > 0 as bigint) else 0 end as copies, least(1.0::double, cast(begin as double) / cast(quota as double)) as x, 1 - tilt as f from c)
+select doc_id, cast(size as bigint) as size, source_size, target, cast(taken as bigint) as taken, cast(copies as bigint) as copies,
+ case when copies = 0 then 1 + coalesce(cast(begin as double) / nullif(source_size, 0), 0.0::double) when tilt = 0 or x = 0 then x else (sqrt(f * f + 4 * tilt * x) - f) / (2 * tilt) end as position from e"""
+
+REACHED = """r as (select id, id as other from n union select r.id, l.b from r join l on r.other = l.a),
+k as (select id, min(other) as component_id from r group by id)"""
+
+SQL["op6_vectors"] = f"""with recursive n as (select vec_id as id, embedding::double[] as v from embeddings),
+g as (select id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as size from n where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0),
+l as (select x.id as a, y.id as b from g x join g y on x.id <> y.id and len(x.v) = len(y.v) where x.size > 0 and y.size > 0 and list_inner_product(x.v, y.v) / (x.size * y.size) >= 0.9),
+c as (select a as id, count(*) as n_links from l group by a),
+{REACHED} select n.id as vec_id, coalesce(n_links, 0) as n_links, component_id, n.id = component_id as kept from n join k on n.id = k.id left join c on n.id = c.id"""
+
+SQL["op7_minhash"] = f"""with recursive w as materialized (select doc_id as id, coalesce({WORDS.format(f"translate(text, '{UPPER}', '{UPPER.lower()}')")}, []) as w from documents),
+s as materialized (select distinct id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from w),
+n as materialized (select w.id, count(s.id) as n from w left join s on w.id = s.id group by w.id),
+p as (select x.id as a, y.id as b, count(*) as common from s x join s y on x.s = y.s and x.id <> y.id group by all),
+l as materialized (select a, b from p join n x on x.id = a join n y on y.id = b where 100 * common >= 85 * (x.n + y.n - common)),
+{REACHED} select n.id as doc_id, n as n_shingles, component_id, n.id = component_id as kept from n join k on n.id = k.id"""
+
+SQL["op10_mtree"] = """with g as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+select q.vec_id as query_id, cast(row_number() over (partition by q.vec_id order by list_inner_product(q.v, c.v) desc, c.vec_id) as integer) as rank, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+from g q join g c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0 qualify rank <= 5"""

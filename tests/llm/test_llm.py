@@ -246,3 +246,32 @@ def test_pipeline_stages(spark, tmp_path, monkeypatch):
     assert clean.columns == p.COLUMNS and all("grobian" not in (r.text or "") for r in clean.collect())
     out = p.run(spark, str(tmp_path))
     assert out.count() > 0 and "ids_sha256" in out.columns
+
+
+def test_queries_match_sql(spark):
+    import duckdb
+
+    from gradeloom.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.SQL.items():
+        df, rel = queries.Q[name](spark, sf), con.sql(sql)
+        assert sorted(df.columns) == sorted(rel.columns), name
+        at = [rel.columns.index(c) for c in df.columns]
+        assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in at) for r in rel.fetchall()), name
+
+
+def test_mtree_ties_and_large_components(spark):
+    r = np.random.default_rng(8)
+    x = r.integers(-3, 4, (400, 5)).astype(float) / 256  # many equal scores of unequal vectors
+    x[:, 4] *= 2.0**20
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    w = [[int(np.floor(256 * c)) for c in v] for v in x]
+    want = set()
+    for q in range(0, 400, 50):
+        s = {i: sum(a * b for a, b in zip(w[q], w[i])) for i in range(400) if i != q}
+        want |= {(q, k + 1, i, s[i]) for k, i in enumerate(sorted(s, key=lambda i: (-s[i], i))[:5])}
+    assert {(g.query_id, g["rank"], g.vec_id, g.score) for g in got} == want

@@ -42,7 +42,7 @@ def build(ids: np.ndarray, v: np.ndarray) -> list[dict]:
         if len(rows) <= LEAF or (v[rows] == v[rows[0]]).all():
             pages[me] = {"leaf": True, "ids": ids[rows], "at": v[rows], "up": dist}
             return me, radius
-        pick = np.unique(r.choice(len(rows), min(FANOUT, len(rows)), replace=False))
+        pick = np.unique(r.choice(len(rows), min(FANOUT, 2 + len(rows) // LEAF), replace=False))
         d2 = (v[rows] ** 2).sum(1)[:, None] - 2 * v[rows] @ v[rows[pick]].T + (v[rows[pick]] ** 2).sum(1)[None]
         near = d2.argmin(1)
         if (near == near[0]).all():  # hardly told apart: halves of the order by distance
@@ -94,7 +94,7 @@ def search(pages: list[dict], q: np.ndarray, own: int, k: int, most: float) -> l
                 if lo <= reach:
                     heapq.heappush(heap, (lo, n, x))
             continue
-        score = at[:, :-1].astype(whole.dtype) @ whole
+        score = at[:, :-1].astype(whole.dtype, copy=False) @ whole
         for n in np.flatnonzero(score >= best[0][0]) if reach < math.inf else np.lexsort((ids, -score))[: k + 1]:
             x = (int(score[n]), -int(ids[n]))
             if -x[1] == own:

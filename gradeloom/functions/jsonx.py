@@ -64,9 +64,12 @@ def truthy(doc: Column, path: str) -> Column:
     return F.coalesce(~(text.isin("null", "false", '""', "[]", "{}", "0", "0.0") | (kind == "VOID") | zero), F.lit(False))
 
 
+def whole(v: Column) -> Column:
+    """int() of a variant: numbers lose their fraction, texts must be whole numbers; null where neither."""
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    return F.when(kind == "STRING", F.trim(text).try_cast("int")).when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0)).otherwise(text.try_cast("double").cast("int"))
+
+
 def integer(doc: Column, path: str) -> Column:
-    """int() of a value: numbers lose their fraction, texts must be whole numbers; null where neither."""
-    v = F.try_variant_get(F.try_parse_json(doc), path, "variant")
-    kind = F.schema_of_variant(v)
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(kind == "STRING", text.try_cast("int")).when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0)).otherwise(text.try_cast("double").cast("int"))
+    """whole() of a value of a JSON text."""
+    return whole(F.try_variant_get(F.try_parse_json(doc), path, "variant"))

@@ -46,6 +46,18 @@ def running_score(rows: DataFrame, keys: list[str], order: list[str], score: str
     return got.select(*keys, F.col("__r.s").cast("int").alias("score"), F.col("__r.n").alias("observations"))
 
 
+def score_history(rows: DataFrame, keys: list[str], order: str, score: str = "score") -> DataFrame:
+    """keys, order, score, observations after every row. Groups are small, as for running_score()."""
+    last = lambda acc: F.element_at(acc, -1)
+    step = lambda acc, x: F.concat(acc, F.array(F.struct(
+        x[order].alias("at"), F.bround((last(acc)["s"] * last(acc)["n"] + x[score]) / (last(acc)["n"] + 1)).alias("s"), (last(acc)["n"] + 1).alias("n")
+    )))
+    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, score))).alias("__x"))
+    first = F.array(F.struct(F.col("__x")[0][order].alias("at"), F.col("__x")[0][score].cast("double").alias("s"), F.lit(1).cast("int").alias("n")))
+    got = got.select(*keys, F.explode(F.aggregate(F.slice("__x", 2, F.size("__x")), first, step)).alias("__r"))
+    return got.select(*keys, F.col("__r.at").alias(order), F.col("__r.s").cast("int").alias("score"), F.col("__r.n").alias("observations"))
+
+
 def status(score: Column, n: Column) -> Column:
     score, n = F.coalesce(score, F.lit(0)), F.coalesce(n, F.lit(0))
     return (

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx, urls
 from ..functions import text as T
-from ..operators import curriculum, gates, grounding, scoring
-from ..sources import html
+from ..operators import capabilities, curriculum, exams, gates, grounding, scoring
+from ..sources import html, specs
 from . import render
+from .run import run
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -226,3 +227,65 @@ def q_coverage_repair(spark, sf_dir):
     tasks = e.groupBy(F.col("user_id").cast("string").alias("identity_id"), (F.expr("event_id div 10") % 12).cast("int").alias("round_no")).agg(F.min("event_type").alias("task"), F.array_sort(F.collect_set("event_type")).alias("capability_ids"))
     crit = tasks.select("identity_id").distinct().select("identity_id", F.posexplode(F.array(F.lit("click"), F.lit("purchase"))).alias("cap_ord", "cap_id"))
     return curriculum.ensure_coverage(tasks, crit)
+
+
+@query("""with p as (select page_id, url, page_id % 16 as rounds from pages)
+select page_id, cast(rounds as integer) as rounds, 'practitioner' as target, list_filter([case when page_id % 5 = 0 then 'identity and function are required' end, case when rounds not between 6 and 12 then 'rounds must be 6..12' end,
+case when page_id % 7 = 0 then 'zero_cost must be true' end, case when url not like 'https://%' then 'unsafe source URL: ' || url end], lambda x: x is not null) as violations from p""")
+def q_spec_check(spark, sf_dir):
+    p, n = table(spark, sf_dir, "pages"), F.col("page_id")
+    asked = p.select(n.alias("identity_id"), F.col("url").alias("identity"), F.when(n % 5 == 0, " ").otherwise("writer").alias("function"), (n % 16).cast("int").alias("rounds"), F.lit(None).cast("string").alias("target"), (n % 7 != 0).alias("zero_cost"), F.array("url").alias("sources"))
+    return specs.check(asked).select(F.col("identity_id").alias("page_id"), "rounds", "target", "violations")
+
+
+@query("""with w as (select item_id, unnest(string_split(text, ' ')) as w, unnest(range(len(string_split(text, ' ')))) as cap_ord from benchmark),
+s as (select *, nullif(trim(regexp_replace(lower(w), '[^a-z0-9_]+', '_', 'g'), '_'), '') as cap_id from w),
+f as (select * from s where cap_id is not null qualify row_number() over (partition by item_id, cap_id order by cap_ord) = 1)
+select item_id, cast(cap_ord as integer) as cap_ord, cap_id, trim(w) as name, contains(w, 'e') as critical from f qualify row_number() over (partition by item_id order by cap_ord) <= 10""")
+def q_capability_map(spark, sf_dir):
+    said = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("id"), w.alias("name"), w.contains("e").alias("critical")))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("identity_id"), F.to_json(F.struct(said.alias("capabilities"))).alias("object"))
+    return capabilities.core_map(b).select(F.col("identity_id").alias("item_id"), "cap_ord", "cap_id", "name", "critical")
+
+
+def _responses(spark, sf_dir):
+    """Turns as exams of an examiner who finds something to correct in every third."""
+    n = F.length("text")
+    said = F.to_json(F.struct((n % 7 - 1).alias("score"), (n % 11 == 0).alias("critical_failure"), F.when(F.col("turn") % 3 == 0, F.array("text")).otherwise(F.array()).alias("corrections"), F.col("text").alias("durable_lesson"), F.col("text").alias("regression_case"), F.create_map(F.col("role"), n % 6 - 1).alias("capability_updates")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", said.alias("object"))
+
+
+BOUNDED = "case when turn % 3 = 0 then least(3, greatest(0, length(text) % 7 - 1)) else least(4, greatest(0, length(text) % 7 - 1)) end"
+
+
+@query(f"select conv_id, turn, cast({BOUNDED} as integer) as score, {BOUNDED} >= 3 as passed, length(text) % 11 = 0 as critical_failure, cast(least({BOUNDED}, greatest(0, length(text) % 6 - 1)) as integer) as updated from conversations")
+def q_exam_coerce(spark, sf_dir):
+    x = exams.coerce(_responses(spark, sf_dir))
+    return x.select("conv_id", "turn", "score", "passed", "critical_failure", F.element_at("capability_updates", F.col("role")).alias("updated"))
+
+
+@query(f"""with c as (select conv_id, turn, trim(text) as text, {BOUNDED} >= 3 as passed from conversations where trim(text) <> '')
+select conv_id, turn, 'l' as kind, case when length(text) > 500 then substr(text, 1, 500) || chr(10) || '...[truncated]' else text end as lesson from c where passed
+union all select conv_id, turn, 'c', 'CORRECTION: ' || case when length(text) > 450 then substr(text, 1, 450) || chr(10) || '...[truncated]' else text end from c where turn % 3 = 0""")
+def q_lessons(spark, sf_dir):
+    rows = exams.lessons(exams.coerce(_responses(spark, sf_dir)), ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.when(F.col("lesson").startswith(exams.CORRECTION), "c").otherwise("l").alias("kind"), "lesson")
+
+
+@query("""with o as (select user_id, event_type, list(event_id order by event_id) as es, list({'s': cast(cast(floor(value) as bigint) % 5 as double), 'n': cast(1 as bigint)} order by event_id) as xs from events group by all),
+h as (select user_id, event_type, unnest(es) as event_id, unnest(list_transform(range(1, len(xs) + 1), lambda i: list_reduce(xs[1:i], lambda acc, x: {'s': round_even((acc.s * acc.n + x.s) / (acc.n + 1), 0), 'n': acc.n + 1}))) as r from o)
+select event_id, cast(r.s as integer) as score, cast(r.n as integer) as observations from h""")
+def q_score_history(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", (F.floor("value") % 5).cast("int").alias("score"))
+    return scoring.score_history(e, ["user_id", "event_type"], "event_id").select("event_id", "score", "observations")
+
+
+@query()
+def q_replayed_run(spark, sf_dir):
+    c = _responses(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
+    c = c.select(F.col("conv_id").cast("string").alias("identity_id"), F.when(F.col("back") <= 2, "transfer").otherwise("training").alias("phase"), F.col("turn").cast("int").alias("round_no"), "role", "object", (F.col("back") == 1).alias("adversarial"))
+    asked = c.groupBy("identity_id").agg(F.count("*").cast("int").alias("rounds")).select("identity_id", F.lit("talks").alias("function"), F.greatest(F.lit(0), F.col("rounds") - 2).alias("rounds"), F.array().cast("array<string>").alias("violations"))
+    caps = asked.select("identity_id", F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("cap_ord", "cap_id"), F.col("function").alias("description"), F.lit(True).alias("critical"), F.lit("").alias("evidence_url"), F.lit("").alias("evidence_quote"), F.lit(0).alias("score"), F.lit(0).alias("observations"))
+    caps = caps.withColumn("name", F.col("cap_id"))
+    tasks = c.select("identity_id", "phase", "round_no", F.array("role").alias("capability_ids"), "adversarial")
+    return run(asked, caps, tasks, c.select("identity_id", "phase", "round_no", "object"))["artifacts"]

@@ -22,6 +22,35 @@ def snapshot(capabilities: DataFrame) -> DataFrame:
     return rows.select("identity_id", F.to_json(F.transform("c", lambda x: x.dropFields("cap_ord"))).alias("snapshot"))
 
 
+#: Labels of scopes that only a model has proposed.
+SCOPE_STATUS = "MODEL-PROPOSED SCOPE (UNVERIFIED)"
+STATE_NOTE = (
+    "MODEL-PROPOSED SCOPE is UNVERIFIED beyond each exact source anchor. "
+    "SOURCE-VERIFIED CORRECTIONS: none promoted automatically; consult the evidence_quote and evidence_url fields."
+)
+
+
+def evidence_snapshot(capabilities: DataFrame) -> DataFrame:
+    """As snapshot(), with evidence, and descriptions named as scopes that are not verified."""
+    item = F.struct(
+        "cap_ord", F.col("cap_id").alias("id"), "name", F.coalesce("description", F.lit("")).alias("model_proposed_scope"), F.lit(SCOPE_STATUS).alias("scope_status"),
+        F.coalesce("evidence_url", F.lit("")).alias("evidence_url"), F.coalesce("evidence_quote", F.lit("")).alias("evidence_quote"),
+        F.coalesce("critical", F.lit(False)).alias("critical"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("observations", F.lit(0)).alias("observations"),
+    )
+    rows = capabilities.groupBy("identity_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    return rows.select("identity_id", F.to_json(F.transform("c", lambda x: x.dropFields("cap_ord"))).alias("snapshot"))
+
+
+def source_only_state(function: Column, evidence: Column) -> Column:
+    """A student's state that leaves lessons out: evidence and the note on what is not verified."""
+    return truncate(F.concat_ws("\n", F.concat(F.lit("FUNCTION: "), function), F.lit("SOURCE-ANCHORED CAPABILITY EVIDENCE:"), evidence, F.lit(STATE_NOTE)), STATE_CHARS)
+
+
+def sections(**parts: Column) -> Column:
+    """A prompt: a labelled section for each part that is not null, in order."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k.upper().replace('_', ' ')}:\n"), v) for k, v in parts.items()])
+
+
 def regression_set(cases: DataFrame) -> DataFrame:
     """The last 20 cases of each identity, then without blanks, labelled as unverified."""
     last = tail(cases, ["identity_id"], "ord", 20).where(F.trim("case") != "")

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import jsonx, urls
 from gradeloom.functions import text as T
-from gradeloom.operators import curriculum, gates, grounding, scoring
+from gradeloom.operators import capabilities, curriculum, exams, gates, grounding, scoring
 from gradeloom.plans import render, responder
-from gradeloom.sources import html
+from gradeloom.plans.run import run
+from gradeloom.sources import html, specs
 
 
 def values(spark, data, expr):
@@ -137,6 +138,66 @@ def test_replay(spark):
     assert got["u1"].object == '{"a": 1}' and got["u2"].error == "no response"
 
 
+def test_specs(spark):
+    ok = ["https://example.com/a "]
+    rows = [("a", " A ", "f", None, None, None, ok), ("b", " ", "f", 13, "t", False, ["http://x.org"]), ("c", "C", "f", 6, "t", True, []), ("d", "D", "f", 12, "t", True, None), ("e", "E", "f", 5, "t", True, ok * 13)]
+    df = spark.createDataFrame(rows, "identity_id string, identity string, function string, rounds int, target string, zero_cost boolean, sources array<string>")
+    got = {r.identity_id: r for r in specs.check(df).collect()}
+    assert (got["a"].identity, got["a"].rounds, got["a"].target, got["a"].sources, got["a"].violations) == ("A", 10, "practitioner", ["https://example.com/a"], [])
+    assert {k: len(r.violations) for k, r in got.items()} == {"a": 0, "b": 4, "c": 1, "d": 1, "e": 2}
+    b = spark.createDataFrame([(bytearray("aé".encode()),)], "b binary").select(specs.cut_bytes(F.col("b"), 1)).first()[0]
+    assert b == "a"
+
+
+def test_capability_maps(spark):
+    said = '{"capabilities": [3, {"id": "A b"}, {"id": "a-B", "name": "x"}, {"id": "?!"}, {"name": "n"}, {"id": "c", "name": " C ", "critical": "false"}]}'
+    df = spark.createDataFrame([("i", said), ("j", "[]"), ("k", '{"capabilities": 1}')], "identity_id string, object string")
+    got = sorted(capabilities.parse(df).collect(), key=lambda r: r.cap_ord)
+    assert [(r.identity_id, r.cap_id, r.name, r.critical) for r in got] == [("i", "a_b", "a_b", False), ("i", "c", "C", True)]
+    assert {r.error for r in capabilities.core_map(df).collect()} == {"too few usable capabilities"}
+    quote = "security policies protect tables"
+    items = ", ".join(f'{{"id": "c{k}", "name": "security policies", "description": "protect tables", "critical": true, "evidence_url": "u", "evidence_quote": "{quote if k != 1 else "of something else entirely"}"}}' for k in range(9))
+    blocks = spark.createDataFrame([("i", "u", 0, quote + " well")], "identity_id string, url string, source_ord int, text string")
+    got = capabilities.grounded_map(spark.createDataFrame([("i", f'{{"capabilities": [{items}]}}')], "identity_id string, object string"), blocks)
+    assert [(r.cap_id, r.critical) for r in sorted(got.collect(), key=lambda r: r.cap_ord)] == [("c0", True), ("c2", True), ("c3", True), ("c4", False), ("c5", False), ("c6", False)]
+
+
+def test_exam_coercion(spark):
+    texts = ['{"score": 9}', '{"score": "3", "passed": "false"}', '{"score": "3.5"}', '{"score": 4, "corrections": ["", "y"], "capability_updates": {"a": 4, "b": "2", "c": "x", "d": -1}}', '{"score": -1, "corrections": "no", "capability_updates": []}', "none", '{"score": 4, "passed": false}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, object string")
+    got = sorted(exams.coerce(df).collect(), key=lambda r: r.i)
+    assert [(r.score, r.passed, r.error) for r in got] == [(4, True, None), (3, True, None), (0, False, "invalid score"), (3, True, None), (0, False, None), (0, False, "no object"), (4, False, None)]
+    assert got[3].capability_updates == {"a": 3, "b": 2, "d": 0} and got[3].corrections == ["", "y"] and got[4].corrections == []
+    core = sorted(exams.coerce(df, conservative=False).collect(), key=lambda r: r.i)
+    assert core[3].score == 4 and core[3].capability_updates == {"a": 4, "b": 2, "c": None, "d": -1}
+    x = spark.createDataFrame([(1, True, "l" * 501, ["", " c "]), (2, False, "l", [])], "i int, passed boolean, durable_lesson string, corrections array<string>")
+    assert [(r.i, r.sub, r.lesson) for r in sorted(exams.lessons(x, ["i"]).collect())] == [(1, 0, "l" * 500 + T.CUT_MARK), (1, 1, "CORRECTION: c")]
+
+
+def test_score_history_ends_in_the_running_score(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(k, i, r.randint(0, 4)) for k in range(9) for i in range(14)], "k int, i int, score int")
+    last = {x.k: (x.score, x.observations) for x in scoring.score_history(df, ["k"], "i").where("i = 13").collect()}
+    assert last == {x.k: (x.score, x.observations) for x in scoring.running_score(df, ["k"], ["i"]).collect()}
+
+
+def test_replayed_run(spark):
+    spec = spark.createDataFrame([("i", "f", 2, []), ("bad", "f", 2, ["x"])], "identity_id string, function string, rounds int, violations array<string>")
+    caps = spark.createDataFrame([("i", 0, "a", "A", "does a", True, "u", "q"), ("bad", 0, "a", "A", "", True, "u", "q")], "identity_id string, cap_ord int, cap_id string, name string, description string, critical boolean, evidence_url string, evidence_quote string")
+    at = [("training", 1), ("training", 2), ("transfer", 1), ("transfer", 2)]
+    tasks = spark.createDataFrame([(i, p, n, ["a"], (p, n) == at[3]) for i in ("i", "bad") for p, n in at], "identity_id string, phase string, round_no int, capability_ids array<string>, adversarial boolean")
+    said = ['{"score": 2, "regression_case": "r1"}', '{"score": 4, "durable_lesson": "l", "capability_updates": {"a": 3, "zz": 1}}', '{"score": 3}', '{"score": 4}']
+    responses = spark.createDataFrame([("i", p, n, s) for (p, n), s in zip(at, said)], "identity_id string, phase string, round_no int, object string")
+    got = run(spec, caps, tasks, responses)
+    (cap,) = got["capabilities"].collect()
+    assert (cap.score, cap.observations, cap.status) == (2, 4, "WEAK_OR_FAILED")  # 2, then 2.5 -> 2, 2.33 -> 2, 2.5 -> 2
+    assert [(r.identity_id, r.outcome) for r in got["qualification"].collect()] == [("i", "FAIL")]
+    assert [r.lesson for r in got["lessons"].collect()] == ["l"] and [r.case for r in got["regressions"].collect()] == ["r1"]
+    (state,) = got["states"].collect()
+    assert "MODEL-PROPOSED SCOPE (UNVERIFIED)" in state.state and state.state.startswith("FUNCTION: f\n")
+    assert sorted(r.name for r in got["artifacts"].collect()) == ["CAPABILITIES.json", "CAPSULE.md", "QUALIFICATION.json", "REGRESSION_SET.json"]
+
+
 def test_entry_queries_match_sql(spark):
     import duckdb
 

@@ -6,8 +6,10 @@ quotient <q, signs> / factor estimates the cosine without bias, with an error of
 sqrt(1 / factor^2 - 1) / sqrt(d - 1). Pairs whose estimate plus ``SURE`` such errors stays below the threshold
 are dropped; all others are computed again exactly, in double precision.
 
-Candidates share the bits of a band. The number of bits follows the size of the table, that of bands from the
-bits, such that a pair at the threshold is missed in all bands with a probability of at most ``MISS``. A bucket is
+Candidates share the bits of a band: the sides of hyperplanes that are drawn afresh, by normal coordinates, for every
+bit of every band, so that bits and bands are independent whatever the length of the vectors. The number of bits follows
+the size of the table, that of bands from the bits, such that a pair at the threshold is missed in all bands with a
+probability of at most ``MISS``, for tables and vectors of any size. A bucket is
 compared in pairs of blocks of ``BLOCK`` vectors; a pair is counted in the first band that it shares. Blocks
 give each vector's number of links, and as many links as join its components: no list of all pairs exists.
 
@@ -39,9 +41,9 @@ def rotations(d: int) -> np.ndarray:
 
 
 @lru_cache(8)
-def choices(d: int, bits: int, bands: int) -> np.ndarray:
-    r = np.random.default_rng(65)
-    return np.stack([r.choice(ROTATIONS * d, min(bits, ROTATIONS * d), replace=False) for _ in range(bands)])
+def directions(d: int, bits: int, bands: int) -> np.ndarray:
+    # few coordinates have few places, and a draw that misses one misses a good part of all pairs: twice the bands
+    return np.random.default_rng(65).standard_normal((d, bands * (2 if d < 8 else 1) * bits))
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
@@ -63,9 +65,10 @@ def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (y > 0).reshape(len(x), -1), np.abs(y).sum(2) / math.sqrt(x.shape[1])
 
 
-def band_values(code: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(n, bands) integers of the chosen bits."""
-    return np.stack([code[:, b] @ (1 << np.arange(at.shape[1], dtype=np.int64)) for b in at], 1)
+def band_values(x: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """(n, bands) integers of the bits of each band."""
+    side = (x @ directions(x.shape[1], bits, bands) > 0).reshape(len(x), -1, bits)
+    return side @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -87,24 +90,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     classes = stored(classes, "classes")
     reps = some.join(classes.select(F.col("id").alias("vec_id"), "copies"), "vec_id").dropDuplicates(["vec_id"])
     bits, bands = plan(classes.count(), threshold)
+    small = np.dtype("<u2" if bits <= 16 else "<u4" if bits <= 32 else "<u8")
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column("d").to_numpy()
             for d in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == d))
-                code, factor = encode(unit(matrix(part.column("embedding"), int(d))))
-                values = band_values(code, choices(int(d), bits, bands))
+                x = unit(matrix(part.column("embedding"), int(d)))
+                code, factor = encode(x)
+                values = band_values(x, bits, bands)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("vec_id"), part.column("d"), part.column("copies"), part.column("embedding").cast(pa.list_(pa.float64())),
                         pa.array([x.tobytes() for x in np.packbits(code, 1)], pa.binary()), pa.array(list(factor), pa.list_(pa.float64())),
-                        pa.array(list(values), pa.list_(pa.int64())),
+                        pa.array(list(values), pa.list_(pa.int64())), pa.array([x.tobytes() for x in values.astype(small)], pa.binary()),
                     ],
-                    ["id", "d", "copies", "vector", "code", "factor", "values"],
+                    ["id", "d", "copies", "vector", "code", "factor", "values", "bands"],
                 )
 
-    coded = stored(reps.mapInArrow(codes, "id long, d int, copies long, vector array<double>, code binary, factor array<double>, values array<long>"), "codes")
+    coded = stored(reps.mapInArrow(codes, "id long, d int, copies long, vector array<double>, code binary, factor array<double>, values array<long>, bands binary"), "codes")
     member = coded.select("id", "d", F.posexplode("values").alias("band", "value"))
     buckets = stored(member.groupBy("d", "band", "value").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     member = member.join(buckets, ["d", "band", "value"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
@@ -112,7 +117,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     member = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     key = F.xxhash64("d", "band", "value", F.least("own", "other"), F.greatest("own", "other"))
     member = member.select("id", "band", key.alias("key"), (F.col("own") > F.col("other")).alias("right"), (F.col("own") == F.col("other")).alias("alone"))
-    rows = member.join(coded.drop("values"), "id").select("key", "id", "band", "right", "alone", "d", "copies", "vector", "code", "factor")
+    rows = member.join(coded.drop("values"), "id").select("key", "id", "band", "right", "alone", "d", "copies", "vector", "code", "factor", "bands")
 
     def of(t: pa.Table) -> list[np.ndarray]:
         d, band = t.column("d")[0].as_py(), t.column("band")[0].as_py()
@@ -138,8 +143,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         exact = np.concatenate([(x[a[k : k + 65536]] * x[b[k : k + 65536]]).sum(1) for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
         a, b = a[exact >= threshold], b[exact >= threshold]
         if band and len(a):  # counted in an earlier band?
-            at = choices(d, bits, bands)[:band]
-            values = band_values(code, at)
+            values = np.frombuffer(b"".join(t.column("bands").to_pylist()), small).reshape(len(ids), -1)[:, :band]
             fresh = np.concatenate([~(values[a[k : k + 65536]] == values[b[k : k + 65536]]).any(1) for k in range(0, len(a), 65536)])
             a, b = a[fresh], b[fresh]
         links = np.zeros(len(ids), np.int64)

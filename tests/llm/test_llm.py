@@ -275,3 +275,23 @@ def test_mtree_ties_and_large_components(spark):
         s = {i: sum(a * b for a, b in zip(w[q], w[i])) for i in range(400) if i != q}
         want |= {(q, k + 1, i, s[i]) for k, i in enumerate(sorted(s, key=lambda i: (-s[i], i))[:5])}
     assert {(g.query_id, g["rank"], g.vec_id, g.score) for g in got} == want
+
+
+@pytest.mark.parametrize("d", [4, 8])
+def test_short_vectors_keep_their_links(spark, d):
+    x = np.random.default_rng(9).standard_normal((1200, d))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {q.vec_id: q.n_links for q in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.997 * want.sum()
+
+
+@pytest.mark.parametrize("d", [2, 8, 64])
+def test_bands_miss_no_more_than_stated(d):
+    bits, bands = vectors.plan(3_000_000, 0.9)
+    r = np.random.default_rng(10)
+    x, y = (vectors.unit(r.standard_normal((4000, d))) for _ in range(2))
+    y = vectors.unit(y - (x * y).sum(1)[:, None] * x)
+    a, b = (vectors.band_values(v, bits, bands) for v in (x, 0.9 * x + np.sqrt(0.19) * y))
+    assert (a != b).all(1).mean() < 0.008

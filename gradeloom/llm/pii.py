@@ -5,7 +5,7 @@ The field reads windows about digits, ``@`` and spelt-out addresses. A segment o
 scored as a whole (its groups of digits, separators, check sum, address form, the word before it), single
 tokens outside entities score 0, and the dynamic programme over ends of segments chooses boundaries and kinds
 jointly. It is trained here, by gradient steps on the conditional likelihood over a fixed, generated sample of
-``SENTENCES`` sentences. Its spans are added where they touch no base span; base spans stay.
+``SENTENCES`` sentences, and as many of addresses with plain dots. Its spans are added where they touch no base span; base spans stay.
 
 Cases: null and empty texts have no spans; texts are read whole; positions count code points; repeated rows
 are searched each; an empty table gives an empty result; other columns pass through ``annotate``.
@@ -81,10 +81,11 @@ def by_start(span: Span) -> tuple[int, int, int]:
 # ---------------------------------------------------------------------------------------------- the field
 
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|[^\W_]")
-#: Where a window is opened; its context is CONTEXT tokens on either side.
-OPENER = re.compile(r"\(?[0-9][0-9\x20().-]{5,40}[0-9]|[\w.+-]{1,64}\s?(?:@|[(\[]at[)\]]|\sat\s)\s?[\w.-]{1,64}?\s?(?:[(\[]dot[)\]]|\sdot\s)\s?\w{2,24}")
+#: Windows are opened at long numbers, spelt dots, and at an @ or (at), [at], " at " before a dotted name.
 SPELT = re.compile(r"[(\[]dot[)\]]|\sdot\s")
 LONG_NUMBER = re.compile(r"[0-9][0-9\x20().-]{5,}[0-9]")
+DOTTED = re.compile(r"(?:[(\[]at[)\]]|\sat\s|@)\s?[\w-]+\.[\w-]+")
+ADDRESS = re.compile(r"[\w.+-]+\s?([(\[]at[)\]]|\sat\s|@)\s?[\w-]+(?:\.[\w-]+)+")
 CONTEXT = 3
 CUES = {"phone": {"phone", "tel", "telephone", "call", "mobile", "fax", "whatsapp"}, "card": {"card", "visa", "credit", "mastercard", "payment"}, "email": {"email", "mail", "contact", "write", "reach"}, "ip": {"ip", "host", "server", "address"}}
 
@@ -97,10 +98,9 @@ def tokens(text: str, start: int, end: int) -> list[Token]:
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """Stretches of text that may hold an entity, with context; overlapping ones are joined."""
-    found = [m.span() for m in LONG_NUMBER.finditer(text) if sum(c.isdigit() for c in m[0][:60]) >= 7]
-    if SPELT.search(text):
-        for m in SPELT.finditer(text):
-            found.append((max(0, m.start() - 60), min(len(text), m.end() + 30)))
+    found = [m.span() for m in LONG_NUMBER.finditer(text) if len(DIGITS.sub("", m[0])) >= 7]
+    for opener in (SPELT, DOTTED):
+        found += [(max(0, m.start() - 60), min(len(text), m.end() + 30)) for m in opener.finditer(text)]
     last: tuple[int, int] | None = None
     for a, b in sorted(found):
         a, b = max(0, a - 30), min(len(text), b + 20)
@@ -123,14 +123,19 @@ def segment_features(toks: list[Token], i: int, j: int, text: str) -> tuple[str,
         return None
     digits = DIGITS.sub("", s)
     spelt = bool(SPELT.search(s))
-    if not spelt and (len(digits) < 7 or any(c.isalpha() for c in s)):
+    dotted = None if spelt else ADDRESS.fullmatch(s)
+    if not spelt and not dotted and (len(digits) < 7 or any(c.isalpha() for c in s)):
         return None
     if (first[0] and text[first[0] - 1].isalnum()) or (last[1] < len(text) and text[last[1]].isalnum()):
         return None
     before = next((t[2].lower() for t in reversed(toks[max(0, i - CONTEXT) : i]) if t[2].isalpha()), "")
     out = ["1", f"spelt{spelt}", f"len{min(j - i, 9)}"]
     out += [f"cue-{k}" for k, words in CUES.items() if before in words]
-    if spelt:
+    if dotted:
+        mark = dotted[1].strip()
+        out += [f"dotted{mark.strip('()[]')}", f"dotted-tail{2 <= len(last[2]) <= 6 and last[2].isalpha()}", f"dotted-cue{mark == 'at'}{before in CUES['email']}"]
+        out.append(f"dotted-edge{bool(re.match(r'[.-]?\w', text[last[1] : last[1] + 2]) or re.search(r'\w[.+-]$', text[max(0, first[0] - 2) : first[0]]))}")
+    elif spelt:
         at = bool(re.search(r"[(\[]at[)\]]|\sat\s|@", s))
         out += [f"at{at}", f"tail{2 <= len(last[2]) <= 6 and last[2].isalpha()}", f"gaps{min(len(s.split()), 8)}", f"begin{s.split()[0].isalnum() and len(s.split()) > 1}"]
         out.append("form" if re.fullmatch(r"[\w.+-]+\s?(?:@|[(\[]at[)\]]|\sat\s)\s?[\w-]+(?:\s?(?:\.|[(\[]dot[)\]]|\sdot\s)\s?[\w-]+)+", s) else "no-form")
@@ -217,6 +222,22 @@ class Field:
             self.w[key] += rate * (d - 0.002 * self.w[key])
 
 
+def dotted_sentences(n: int = SENTENCES, seed: int = 8) -> Iterator[tuple[str, set[Span]]]:
+    """More of them: addresses with plain dots. A bare "at" is taken as one after a word such as "mail" only."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abdeghilmnorstu") for _ in range(r.randint(2, 8)))
+    for _ in range(n):
+        text, gold = " ".join(word() for _ in range(r.randint(1, 4))) + " ", set()
+        at = r.choice((" (at) ", "(at)", " [at] ", "[at]", " @ ", "@ ", " @", " at ", " at ", " at "))
+        name = word() + r.choice(("", ".", "-")) + word() + at + r.choice(("", word() + ".")) + word() + "." + r.choice(("com", "org", "net", "de"))
+        cue = r.random() < (0.5 if at == " at " else 0.3)
+        if cue:
+            text += r.choice(sorted(CUES["email"])) + r.choice((" ", ": "))
+        if cue or at != " at ":
+            gold.add(("email", len(text), len(text) + len(name)))
+        yield text + name + r.choice((" ", ". ", ", ")) + word(), gold
+
+
 def sentences(n: int = SENTENCES, seed: int = 7) -> Iterator[tuple[str, set[Span]]]:
     """Generated training sentences with their entities."""
     r = random.Random(seed)
@@ -263,7 +284,7 @@ def sentences(n: int = SENTENCES, seed: int = 7) -> Iterator[tuple[str, set[Span
 
 @lru_cache(1)
 def trained() -> dict[tuple[str, str], float]:
-    field, data = Field(), list(sentences())
+    field, data = Field(), [x for two in zip(sentences(), dotted_sentences()) for x in two]
     for epoch in range(6):
         for text, gold in data:
             field.step(text, gold, 0.3 / (1 + epoch))

@@ -295,3 +295,18 @@ def test_bands_miss_no_more_than_stated(d):
     y = vectors.unit(y - (x * y).sum(1)[:, None] * x)
     a, b = (vectors.band_values(v, bits, bands) for v in (x, 0.9 * x + np.sqrt(0.19) * y))
     assert (a != b).all(1).mean() < 0.008
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Room 4 " + "." * 70 + " 555-123-4567 x", [("phone", "555-123-4567")]),
+    ("call 3" + " " * 80 + "(555) 123-4567 now", [("phone", "(555) 123-4567")]),
+    ("1" + " -" * 40 + " 555-123-4567", [("phone", "555-123-4567")]),
+    ("write to joe (at) example.com now", [("email", "joe (at) example.com")]),
+    ("it was joe[at]mail.example.org, then", [("email", "joe[at]mail.example.org")]),
+    ("ask joe @ example.com please", [("email", "joe @ example.com")]),
+    ("mail joe at example.com today", [("email", "joe at example.com")]),
+    ("we looked at example.com today", []),
+    ("a@b.com", [("email", "a@b.com")]),
+])
+def test_pii_windows(text, want):
+    assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, pii.Field(pii.trained()))[1]] == want

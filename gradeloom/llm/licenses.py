@@ -5,7 +5,9 @@ of their positions is kept, and the gaps between anchors are aligned in the same
 common words the equal words at its ends are matched. Coverage is the matched share of the template's words,
 within the window of the text that the alignment spans; a template is found from ``COVER`` on, if its
 longest dense stretch is no longer than twice the template. The window search starts at each occurrence of the
-template's rarest words, so texts are read whole and each occurrence counts.
+template's rarest words, so texts are read whole and each occurrence counts. There are so many of these words that
+a find without any of them would miss more words than ``COVER`` allows; texts and windows without enough of a template's
+words are left out before the alignment, which couldn't match more.
 
 Cases: null and empty texts have no license; several occurrences and several templates give a row each in
 Scanner, of overlapping ones the closest; ``best`` gives the best by coverage, then length, then place; repeated rows are scanned each; an empty
@@ -94,31 +96,51 @@ def align(a: list[str], b: list[str], a0: int = 0, b0: int = 0) -> list[tuple[in
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
-        self.templates = {k: words(t)[0] for k, t in sorted(templates.items())}
+        self.templates = {k: w for k, t in sorted(templates.items()) if (w := words(t)[0])}
         df = Counter(w for t in self.templates.values() for w in set(t))
-        # the words whose absence rules a find out: the longest, and rarest among the templates
-        self.keys = {k: sorted(set(t), key=lambda w: (df[w], -len(w), w))[: max(1, int(len(set(t)) * (1 - COVER)) + 1)] for k, t in self.templates.items()}
-        self.gate = re.compile("|".join(sorted({re.escape(w) for ks in self.keys.values() for w in ks})))
+        #: Words that a find may miss, by the very comparison that accepts it.
+        self.spare = {k: max(m for m in range(len(t) + 1) if (len(t) - m) / len(t) >= COVER) for k, t in self.templates.items()}
+        self.counts = {k: sorted(Counter(t).items(), key=lambda x: (df[x[0]], -len(x[0]), x[0])) for k, t in self.templates.items()}
+        self.keys = {}
+        for k, counts in self.counts.items():  # rarest first, until a find can't miss them all
+            total, keys = 0, self.keys.setdefault(k, {})
+            for w, n in counts:
+                if total <= self.spare[k]:
+                    keys[w] = [j for j, x in enumerate(self.templates[k]) if x == w]
+                total += n
+
+    def open(self, name: str, has) -> bool:
+        """Whether the words that are there can make a find; has gives a word's count, or whether it is there."""
+        left = self.spare[name]
+        for w, n in self.counts[name]:
+            there = has(w)
+            if there is not True and there < n and (left := left - n + there) < 0:
+                return False
+        return True
 
     def __call__(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end in code points) of every find."""
-        if not self.gate.search(text.lower()):
+        low = text.lower()
+        names = [name for name in self.templates if self.open(name, low.__contains__)]
+        if not names:
             return []
         toks, at = words(text)
         where: dict[str, list[int]] = {}
-        wanted = {w for ks in self.keys.values() for w in ks}
+        wanted = {w for name in names for w in self.keys[name]}
         for i, w in enumerate(toks):
             if w in wanted:
                 where.setdefault(w, []).append(i)
         out = []
-        for name, t in self.templates.items():
-            first = {w: j for j, w in reversed(list(enumerate(t)))}
-            starts = sorted({i - first[w] for w in self.keys[name] for i in where.get(w, ())})
+        for name in names:
+            t = self.templates[name]
+            starts = sorted({i - j for w, places in self.keys[name].items() for i in where.get(w, ()) for j in places})
             done = -1
             for s in starts:
                 if s + len(t) <= done:
                     continue
                 lo, hi = max(0, s - len(t) // 2, done), min(len(toks), s + len(t) + len(t) // 2 + 1)
+                if not self.open(name, Counter(toks[lo:hi]).__getitem__):
+                    continue
                 match = align(toks[lo:hi], t, lo)
                 cover = len(match) / len(t)
                 if cover >= COVER and match[-1][0] - match[0][0] < 2 * len(t):

@@ -310,3 +310,26 @@ def test_bands_miss_no_more_than_stated(d):
 ])
 def test_pii_windows(text, want):
     assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, pii.Field(pii.trained()))[1]] == want
+
+
+class Ungated(licenses.Scanner):
+    """Windows at every word of a template, all aligned."""
+
+    def __init__(self, templates):
+        super().__init__(templates)
+        self.keys = {k: {w: [j for j, x in enumerate(t) if x == w] for w in t} for k, t in self.templates.items()}
+
+    def open(self, name, has):
+        return True
+
+
+def test_license_gate():
+    s, every, r = licenses.Scanner(licenses.TEMPLATES), Ungated(licenses.TEMPLATES), random.Random(4)
+    assert [f[:2] for f in s("This is licensed under the MIT License.")] == [("MIT", 0.8)]
+    for name, t in s.templates.items():
+        df = Counter(w for x in s.templates.values() for w in set(x))
+        spare = max(m for m in range(len(t)) if (len(t) - m) / len(t) >= licenses.COVER)
+        rare = sorted(range(len(t)), key=lambda j: (df[t[j]], -len(t[j]), t[j]))[:spare]
+        for gone in [rare] + [r.sample(range(len(t)), spare) for _ in range(12)]:
+            text = " ".join(["before"] * 5 + ["other" if j in gone else w for j, w in enumerate(t)] + ["after"] * 5)
+            assert sorted({f[0] for f in s(text)}) == sorted({f[0] for f in every(text)}), (name, text)

@@ -1,7 +1,8 @@
 """The corpus pipeline: documents -> toxicity -> near-duplicates -> personal data -> mixing -> BPE.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents. run() writes each
-stage's rows as Parquet into the shared folder and reads them back as the next one's docs.
+stage's rows as Parquet into the shared folder and reads them back as the next one's docs. Rows with a null doc_id
+and such with a doc_id that others have too are rows like all others; no stage joins by doc_id what it returns.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import bpe, minhash, mixing, pii, toxicity
-from gradeloom.llm.shared import stored
+from gradeloom.llm.shared import SPACE, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,10 +23,23 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, model).where("score < 0.5").select(COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written, so that it stays the same: doc_id may be null or repeated."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "keyed")
+
+
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(COLUMNS).join(stored(kept, "kept").hint("merge"), "doc_id", "left_semi")
+    """The document of least doc_id of each group, a null one after all others; of repeated rows one.
+    Texts without words are in no group: of such rows, those that are equal in all columns count as one.
+    """
+    docs = keyed(docs)
+    groups = minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    some = F.coalesce(F.col("text").rlike(f"[^{SPACE}]"), F.lit(False))
+    ids = docs.select("row", "doc_id", F.when(~some, F.to_json(F.struct(*COLUMNS))).alias("same"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+    kept = ids.join(groups.hint("merge"), "row").groupBy("group", "same").agg(first.alias("row")).select("row")
+    return docs.join(stored(kept, "kept").hint("merge"), "row", "left_semi").select(COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +49,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each whole copy that the mix takes."""
-    taken = mixing.mix(docs, whole=True).where("copies > 0").select("doc_id", "copies")
-    docs = docs.select(COLUMNS).join(stored(taken, "taken").hint("merge"), "doc_id")
+    docs = keyed(docs)
+    taken = mixing.mix(docs, whole=True, keep=("row",)).where("copies > 0").select("row", "copies")
+    docs = docs.join(stored(taken, "taken").hint("merge"), "row")
     return docs.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 

@@ -56,18 +56,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = 3) -> Dat
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = 3, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = 3, whole: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: size, source_size, target, taken, copies, position; sorted by position.
 
     A source is read in the order of the MD5 of its documents, again from the start when it is through, until its target is
     met. ``taken`` counts words, repeats included; the copy that meets the target is cut there, or with
     ``whole`` taken if the greater part of it fits. ``copies`` counts whole and cut copies. ``position`` is the
-    time of the first copy in [0, 1]; documents that are not taken follow after 1.
+    time of the first copy in [0, 1]; documents that are not taken follow after 1. Columns of ``keep`` stay.
     """
     prepare(docs.sparkSession)
     rows = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
-        F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))), 1, 16).alias("mark"),
+        F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))), 1, 16).alias("mark"), *keep,
     ).withColumn("bucket", F.substring("mark", 1, PREFIX))
     rows = stored(rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix")
 
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = 3, whole: bool
     parts = parts.select("key", "bucket", F.coalesce(F.sum("part").over(start), F.lit(0)).alias("part_start"))
     parts = stored(parts.join(goal.drop("source"), "key"), "mix-parts")
 
-    inside = Window.partitionBy("key", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "bucket").orderBy("mark", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(parts, ["key", "bucket"]).withColumn(
         "begin", F.col("part_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     )
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = 3, whole: bool
         1 + F.coalesce(F.try_divide("begin", "source_size"), F.lit(0.0))
     ))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(
-        "doc_id", "size", "source_size", "target", "taken", "copies", "position", "begin", "quota", "tilt", "mark"
+        "doc_id", "size", "source_size", "target", "taken", "copies", "position", "begin", "quota", "tilt", "mark", *keep
     )
 
 

@@ -333,3 +333,28 @@ def test_license_gate():
         for gone in [rare] + [r.sample(range(len(t)), spare) for _ in range(12)]:
             text = " ".join(["before"] * 5 + ["other" if j in gone else w for j, w in enumerate(t)] + ["after"] * 5)
             assert sorted({f[0] for f in s(text)}) == sorted({f[0] for f in every(text)}), (name, text)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_keeps_rows_apart(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(12)
+    prose = lambda: " ".join(r.choice(WORDS) + str(r.randrange(400)) for _ in range(60))
+    texts = [prose() for _ in range(14)]
+    rows = [(i, texts[i], "en", "ab"[i % 2], i) for i in range(8)]
+    rows += [(None, texts[8], "en", "a", 0), (None, texts[9], "en", "b", 0), (None, texts[0], "en", "a", 0)]  # the last is a copy of 0
+    rows += [(20, texts[10], "en", "a", 0)] * 3 + [(21, texts[11], "en", "b", 0), (21, texts[12], "en", "b", 0)] + [(22, "", "en", "a", 0)] * 2 + [(23, None, "en", "a", 0), (24, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    clean = p.remove_near_duplicates(spark, docs, "")
+    assert Counter(map(tuple, clean.collect())) == Counter(set(rows) - {(None, texts[0], "en", "a", 0)})
+    taken = Counter()
+    for x in mixing.mix(docs, whole=True).collect():
+        taken[x.doc_id, x.size] += x.copies
+    size = lambda t: len((t or "").split())
+    mixed = p.mix_sources(spark, docs, "").collect()
+    assert Counter((x.doc_id, size(x.text)) for x in mixed) == +taken
+    copies, least = Counter(map(tuple, mixed)), Counter(rows)
+    assert all(copies[k] <= 3 * least[k] for k in copies) and any(k[0] is None for k in copies)

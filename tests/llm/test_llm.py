@@ -358,3 +358,12 @@ def test_pipeline_keeps_rows_apart(spark):
     assert Counter((x.doc_id, size(x.text)) for x in mixed) == +taken
     copies, least = Counter(map(tuple, mixed)), Counter(rows)
     assert all(copies[k] <= 3 * least[k] for k in copies) and any(k[0] is None for k in copies)
+
+
+def test_pipeline_removes_near_copies_from_80_percent(spark):
+    import corpus_pipeline as p
+
+    w = [f"w{k}" for k in range(54)]  # 50 shingles; a changed end of 5 words leaves 45 of 55, of 6 words 44 of 56
+    rows = [(0, " ".join(w), "en", "a", 1), (1, " ".join(w[:49] + [f"x{k}" for k in range(5)]), "en", "a", 1), (2, " ".join(w[:48] + [f"y{k}" for k in range(6)]), "en", "a", 1)]
+    got = p.remove_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2]

@@ -4,17 +4,22 @@ Every byte covered by a string of ``WINDOW`` bytes that starts anywhere else too
 one suffix array; it is cut as follows, which loses no repeat:
 1. In each window the ``GRAM``-byte string of least hash is its anchor (all of them in a tie). Equal windows have equal
    anchors at equal offsets. An anchor's context is what windows with this anchor can cover.
-2. Anchors that occur once are out. Contexts that are equal as a whole are removed as a whole.
-3. The different contexts of an anchor are aligned at it, for ``TOGETHER`` starts at a time. Columns at which none of them parts from another are
-   merged into one symbol, the contexts are concatenated with unique separators, and the suffix array with its
-   common prefixes tells for each start how far any other context goes along: from 400 bytes on, it repeats.
-4. Anchors with more than ``MOST`` different contexts don't go to a task. For intervals of starts, halved and
-   halved again where needed, hashes of what all windows of the interval share, and of what they cover, are
-   counted by aggregation: nothing shared with another context, no repeat; all covered equal, all repeat.
+2. Windows that start up to ``HALF`` - 1 bytes before their anchor share the ``WINDOW - HALF + 1`` bytes from the anchor on; the
+   others share ``HALF`` bytes before it and the anchor. Contexts that share neither string with any other are out.
+   Contexts that are equal as a whole are removed as a whole, one of them stays as a partner.
+3. What is left is cut into cells: for each ``TOGETHER`` starts, the core that all their windows cover (as a hash) and
+   the bytes on both sides that some cover. Cells that are equal as a whole are removed as a whole, cells with a core
+   of their own are out.
+4. The different cells of a core are one group. Groups of more than ``BOUND`` cells are split: each cell into a
+   cell for every few of its starts, with longer cores, until they fit; a single start's cells are equal or apart. So a
+   group's size is bounded however often a passage occurs, and a row is cut at most three times.
+5. The cells of a group are aligned at the core. Columns at which none of them parts from another are merged into one
+   symbol, the cells are concatenated with unique separators, and the suffix array with its common prefixes tells
+   for each start how far any other cell goes along: from a window on, it repeats.
 
 Cases: null text counts as empty; texts under 400 bytes can't repeat; any length is read whole; equal rows repeat each
-other; runs of one byte have an anchor at every byte; rows with one doc_id should have one text; a null doc_id is
-told by its text; an empty table gives an empty result; columns other than doc_id and text are not looked at.
+other; runs of one byte have an anchor at every byte; rows are told apart by doc_id and text, so a doc_id may be null or
+have several texts; an empty table gives an empty result; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -34,11 +39,13 @@ from .gsaca import common_prefixes, suffix_array
 from .minhash import mix64
 from .shared import maybe_in, prepare, stored, with_maybe
 
-WINDOW, GRAM, MOST = 400, 32, 2048
+WINDOW, GRAM = 400, 32
 REACH = WINDOW - GRAM  # bytes before an anchor that its windows can cover
-#: Starts that are looked at together in step 3, and widths (each a multiple of the next) of intervals in step 4.
-TOGETHER = 46
-WIDTHS = (128, 32, 8, 1)
+#: Starts of a cell, and of the cells that it is split into where its group is too large.
+TOGETHER, NARROWER = 46, (12, 3, 1)
+HALF = 4 * TOGETHER
+#: Cells that are sorted together at most.
+BOUND = 1_000
 CHUNK = 1 << 19
 U = np.uint64
 TABLE = mix64(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -66,31 +73,41 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "pos", "l", "r", "h", "c"]
+ANCHOR = "doc long, mark long, pos int, l int, r int, h long, c long, after long, before long"
+
 
-    def flush(docs: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        data = b"".join(t for _, t in docs)
-        ends = np.cumsum([len(t) for _, t in docs])
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, mark, text) -> a row for each anchor: bytes of its context on both sides, hashes of the gram, of the whole
+    context, and of what the windows of step 2 share (null where there is no such window)."""
+    names, digest = [x.split()[0] for x in ANCHOR.split(", ")], xxhash.xxh3_64_intdigest
+
+    def flush(docs: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        data = b"".join(t for *_, t in docs)
+        size = np.asarray([len(t) for *_, t in docs])
+        ends = np.cumsum(size)
         at, h = anchors(np.frombuffer(data, np.uint8))
         own = np.searchsorted(ends, at, side="right")
-        end = ends[own]
-        start = end - np.asarray([len(t) for _, t in docs])[own]
-        inside = at + GRAM <= end  # else the string lies in two texts
-        at, h, own, start, end = (x[inside] for x in (at, h, own, start, end))
+        inside = at + GRAM <= ends[own]  # else the string lies in two texts
+        at, h, own = at[inside], h[inside], own[inside]
+        start, end = ends[own] - size[own], ends[own]
         left, right = np.minimum(at - start, REACH), np.minimum(end - at, WINDOW)
         view = memoryview(data)
-        c = [xxhash.xxh3_64_intdigest(view[a:b], l) for a, b, l in zip((at - left).tolist(), (at + right).tolist(), left.tolist())]
-        ids = np.asarray([d for d, _ in docs], np.int64)[own]
+        places = list(zip(at.tolist(), left.tolist(), right.tolist()))
+        c = [digest(view[a - l : a + r], l) for a, l, r in places]
+        after = [digest(view[a : a + WINDOW - HALF + 1], 1) if r > WINDOW - HALF else 0 for a, _, r in places]
+        before = [digest(view[a - HALF : a + GRAM], 2) if l >= HALF else 0 for a, l, _ in places]
         signed = lambda x: np.asarray(x, U).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (at - start, left, right)), pa.array(signed(h)), pa.array(signed(c))], names)
+        ids = [np.asarray(x, np.int64)[own] for x in zip(*(d[:2] for d in docs))]
+        cols = [pa.array(x) for x in ids] + [pa.array(x.astype(np.int32)) for x in (at - start, left, right)] + [pa.array(signed(h)), pa.array(signed(c))]
+        cols += [pa.array(signed(x), mask=m) for x, m in ((after, right <= WINDOW - HALF), (before, left < HALF))]
+        return pa.RecordBatch.from_arrays(cols, names)
 
     docs, size = [], 0
     for batch in batches:
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for d, m, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
             t = (t or "").encode()
             if len(t) >= WINDOW:
-                docs.append((d, t))
+                docs.append((d, m, t))
                 size += len(t)
             if size > CHUNK:
                 yield flush(docs)
@@ -99,22 +116,44 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(docs)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, at: list of structs h, pos, l, r, m) -> a row for each struct, with the bytes."""
+CELL = "j int, w int, h long, core long, left binary, right binary, doc long, mark long, pos int"
+CELL_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, mark, text, at: list of structs h, pos, l, r, late) -> cells: the windows that start j to j + w bytes before the
+    anchor. late tells the half of the starts."""
+    names, digest = [x.split()[0] for x in CELL.split(", ")], xxhash.xxh3_64_intdigest
+    out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), CELL_KINDS)], names)
     for batch in batches:
-        rows = []
-        for d, t, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            t = t.encode()
-            rows += [(x["h"], d, x["pos"], x["l"], x["r"], x["m"], t[x["pos"] - x["l"] : x["pos"] + x["r"]]) for x in at]
-            if len(rows) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], CONTEXT)
+        rows: list[tuple] = []
+        for doc, mark, text, at in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            text = text.encode()
+            for x in at:
+                h, pos, l, r = x["h"], x["pos"], x["l"], x["r"]
+                for j in range(HALF, REACH + 1, TOGETHER) if x["late"] else range(0, HALF, TOGETHER):
+                    last = min(REACH, j + TOGETHER - 1)
+                    if l >= j and r >= WINDOW - last:
+                        core = digest(text[pos - j : pos + WINDOW - last], j) - (1 << 63)
+                        rows.append((j, last - j, h, core, text[pos - min(last, l) : pos - j], text[pos + WINDOW - last : pos + min(r, WINDOW - j)], doc, mark, pos))
+            if len(rows) > 5000:
+                yield out(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], CONTEXT)
-
-
-CONTEXT = ["h", "doc", "pos", "l", "r", "m", "bytes"]
-KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            yield out(rows)
+
+
+def narrower(cells: DataFrame, starts: int) -> DataFrame:
+    """Cells for at most so many starts each, in place of cells for more."""
+    x = cells.withColumn("a", F.explode(F.expr(f"sequence(0, w, {starts})"))).withColumn("v", F.least(F.lit(starts - 1), F.expr("w - a")))
+    x = x.where("length(left) >= a and length(right) >= w - a - v").withColumn("skip", F.expr("w - a - v"))
+    part = lambda c, first, n: F.expr(f"substring({c}, {first}, {n})")
+    return x.select(
+        (F.col("j") + F.col("a")).alias("j"), F.col("v").alias("w"), "h",
+        F.xxhash64("core", part("left", "length(left) - a + 1", "a"), F.lit(1), part("right", "1", "skip")).alias("core"),
+        part("left", "greatest(1, length(left) - a - v + 1)", "least(v, length(left) - a)").alias("left"), part("right", "skip + 1", "v").alias("right"),
+        "doc", "mark", "pos",
+    )
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -134,171 +173,186 @@ def reach(sides: list[bytes]) -> tuple[list[int], set[int]]:
     return far, cuts
 
 
+Owner = tuple[int, int, int]  # doc, mark, and the position in the text of a start at the core
+
+
 class Batch:
-    """Aligned contexts of many anchors in one text of symbols."""
+    """Aligned cells of many groups in one text of symbols. A cell's core is one column, so a window has w + 1 columns."""
 
     def __init__(self):
         self.text: list[int] = []
-        self.at: list[int] = []  # where a symbol starts, relative to the anchor
-        self.who: list[tuple[int, int] | None] = []  # document and anchor of a symbol; None: a separator
+        self.at: list[int] = []  # where a symbol starts, relative to the core
+        self.who: list[tuple[Owner, int] | None] = []  # owner of a symbol and w; None: a separator, or settled
         self.symbols = 0
-        self.known: list[tuple[int, int, int]] = []  # ranges that need no sorting
+        self.known: list[tuple[int, int, int, int]] = []  # ranges that need no sorting
 
-    def add(self, group: list[tuple[int, int, int, bytes]]) -> None:
-        """Contexts (doc, pos, bytes before the anchor, bytes) of one anchor, by intervals of starts: only
-        contexts with the bytes in common that all windows of an interval share can repeat in it.
-        """
-        for j0 in range(0, REACH + 1, TOGETHER):
-            j1 = min(REACH, j0 + TOGETHER - 1)
-            alike = defaultdict(list)
-            for doc, pos, at, data in group:
-                if at >= j0 and len(data) - at >= WINDOW - j1:
-                    a, b = max(0, at - j1), at + WINDOW - j0
-                    alike[data[at - j0 : at + WINDOW - j1]].append((doc, pos, at - a, data[a:b]))
-            for part in alike.values():
-                if len(part) > 1:
-                    self._align(part)
-
-    def _align(self, group: list[tuple[int, int, int, bytes]]) -> None:
-        """Contexts as in add().
-
-        First what no other context goes along with falls off, and rests that are equal repeat as they are.
+    def add(self, w: int, group: list[tuple[Owner | None, bytes, bytes]]) -> None:
+        """Cells (owner, or None where it is settled and only a partner; bytes on the left, on the right) of one core.
+
+        First what no other cell goes along with falls off, and rests that are equal repeat as they are.
         """
-        lines = [([(doc, pos)], left, data) for doc, pos, left, data in group]
+        lines: list[tuple[list[Owner | None], bytes, bytes]] = [([owner], left, right) for owner, left, right in group]
         for _ in range(4):
-            right, _ = reach([data[at:] for _, at, data in lines])
-            left, _ = reach([data[:at][::-1] for _, at, data in lines])
-            same: dict[tuple[int, bytes], list[tuple[int, int]]] = defaultdict(list)
-            for (found, at, data), l, r in zip(lines, left, right):
-                if len(found) > 1:
-                    same[at, data] += found
-                elif l + r >= WINDOW:
-                    same[l, data[at - l : at + r]] += found
-            before, lines = lines, [(found, l, data) for (l, data), found in same.items()]
-            if [x[1:] for x in lines] == [x[1:] for x in before]:
+            after, _ = reach([b for _, _, b in lines])
+            before, _ = reach([a[::-1] for _, a, _ in lines])
+            same: dict[tuple[bytes, bytes], list[Owner | None]] = defaultdict(list)
+            for (owners, a, b), l, r in zip(lines, before, after):
+                if len(owners) > 1:
+                    same[a, b] += owners
+                elif l + r >= w:
+                    same[a[len(a) - l :], b[:r]] += owners
+            old, lines = lines, [(owners, a, b) for (a, b), owners in same.items()]
+            if [x[1:] for x in lines] == [x[1:] for x in old]:
                 break
-        for found, at, data in lines:
-            if len(found) > 1:
-                self.known += [(doc, pos - at, pos - at + len(data)) for doc, pos in found]
-        if all(len(found) > 1 for found, _, _ in lines):
+        for owners, a, b in lines:
+            if len(owners) > 1:
+                self.known += [(doc, mark, pos - len(a), pos + len(b) - w + WINDOW) for doc, mark, pos in filter(None, owners)]
+        if not any(len(owners) == 1 and owners[0] for owners, _, _ in lines):
             return
-        cuts = reach([data[at:] for _, at, data in lines])[1] | {-c for c in reach([data[:at][::-1] for _, at, data in lines])[1]}
-        cuts = sorted(cuts | {-at for _, at, _ in lines} | {len(data) - at for _, at, data in lines})
+        cuts = {c + 1 for c in reach([b for _, _, b in lines])[1]} | {-c for c in reach([a[::-1] for _, a, _ in lines])[1]}
+        cuts = sorted(cuts | {-len(a) for _, a, _ in lines} | {len(b) + 1 for _, _, b in lines})
         names: dict[tuple[int, bytes], int] = {}
-        for found, at, data in lines:
-            inside = cuts[bisect_left(cuts, -at) : bisect_right(cuts, len(data) - at)]
-            for a, b in zip(inside, inside[1:]):
-                self.text.append(names.setdefault((a, data[at + a : at + b]), self.symbols + 1))
+        for owners, a, b in lines:
+            data, at = a + b"\0" + b, len(a)
+            inside = cuts[bisect_left(cuts, -at) : bisect_right(cuts, len(b) + 1)]
+            for x, y in zip(inside, inside[1:]):
+                self.text.append(names.setdefault((x, data[at + x : at + y]), self.symbols + 1))
                 self.symbols += self.text[-1] > self.symbols
             self.symbols += 1
             self.text.append(self.symbols)
             self.at += inside
-            self.who += [found[0] if len(found) == 1 else None] * (len(inside) - 1) + [None]
+            mine = (owners[0], w) if len(owners) == 1 and owners[0] else None
+            self.who += [mine] * (len(inside) - 1) + [None]
 
-    def repeats(self) -> Iterator[tuple[int, int, int]]:
-        """(doc, start, end) of bytes that repeated windows cover."""
+    def repeats(self) -> Iterator[tuple[int, int, int, int]]:
+        """(doc, mark, start, end) of bytes that repeated windows cover."""
         yield from self.known
         text, at = self.text, self.at
         sa = suffix_array(text)
         lcp = [*common_prefixes(text, sa), 0]
         for r, i in enumerate(sa):
             n = max(lcp[r], lcp[r + 1])
-            if n and self.who[i] and (goes := at[i + n] - at[i]) >= WINDOW:
-                doc, pos = self.who[i]
-                last = min(at[i + 1] - 1, at[i] + goes - WINDOW)
-                yield doc, pos + at[i], pos + last + WINDOW
+            if n and self.who[i]:
+                (doc, mark, pos), w = self.who[i]
+                if (goes := at[i + n] - at[i]) > w:
+                    last = min(at[i + 1] - 1, at[i] + goes - w - 1)
+                    yield doc, mark, pos + at[i], pos + last + WINDOW
+
+
+SPAN = "doc long, mark long, a int, b int"
+SPAN_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+
+def merged(spans: list[tuple]) -> list[tuple]:
+    """Ranges (..., start, end), sorted, those that touch as one."""
+    out: list[tuple] = []
+    for x in sorted(spans):
+        if out and out[-1][:-2] == x[:-2] and x[-2] <= out[-1][-1]:
+            out[-1] = (*out[-1][:-1], max(x[-1], out[-1][-1]))
+        else:
+            out.append(x)
+    return out
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts, together by h -> (doc, start, end)."""
-    batch_, last, group = Batch(), None, []
+    """Different cells (and how often each occurs), together by group -> spans."""
+    todo, last, group = Batch(), None, []
 
     def out() -> pa.RecordBatch:
-        rows: list[tuple[int, int, int]] = []
-        for doc, a, b in sorted(batch_.repeats()):
-            if rows and rows[-1][0] == doc and a <= rows[-1][2]:
-                rows[-1] = (doc, rows[-1][1], max(b, rows[-1][2]))
-            else:
-                rows.append((doc, a, b))
-        cols = list(zip(*rows)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()))], ["doc", "a", "b"])
+        cols = list(zip(*merged(list(todo.repeats())))) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, SPAN_KINDS)], [x.split()[0] for x in SPAN.split(", ")])
 
     for b in batches:
-        for h, doc, pos, left, data in zip(*(b.column(c).to_pylist() for c in ("h", "doc", "pos", "l", "bytes"))):
-            if h != last and group:
-                batch_.add(group)
+        for j, w, h, core, left, right, n, doc, mark, pos in zip(*(b.column(c).to_pylist() for c in ("j", "w", "h", "core", "left", "right", "n", "doc", "mark", "pos"))):
+            if (j, w, h, core) != last and group:
+                todo.add(last[1], group)
                 group = []
-                if len(batch_.text) > 40_000 or len(batch_.known) > 40_000:
+                if len(todo.text) > 40_000 or len(todo.known) > 40_000:
                     yield out()
-                    batch_ = Batch()
-            last = h
-            group.append((doc, pos, left, data))
+                    todo = Batch()
+            last = (j, w, h, core)
+            group.append((None if n > 1 else (doc, mark, pos - j), left, right))
     if group:
-        batch_.add(group)
+        todo.add(last[1], group)
     yield out()
 
 
-def _crowded(contexts: DataFrame) -> DataFrame:
-    """Step 4: (doc, a, b) for contexts(h, doc, pos, l, r, bytes) of crowded anchors. A start is counted by the
-    bytes j between it and the anchor.
-    """
-    x = contexts.select("h", "doc", "pos", "l", "r", "bytes", F.greatest(F.lit(0), WINDOW - F.col("r")).alias("j0"), F.col("l").alias("j1"))
-    found = None
-    for width in WIDTHS:
-        x = x.withColumn("k0", F.explode(F.sequence(F.expr(f"j0 div {width}"), F.expr(f"j1 div {width}"))))
-        x = x.withColumn("k0", (F.col("k0") * width).cast("int")).withColumn("k1", (F.col("k0") + width - 1).cast("int"))
-        part = lambda a, b: F.xxhash64(F.substring("bytes", F.col("l") - a + 1, b + a))
-        covered = (F.col("l") >= F.col("k1")) & (F.col("r") >= WINDOW - F.col("k0"))
-        x = x.select(
-            "h", "doc", "pos", "k0", F.greatest("j0", "k0").alias("j0"), F.least("j1", "k1").alias("j1"),
-            part(F.col("k0"), WINDOW - F.col("k1")).alias("core"), F.when(covered, part(F.col("k1"), WINDOW - F.col("k0"))).alias("all"),
-        )
-        x = stored(x, "cells")
-        alike = x.where("all is not null").groupBy("h", "k0", F.col("all")).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("first"))
-        alike = stored(alike.where("n > 1").select("h", "k0", "all", "first", F.lit(True).alias("yes")), "alike")
-        x = x.join(alike.hint("merge"), ["h", "k0", "all"], "left").withColumn("yes", F.coalesce("yes", F.lit(False)))
-        x = stored(x.withColumn("stays", ~F.col("yes") | (F.struct("doc", "pos") == F.col("first"))).drop("all", "first"), "shared")
-        hit = x.where("yes").select("doc", (F.col("pos") - F.col("j1")).alias("a"), (F.col("pos") - F.col("j0") + WINDOW).alias("b"))
-        found = hit if found is None else found.unionAll(hit)
-        # one of those that are settled alike stays, as a partner, where others that share the core are not
-        x = x.where("stays")
-        core = x.groupBy("h", "k0", "core").agg(F.count("*").alias("n"), F.min("yes").alias("settled"))
-        core = stored(core.where("n > 1 and not settled").select("h", "k0", "core"), "cores")
-        spans = x.join(core.hint("merge"), ["h", "k0", "core"]).select("h", "doc", "pos", "j0", "j1")
-        x = spans.join(contexts.select("h", "doc", "pos", "l", "r", "bytes"), ["h", "doc", "pos"])
-    return found
+def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans, sorted by document and start -> a row for each document, with its merged spans."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    rows: list[tuple[int, int, list]] = []
+
+    def out(some: list) -> pa.RecordBatch:
+        cols = list(zip(*some)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), kind))], ["doc", "mark", "spans"])
+
+    for batch in batches:
+        for doc, mark, a, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if not rows or rows[-1][:2] != (doc, mark):
+                if len(rows) > 5000:
+                    yield out(rows)
+                    rows = []
+                rows.append((doc, mark, [{"a": a, "b": b}]))
+            elif a <= (top := rows[-1][2][-1])["b"]:
+                top["b"] = max(b, top["b"])
+            else:
+                rows[-1][2].append({"a": a, "b": b})
+    yield out(rows)
+
+
+def settle(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of cells that are equal as a whole; and a row for each different cell of a core that has several, with n,
+    how often it occurs, and m, how many its core has."""
+    key = ["j", "w", "h", "core"]
+    kinds = stored(cells.groupBy(*key, "left", "right").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "pos")).alias("x")), "cell-kinds")
+    equal = kinds.where("n > 1").select(*key, "left", "right")
+    hit = cells.join(equal.hint("merge"), [*key, "left", "right"]).select(
+        "doc", "mark", F.expr("pos - j - length(left)").alias("a"), F.expr(f"pos - j + length(right) - w + {WINDOW}").alias("b")
+    )
+    open_ = kinds.groupBy(*key).agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").drop("least")
+    return hit, kinds.join(stored(open_, "cores").hint("merge"), key).select(*key, "left", "right", "n", "m", "x.doc", "x.mark", "x.pos")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc, text) -> doc, spans: array of (a, b), the byte ranges to remove, in no order and overlapping."""
+    """docs(doc, mark, text) -> doc, mark, spans: array of (a, b), the byte ranges to remove, sorted and apart."""
     spark = docs.sparkSession
     prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(docs.mapInArrow(_anchor_rows, "doc long, pos int, l int, r int, h long, c long"), "anchors")
-    often = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    rows = stored(rows.join(often.hint("merge"), "h"), "repeated")
-    kinds = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "l", "r")).alias("rep"))
+    rows = stored(docs.mapInArrow(_anchor_rows, ANCHOR), "anchors")
+    halves = F.explode(F.array_compact(F.array("after", "before"))).alias("key")
+    often = stored(rows.select(halves).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
+    # stays in the order of the documents: a key that many rows have is then in all parts of the table, and can be split
+    rows = stored(_either(rows, often), "repeated")
+    kinds = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "pos", "l", "r", "after", "before")).alias("x"))
     kinds = stored(kinds, "kinds")
-    many = stored(kinds.where("n > 1").select("h", "c"), "copied")
-    whole = rows.join(many.hint("merge"), ["h", "c"]).select("doc", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
-    crowd = stored(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "differing")
-    reps = kinds.join(crowd.hint("merge"), "h").select("rep.doc", F.struct("h", "rep.pos", "rep.l", "rep.r", "m").alias("x"))
-    reps = stored(reps.groupBy("doc").agg(F.collect_list("x").alias("at")), "places")
-    context = maybe_in(docs, "doc", reps.select("doc")).join(reps.hint("merge"), "doc").select("doc", "text", "at")
-    context = stored(context.mapInArrow(_contexts, "h long, doc long, pos int, l int, r int, m long, bytes binary"), "contexts")
-    few = context.where(F.col("m") <= MOST).select("h", "doc", "pos", "l", "bytes").repartition(parts, "h").sortWithinPartitions("h", "doc", "pos")
-    found = whole.unionAll(few.mapInArrow(_repeats, "doc long, a int, b int")).unionAll(_crowded(context.where(F.col("m") > MOST)))
-    return stored(found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    many = kinds.where("n > 1").select("h", "c")
+    whole = rows.join(many.hint("merge"), ["h", "c"]).select("doc", "mark", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
+    sides = kinds.select("h", "x.*", F.posexplode(F.array("x.after", "x.before")).alias("side", "key")).where("key is not null")
+    several = stored(sides.groupBy("side", "key").agg(F.count("*").alias("m")).where("m > 1").select("side", "key"), "several")
+    reps = sides.join(several.hint("merge"), ["side", "key"]).select("doc", "mark", F.struct("h", "pos", "l", "r", (F.col("side") == 1).alias("late")).alias("x"))
+    reps = stored(reps.groupBy("doc", "mark").agg(F.collect_list("x").alias("at")), "places")
+    cells = maybe_in(docs, "mark", reps.select("mark")).join(reps.hint("merge"), ["doc", "mark"]).select("doc", "mark", "text", "at")
+    cells = stored(cells.mapInArrow(_cells, CELL), "cells")
+    found = whole
+    for starts in (*NARROWER, 0):
+        hit, kinds = settle(cells)
+        found = found.unionAll(hit)
+        kinds = stored(kinds, "groups")
+        small = kinds.where(F.col("m") <= BOUND).drop("m").repartition(parts, "j", "w", "h", "core").sortWithinPartitions("j", "w", "h", "core", "left", "right")
+        found = found.unionAll(small.mapInArrow(_repeats, SPAN))
+        large = kinds.where(F.col("m") > BOUND)
+        if not starts or not large.take(1):
+            break
+        cells = stored(narrower(large, starts), "cells")
+    found = stored(found, "found")
+    found = found.repartition(parts, "doc", "mark").sortWithinPartitions("doc", "mark", "a")
+    return stored(found.mapInArrow(_merged_rows, "doc long, mark long, spans array<struct<a: int, b: int>>"), "spans")
+
+
+def _either(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of which one of both halves may be among keys."""
+    first = with_maybe(rows, "after", keys).withColumnRenamed("__maybe", "__one")
+    return with_maybe(first, "before", keys).where("__one or __maybe").select(*rows.columns)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,24 +360,25 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, t, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
             t = (t or "").encode()
-            gone, rest, at = merged([(s["a"], s["b"]) for s in spans or ()]), hashlib.sha256(), 0
-            for a, b in gone:
-                rest.update(t[at:a])
-                at = b
+            rest, at, n = hashlib.sha256(), 0, 0
+            for s in spans or ():
+                rest.update(t[at : s["a"]])
+                at, n = s["b"], n + s["b"] - s["a"]
             rest.update(t[at:])
-            rows.append((i, len(t), sum(b - a for a, b in gone), len(gone), rest.hexdigest()))
+            rows.append((i, len(t), n, len(spans or ()), rest.hexdigest()))
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text)."""
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("doc"))
-    spans = repeated_spans(docs.select("doc", "text"))
-    marked = with_maybe(docs, "doc", spans.select("doc"))
+    mark = F.xxhash64(F.col("doc_id").isNull(), "text")
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("doc"), mark.alias("mark"))
+    spans = repeated_spans(docs.select("doc", "mark", "text"))
+    marked = with_maybe(docs, "mark", spans.select("mark"))
     clean = marked.where("not __maybe").select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
-    rest = marked.where("__maybe").join(spans.hint("merge"), "doc", "left").select("doc_id", "text", "spans")
+    rest = marked.where("__maybe").join(spans.hint("merge"), ["doc", "mark"], "left").select("doc_id", "text", "spans")
     return clean.unionAll(rest.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

@@ -43,22 +43,43 @@ def test_suffix_array():
             assert t[a : a + n] == t[b : b + n] and t[a : a + n + 1] != t[b : b + n + 1]
 
 
-@pytest.mark.parametrize("most", [1, 2048])
-def test_substrings(spark, corpus, most, monkeypatch):
-    monkeypatch.setattr(substrings, "MOST", most)
-    rows, df = corpus
-    texts = {i: (t or "").encode() for i, t, *_ in rows}
-    count = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
-    got = {r.doc_id: r for r in substrings.remove_repeats(df).collect()}
-    assert len(got) == len(rows)
-    for i, t in texts.items():
+def removed(rows):
+    """(length, bytes removed, runs, digest of the rest) of each row (doc_id, text, ...), by plain counting."""
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    count, out = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399)), Counter()
+    for (i, *_), t in zip(rows, texts):
         gone = [False] * len(t)
         for k in range(len(t) - 399):
             if count[t[k : k + 400]] > 1:
                 gone[k : k + 400] = [True] * 400
         kept = bytes(x for x, g in zip(t, gone) if not g)
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("bound", [2, 1000])
+def test_substrings(spark, corpus, bound, monkeypatch):
+    monkeypatch.setattr(substrings, "BOUND", bound)
+    rows, df = corpus
+    assert Counter(map(tuple, substrings.remove_repeats(df).collect())) == removed(rows)
+
+
+@pytest.mark.parametrize("bound", [2, 1000])
+def test_substrings_of_planted_passages(spark, bound, monkeypatch):
+    """Passages of about 400 bytes in different surroundings, periods, runs of a byte, cut texts; ids that are null or shared."""
+    monkeypatch.setattr(substrings, "BOUND", bound)
+    r = random.Random(11)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passages = [prose(n) for n in (380, 399, 400, 401, 430, 520, 900)]
+    texts = [prose(r.randint(0, 300)) + p + prose(r.randint(0, 300)) for p in passages for _ in range(4)]
+    texts += [p[a:] + prose(30) for p in passages for a in (0, 1, 20)] + [prose(9) + "x" * 399, "x" * 402, "xy" * 300, prose(3) + "xy" * 200, "é" * 250]
+    near = prose(1500)
+    texts += [near[:k] + "Z" + near[k + 1 :] for k in (10, 400, 401, 700, 1100, 1490)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(1, prose(900)), (2, texts[1]), (2, prose(1200)), (None, texts[5]), (None, prose(700)), (None, None), (3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, substrings.remove_repeats(df).collect())) == removed(rows)
 
 
 def test_substrings_empty(spark):

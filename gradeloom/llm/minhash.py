@@ -35,6 +35,8 @@ from .shared import components, maybe_in, prepare, stored
 SHINGLE, ROWS, BANDS = 5, 6, 24
 T = ROWS * BANDS
 BLOCK = 256
+#: Enough for rounds 0 to 2 T - 1; the last value of all stays free for empty coordinates.
+ROUND_BITS = (2 * T).bit_length()
 ODD = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -94,7 +96,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
         row = np.repeat(np.asarray(todo), [len(sets[i]) for i in todo])
         h = mix64(x + U((r + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
         bin_ = ((h >> U(32)) * U(T) >> U(32)).astype(np.int64) if r < T else np.full(len(x), r - T)
-        value = (U(r) << U(56)) | (mix64(h) >> U(8))
+        value = (U(r) << U(64 - ROUND_BITS)) | (mix64(h) >> U(ROUND_BITS))
         np.minimum.at(flat, row * T + bin_, value)
         todo = [i for i in todo if (out[i] == np.iinfo(U).max).any()]
     return out

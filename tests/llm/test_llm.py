@@ -116,6 +116,30 @@ def test_sketch_agreement():
     assert abs((a == b).mean() - 1300 / len(x)) < 0.12
 
 
+def plain_sketch(items):
+    """The least (round, hash) of each coordinate, element by element."""
+    mask, mix = (1 << 64) - 1, lambda x: int(minhash.mix64(np.array([x], np.uint64))[0])
+    best = {}
+    for k in range(2 * minhash.T):
+        for x in items:
+            h = mix((x + ((k + 1) * 0xD6E8FEB86659FD93 & mask)) & mask)
+            at = (h >> 32) * minhash.T >> 32 if k < minhash.T else k - minhash.T
+            best[at] = min(best.get(at, (k, mask)), (k, mix(h) >> minhash.ROUND_BITS))
+        if len(best) == minhash.T:
+            return [best[j] for j in range(minhash.T)]
+
+
+def test_sketches_of_small_sets_match_a_plain_version():
+    r = np.random.default_rng(3)
+    sets = [r.integers(0, 2**63, n).astype(np.uint64) for n in (1, 2, 3, 4, 5, 6, 7, 7, 8, 8, 9, 10)]
+    got = minhash.sketches(sets)
+    for items, row in zip(sets, got):
+        want = plain_sketch([int(x) for x in items])
+        assert [(int(v) >> 64 - minhash.ROUND_BITS, int(v) & (1 << 64 - minhash.ROUND_BITS) - 1) for v in row] == want
+    late = [(row >> np.uint64(64 - minhash.ROUND_BITS)).max() for row in minhash.sketches([r.integers(0, 2**63, 7).astype(np.uint64) for _ in range(600)])]
+    assert max(late) >= 256  # a round that eight bits can't hold
+
+
 def test_mixing(spark, corpus):
     rows, df = corpus
     got = {r.doc_id: r for r in mixing.mix(df).collect()}

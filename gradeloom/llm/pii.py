@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and what a semi-Markov conditional random field adds to them.
 
 The base spans are the matches of four patterns, leftmost and non-overlapping per kind, that pass their check.
-The field reads windows about digits, ``@`` and spelt-out addresses. A segment of up to ``LONGEST`` tokens is
+The field reads windows about long numbers, ``@`` before a dotted name and spelt-out addresses, as far around as a
+segment can go. A segment of up to ``LONGEST`` tokens is
 scored as a whole (its groups of digits, separators, check sum, address form, the word before it), single
 tokens outside entities score 0, and the dynamic programme over ends of segments chooses boundaries and kinds
 jointly. It is trained here, by gradient steps on the conditional likelihood over a fixed, generated sample of
@@ -13,13 +14,14 @@ are searched each; an empty table gives an empty result; other columns pass thro
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +32,12 @@ from .shared import prepare
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
+MOST_DIGITS = 40
 SENTENCES = 240
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
@@ -60,11 +63,24 @@ def emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(at + 1, end))
 
 
+def ips(text: str) -> Iterator[Span]:
+    """The pattern's matches: four numbers at a time of each chain of dotted ones. The pattern itself would be tried at
+    every digit of a long number."""
+    for m in NUMBERS.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        start, parts = m.start(), m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in four)):
+                yield "ip", start, end
+            start = end + 1
+
+
 def base_spans(text: str) -> list[Span]:
     out = list(emails(text)) if "@" in text else []
-    for m in IP.finditer(text):
-        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
-            out.append(("ip", *m.span()))
+    out += ips(text)
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := DIGITS.sub("", m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -96,14 +112,29 @@ def tokens(text: str, start: int, end: int) -> list[Token]:
     return [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text, start, end)]
 
 
+def reach_back(text: str, at: int, n: int) -> int:
+    """Where the n-th token before a place begins (0 if there are fewer)."""
+    size = 32 * n
+    while True:
+        start = max(0, at - size)
+        starts = [m.start() for m in TOKEN.finditer(text, start, at)]
+        if not start or len(starts) > n:  # the first of a part may be the end of a longer one
+            return starts[-n] if len(starts) >= n else 0
+        size *= 4
+
+
+def reach_ahead(text: str, at: int, n: int) -> int:
+    """Where the n-th token after a place ends (the end if there are fewer)."""
+    return next(islice((m.end() for m in TOKEN.finditer(text, at)), n - 1, None), len(text))
+
+
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """Stretches of text that may hold an entity, with context; overlapping ones are joined."""
-    found = [m.span() for m in LONG_NUMBER.finditer(text) if len(DIGITS.sub("", m[0])) >= 7]
+    found = [(reach_back(text, m.start(), CONTEXT + 2), reach_ahead(text, m.end(), 2)) for m in LONG_NUMBER.finditer(text) if len(DIGITS.sub("", m[0])) >= 7]
     for opener in (SPELT, DOTTED):
-        found += [(max(0, m.start() - 60), min(len(text), m.end() + 30)) for m in opener.finditer(text)]
+        found += [(reach_back(text, m.start(), LONGEST + CONTEXT), reach_ahead(text, m.end(), LONGEST)) for m in opener.finditer(text)]
     last: tuple[int, int] | None = None
     for a, b in sorted(found):
-        a, b = max(0, a - 30), min(len(text), b + 20)
         if last and a <= last[1]:
             last = (last[0], max(b, last[1]))
             continue
@@ -119,7 +150,7 @@ def segment_features(toks: list[Token], i: int, j: int, text: str) -> tuple[str,
     first, last = toks[i], toks[j - 1]
     s = text[first[0] : last[1]]
     head, tail = s[0], s[-1]
-    if not (head.isalnum() or head in "(+") or not tail.isalnum():
+    if not (head.isalnum() or head in "(+" and s[1:2].isdigit() or s[:2] == "+(") or not tail.isalnum():
         return None
     digits = DIGITS.sub("", s)
     spelt = bool(SPELT.search(s))
@@ -154,25 +185,40 @@ def segment_features(toks: list[Token], i: int, j: int, text: str) -> tuple[str,
 class Field:
     def __init__(self, weights: dict[tuple[str, str], float] | None = None):
         self.w = weights if weights is not None else defaultdict(float)
+        self.memo: dict[tuple[str, ...], tuple[str, float]] = {}
 
-    def segments(self, toks: list[Token], text: str) -> list[tuple[int, int, tuple[str, ...]]]:
-        out = []
+    def segments(self, toks: list[Token], text: str) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """Candidates: no token of an address and 7 to ``MOST_DIGITS`` digits, or such a token."""
+        digits = [len(t) if t[0].isdigit() else 0 for *_, t in toks]
+        letters = [t[0].isalpha() for *_, t in toks]
+        marks = [t in ("dot", "at", "@") for *_, t in toks]
         for i in range(len(toks)):
+            n, plain, marked = 0, True, False
             for j in range(i + 1, min(len(toks), i + LONGEST) + 1):
-                if f := segment_features(toks, i, j, text):
-                    out.append((i, j, f))
-        return out
+                n, plain, marked = n + digits[j - 1], plain and not letters[j - 1], marked or marks[j - 1]
+                if n > MOST_DIGITS:
+                    break
+                if (marked or plain and n >= 7) and (f := segment_features(toks, i, j, text)):
+                    yield i, j, f
 
     def score(self, kind: str, f: tuple[str, ...]) -> float:
         w = self.w
         return sum(w.get((kind, x), 0.0) for x in f)
 
+    def kind(self, f: tuple[str, ...]) -> tuple[str, float]:
+        """The best kind for a segment, and its score; remembered while there is room."""
+        if (got := self.memo.get(f)) is None:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            k = max(KINDS, key=lambda k: self.score(k, f))
+            got = self.memo[f] = (k, self.score(k, f))
+        return got
+
     def best(self, toks: list[Token], text: str) -> list[Span]:
         """The highest-scoring segmentation."""
         ends = defaultdict(list)
         for i, j, f in self.segments(toks, text):
-            k = max(KINDS, key=lambda k: self.score(k, f))
-            ends[j].append((i, k, self.score(k, f)))
+            ends[j].append((i, *self.kind(f)))
         if not ends:
             return []
         value, back = [0.0] * (len(toks) + 1), [None] * (len(toks) + 1)
@@ -294,10 +340,11 @@ def trained() -> dict[tuple[str, str], float]:
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans, by start."""
     base = base_spans(text)
-    more = []
+    more, top = [], list(accumulate((b for *_, b in base), max))
     for a, b in windows(text):
         for s in field.best(tokens(text, a, b), text):
-            if all(s[2] <= x[1] or x[2] <= s[1] for x in base):
+            n = bisect_left(base, s[2], key=lambda x: x[1])  # base spans that start before its end
+            if not n or top[n - 1] <= s[1]:
                 more.append(s)
     return base, sorted(base + more, key=by_start) if more else base
 
@@ -350,6 +397,3 @@ def redact(docs: DataFrame) -> DataFrame:
 
     return docs.mapInArrow(masked, schema)
 
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

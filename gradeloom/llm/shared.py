@@ -38,6 +38,16 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+            if path.getName()[-32:].isalnum() and str(path.getParent()).rstrip("/").endswith(shared_folder(spark).split(":", 1)[-1].lstrip("/")):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bits of maybe_in(); its bitmaps are BITS / 8 bytes whatever the data, so they can be broadcast.
 BITS = 1 << 25
 

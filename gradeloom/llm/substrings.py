@@ -32,18 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gsaca import common_prefixes, suffix_array
 from .minhash import mix64
-from .shared import maybe_in, prepare, stored, with_maybe
+from .shared import dropped, maybe_in, prepare, stored, with_maybe
 
 WINDOW, GRAM = 400, 32
 REACH = WINDOW - GRAM  # bytes before an anchor that its windows can cover
 #: Starts of a cell, and of the cells that it is split into where its group is too large.
-TOGETHER, NARROWER = 46, (12, 3, 1)
-HALF = 4 * TOGETHER
+TOGETHER, NARROWER = 92, (23, 6, 1)
+HALF = 2 * TOGETHER
 #: Cells that are sorted together at most.
 BOUND = 1_000
 CHUNK = 1 << 19
@@ -300,17 +300,22 @@ def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(rows)
 
 
+def one(*columns: str) -> list[Column]:
+    """The columns of any one row of a group. (A least struct would be the same to us, but is aggregated by sorting.)"""
+    return [F.first(c).alias(c) for c in columns]
+
+
 def settle(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans of cells that are equal as a whole; and a row for each different cell of a core that has several, with n,
     how often it occurs, and m, how many its core has."""
     key = ["j", "w", "h", "core"]
-    kinds = stored(cells.groupBy(*key, "left", "right").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "pos")).alias("x")), "cell-kinds")
+    kinds = stored(cells.groupBy(*key, "left", "right").agg(F.count("*").alias("n"), *one("doc", "mark", "pos")), "cell-kinds")
     equal = kinds.where("n > 1").select(*key, "left", "right")
     hit = cells.join(equal.hint("merge"), [*key, "left", "right"]).select(
         "doc", "mark", F.expr("pos - j - length(left)").alias("a"), F.expr(f"pos - j + length(right) - w + {WINDOW}").alias("b")
     )
     open_ = kinds.groupBy(*key).agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").drop("least")
-    return hit, kinds.join(stored(open_, "cores").hint("merge"), key).select(*key, "left", "right", "n", "m", "x.doc", "x.mark", "x.pos")
+    return hit, kinds.join(stored(open_, "cores").hint("merge"), key).select(*key, "left", "right", "n", "m", "doc", "mark", "pos")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -322,12 +327,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     halves = F.explode(F.array_compact(F.array("after", "before"))).alias("key")
     often = stored(rows.select(halves).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
     # stays in the order of the documents: a key that many rows have is then in all parts of the table, and can be split
-    rows = stored(_either(rows, often), "repeated")
-    kinds = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "pos", "l", "r", "after", "before")).alias("x"))
-    kinds = stored(kinds, "kinds")
+    every, rows = rows, stored(_either(rows, often), "repeated")
+    dropped(every, often)
+    kinds = stored(rows.groupBy("h", "c").agg(F.count("*").alias("n"), *one("doc", "mark", "pos", "l", "r", "after", "before")), "kinds")
     many = kinds.where("n > 1").select("h", "c")
     whole = rows.join(many.hint("merge"), ["h", "c"]).select("doc", "mark", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
-    sides = kinds.select("h", "x.*", F.posexplode(F.array("x.after", "x.before")).alias("side", "key")).where("key is not null")
+    sides = kinds.select("h", "doc", "mark", "pos", "l", "r", F.posexplode(F.array("after", "before")).alias("side", "key")).where("key is not null")
     several = stored(sides.groupBy("side", "key").agg(F.count("*").alias("m")).where("m > 1").select("side", "key"), "several")
     reps = sides.join(several.hint("merge"), ["side", "key"]).select("doc", "mark", F.struct("h", "pos", "l", "r", (F.col("side") == 1).alias("late")).alias("x"))
     reps = stored(reps.groupBy("doc", "mark").agg(F.collect_list("x").alias("at")), "places")
@@ -344,7 +349,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         if not starts or not large.take(1):
             break
         cells = stored(narrower(large, starts), "cells")
-    found = stored(found, "found")
     found = found.repartition(parts, "doc", "mark").sortWithinPartitions("doc", "mark", "a")
     return stored(found.mapInArrow(_merged_rows, "doc long, mark long, spans array<struct<a: int, b: int>>"), "spans")
 

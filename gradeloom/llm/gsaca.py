@@ -16,70 +16,88 @@ from collections.abc import Sequence
 
 def suffix_array(text: Sequence[int]) -> list[int]:
     n = len(text)
+    members: list[list[int]] = []
     by_symbol: dict[int, list[int]] = defaultdict(list)
     for i, c in enumerate(text):
         by_symbol[c].append(i)
-    members: list[list[int]] = []
-    below: list[int] = []  # the next smaller group
     group = [0] * n
-    for c in sorted(by_symbol):
-        for i in by_symbol[c]:
-            group[i] = len(members)
-        below.append(len(members) - 1)
+    for g, c in enumerate(sorted(by_symbol)):
         members.append(by_symbol[c])
+        for i in by_symbol[c]:
+            group[i] = g
+    live = [len(m) for m in members]  # members that have not moved up
+    below = [*range(-1, len(members) - 1)]  # the next smaller group
     above = [*range(1, len(members)), -1]
     g = len(members) - 1
     done = [False] * len(members)
     prev = [-1] * n
     order: list[list[int]] = []
+
+    def lift(old: int, which: list[int]) -> None:
+        """Members of a group that move into a new one directly above it; all of them may as well stay."""
+        if live[old] == len(which):
+            return
+        new, top = len(members), above[old]
+        live[old] -= len(which)
+        members.append(which)
+        live.append(len(which))
+        done.append(False)
+        below.append(old)
+        above.append(top)
+        above[old] = new
+        if top >= 0:
+            below[top] = new
+        for j in which:
+            group[j] = new
+
     while g >= 0:
-        own = sorted(i for i in members[g] if group[i] == g)
+        own = members[g]
+        if len(own) != live[g]:
+            own = [i for i in own if group[i] == g]
         done[g] = True
-        order.append(own)
-        times: dict[int, int] = {}
-        for i in own:
+        if len(own) == 1:  # as most groups are
+            (i,) = own
             j = i - 1
             while j >= 0 and done[group[j]]:
                 j = prev[j]
             prev[i] = j
-            if j >= 0:
-                times[j] = times.get(j, 0) + 1
-        if times:
-            moved: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+            if j >= 0 and live[group[j]] > 1:
+                lift(group[j], [j])
+        else:
+            own.sort()
+            times: dict[int, int] = {}
+            for i in own:
+                j = i - 1
+                while j >= 0 and done[group[j]]:
+                    j = prev[j]
+                prev[i] = j
+                if j >= 0:
+                    times[j] = times.get(j, 0) + 1
+            moved: dict[tuple[int, int], list[int]] = defaultdict(list)
             for j, k in times.items():
-                moved[k][group[j]].append(j)
-            for k in sorted(moved, reverse=True):
-                for old, which in moved[k].items():
-                    new, top = len(members), above[old]
-                    members.append(which)
-                    done.append(False)
-                    below.append(old)
-                    above.append(top)
-                    above[old] = new
-                    if top >= 0:
-                        below[top] = new
-                    for j in which:
-                        group[j] = new
+                moved[-k, group[j]].append(j)
+            for (_, old), which in sorted(moved.items()) if len(moved) > 1 else moved.items():
+                lift(old, which)
+        order.append(own)
         g = below[g]
-    free, at, place = [0] * len(order), 0, group
+    at, free, place = 0, [0] * len(order), group
     for r, own in enumerate(reversed(order)):
         free[r] = at
         at += len(own)
         for i in own:
             place[i] = r
     sa = [-1] * n
-
-    def induce(s: int, stop: int) -> None:
+    s, stop = n, -1
+    for r in range(-1, n):
+        if r >= 0:
+            s = sa[r]
+            stop = prev[s]
         j = s - 1
         while j > stop:
-            r = place[j]
-            sa[free[r]] = j
-            free[r] += 1
+            g = place[j]
+            sa[free[g]] = j
+            free[g] += 1
             j = prev[j]
-
-    induce(n, -1)
-    for r in range(n):
-        induce(sa[r], prev[sa[r]])
     return sa
 
 

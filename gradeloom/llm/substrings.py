@@ -45,7 +45,7 @@ REACH = WINDOW - GRAM  # bytes before an anchor that its windows can cover
 TOGETHER, NARROWER = 92, (23, 6, 1)
 HALF = 2 * TOGETHER
 #: Cells that are sorted together at most.
-BOUND = 1_000
+BOUND = 4_000
 CHUNK = 1 << 19
 U = np.uint64
 TABLE = mix64(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))

@@ -2,30 +2,52 @@
 
 Components are floor(256 x). With M the greatest squared length of a vector, a vector v lifted by the coordinate
 sqrt(M - |v|^2) has from a query q (lifted by 0) the squared distance |q|^2 + M - 2 <q, v>: the highest scores are
-the nearest lifted vectors, in a metric. Rows are dealt into shards of about ``SHARD``; each shard is bulk-loaded
-into a tree whose pages store, for every entry, its distance to the page's routing vector and, above the leaves,
-its covering radius. A search takes the page of least possible distance next. By the triangle inequality,
-|d(q, routing) - stored| - radius bounds an entry's distance from below: entries out of reach of the k-th best are
-passed over without computing their distance. Queries come in blocks of ``QUERIES``; the best of all shards win.
+the nearest lifted vectors, in a metric. The top of the tree are up to ``PIVOTS`` routing vectors, drawn from a sample of
+``SAMPLE`` rows; every row belongs to the nearest one, whose covering radius is that of all its rows. A region of more
+than ``SHARD`` rows is dealt into several trees. A tree is bulk-loaded; its pages store, for every entry, its distance to
+the page's routing vector and, above the leaves, its covering radius.
+
+A query is searched for in a tree of its own region first, which bounds its k-th score from below. Then it goes to the trees of those
+regions only that reach into its distance to that score. A search takes the page of least possible distance next. By the triangle
+inequality, |d(q, routing) - stored| - radius bounds an entry's distance from below: entries out of reach of the k-th best are
+passed over without computing their distance. Queries come in blocks of ``QUERIES``; the best of all trees win.
 
 Cases: null and empty vectors and such with null or non-finite components take no part; vectors of different lengths
-are not compared; ties go to the smaller vec_id; repeated rows are candidates each; a query is not its own
-candidate; an empty table gives an empty result; other columns are not looked at.
+are not compared; ties go to the smaller vec_id; repeated rows are candidates each; rows with a query's own vec_id are not its
+candidates; each different vector of a vec_id is a query of its own; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import prepare, stored
+from .shared import dropped, prepare, stored
+
+SHARD, QUERIES, LEAF, FANOUT = 20_000, 2_048, 128, 24
+#: Documented bounds of what is sent to all: routing vectors of the top, the rows that they are drawn from, and rows for each of them.
+PIVOTS, SAMPLE, REGION = 1_024, 8_192, 2_000
+
+
+def pivots(x: np.ndarray, n: int) -> np.ndarray:
+    """n rows of x or fewer, each drawn with a probability that grows with the square of its distance to those before."""
+    r = np.random.default_rng(2)
+    out = [int(r.integers(len(x)))]
+    far = ((x - x[out[0]]) ** 2).sum(1)
+    while len(out) < n and far.max() > 0:
+        out.append(int(r.choice(len(x), p=far / far.sum())))
+        far = np.minimum(far, ((x - x[out[-1]]) ** 2).sum(1))
+    return x[out]
 
-SHARD, QUERIES, LEAF, FANOUT = 20_000, 2_048, 256, 24
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None]))
 
 
 def build(ids: np.ndarray, v: np.ndarray) -> list[dict]:
@@ -64,21 +86,24 @@ def build(ids: np.ndarray, v: np.ndarray) -> list[dict]:
     return pages
 
 
-def search(pages: list[dict], q: np.ndarray, own: int, k: int, most: float) -> list[tuple[int, int]]:
-    """The k highest (score, id), ties to the smaller id, without own; most is the greatest squared length.
+def search(pages: list[dict], q: np.ndarray, own: int, k: int, most: float, least: int | None = None, seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """The k highest (score, id), ties to the smaller id, without own; most is the greatest squared length. With least, those of
+    them whose score is that high. seen gets how many entries were scored.
 
     Distances only guide the search, with room for their rounding; entries of leaves are ranked by integer scores.
     """
     best: list[tuple[int, int]] = []  # heap of (score, -id)
     heap: list[tuple[float, int, float | None]] = [(0.0, 0, None)]
-    reach, far = math.inf, float(q @ q) + most
+    far = float(q @ q) + most
+    within = lambda score: math.sqrt(max(0.0, far - 2 * score)) + 1e-6 + 1e-9 * math.sqrt(far)
+    reach = math.inf if least is None else within(least)
     whole = q[:-1] if most < 2**53 else q[:-1].astype(np.int64)
     while heap:
         low, number, above = heapq.heappop(heap)
         if low > reach:
             break
         p = pages[number]
-        at, ids, keep = p["at"], p["ids"], None
+        at, ids = p["at"], p["ids"]
         radius = p.get("radius", 0.0)
         if above is not None and reach < math.inf:
             keep = np.flatnonzero(np.abs(above - p["up"]) - radius <= reach)
@@ -94,20 +119,40 @@ def search(pages: list[dict], q: np.ndarray, own: int, k: int, most: float) -> l
                 if lo <= reach:
                     heapq.heappush(heap, (lo, n, x))
             continue
+        if seen is not None:
+            seen.append(len(ids))
         score = at[:, :-1].astype(whole.dtype, copy=False) @ whole
-        for n in np.flatnonzero(score >= best[0][0]) if reach < math.inf else np.lexsort((ids, -score))[: k + 1]:
+        floor = best[0][0] if len(best) == k else least
+        some = np.flatnonzero((ids != own) if floor is None else (score >= floor) & (ids != own))
+        for n in some[np.lexsort((ids[some], -score[some]))[:k]]:
             x = (int(score[n]), -int(ids[n]))
-            if -x[1] == own:
-                continue
             if len(best) < k:
                 heapq.heappush(best, x)
             elif x > best[0]:
                 heapq.heapreplace(best, x)
         if len(best) == k:
-            reach = math.sqrt(max(0.0, far - 2 * best[0][0])) + 1e-6 + 1e-9 * math.sqrt(far)
+            reach = min(reach, within(best[0][0]))
     return [(a, -b) for a, b in best]
 
 
+PAGE = pa.schema([("d", pa.int32()), ("region", pa.int32()), ("part", pa.int32()), ("page", pa.int32()), ("leaf", pa.bool_()), *((c, pa.binary()) for c in ("ids", "at", "up", "radius"))])
+VECTOR = "vec_id long, d int, v array<double>, square double"
+
+
+def lifted(t: pa.Table | pa.RecordBatch, most: float) -> np.ndarray:
+    column = t.column("v")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    return np.column_stack([x, np.sqrt(np.maximum(0.0, most - t.column("square").to_numpy()))])
+
+
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of batches with vectors of one length."""
+    for b in batches:
+        d = b.column("d").to_numpy()
+        yield from (b.filter(pa.array(d == k)) for k in np.unique(d))
+
+
 def top_k(vectors: DataFrame, query_step: int = 50, k: int = 5) -> DataFrame:
     """vectors(vec_id, embedding) -> query_id, rank, vec_id, score for the rows with vec_id divisible by query_step."""
     spark = vectors.sparkSession
@@ -117,24 +162,36 @@ def top_k(vectors: DataFrame, query_step: int = 50, k: int = 5) -> DataFrame:
         "vec_id", F.size("embedding").alias("d"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v")
     )
     v = stored(v.withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), "whole")
-    n, m = v.agg(F.count("*"), F.coalesce(F.max("square"), F.lit(0.0))).first()
-    shards = max(1, math.ceil(n / SHARD))
-    blocks = max(1, math.ceil(n / query_step / QUERIES))
-    dealt = v.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(shards)).cast("int"))
+    m = v.agg(F.coalesce(F.max("square"), F.lit(0.0))).first()[0]
+    sizes = {r.d: r["count"] for r in v.groupBy("d").count().collect()}
+    tops = {}
+    for d, n in sizes.items():
+        some = v.where(F.col("d") == d).orderBy(F.xxhash64(F.lit(4), "vec_id"), "vec_id").limit(max(1, SAMPLE * 64 // max(64, d))).toArrow()
+        tops[d] = pivots(lifted(some, m), min(PIVOTS, max(1, n // REGION)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_length(batches):
+            dist = distances(lifted(b, m), tops[b.column("d")[0].as_py()])
+            near = dist.argmin(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(dist[np.arange(len(near)), near])], [*b.schema.names, "region", "away"])
+
+    whole, v = v, stored(v.mapInArrow(assign, f"{VECTOR}, region int, away double"), "assigned")
+    dropped(whole)
+    regions = v.groupBy("d", "region").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # PIVOTS rows a length at most
+    parts = {(r.d, r.region): math.ceil(r.n / SHARD) for r in regions}
+    radii = {d: np.array([next((r.radius for r in regions if (r.d, r.region) == (d, g)), -math.inf) for g in range(len(x))]) for d, x in tops.items()}
+    table = F.broadcast(spark.createDataFrame([(*key, n) for key, n in sorted(parts.items())], "d int, region int, parts int"))
+    dealt = v.join(table, ["d", "region"]).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("parts")).cast("int"))
 
     def load(t: pa.Table) -> pa.Table:
-        d = t.column("d")[0].as_py()
-        x = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d)
-        lift = np.sqrt(np.maximum(0.0, m - t.column("square").to_numpy()))
-        pages = build(t.column("vec_id").to_numpy(), np.column_stack([x, lift]))
+        d, region, part = (t.column(c)[0].as_py() for c in ("d", "region", "part"))
+        pages = build(t.column("vec_id").to_numpy(), lifted(t, m))
         arr = lambda p, c, kind: np.ascontiguousarray(p.get(c, np.zeros(0)), kind).tobytes()
-        rows = [(d, t.column("shard")[0].as_py(), i, p["leaf"], arr(p, "ids", "i8"), arr(p, "at", "f8"), arr(p, "up", "f8"), arr(p, "radius", "f8")) for i, p in enumerate(pages)]
-        return pa.table(dict(zip(("d", "shard", "page", "leaf", "ids", "at", "up", "radius"), (pa.array(c) for c in zip(*rows)))), schema=PAGE)
+        rows = [(d, region, part, i, p["leaf"], arr(p, "ids", "i8"), arr(p, "at", "f8"), arr(p, "up", "f8"), arr(p, "radius", "f8")) for i, p in enumerate(pages)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), PAGE)], schema=PAGE)
 
-    pages = stored(dealt.groupBy("d", "shard").applyInArrow(load, "d int, shard int, page int, leaf boolean, ids binary, at binary, up binary, radius binary"), "pages")
-    each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    asked = v.where(F.col("vec_id") % query_step == 0)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(blocks)).cast("int")).select("*", each("shard", shards))
+    schema = "d int, region int, part int, page int, leaf boolean, ids binary, at binary, up binary, radius binary"
+    pages = stored(dealt.select("d", "region", "part", "vec_id", "v", "square").groupBy("d", "region", "part").applyInArrow(load, schema), "pages")
 
     def answer(key: tuple, t: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
@@ -145,14 +202,44 @@ def top_k(vectors: DataFrame, query_step: int = 50, k: int = 5) -> DataFrame:
             for r in t.to_pylist():
                 p = {"leaf": r["leaf"], "ids": np.frombuffer(r["ids"], "i8"), "at": np.frombuffer(r["at"], "f8").reshape(-1, d + 1), "up": np.frombuffer(r["up"], "f8")}
                 tree.append(p if r["leaf"] else p | {"radius": np.frombuffer(r["radius"], "f8")})
-            for q, x in zip(asked.column("vec_id").to_pylist(), asked.column("v").to_pylist()):
-                out += [(q, i, s) for s, i in search(tree, np.asarray([*x, 0.0]), q, k, m)]
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    found = pages.select("*", each("block", blocks)).groupBy("d", "shard", "block").cogroup(asked.groupBy("d", "shard", "block")).applyInArrow(answer, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-PAGE = pa.schema([("d", pa.int32()), ("shard", pa.int32()), ("page", pa.int32()), ("leaf", pa.bool_()), *((c, pa.binary()) for c in ("ids", "at", "up", "radius"))])
+            for q, mark, x, least in zip(*(asked.column(c).to_pylist() for c in ("vec_id", "mark", "v", "least"))):
+                out += [(q, mark, i, s) for s, i in search(tree, np.asarray([*x, 0.0]), q, k, m, least)]
+        cols = list(zip(*out)) or [()] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "mark", "vec_id", "score"])
+
+    tree = ["d", "region", "part"]
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """asked(d, region, part, vec_id, mark, v, least) -> (query_id, mark, vec_id, score); each tree is sent to as many blocks as it has queries for."""
+        blocks = stored(asked.groupBy(*tree).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")), "blocks")
+        some = blocks.select(*[F.col(c).alias(c) for c in blocks.columns])
+        each = pages.join(blocks, tree).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        asked = asked.join(some, tree).withColumn("block", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+        return each.groupBy(*tree, "block").cogroup(asked.groupBy(*tree, "block")).applyInArrow(answer, "query_id long, mark long, vec_id long, score long")
+
+    # one query for each different vector of a vec_id
+    asked = dealt.where(F.col("vec_id") % query_step == 0).select(*tree, "vec_id", F.xxhash64("v").alias("mark"), "v", "square").dropDuplicates(["vec_id", "mark"])
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = ranked(searched(asked.withColumn("least", F.lit(None).cast("long"))))
+    least = stored(first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "mark", F.col("score").alias("least")), "least")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each tree of a region that reaches into the distance of the query's k-th score so far."""
+        for b in by_length(batches):
+            d = b.column("d")[0].as_py()
+            x = lifted(b, m)
+            x[:, -1] = 0
+            far = (x**2).sum(1) + m
+            low = np.array([-np.inf if s is None else s for s in b.column("least").to_pylist()])
+            reach = np.sqrt(np.maximum(0, far - 2 * low)) * (1 + 1e-9) + 1e-6
+            i, g = np.nonzero(distances(x, tops[d]) - radii[d][None] <= reach[:, None] * (1 + 1e-9) + 1e-3)
+            n = np.array([parts.get((d, int(y)), 0) for y in g])
+            i, g, part = np.repeat(i, n), np.repeat(g, n), np.concatenate([np.arange(y) for y in n]) if len(n) else n
+            yield pa.RecordBatch.from_arrays([
+                b.column("d").take(pa.array(i)), pa.array(g.astype(np.int32)), pa.array(part.astype(np.int32)), *(b.column(c).take(pa.array(i)) for c in ("vec_id", "mark", "v", "least")),
+            ], ["d", "region", "part", "vec_id", "mark", "v", "least"])
+
+    asked = asked.select("d", "vec_id", "mark", "v", "square").join(least, ["vec_id", "mark"], "left")
+    going = stored(asked.mapInArrow(spread, "d int, region int, part int, vec_id long, mark long, v array<double>, least long"), "asked")
+    return ranked(searched(going)).select("query_id", "rank", "vec_id", "score")

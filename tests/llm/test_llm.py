@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -323,6 +324,46 @@ def test_mtree_ties_and_large_components(spark):
     assert {(g.query_id, g["rank"], g.vec_id, g.score) for g in got} == want
 
 
+def test_mtree_reads_a_part_of_clustered_rows():
+    """The bounds leave most rows unscored: within a tree, and over the regions of the top."""
+    r = np.random.default_rng(12)
+    centers = r.standard_normal((40, 16)) * 100
+    x = np.floor(np.concatenate([c + 4 * r.standard_normal((100, 16)) for c in centers]))
+    most = float((x**2).sum(1).max())
+    v = np.column_stack([x, np.sqrt(most - (x**2).sum(1))])
+    ids, scored = np.arange(len(x)), []
+    tops = mtree.pivots(v, 20)
+    away = mtree.distances(v, tops)
+    region = away.argmin(1)
+    trees = {g: (mtree.build(ids[region == g], v[region == g]), away[region == g, g].max()) for g in range(len(tops)) if (region == g).any()}
+    share = []
+    for q in range(0, len(x), 50):
+        want = sorted(((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q))[:5]
+        query, seen = np.append(x[q], 0.0), []
+        got = mtree.search(mtree.build(ids, v), query, q, 5, most, None, seen)
+        assert sorted((-s, i) for s, i in got) == want
+        scored.append(sum(seen) / len(x))
+        seen, least = [], sorted(got)[0][0]
+        reach = math.sqrt(query @ query + most - 2 * least) + 1e-6
+        found = [y for g, (tree, radius) in trees.items() if np.linalg.norm(tops[g] - query) - radius <= reach for y in mtree.search(tree, query, q, 5, most, least, seen)]
+        assert sorted((-s, i) for s, i in found)[:5] == want
+        share.append(sum(seen) / len(x))
+    assert np.mean(scored) < 0.5 and np.mean(share) < 0.4
+
+
+def test_mtree_cases(spark):
+    """Repeated rows, a vec_id with two vectors, other columns, an empty table."""
+    rows = [(0, [1.0, 2.0], "x"), (0, [1.0, 2.0], "y"), (50, [3.0, 1.0], "x"), (50, [0.0, 1.0], "x"), (7, [1.0, 1.0], "x"), (7, [1.0, 1.0], "x"), (8, [1.0], "x"), (None, [9.0, 9.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, d string")
+    w = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows if i is not None]
+    want = Counter()
+    for q, v in {(i, tuple(v)) for i, v in w if i % 50 == 0}:
+        best = sorted((-int(np.dot(v, u)), i) for i, u in w if i != q and len(u) == len(v))[:5]
+        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    assert Counter(map(tuple, mtree.top_k(df).collect())) == want
+    assert mtree.top_k(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("d", [4, 8])
 def test_short_vectors_keep_their_links(spark, d):
     x = np.random.default_rng(9).standard_normal((1200, d))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradeloom.llm import bpe, gsaca, licenses, minhash, mixing, mtree, pii, quality, substrings, toxicity, vectors
 
@@ -242,6 +243,31 @@ def test_classifiers_held_out(spark, f, good):
     assert f(docs.limit(0), labels).count() == 0 and f(docs, labels.limit(0)).count() == 601
 
 
+def test_label_model_sees_through_copies_of_a_voter():
+    """Ten copies of a poor voter and four good ones: with unlabelled rows the copies count as one; without, they decide."""
+    r = np.random.default_rng(4)
+    y = r.random(4000) < 0.3
+    good = r.random((4000, 4)) < np.where(y[:, None], 0.7, 0.1)
+    poor = r.random(4000) < np.where(y, 0.6, 0.25)
+    x = np.column_stack([good, np.repeat(poor[:, None], 10, 1)])
+    p = toxicity.Patterns(np.nonzero(x)[1], np.concatenate([[0], np.cumsum(x.sum(1))]), np.ones(4000))
+    labelled = np.column_stack([x, np.ones(4000)])[:300].astype(float)
+    mined = np.stack([(~y[:300]) @ labelled, y[:300] @ labelled])
+    right = {w: np.mean((p.posterior(m := toxicity.label_model(mined, p.counts, p.company, w)) > 0.5) == y) for w in (0, 1.0)}
+    assert right[1.0] > 0.85 and right[1.0] > right[0] + 0.05
+    assert m.discount[:4].min() > 0.6 and m.discount[4:].max() < 0.2
+
+
+def test_toxicity_learns_from_the_label_model(spark):
+    docs, labels = learnable(spark)
+    by = {t: {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, t).collect()} for t in ("model", "votes", "gold")}
+    assert by["model"] != by["votes"] and by["model"] != by["gold"]
+    wide = docs.withColumns({"v": F.lit("x"), "gold": F.lit(1), "score": F.lit(0.5), "n": F.lit(2)})  # names that the operator uses itself
+    assert {r.doc_id: r.score for r in toxicity.toxicity(wide, labels).collect()} == by["model"]
+    again = docs.unionAll(docs)
+    assert toxicity.toxicity(again, labels).count() == 2 * docs.count()
+
+
 def test_vectors(spark):
     r = np.random.default_rng(4)
     base = r.standard_normal((30, 16))

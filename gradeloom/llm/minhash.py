@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, maybe_in, prepare, stored
+from .shared import components, maybe_in, prepare, scratch, stored
 
 SHINGLE, ROWS, BANDS = 5, 6, 24
 T = ROWS * BANDS
@@ -193,6 +193,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: a row for each input row."""
+    with scratch() as keep:
+        sign, of = _grouped(docs, percent)
+        keep(sign, of)
+    some = sign.where("n > 0 and doc_id is not null")
+    out = some.join(of, ["n", "k1", "k2"]).select("doc_id", "n", "component_id")
+    out = out.unionAll(sign.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signature of each row, and the component of each class (n, k1, k2) of equal sets."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").alias("id"), "text")
@@ -232,6 +243,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         links = stored(links.unionAll(stored(more, "more").distinct()), "links")
         label = stored(components(links), "labels")
     of = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("label", "rep").alias("component_id"))
-    out = some.join(stored(of, "class-labels"), ["n", "k1", "k2"]).select("doc_id", "n", "component_id")
-    out = out.unionAll(sign.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return sign, stored(of, "class-labels")

@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, cap: int = 3, whole: bool
     }).withColumn("position", F.when(F.col("copies") > 0, due(F.col("begin"))).otherwise(
         1 + F.coalesce(F.try_divide("begin", "source_size"), F.lit(0.0))
     ))
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(
+    return in_order(out, "doc_id").select(
         "doc_id", "size", "source_size", "target", "taken", "copies", "position", "begin", "quota", "tilt", "mark", *keep
     )
 
@@ -109,10 +109,12 @@ def due(tokens: Column) -> Column:
     return F.when((a == 0) | (x == 0), x).otherwise(root)
 
 
-def schedule(mixed: DataFrame) -> DataFrame:
-    """A row for each copy that training sees (doc_id, copy, position), sorted by position."""
+def schedule(mixed: DataFrame, keep: tuple[str, ...] = ("doc_id", "mark")) -> DataFrame:
+    """A row for each copy of mix() that training sees: the columns of keep, copy (from 0), and position, when it is due."""
     each = mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    each = each.withColumn("position", due(F.col("begin") + F.col("copy") * F.col("source_size")))
-    return each.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy").select(
-        "doc_id", "mark", "copy", "position"
-    )
+    return each.select(*keep, "copy", due(F.col("begin") + F.col("copy") * F.col("source_size")).alias("position"))
+
+
+def in_order(rows: DataFrame, *ties: str) -> DataFrame:
+    """Rows sorted by position over all partitions."""
+    return rows.repartitionByRange("position", *ties).sortWithinPartitions("position", *ties)

@@ -72,24 +72,26 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def co_train(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights of the views (last: constant), and (scale of x, scale of y, constant). label: 1, 0, or -1."""
+def co_train(x: np.ndarray, y: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of the views (last: constant), and (scale of x, scale of y, constant). label: 1, 0, or -1. After the last exchange the
+    views are fitted once more."""
     hold = (np.arange(len(label)) % 4 == 0) & (label >= 0)  # for calibration
     views, known = (x, y), [np.where(hold, -1, label).astype(float) for _ in range(2)]
     prior = label[label >= 0].mean()
-    w = [None, None]
-    for _ in range(ROUNDS):
-        for k in (0, 1):
-            some = known[k] >= 0
-            w[k] = logistic(views[k][some], known[k][some], 1.0)
+
+    def fitted() -> list[np.ndarray]:
+        return [logistic(v[k >= 0], k[k >= 0], 1.0) for v, k in zip(views, known)]
+
+    for _ in range(rounds):
+        w = fitted()
         for k in (0, 1):
-            z = views[k] @ w[k]
-            p, free = sigmoid(z), (known[1 - k] < 0) & ~hold
+            p, free = sigmoid(views[k] @ w[k]), (known[1 - k] < 0) & ~hold
             quota = max(1, int(0.05 * free.sum()))
             for value, sure, share in ((1.0, p, prior), (0.0, 1 - p, 1 - prior)):  # in the classes' proportion
                 order = np.argsort(-np.where(free, sure, -1), kind="stable")[: max(1, int(quota * share))]
                 order = order[(sure[order] >= SURE) & free[order]]
                 known[1 - k][order] = value
+    w = fitted()
     logits = np.stack([x[hold] @ w[0], y[hold] @ w[1], np.ones(hold.sum())], 1)
     return w[0], w[1], logistic(logits, label[hold].astype(float), 0.1)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,17 +37,39 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    for scope in _scopes:
+        scope[path] = spark
+    return out
+
+
+#: Tables written in each open scratch().
+_scopes: list[dict[str, SparkSession]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Tables of stored() that are written inside are deleted at the end, but for those that the given function is called with."""
+    scope: dict[str, SparkSession] = {}
+    _scopes.append(scope)
+    try:
+        yield lambda *tables: [scope.pop(df.stored_at, None) for df in tables]
+    finally:
+        _scopes.pop()
+        for path, spark in scope.items():
+            _delete(spark, path)
 
 
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of stored() that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-            if path.getName()[-32:].isalnum() and str(path.getParent()).rstrip("/").endswith(shared_folder(spark).split(":", 1)[-1].lstrip("/")):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bits of maybe_in(); its bitmaps are BITS / 8 bytes whatever the data, so they can be broadcast.

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .gsaca import common_prefixes, suffix_array
 from .minhash import mix64
-from .shared import dropped, maybe_in, prepare, stored, with_maybe
+from .shared import dropped, maybe_in, prepare, scratch, stored, with_maybe
 
 WINDOW, GRAM = 400, 32
 REACH = WINDOW - GRAM  # bytes before an anchor that its windows can cover
@@ -378,7 +378,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text)."""
     mark = F.xxhash64(F.col("doc_id").isNull(), "text")
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("doc"), mark.alias("mark"))
-    spans = repeated_spans(docs.select("doc", "mark", "text"))
+    with scratch() as keep:
+        spans = repeated_spans(docs.select("doc", "mark", "text"))
+        keep(spans)
     marked = with_maybe(docs, "mark", spans.select("mark"))
     clean = marked.where("not __maybe").select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),

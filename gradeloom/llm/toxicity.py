@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .shared import prepare, stored
+from .shared import prepare, scratch, stored
 
 #: Documented bound of the fit: labelled rows that it looks at.
 SAMPLE, REPEATS = 12_000, 2
@@ -338,6 +338,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, targets: str = "model") -> Data
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text)."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    model, votes = fit(docs, labels, targets)
+    with scratch() as keep:
+        model, votes = fit(docs, labels, targets)
+        keep(*filter(None, [votes]))
     out = score(docs, model).select("doc_id", "score") if votes is None else linear(votes, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -284,6 +284,37 @@ def test_vectors(spark):
     assert all(got[k].n_links == 0 and got[k].kept for k in (52, 900, 901, 902, 903))
 
 
+def test_vectors_cases(spark):
+    """A vec_id with two vectors, repeated rows, columns with names of the operator's own, an empty table."""
+    r = np.random.default_rng(3)
+    a, b, c = r.standard_normal((3, 16))
+    near = lambda v: v + 0.02 * r.standard_normal(16)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, c), (4, c), (5, near(c)), (6, r.standard_normal(16))]
+    rows = [(i, v.tolist(), "x", "y", 0) for i, v in rows] + [(None, a.tolist(), "x", "y", 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, code string, key string, id int")
+    got = sorted((q.vec_id or 0, q.n_links, q.component_id, q.kept) for q in vectors.near_vectors(df).collect())
+    # both vectors of 1 have one link; 2 and 3 each reach 1
+    assert got == [(0, 0, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 2, 4, True), (4, 2, 4, True), (5, 2, 4, False), (6, 0, 6, True)]
+    assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_recall(spark):
+    """Against brute force, on pairs close to the threshold."""
+    r = np.random.default_rng(21)
+    x = r.standard_normal((700, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = r.standard_normal((700, 32))
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    t = r.uniform(0.88, 0.93, 700)[:, None]
+    v = np.concatenate([x, t * x + np.sqrt(1 - t * t) * y, r.standard_normal((2000, 32))])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {q.vec_id: q.n_links for q in vectors.near_vectors(df).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert all(got[k] <= want[k] for k in got) and sum(got.values()) >= 0.99 * want.sum() > 700
+
+
 def test_mtree(spark):
     r = np.random.default_rng(6)
     x = np.round(r.standard_normal((700, 8)), 1)  # with ties
@@ -445,6 +476,52 @@ class Ungated(licenses.Scanner):
         return True
 
 
+def test_license_finds_whole_texts_with_insertions_and_changes():
+    s, r = licenses.Scanner(licenses.TEMPLATES), random.Random(7)
+    for name, whole in licenses.TEMPLATES.items():
+        w = whole.split()
+        if len(w) < 60:
+            continue
+        text = [x for k, x in enumerate(w) if k % 12] + ["tail"]  # a twelfth is missing
+        text = "some words before\n" + "\n * ".join(" ".join(text[k : k + 9]) for k in range(0, len(text), 9)).upper()
+        (found,) = [f for f in s(text) if f[0] == name]
+        assert found[1] >= 0.85 and text[found[2] : found[3]].split()[0] == w[1].upper()
+        more = w[: len(w) // 2] + [f"x{r.randrange(999)}" for _ in range(int(0.9 * len(w)))] + w[len(w) // 2 :]  # as many words put in, nearly
+        assert [f[:2] for f in s(" ".join(more)) if f[0] == name] == [(name, 1.0)]
+
+
+def test_license_rows(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    rows = [(1, None, "a"), (2, "", "b"), (3, f"x {mit} y", "c"), (3, f"x {mit} y", "c"), (4, "é " * 40_000 + mit, "d"), (None, "no notice", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string").withColumnRenamed("license", "coverage_")
+    got = sorted((r.doc_id or 0, r.license, r.coverage, r.start, r.end, r.n_finds) for r in licenses.best(df).collect())
+    n = len(mit) - 1
+    assert got == [(0, None, None, None, None, 0), (1, None, None, None, None, 0), (2, None, None, None, None, 0), (3, "MIT", 1.0, 2, 2 + n, 1), (3, "MIT", 1.0, 2, 2 + n, 1), (4, "MIT", 1.0, 80_000, 80_000 + n, 1)]
+
+
+def test_exchanged_labels_teach():
+    """Two views that each tell little, and few labels: with the exchange the scores are better than without."""
+    r = np.random.default_rng(2)
+    right = {0: [], 4: []}
+    for _ in range(8):
+        truth = r.random(3000) < 0.5
+        view = lambda: np.column_stack([r.standard_normal((3000, 12)) + np.where(truth, 1, -1)[:, None] * 0.55, np.ones(3000)])
+        x, y = view(), view()
+        label = np.where(np.arange(3000) < 24, truth, -1).astype(int)
+        for rounds in right:
+            a, b, mix = quality.co_train(x, y, label, rounds)
+            right[rounds].append(np.mean((mix[0] * (x @ a) + mix[1] * (y @ b) + mix[2] > 0) == truth))
+    assert np.mean(right[4]) > np.mean(right[0]) + 0.01
+
+
+def test_quality_cases(spark):
+    docs, labels = learnable(spark)
+    plain = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    wide = docs.withColumns({"label": F.lit(1), "x": F.lit("x"), "score": F.lit(0.5)})
+    assert {r.doc_id: r.score for r in quality.quality(wide, labels).collect()} == plain
+    assert quality.quality(docs.unionAll(docs), labels).count() == 2 * docs.count()
+
+
 def test_license_gate():
     s, every, r = licenses.Scanner(licenses.TEMPLATES), Ungated(licenses.TEMPLATES), random.Random(4)
     assert [f[:2] for f in s("This is licensed under the MIT License.")] == [("MIT", 0.8)]

@@ -1,8 +1,12 @@
 """The corpus pipeline: documents -> toxicity -> near-duplicates -> personal data -> mixing -> BPE.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents. run() writes each
-stage's rows as Parquet into the shared folder and reads them back as the next one's docs. Rows with a null doc_id
-and such with a doc_id that others have too are rows like all others; no stage joins by doc_id what it returns.
+stage's rows as Parquet into the shared folder and reads them back as the next one's docs.
+
+Cases: rows with a null doc_id and such with a doc_id that others have too are rows like all others; no stage joins by doc_id what
+it returns. Null and empty texts have no toxicity, no personal data and no near-duplicates but rows that equal them in all columns, and
+no words: the mix takes none of them, so they end there. Repeated rows count once from the second stage on. Texts are
+read whole. An empty table, or labels of one class only, reject nothing; other columns than those of documents are left out.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import bpe, minhash, mixing, pii, toxicity
-from gradeloom.llm.shared import SPACE, stored
+from gradeloom.llm.shared import SPACE, dropped, scratch, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least similarity of near-duplicates; the 85 of op7_minhash is that query's own. 24 bands of 6 miss a pair at 0.8 with p about 0.0007.
@@ -21,7 +25,8 @@ PERCENT = 80
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among docs, doesn't reject."""
     docs = docs.select(COLUMNS)
-    model, _ = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with scratch():
+        model, _ = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("score < 0.5").select(COLUMNS)
 
 
@@ -50,11 +55,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each whole copy that the mix takes."""
+    """A row for each whole copy that the mix takes, in the order in which training sees them."""
     docs = keyed(docs)
-    taken = mixing.mix(docs, whole=True, keep=("row",)).where("copies > 0").select("row", "copies")
+    taken = mixing.schedule(mixing.mix(docs, whole=True, keep=("row",)), ("row",))
     docs = docs.join(stored(taken, "taken").hint("merge"), "row")
-    return docs.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
+    return mixing.in_order(docs, "row", "copy").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +80,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            keep(docs)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -559,6 +559,110 @@ def test_pipeline_keeps_rows_apart(spark):
     assert all(copies[k] <= 3 * least[k] for k in copies) and any(k[0] is None for k in copies)
 
 
+def plain_mix(rows, weights=(1, 2, 3), cap=3):
+    """How often each row (doc_id, text, source) is taken whole, by reading each source in the order of its digests again and again."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    by = Counter()
+    for (_, _, s), n in zip(rows, size):
+        by[s] += n
+    weight = {s: weights[k % 3] for k, s in enumerate(sorted(by, key=lambda s: (s is None, s or "")))}
+    target, total = {}, sum(by.values())
+    while True:
+        free = [s for s in by if s not in target]
+        rest = total - sum(target.values())
+        over = [s for s in free if rest * weight[s] / sum(weight[f] for f in free) >= cap * by[s]]
+        target |= {s: float(cap * by[s]) for s in over} if over else {s: rest * weight[s] / sum(weight[f] for f in free) for s in free}
+        if not over:
+            break
+    mark = [hashlib.md5(f"{'' if i is None else i} {t or ''}".encode()).hexdigest()[:16] for i, t, _ in rows]
+    taken, begin = [0] * len(rows), Counter()
+    for k in sorted(range(len(rows)), key=lambda k: (mark[k], -1 if rows[k][0] is None else rows[k][0])):
+        s = rows[k][2]
+        passes, left = divmod(round(target[s]), by[s]) if by[s] else (0, 0)
+        if size[k]:
+            taken[k] = passes + (passes < cap and begin[s] + size[k] / 2 <= left)
+        begin[s] += size[k]
+    return taken
+
+
+def test_pipeline_matches_a_plain_version(spark, tmp_path):
+    """run() against plain Python: planted toxic rows go, one row of each near-duplicate group stays, spans are masked, whole copies
+    are taken by the plain mix, and ids are the library's."""
+    import corpus_pipeline as p
+
+    tokenizers = pytest.importorskip("tokenizers")
+    r = random.Random(31)
+    prose = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(300)) for _ in range(n))
+    texts = []
+    for i in range(300):
+        toxic = " " + " ".join(r.choice(("grobian", "lumpen")) for _ in range(3)) if i % 4 == 0 else ""
+        private = r.choice((" mail a.b@example.com now", " call +1 (555) 123-4567", " joe at example dot com", "", "")) if i % 3 == 0 else ""
+        texts.append(prose(60) + toxic + private)
+    rows = [(i, t, "en", "abc"[i % 3] if i % 50 else None, len(t)) for i, t in enumerate(texts)]
+    for k in range(12):
+        w = rows[4 * k + 1][1].split()
+        w[-1] = "changed"
+        rows += [(400 + k, " ".join(w), "en", "a", 7), (500 + k, rows[4 * k + 2][1], "de", "b", 7)]
+    rows += [rows[5], rows[5], (None, rows[5][1], "en", "a", 0), (None, prose(50), "en", "b", 0), (600, None, None, None, None), (601, "", "en", "a", 0), (601, "", "en", "a", 0), (602, " \n", "en", "c", 3)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = [x for x in rows if "grobian" not in (x[1] or "") and "lumpen" not in (x[1] or "")]
+    sets, group = [shingles(t) for _, t, *_ in left], list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            alike = sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+            if alike or (not sets[a] and left[a] == left[b]):
+                group = [group[a] if g == group[b] else g for g in group]
+    first = {}
+    for g, x in zip(group, left):
+        first[g] = min(first.get(g, x), x, key=lambda x: (x[0] is None, x[0] or 0))
+    field = pii.Field(pii.trained())
+
+    def masked(t):
+        out, end = "", 0
+        for k, a, b in pii.all_spans(t, field)[1]:
+            out, end = (out + t[end:a] + f"[{k.upper()}]", b) if a >= end else (out, max(end, b))
+        return out + t[end:]
+
+    kept = [(i, None if t is None else masked(t), lang, s) for i, t, lang, s, _ in first.values()]
+    t, want = tokenizers.Tokenizer.from_file(bpe.default_tokenizer()), Counter()
+    for (i, text, lang, s), n in zip(kept, plain_mix([(i, t, s) for i, t, _, s in kept])):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+        want[i, lang, s, None if text is None else len(text), hashlib.sha256(ids).hexdigest()] += n
+    got = Counter((x.doc_id, x.lang, x.source, x.n_chars, x.ids_sha256) for x in p.run(spark, str(tmp_path)).collect())
+    assert got == +want and sum(got.values()) > 150
+
+
+def test_mix_is_written_in_the_order_of_its_positions(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(1, 30))), "en", "abc"[i % 3], i) for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix(docs, whole=True)
+    due = sorted((x.position, x.doc_id, x.copy) for x in mixing.schedule(mixed).collect())
+    assert len(due) == sum(x.copies for x in mixed.collect()) and 0 <= due[0][0] and due[-1][0] < 1
+    for s, tilt in zip("abc", mixing.TILTS):  # a source with a rising schedule is due later on the whole
+        mine = [at for at, i, _ in due if i % 3 == "abc".index(s)]
+        assert (np.mean(mine) > 0.5) == (tilt > 0) or tilt == 0
+    place = {}
+    for k, (_, i, copy) in enumerate(due):
+        place[i, copy] = k
+    seen, order = Counter(), []
+    for x in p.mix_sources(spark, docs, "").collect():
+        order.append(place[x.doc_id, seen[x.doc_id]])
+        seen[x.doc_id] += 1
+    assert sorted(order) == list(range(len(due))) and sum(a > b for a, b in zip(order, order[1:])) <= len(due) // 20  # ties of rows aside
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_removes_near_copies_from_80_percent(spark):
     import corpus_pipeline as p
 

@@ -15,7 +15,11 @@ STOP_WORDS = (
 #: The marker of cut texts, the separators of samples, and tokens allowed by role.
 CUT_MARK = "\n...[truncated]"
 MIDDLE_MARK, END_MARK = "\n...[middle sample]...\n", "\n...[end sample]...\n"
-TOKENS_BY_ROLE = {"synthesizer": 700, "architect": 800, "trainer": 1100, "student": 475, "examiner": 425, "distiller": 800}
+TOKENS_BY_ROLE = {
+    "synthesizer": 700, "core architect": 800, "trainer": 1100, "student": 475, "core examiner": 375, "examiner": 425, "transfer": 600,
+    "single transfer": 650, "distiller": 800,
+}
+OTHER_TOKENS = 550
 UNICODE_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -23,9 +27,19 @@ def truncate(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(CUT_MARK))).otherwise(c)
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, f"^{UNICODE_SPACE}|{UNICODE_SPACE}$", "")
+
+
 def strip_reasoning(c: Column) -> Column:
-    space = UNICODE_SPACE
-    return F.regexp_replace(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""), f"^{space}|{space}$", "")
+    return strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
+
+
+def clean_list(items: Column) -> Column:
+    """Items stripped, blank ones gone; null counts as empty."""
+    stripped = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: strip(F.coalesce(x, F.lit(""))))
+    return F.filter(stripped, lambda x: x != "")
 
 
 def normalize_space(c: Column) -> Column:
@@ -54,14 +68,13 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(kept, singular))
 
 
-def sample_segments(c: Column, limit: int = 3000) -> Column:
-    """Texts over the limit: beginning, middle and end of equal lengths with marks between them."""
-    if limit < 300:
-        return F.substring(c, 1, limit)
-    third = max(3, limit - len(MIDDLE_MARK) - len(END_MARK)) // 3
-    middle = F.substring(c, F.greatest(F.lit(0), F.floor(F.length(c) / 2) - third // 2).cast("int") + 1, F.lit(third))
-    parts = F.concat(F.substring(c, 1, third), F.lit(MIDDLE_MARK), middle, F.lit(END_MARK), F.right(c, F.lit(third)))
-    return F.when(F.length(c) <= limit, c).otherwise(truncate(parts, limit))
+def sample_segments(c: Column, limit: int | Column = 3000) -> Column:
+    """Texts over the limit: beginning, middle and end of equal lengths with marks between them; below 300, the beginning only."""
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    third = F.floor((limit - len(MIDDLE_MARK) - len(END_MARK)) / 3).cast("int")
+    start = F.greatest(F.lit(0), F.floor(F.length(c) / 2) - F.floor(third / 2)).cast("int") + 1
+    parts = F.concat(F.substring(c, F.lit(1), third), F.lit(MIDDLE_MARK), F.substring(c, start, third), F.lit(END_MARK), F.right(c, third))
+    return F.when(F.length(c) <= limit, c).when(limit < 300, F.substring(c, F.lit(1), limit)).otherwise(parts)
 
 
 def bounded_sample(c: Column, limit: int = 1500) -> Column:
@@ -78,9 +91,9 @@ def expects_json(system: Column) -> Column:
 
 
 def token_budget(role: Column, asked: Column) -> Column:
+    """What a role is given of the tokens it asks for; the architect who must quote its sources is given all."""
     table = F.create_map(*[F.lit(x) for kv in TOKENS_BY_ROLE.items() for x in kv])
-    capped = F.least(asked, F.coalesce(F.try_element_at(table, role), F.lit(550)))
-    return F.when(role == "architect", asked).when(role == "single transfer", F.least(asked, F.lit(650))).otherwise(capped)
+    return F.when(role == "architect", asked).otherwise(F.least(asked, F.coalesce(F.try_element_at(table, role), F.lit(OTHER_TOKENS))))
 
 
 def retry_budget(base: Column) -> Column:

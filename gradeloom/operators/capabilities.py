@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import truthy
-from ..functions.text import slug
+from ..functions.text import slug, strip
 from .grounding import cap_critical, exact_evidence, first_by_key, head, keep_supported
 
 FIELDS = ("name", "description", "evidence_url", "evidence_quote")
@@ -21,7 +21,7 @@ def parse(responses: DataFrame) -> DataFrame:
     rows = rows.where(F.schema_of_variant("__item").startswith("OBJECT"))
     text = lambda f: F.try_variant_get("__item", f"$.{f}", "string")
     rows = first_by_key(rows, ["identity_id"], slug(text("id")), F.col("cap_ord")).withColumn("cap_id", slug(text("id")))
-    trimmed = {f: F.trim(F.coalesce(text(f), F.col("cap_id") if f == "name" else F.lit(""))) for f in FIELDS}
+    trimmed = {f: strip(F.coalesce(text(f), F.col("cap_id") if f == "name" else F.lit(""))) for f in FIELDS}
     return rows.select("identity_id", "cap_ord", "cap_id", *[c.alias(f) for f, c in trimmed.items()], truthy(F.to_json("__item"), "$.critical").alias("critical"))
 
 

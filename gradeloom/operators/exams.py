@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import truthy, whole
-from ..functions.text import truncate
+from ..functions.text import clean_list, strip, truncate
 from .scoring import bound_updates, exam_passed, exam_score
 
 #: The mark of corrections among lessons, and the lengths of texts that are kept.
@@ -29,8 +29,8 @@ def coerce(exams: DataFrame, conservative: bool = True) -> DataFrame:
         "critical_failure": truthy(F.col("object"), "$.critical_failure"),
         "corrections": F.coalesce(F.transform(part("corrections", "array<variant>"), lambda c: F.coalesce(F.try_variant_get(c, "$", "string"), F.to_json(c))), F.array().cast("array<string>")),
         "capability_updates": F.coalesce(F.transform_values(part("capability_updates", "map<string,variant>"), lambda k, c: whole(c)), F.create_map().cast("map<string,int>")),
-        "durable_lesson": F.trim(F.coalesce(part("durable_lesson", "string"), F.lit(""))),
-        "regression_case": F.trim(F.coalesce(part("regression_case", "string"), F.lit(""))),
+        "durable_lesson": strip(F.coalesce(part("durable_lesson", "string"), F.lit(""))),
+        "regression_case": strip(F.coalesce(part("regression_case", "string"), F.lit(""))),
         "__said": F.when(part("passed").isNotNull(), truthy(F.col("object"), "$.passed")),
     })
     x = x.withColumn("score", exam_score(F.col("__raw"), F.col("corrections")) if conservative else F.col("__raw"))
@@ -43,7 +43,7 @@ def coerce(exams: DataFrame, conservative: bool = True) -> DataFrame:
 def lessons(exams: DataFrame, keys: list[str]) -> DataFrame:
     """keys, sub, lesson: the lesson of a passed exam, then its corrections that aren't blank."""
     own = F.when(F.col("passed") & (F.col("durable_lesson") != ""), truncate(F.col("durable_lesson"), LESSON_CHARS))
-    fixes = F.transform(F.filter(F.transform("corrections", lambda c: F.trim(c)), lambda c: c != ""), lambda c: F.concat(F.lit(CORRECTION), truncate(c, CORRECTION_CHARS)))
+    fixes = F.transform(clean_list(F.col("corrections")), lambda c: F.concat(F.lit(CORRECTION), truncate(c, CORRECTION_CHARS)))
     return exams.select(*keys, F.posexplode(F.concat(F.array_compact(F.array(own)), fixes)).alias("sub", "lesson"))
 
 

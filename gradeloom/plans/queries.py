@@ -9,7 +9,7 @@ from ..functions import jsonx, urls
 from ..functions import text as T
 from ..operators import capabilities, curriculum, exams, gates, grounding, scoring
 from ..sources import html, specs
-from . import render
+from . import live, prompts, render, responder
 from .run import run
 
 Q: dict = {}
@@ -30,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: White space in SQL, by what Unicode and Python's split() call so.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+strip_sql = lambda c: f"regexp_replace({c}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+normal_sql = lambda c: f"trim(regexp_replace({c}, '{BLANK}+', ' ', 'g'))"
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
@@ -53,7 +57,7 @@ def q_lexical_support(spark, sf_dir):
     return grounding.token_overlap(claims, sources).select(F.col("claim_id").alias("item_id"), F.col("source_id").alias("doc_id"), "hits")
 
 
-@query("""with q as (select item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as quote from benchmark), d as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from documents)
+@query(f"""with q as (select item_id, {normal_sql("text")} as quote from benchmark), d as (select doc_id, {normal_sql("text")} as text from documents)
 select item_id, doc_id from q join d on contains(d.text, q.quote) where length(quote) >= 24""")
 def q_exact_quote(spark, sf_dir):
     quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
@@ -90,7 +94,7 @@ def q_head_n(spark, sf_dir):
     return grounding.head(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], F.col("event_id"), 6)
 
 
-@query("select min(doc_id) as doc_id from documents group by source, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))")
+@query(f"select min(doc_id) as doc_id from documents group by source, {normal_sql('lower(text)')}")
 def q_dedup_first(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return grounding.first_by_key(d, ["source"], T.normalize_task(F.col("text")), F.col("doc_id")).select("doc_id")
@@ -102,20 +106,26 @@ def q_crit_cap(spark, sf_dir):
     return grounding.cap_critical(e, ["user_id"], F.col("event_id")).select("event_id", "critical")
 
 
-@query("select page_id, url like 'https://%' as ok from pages")
+#: Hosts by the remainder of page_id, and whether the guard lets them pass.
+HOSTS = (
+    ("", True), ("https://user@example.org/", False), ("https://127.0.0.1/x", False), ("https://10.1.2.3", False), ("https://box.local./a", False), ("https://LOCALHOST", False),
+    ("https://100.64.0.1/", True), ("https://[::1]/", False), ("https://2130706433/", True), ("https://224.0.0.1/", False), ("https://8.8.8.8/dns", True), ("https://192.168.1.1:8443/", False),
+)
+
+
+@query(f"select page_id, case page_id % {len(HOSTS)} when 0 then url like 'https://%' {' '.join(f'when {k} then {str(ok).lower()}' for k, (_, ok) in enumerate(HOSTS) if k)} end as ok from pages")
 def q_url_guard(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.safe_url(F.col("url")).alias("ok"))
+    u = F.try_element_at(F.array(*[F.lit(h or None).cast("string") for h, _ in HOSTS]), (F.col("page_id") % len(HOSTS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.safe_url(F.coalesce(u, "url")).alias("ok"))
 
 
-@query("select event_id, json_extract_string(props, '$.k') as k from events")
-def q_json_field(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+SAID = strip_sql("regexp_replace(' <think>a' || text || '</think> ' || chr(9) || text || chr(160), '<think>.*?</think>', '', 's')")
 
 
-@query("select conv_id, turn, case when length(text) > 80 then substr(text, 1, 80) || chr(10) || '...[truncated]' else text end as cut, trim(regexp_replace('<think>a' || text || '</think> ' || text, '<think>.*?</think>', '', 's')) as said, nullif(trim(regexp_replace(lower(text), '[^a-z0-9_]+', '_', 'g'), '_'), '') as slug from conversations")
+@query(f"select conv_id, turn, case when length(text) > 80 then substr(text, 1, 80) || chr(10) || '...[truncated]' else text end as cut, {SAID} as said, nullif(trim(regexp_replace(lower(text), '[^a-z0-9_]+', '_', 'g'), '_'), '') as slug from conversations")
 def q_text_functions(spark, sf_dir):
     c, t = table(spark, sf_dir, "conversations"), F.col("text")
-    return c.select("conv_id", "turn", T.truncate(t, 80).alias("cut"), T.strip_reasoning(F.concat(F.lit("<think>a"), t, F.lit("</think> "), t)).alias("said"), T.slug(t).alias("slug"))
+    return c.select("conv_id", "turn", T.truncate(t, 80).alias("cut"), T.strip_reasoning(F.concat(F.lit(" <think>a"), t, F.lit("</think> \t"), t, F.lit("\xa0"))).alias("said"), T.slug(t).alias("slug"))
 
 
 @query("select page_id, cast(least(3200, greatest(1800, 27000 // (page_id % 12 + 1))) as integer) as budget, cast(least(greatest(page_id + 256, page_id * 2), 1400) as bigint) as retry from pages")
@@ -137,7 +147,10 @@ def q_unknown_ids(spark, sf_dir):
     return curriculum.unknown_ids(table(spark, sf_dir, "events").select("event_id", "event_type"), known, ["event_type"])
 
 
-@query("select item_id, len(list_filter(string_split(text, '. '), lambda x: length(x) >= 18)) = 0 as weak, len(list_filter(list_transform(string_split(text, '. '), lambda x: trim(x)), lambda x: x <> '')[1:6]) as n_items from benchmark")
+STRIPPED = strip_sql("x")
+
+
+@query(f"select item_id, len(list_filter(string_split(text, '. '), lambda x: length(x) >= 18)) = 0 as weak, len(list_filter(list_transform(string_split(text, '. '), lambda x: {STRIPPED}), lambda x: x <> '')[1:6]) as n_items from benchmark")
 def q_rubric(spark, sf_dir):
     items = F.split("text", r"\. ")
     return table(spark, sf_dir, "benchmark").select("item_id", T.weak_rubric(items).alias("weak"), F.size(curriculum.clean_items(items)).cast("long").alias("n_items"))
@@ -149,36 +162,41 @@ def _exams(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     c = c.withColumn("back", F.row_number().over(w))
     specs = c.groupBy(F.col("conv_id").alias("identity_id")).agg(F.greatest(F.lit(0), F.count("*") - 2).alias("rounds"))
-    rounds = c.where("back > 2").select(F.col("conv_id").alias("identity_id"), F.col("bad").alias("critical_failure"))
-    tr = c.where("back <= 2").select(F.col("conv_id").alias("identity_id"), F.col("turn").alias("number"), "score", (F.col("score") >= 3).alias("passed"), F.col("bad").alias("critical_failure"), F.when(F.col("score") == 4, 0).otherwise(F.col("turn") % 2).alias("n_corrections"), (F.col("back") == 1).alias("adversarial"))
-    caps = c.where("back > 2").groupBy(F.col("conv_id").alias("identity_id")).agg(F.lit(True).alias("critical"), F.max("score").alias("score"), F.count("*").alias("observations"))
+    rounds = c.where("back > 2").select(F.col("conv_id").alias("identity_id"), F.col("turn").alias("round_no"), F.col("bad").alias("critical_failure"))
+    tr = c.where("back <= 2").select(F.col("conv_id").alias("identity_id"), F.col("turn").alias("number"), "score", (F.col("score") >= 3).alias("passed"), F.col("bad").alias("critical_failure"), F.when((F.col("score") != 4) & (F.col("turn") % 2 == 1), F.array(F.concat(F.lit("fix "), "turn"), F.lit(" \t"))).otherwise(F.array().cast("array<string>")).alias("corrections"), (F.col("back") == 1).alias("adversarial"))
+    role = F.when(F.col("turn") % 2 == 0, "even").otherwise("odd")
+    caps = c.where("back > 2").groupBy(F.col("conv_id").alias("identity_id"), role.alias("cap_id")).agg(F.min("turn").alias("cap_ord"), F.lit(True).alias("critical"), F.max("score").alias("score"), F.count("*").alias("observations"))
     return specs, rounds, tr, caps
 
 
 EXAMS = """with c as (select conv_id, turn, length(text) % 5 as score, length(text) % 11 = 0 as bad, row_number() over (partition by conv_id order by turn desc) as back from conversations),
 s as (select conv_id as identity_id, greatest(0, count(*) - 2) as rounds from c group by 1),
-r as (select conv_id as identity_id, count(*) as done, bool_or(bad) as rf from c where back > 2 group by 1),
-t as (select conv_id as identity_id, count(*) as n, round(avg(score), 3) as average, min(score) as lowest, bool_or(bad) as tf,
- bool_and(score >= 3 and not bad and (score = 4 or turn % 2 = 0)) as clean from c where back <= 2 group by 1),
-k as (select conv_id as identity_id, max(score) as score, count(*) as observations from c where back > 2 group by 1),
-x as (select s.identity_id, rounds, coalesce(done, 0) as done, coalesce(rf, false) or coalesce(tf, false) as failed, n, coalesce(average, 0.0) as average, lowest, clean,
- coalesce(k.score < 3 or observations < 2, false) as weak2, coalesce(k.score < 3, false) as weak1 from s left join r using (identity_id) left join t using (identity_id) left join k using (identity_id)),
-g as (select *, done = rounds and done > 0 and n = 2 and lowest >= 3 and not failed and not weak2 as base from x) """
-
-
-@query(EXAMS + "select identity_id, average >= 3 and not failed and not weak1 as ready, case when average >= 3 and not failed and not weak1 then 'PASS' when average >= 2.5 and not failed then 'CONDITIONAL PASS' else 'FAIL' end as outcome, average from g")
+r as (select conv_id as identity_id, count(*) as done, list(cast(turn as varchar) order by turn) filter (bad) as rf from c where back > 2 group by 1),
+t as (select conv_id as identity_id, count(*) as n, round(avg(score), 3) as average, min(score) as lowest, list('transfer-' || turn order by turn) filter (bad) as tf,
+ bool_and(score >= 3 and not bad and (score = 4 or turn % 2 = 0)) as clean, list(cast(score as integer) order by turn) as scores, list('fix ' || turn order by turn) filter (score <> 4 and turn % 2 = 1) as fixes from c where back <= 2 group by 1),
+k as (select conv_id, min(turn) as ord, case when turn % 2 = 0 then 'even' else 'odd' end as cap_id, max(score) as score, count(*) as observations from c where back > 2 group by 1, 3),
+w as (select conv_id as identity_id, list(cap_id order by ord) filter (score < 3) as weak1, list(cap_id order by ord) filter (score < 3 or observations < 2) as weak2 from k group by 1),
+x as (select s.identity_id, rounds, coalesce(done, 0) as done, list_concat(coalesce(rf, []), coalesce(tf, [])) as failures, n, coalesce(average, 0.0) as average, lowest, n = 2 and clean as clean, coalesce(scores, []) as scores, coalesce(fixes, []) as fixes,
+ coalesce(weak1, []) as weak1, coalesce(weak2, []) as weak2 from s left join r using (identity_id) left join t using (identity_id) left join w using (identity_id)),
+g as (select *, average >= 3 and len(failures) = 0 and len(weak1) = 0 as core, average >= 2.5 and len(failures) = 0 as near,
+ done = rounds and done > 0 and n = 2 and lowest >= 3 and len(failures) = 0 and len(weak2) = 0 as base from x) """
+
+
+@query(EXAMS + f"""select identity_id, core as ready, case when near then 'CONDITIONAL PASS' else 'FAIL' end as outcome, average, weak1 as weak_critical, failures as critical_failures,
+case when core then '{gates.NEXT_QUALIFY}' when near then '{gates.NEXT_REPAIR}' else '{gates.NEXT_TRAIN}' end as condition from g""")
 def q_gate_core(spark, sf_dir):
-    return gates.gate(*_exams(spark, sf_dir), profile="core")
+    return gates.qualify(*_exams(spark, sf_dir), profile="core").select("identity_id", "ready", "outcome", "average", "weak_critical", "critical_failures", "condition")
 
 
-@query(EXAMS + "select identity_id, base as ready, case when base then 'CONDITIONAL PASS' else 'FAIL' end as outcome, average from g")
+@query(EXAMS + "select identity_id, base as ready, case when base then 'CONDITIONAL PASS' else 'FAIL' end as outcome, average, 'NOT_RUN' as native_status, scores as transfer_scores, weak2 as weak_critical, failures as critical_failures from g")
 def q_gate_conservative(spark, sf_dir):
-    return gates.gate(*_exams(spark, sf_dir))
+    return gates.qualify(*_exams(spark, sf_dir)).select("identity_id", "ready", "outcome", "average", "native_status", "transfer_scores", "weak_critical", "critical_failures")
 
 
-@query(EXAMS + "select identity_id, base and clean as ready, case when base and clean then 'CONDITIONAL PASS' else 'FAIL' end as outcome, average from g")
+@query(EXAMS + f"""select identity_id, base and clean as ready, case when base and clean then 'CONDITIONAL PASS' else 'FAIL' end as outcome, average, clean as transfer_clean, coalesce(n = 2, false) as transfer_profile_ready, fixes as transfer_corrections,
+case when clean then '{gates.NEXT_QUALIFY}' else '{gates.NEXT_CLEAN}' end as condition from g""")
 def q_gate_audit(spark, sf_dir):
-    return gates.gate(*_exams(spark, sf_dir), profile="audit")
+    return gates.qualify(*_exams(spark, sf_dir), profile="audit").select("identity_id", "ready", "outcome", "average", "transfer_clean", "transfer_profile_ready", "transfer_corrections", "condition")
 
 
 @query("select u.user_id, t.event_type, count(distinct event_id // 10) as n_tasks from (select distinct user_id from events) u cross join (values ('click'), ('view')) t(event_type) left join events e on e.user_id = u.user_id and e.event_type = t.event_type group by 1, 2")
@@ -189,44 +207,279 @@ def q_coverage(spark, sf_dir):
     return curriculum.coverage(tasks, caps).select(F.col("identity_id").alias("user_id"), F.col("cap_id").alias("event_type"), "n_tasks")
 
 
-@query("select conv_id, turn, text, 'PROPOSED_UNVERIFIED' as status from (select * from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 20) where trim(text) <> ''")
+TEXT = strip_sql("text")
+
+
+@query(f"select conv_id, turn, text, 'PROPOSED_UNVERIFIED' as status from (select * from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 20) where {TEXT} <> ''")
 def q_regressions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("identity_id"), F.col("turn").alias("ord"), F.col("text").alias("case"))
     return render.regression_set(c).select(F.col("identity_id").alias("conv_id"), F.col("ord").alias("turn"), F.col("case").alias("text"), "status")
 
 
-@query("""select source as identity_id, '## Evidenced' || chr(10) || coalesce(string_agg(case when doc_id % 2 = 0 then '- ' || lang || ': [model-proposed scope, unverified] ' || doc_id end, chr(10) order by doc_id), '- none') || chr(10) || chr(10) || '## Gaps' || chr(10) || coalesce(string_agg(case when doc_id % 2 = 1 then '- ' || lang end, chr(10) order by doc_id), '- none') as capsule from documents group by source""")
-def q_capsule(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    caps = d.select(F.col("source").alias("identity_id"), F.col("doc_id").alias("cap_ord"), F.col("lang").alias("name"), F.col("doc_id").cast("string").alias("description"), F.when(F.col("doc_id") % 2 == 0, "PROXY_EVIDENCED").otherwise("UNTESTED").alias("status"))
-    return render.capsule(caps)
+def _twelves(spark, sf_dir):
+    """Documents as identities of up to twelve sources, of which every tenth has an unsafe URL."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    url = F.concat(F.when(n % 10 == 3, "http://").otherwise("https://"), F.lit("example.org/"), n)
+    return d.select(F.concat(F.lit("g"), F.expr("doc_id div 12")).alias("identity_id"), n.alias("source_ord"), "doc_id", "lang", url.alias("url"), F.col("text").alias("html"))
+
+
+IDENTITY = "'g' || doc_id // 12"
+PACKS = f"""d as (select *, {IDENTITY} as identity_id, case when doc_id % 10 = 3 then 'http' else 'https' end || '://example.org/' || doc_id as url, doc_id % 10 <> 3 as ok, count(*) over (partition by {IDENTITY}) as n from documents),
+l as (select *, least(3200, greatest(1800, 27000 // n)) as most, (least(3200, greatest(1800, 27000 // n)) - 43) // 3 as third from d),
+e as (select *, case when length(text) <= most then text else substr(text, 1, third) || chr(10) || '...[middle sample]...' || chr(10) || substr(text, length(text) // 2 - third // 2 + 1, third) || chr(10) || '...[end sample]...' || chr(10) || right(text, third) end as sample from l),
+p as (select identity_id, string_agg('<SOURCE url="' || url || '">' || chr(10) || sample || chr(10) || '</SOURCE>', chr(10) || chr(10) order by doc_id) filter (ok) as whole from e group by 1),
+packs as (select identity_id, case when length(whole) > 30000 then substr(whole, 1, 30000) || chr(10) || '...[truncated]' else whole end as pack from p)"""
+
+
+def _evidence(spark, sf_dir):
+    return html.source_evidence(html.acquire(_twelves(spark, sf_dir)), limit=3_200)
+
+
+@query(f"with {PACKS} select doc_id, case when ok then 'ok' else 'failed' end as status, case when ok then sha256(text) end as sha256, case when ok then cast(length(text) as integer) end as source_chars, case when ok then cast(length(sample) as integer) end as sample_chars from e")
+def q_source_evidence(spark, sf_dir):
+    return _evidence(spark, sf_dir).select(F.col("source_ord").alias("doc_id"), "status", "sha256", "source_chars", "sample_chars")
+
+
+@query(f"with {PACKS} select * from packs")
+def q_source_pack(spark, sf_dir):
+    return html.packs(_evidence(spark, sf_dir))
+
+
+@query(f"""with {PACKS}, m as (select doc_id, pack, '<SOURCE url="' || url || '">' as mark from e join packs using (identity_id) where pack is not null),
+r as (select doc_id, strpos(pack, mark) as pos, substr(pack, strpos(pack, mark) + length(mark)) as rest from m)
+select doc_id, case when pos > 0 and strpos(rest, '</SOURCE>') > 0 then substr(rest, 1, strpos(rest, '</SOURCE>') - 1) else '' end as block from r""")
+def q_source_block(spark, sf_dir):
+    e = _evidence(spark, sf_dir)
+    rows = e.select("identity_id", "source_ord", "url").join(html.packs(e).where("pack is not null"), "identity_id")
+    return rows.select(F.col("source_ord").alias("doc_id"), html.block_text(F.col("pack"), F.col("url")).alias("block"))
 
 
-@query()
+TAGS = "|".join(f"<{t}[^>]*>.*?</{t}>" for t in sorted(html.SKIPPED))
+DECODED = "replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""with p as (select page_id, url like 'https://%' as ok, string_split_regex(regexp_replace(html, '<!--.*?-->|{TAGS}', '<>', 'gs'), '<[^>]*>') as parts from pages)
+select page_id, case when ok then array_to_string(list_filter(list_transform(parts, lambda x: {strip_sql(DECODED)}), lambda x: x <> ''), chr(10)) end as text, case when ok then 'ok' else 'failed' end as status, case when not ok then 'unsafe URL' end as error from p""")
 def q_html_text(spark, sf_dir):
     return html.acquire(table(spark, sf_dir, "pages")).select("page_id", "text", "status", "error")
 
 
-@query()
-def q_source_pack(spark, sf_dir):
-    p = html.acquire(table(spark, sf_dir, "pages")).withColumn("host", urls.host_of(F.col("url")))
-    ev = html.source_evidence(p.withColumn("key", F.struct("host", "page_id")), "key", 12).select("key.host", "key.page_id", "url", "status", "sample")
-    return html.pack(ev, "host", "page_id")
+@query("select page_id, case when octet_length(encode(html)) > 3000 then replace(decode(encode(html)[1:3000 - n]), chr(0), '') else html end as cut from (select *, 0 as n from pages) where octet_length(encode(html)) = length(html) or octet_length(encode(html)) <= 3000")
+def q_byte_cap(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").where("octet_length(html) = length(html) or octet_length(html) <= 3000")
+    return p.select("page_id", html.cut_text(F.col("html"), 3_000).alias("cut"))
 
 
-@query()
+@query("""select conv_id, turn, '{"text": ' || cast(to_json(text) as varchar) || ', "role": ' || cast(to_json(role) as varchar) || '}' as json, cast(null as varchar) as error, text <> '' as truthy from conversations""")
 def q_json_object(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("```json\n"), F.to_json(F.struct("text", "role")), F.lit("\n```")).alias("said"))
     x = c.select("conv_id", "turn", jsonx.json_object("said").alias("j"))
     return x.select("conv_id", "turn", "j.json", "j.error", jsonx.truthy(F.col("j.json"), "$.text").alias("truthy"))
 
 
-@query()
+#: Responses of models, and the object that is found in each (null: none).
+SAID = (
+    ('{"a": 1}', '{"a": 1}'), ('```json\n{"a": "}"}\n```', '{"a": "}"}'), ('so {"a": {"b": 2}} end', '{"a": {"b": 2}}'), ('[{"a": 1}]', '{"a": 1}'), ('{bad} {"a": 1}', None), ("{", None),
+    ("none", None), ('{"a": 1, "a": 2}', '{"a": 2}'), ('<think>{"x": 1}</think>{"y": 2}', '{"y": 2}'), ('x {"a": "\\"}"} y', '{"a": "\\"}"}'), ("", None), (None, None), ('``` {"q": []} ```', '{"q": []}'),
+)
+quoted = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@query("select * from (values " + ", ".join(f"({k}, {quoted(found)}, {str(found is None).lower()})" for k, (_, found) in enumerate(SAID)) + ") t(id, json, failed)")
+def q_json_responses(spark, sf_dir):
+    rows = spark.createDataFrame([(k, said) for k, (said, _) in enumerate(SAID)], "id int, said string").select("id", jsonx.json_object("said").alias("j"))
+    return rows.select("id", "j.json", F.col("j.error").isNotNull().alias("failed"))
+
+
+def _claims(spark, sf_dir):
+    """A claim of each document: named by its first two words, described by the next document's, quoted from either."""
+    d = table(spark, sf_dir, "documents").withColumn("next", F.coalesce(F.lead("text").over(Window.partitionBy(F.expr("doc_id div 12")).orderBy("doc_id")), "text"))
+    word, n = lambda c, k: F.array_join(F.slice(F.split(c, " "), 1, k), " "), F.col("doc_id")
+    url = F.concat(F.lit("https://example.org/"), n + F.when(n % 7 == 0, 5_000_000).otherwise(0))
+    return d.select(
+        F.concat(F.lit("g"), F.expr("doc_id div 12")).alias("identity_id"), "doc_id", "text", n.alias("cap_ord"), word("text", 2).alias("name"),
+        F.when(n % 2 == 0, word("next", 12)).otherwise(word("text", 12)).alias("description"), url.alias("evidence_url"), F.substring(F.when(n % 5 == 0, F.col("next")).otherwise(F.col("text")), 3, 60).alias("evidence_quote"),
+    )
+
+
+CLAIMS = f"""d as (select *, {IDENTITY} as identity_id, coalesce(lead(text) over (partition by doc_id // 12 order by doc_id), text) as next from documents),
+c as (select identity_id, doc_id, text, array_to_string(string_split(text, ' ')[1:2], ' ') as name, array_to_string(string_split(case when doc_id % 2 = 0 then next else text end, ' ')[1:12], ' ') as description,
+ {normal_sql("substr(case when doc_id % 5 = 0 then next else text end, 3, 60)")} as quote from d),
+k as (select *, {tokens_sql('name')} as nt, {tokens_sql('description')} as dt, {tokens_sql('text')} as st from c),
+v as (select *, list_filter(dt, lambda x: not list_contains(nt, x)) as rest from k),
+supported as (select *, doc_id % 7 <> 0 and length(quote) >= 24 and contains({normal_sql('text')}, quote) and len(nt) > 0 and len(list_intersect(nt, st)) >= case when len(nt) = 1 then 1 else 2 end
+ and (len(rest) = 0 or len(list_intersect(rest, st)) >= greatest(1, ceil(len(rest) * 0.5))) as yes from v)"""
+
+
+@query(f"with {CLAIMS} select doc_id, yes as supported from supported")
+def q_exact_evidence(spark, sf_dir):
+    c = _claims(spark, sf_dir)
+    blocks = c.select("identity_id", F.concat(F.lit("https://example.org/"), "doc_id").alias("url"), F.col("doc_id").alias("source_ord"), "text")
+    return grounding.exact_evidence(c.drop("text"), blocks).select("doc_id", "supported")
+
+
+@query(f"""with {CLAIMS}, f as (select *, nullif(trim(regexp_replace(lower(name), '[^a-z0-9_]+', '_', 'g'), '_'), '') as cap_id from supported),
+u as (select * from f where cap_id is not null qualify row_number() over (partition by identity_id, cap_id order by doc_id) = 1),
+s as (select *, count(*) over (partition by identity_id) as n, row_number() over (partition by identity_id order by doc_id) as nth from u where yes)
+select identity_id, cap_id, doc_id % 3 <> 0 and sum(cast(doc_id % 3 <> 0 as integer)) over (partition by identity_id order by doc_id rows unbounded preceding) <= 3 as critical, case when n < 3 then 'too few supported capabilities' end as error from s where nth <= 6""")
+def q_grounded_map(spark, sf_dir):
+    c = _claims(spark, sf_dir)
+    one = F.struct("cap_ord", F.col("name").alias("id"), "name", "description", "evidence_url", "evidence_quote", (F.col("doc_id") % 3 != 0).alias("critical"))
+    said = c.groupBy("identity_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("capabilities"))).alias("object"))
+    blocks = c.select("identity_id", F.concat(F.lit("https://example.org/"), "doc_id").alias("url"), F.col("doc_id").alias("source_ord"), "text")
+    return capabilities.grounded_map(said, blocks).select("identity_id", "cap_id", "critical", "error")
+
+
+def _curricula(spark, sf_dir):
+    """Conversations as responses of a trainer: some tasks are blank, without ids, with unknown ids or without a rubric."""
+    c = table(spark, sf_dir, "conversations").withColumn("x", F.length("text") % 9)
+    ids = F.when(F.col("x") == 1, F.array().cast("array<string>")).when(F.col("x") == 2, F.array("role", F.lit("zz"))).otherwise(F.array("role"))
+    rubric = F.when(F.col("x") == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit(" \t"), F.substring("text", 1, 30), F.lit("\u2003short")))
+    task = F.struct("turn", F.when(F.col("x") == 0, " \u00a0\n").otherwise(F.col("text")).alias("task"), ids.alias("capability_ids"), rubric.alias("hidden_rubric"), (F.col("x") > 4).alias("adversarial"), F.lit("false").alias("critical"))
+    said = c.groupBy(F.col("conv_id").alias("identity_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(task)).alias("rounds"))).alias("object"))
+    caps = said.select("identity_id", F.posexplode(F.array(F.lit("user"), F.lit("assistant"), F.lit("system"))).alias("cap_ord", "cap_id"))
+    return said, caps.withColumns({"name": F.upper("cap_id"), "description": F.concat(F.lit("does "), "cap_id")})
+
+
+CURRICULA = f"""t as (select conv_id, row_number() over (partition by conv_id order by turn) as round_no, count(*) over (partition by conv_id) as n, role, text, length(text) % 9 as x from conversations),
+e as (select *, case when x = 0 or {strip_sql('text')} = '' then 'blank task' when x = 1 then 'no capability' when x = 2 then 'unknown capability zz' when x = 3 then 'no rubric' end as error from t where round_no <= 4)"""
+
+
+@query(f"with {CURRICULA} select conv_id, case when n < 4 then 'too few rounds' else arg_min(error, round_no) filter (error is not null) end as error from e group by conv_id, n")
+def q_curriculum_check(spark, sf_dir):
+    said, caps = _curricula(spark, sf_dir)
+    checked = curriculum.validate(curriculum.parse_tasks(said).withColumn("rounds", F.lit(4)), caps)
+    return curriculum.verdicts(said.select("identity_id", F.lit(4).alias("rounds")), checked).select(F.col("identity_id").alias("conv_id"), "error")
+
+
+@query(f"""with {CURRICULA}, r as (select *, list_filter(case when x = 3 then [] else [{strip_sql('substr(text, 1, 30)')}, 'short'] end, lambda i: i <> '') as items from e where x not in (1, 2)),
+s as (select *, case when len(list_filter(items, lambda i: length(i) >= 18)) = 0 then ['{curriculum.NAMES_CHECK}' || upper(role) || '.', '{curriculum.NEEDS_CHECK}' || 'does ' || role] else items end as base from r),
+g as (select *, list_concat(base, case when len(list_filter(base, lambda i: contains(lower(i), 'unsupported'))) = 0 then ['{curriculum.FACTS_GUARD}'] else [] end) as facts from s)
+select conv_id, cast(round_no as integer) as round_no, array_to_string(list_concat(facts, case when x > 4 and len(list_filter(facts, lambda i: contains(lower(i), 'false premise'))) = 0 then ['{curriculum.PREMISE_GUARD}'] else [] end)[1:5], '|') as rubric from g""")
+def q_rubric_repair(spark, sf_dir):
+    said, caps = _curricula(spark, sf_dir)
+    tasks = curriculum.parse_tasks(said).where("round_no <= 4 and size(capability_ids) = 1")
+    return curriculum.strengthen_rubrics(tasks, caps).select(F.col("identity_id").alias("conv_id"), "round_no", F.array_join("hidden_rubric", "|").alias("rubric"))
+
+
+@query(f"""with a as (select conv_id, turn, {normal_sql('lower(text)')} as key from conversations)
+select conv_id, min(turn) as turn from a x where turn between 1 and 2 and not exists (select 1 from a y where y.conv_id = x.conv_id and y.turn = 0 and y.key = x.key) and length(key) % 3 <> 0 group by conv_id""")
+def q_fresh_scenario(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("identity_id"), F.col("turn").alias("attempt"), "text")
+    known = c.where("attempt = 0").drop("attempt").unionAll(c.where(F.length(T.normalize_task(F.col("text"))) % 3 == 0).select("identity_id", F.concat(F.lit("\u2003 "), F.upper("text"))))
+    tried = c.where("attempt > 0")
+    return curriculum.first_fresh(tried, known, T.normalize_task(F.col("text")), 2).select(F.col("identity_id").alias("conv_id"), F.col("attempt").alias("turn"))
+
+
+#: Tasks (identity, ids by round) with critical ids, and by hand: the ids after the repair, or the error.
+REPAIRS = (
+    ("last", "ab", ["a", "a", "b", "a a"], ["a", "a", "b", "b"]), ("fine", "ab", ["a b", "b a", "c", "c"], None), ("short", "ab", ["a b", "b a", "c"], "more critical capabilities than tasks"), ("spare", "ab", ["a", "a", "a", "a", "a", "a"], ["a", "a", "a", "a", "b", "b"]),
+    ("keeps", "ab", ["a", "b a", "c", "c"], ["a", "b a", "c", "b"]), ("other", "a", ["c", "c d", "a"], ["c", "a", "a"]), ("crowd", "abc", ["a", "b", "c", "a b c"], "more critical capabilities than tasks"),
+    ("stuck", "ab", ["a", "a", "b", "a b a b"], None), ("wide", "abc", ["a b", "a b", "b a", "a b", "a b", "b a"], ["a b", "a b", "b a", "a b", "c", "c"]), ("locked", "ba", ["a", "a", "b", "a a"], "no task can give way to a"), ("none", "", ["x"], None),
+)
+EXPECTED = [(i, k, ids if not isinstance(after, list) else after[k - 1], after if isinstance(after, str) else None, isinstance(after, list) and after[k - 1] != ids) for i, _, before, after in REPAIRS for k, ids in enumerate(before, 1)]
+
+
+@query("select * from (values " + ", ".join(f"('{i}', {k}, '{ids}', {quoted(error)}, {quoted(curriculum.EVIDENCE_TASK.format(ids.upper(), 'does ' + ids) if new else f't{k}')}, {str(k % 2 == 1).lower()}, {str(new).lower()}, {quoted('|'.join([x.format(ids.upper()) for x in curriculum.EVIDENCE_RUBRIC] + [curriculum.PREMISE_GUARD] * (k % 2)) if new else 'r')})" for i, k, ids, error, new in EXPECTED) + ") t(identity_id, round_no, ids, error, task, adversarial, critical, rubric)")
 def q_coverage_repair(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id is not null")
-    tasks = e.groupBy(F.col("user_id").cast("string").alias("identity_id"), (F.expr("event_id div 10") % 12).cast("int").alias("round_no")).agg(F.min("event_type").alias("task"), F.array_sort(F.collect_set("event_type")).alias("capability_ids"))
-    crit = tasks.select("identity_id").distinct().select("identity_id", F.posexplode(F.array(F.lit("click"), F.lit("purchase"))).alias("cap_ord", "cap_id"))
-    return curriculum.ensure_coverage(tasks, crit)
+    rows = [(i, k, f"t{k}", ids.split(), ["r"], k % 2 == 1, False) for i, _, before, _ in REPAIRS for k, ids in enumerate(before, 1)]
+    tasks = spark.createDataFrame(rows, "identity_id string, round_no int, task string, capability_ids array<string>, hidden_rubric array<string>, adversarial boolean, critical boolean")
+    must = [(i, n, c, c.upper(), f"does {c}") for i, critical, *_ in REPAIRS for n, c in enumerate(critical)]
+    fixed = curriculum.ensure_coverage(tasks, spark.createDataFrame(must, "identity_id string, cap_ord int, cap_id string, name string, description string"))
+    return fixed.select("identity_id", "round_no", F.array_join("capability_ids", " ").alias("ids"), "error", "task", "adversarial", "critical", F.array_join("hidden_rubric", "|").alias("rubric"))
+
+
+def _capabilities(spark, sf_dir):
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    url = F.when(n % 4 != 0, F.concat(F.lit("https://example.org/"), n)).otherwise("")
+    return d.select(
+        F.concat(F.lit("g"), F.expr("doc_id div 12")).alias("identity_id"), n.alias("cap_ord"), F.concat(F.lit("c"), n).alias("cap_id"), F.col("lang").alias("name"),
+        F.when(n % 3 == 0, " \t").otherwise(F.concat(F.lit("scope "), n)).alias("description"), (n % 2 == 0).alias("critical"), (n % 5).alias("score"), (n % 4).alias("observations"),
+        url.alias("evidence_url"), F.when(n % 5 != 0, F.concat(F.lit("quote "), n)).otherwise("").alias("evidence_quote"), scoring.status(n % 5, n % 4).alias("status"),
+    )
+
+
+CAPABILITIES = f"""c as (select {IDENTITY} as identity_id, doc_id, lang, case when doc_id % 3 = 0 then '' else 'scope ' || doc_id end as scope, case when doc_id % 4 <> 0 then 'https://example.org/' || doc_id else '' end as url,
+ case when doc_id % 5 <> 0 then 'quote ' || doc_id else '' end as quote, doc_id % 5 as score, doc_id % 4 as n, case when doc_id % 4 = 0 then 'UNTESTED' when doc_id % 5 < 3 then 'WEAK_OR_FAILED' when doc_id % 4 = 1 then 'PROVISIONAL_SINGLE_OBSERVATION' else 'PROXY_EVIDENCED' end as status,
+ 'https://example.org/' || doc_id as source, doc_id % 10 <> 3 as ok, case when doc_id % 3 = 0 then ' ' || chr(9) else 'scope ' || doc_id end as raw from documents)"""
+LINES = lambda *x: " || chr(10) || ".join(x)
+
+
+@query(f"""with {CAPABILITIES}, l as (select *, '- **' || lang || '**: ' as head from c), x as (select identity_id,
+ string_agg(head || '{render.SCOPE_STATUS}: ' || scope || case when quote <> '' then chr(10) || '  - Source anchor: “' || quote || '”' else '' end || case when url <> '' then chr(10) || '  - Source: ' || url else '' end, chr(10) order by doc_id) filter (scope <> '') as notes,
+ string_agg(head || status || '; proxy score ' || score || '/4 across ' || n || ' observation(s).', chr(10) order by doc_id) as proofs, string_agg('- ' || source, chr(10) order by doc_id) filter (ok) as routes,
+ string_agg(lang, ', ' order by doc_id) filter (status <> 'PROXY_EVIDENCED') as weak from l group by 1)
+select identity_id, {LINES("'# Identity Capsule' || chr(10)", "'## Function'", "'talks' || chr(10)", "'## Target Level'", "'practitioner' || chr(10)", "'## Scope'", f"'{render.SCOPE}' || chr(10)", "'## Source-Grounded Capability Notes'", f"coalesce(notes, '{render.NO_NOTES}') || chr(10)",
+ "'## Proxy Capability Evidence'", "proofs || chr(10)", "'## Source Routing'", f"coalesce(routes, '{render.NO_SOURCES}') || chr(10)", "'## Remaining Gaps'", *[f"'{g}'" for g in render.GAPS[:3]], f"'{render.GAPS[3]}' || coalesce(chr(10) || '{render.PROVISIONAL}' || weak || '.', '') || chr(10)",
+ "'## Native Qualification Handoff'", f"'{render.HANDOFF}' || chr(10)")} as capsule from x""")
+def q_capsule(spark, sf_dir):
+    caps = _capabilities(spark, sf_dir)
+    n = F.col("cap_ord")
+    sources = caps.select("identity_id", n.alias("source_ord"), F.concat(F.lit("https://example.org/"), n).alias("url"), F.when(n % 10 == 3, "failed").otherwise("ok").alias("status"))
+    specs_ = caps.select("identity_id").distinct().select("identity_id", F.lit("talks").alias("function"), F.lit("practitioner").alias("target"))
+    return render.capsule(specs_, sources, caps)
+
+
+JSON_ITEM = """'{"id":"c' || doc_id || '","name":"' || lang || '","model_proposed_scope":"' || replace(raw, chr(9), '\\t') || '","scope_status":"' || '%s' || '","evidence_url":"' || url || '","evidence_quote":"' || quote || '","critical":' || case when doc_id %% 2 = 0 then 'true' else 'false' end || ',"score":' || score || ',"observations":' || n || '}'""" % render.SCOPE_STATUS
+
+
+@query(f"""with {CAPABILITIES}, s as (select identity_id, 'FUNCTION: talks' || chr(10) || 'SOURCE-ANCHORED CAPABILITY EVIDENCE:' || chr(10) || '[' || string_agg({JSON_ITEM}, ',' order by doc_id) || ']' || chr(10) || '{render.STATE_NOTE}' as state from c group by 1)
+select identity_id, case when length(state) > 6000 then substr(state, 1, 6000) || chr(10) || '...[truncated]' else state end as state from s""")
+def q_source_only_state(spark, sf_dir):
+    e = render.evidence_snapshot(_capabilities(spark, sf_dir))
+    return e.select("identity_id", render.source_only_state(F.lit("talks"), F.col("snapshot")).alias("state"))
+
+
+PLAIN_ITEM = """'{"cap_id":"c' || doc_id || '","name":"' || lang || '","description":"' || replace(raw, chr(9), '\\t') || '","critical":' || case when doc_id % 2 = 0 then 'true' else 'false' end || ',"score":' || score || ',"observations":' || n || '}'"""
+
+
+@query(f"""with {CAPABILITIES}, s as (select identity_id, 'FUNCTION: talks' || chr(10) || 'CAPABILITY EVIDENCE:' || chr(10) || '[' || string_agg({PLAIN_ITEM}, ',' order by doc_id) || ']' || chr(10) || 'VALIDATED LESSONS/CORRECTIONS:' || chr(10) || array_to_string(list('- lesson ' || doc_id order by doc_id)[-5:], chr(10)) as state from c group by 1)
+select identity_id, case when length(state) > 6000 then substr(state, 1, 6000) || chr(10) || '...[truncated]' else state end as state from s""")
+def q_learned_state(spark, sf_dir):
+    caps = _capabilities(spark, sf_dir)
+    told = caps.groupBy("identity_id").agg(F.transform(F.array_sort(F.collect_list("cap_ord")), lambda x: F.concat(F.lit("lesson "), x)).alias("lessons"))
+    return render.snapshot(caps).join(told, "identity_id").select("identity_id", render.learned_state(F.lit("talks"), F.col("snapshot"), F.col("lessons"), 5).alias("state"))
+
+
+#: Roles, whether they answer in JSON, and the most tokens that they get (null: as many as they ask for).
+ROLES = (("architect", True, None), ("core architect", True, 800), ("trainer", True, 1100), ("student", False, 475), ("core examiner", True, 375), ("examiner", True, 425), ("transfer", True, 600), ("single transfer", True, 650), ("distiller", False, 800), ("synthesizer", False, 700), ("repair", True, 550))
+
+
+@query("with r(k, role, js, most) as (values " + ", ".join(f"({k}, '{r}', {str(j).lower()}, {m or 100000})" for k, (r, j, m) in enumerate(ROLES)) + f""") , p as (select page_id, role, js, least(most, 300 + page_id % 1300) as t from pages join r on page_id % {len(ROLES)} = k),
+b as (select *, case when js then least(1400, greatest(t + 256, t * 2)) else t end as u from p)
+select page_id, role, js as json_mode, cast(t as integer) as first_tokens, cast(u as integer) as second_tokens, case when js and t > 550 then 300 else 180 end as first_seconds, case when js and u > 550 then 300 else 180 end as second_seconds from b""")
+def q_call_plan(spark, sf_dir):
+    k, n = (F.col("page_id") % len(ROLES) + 1).cast("int"), len(ROLES)
+    assert n == len(ROLES)
+    role, system = (F.element_at(F.array(*map(F.lit, x)), k) for x in ([r for r, *_ in ROLES], [prompts.SYSTEMS[r] for r, *_ in ROLES]))
+    asked = table(spark, sf_dir, "pages").select("page_id", role.alias("role"), system.alias("system"), (300 + F.col("page_id") % 1300).cast("int").alias("max_tokens"))
+    return responder.plan(asked).select("page_id", "role", "json_mode", "first_tokens", "second_tokens", "first_seconds", "second_seconds")
+
+
+@query("""select conv_id, turn, case when turn % 5 = 4 then null when turn % 3 = 1 then 'second' else 'first' end as content, case when turn % 5 = 4 then 'no response' end as error,
+case when turn % 5 = 4 then null when turn % 4 = 2 then '{"n": 2}' else null end as object from conversations""")
+def q_replayed_calls(spark, sf_dir):
+    """Recorded calls: of every third the first attempt was cut off, every fifth has none; some repairs are recorded."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("examiner").alias("role"), F.lit("s").alias("system"), F.concat_ws("/", "conv_id", "turn").alias("user"), F.lit(0.0).alias("temperature"), F.lit(5).alias("max_tokens"))
+    asked = responder.requests(c)
+    tries = asked.where("turn % 5 <> 4").select("request_hash", "turn", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"))
+    said = F.when(F.col("attempt") == 1, "first").when(F.col("attempt") == 2, "second").otherwise("third")
+    recorded = tries.select("request_hash", "attempt", said.alias("content"), F.when((F.col("attempt") == 1) & (F.col("turn") % 3 == 1), "length").otherwise("stop").alias("finish_reason"))
+    repairs = asked.where("turn % 4 = 2 and turn % 5 <> 4").select("request_hash", F.lit('so {"n": 2}').alias("content"))
+    return responder.with_json(responder.replay(asked, recorded), repairs).select("conv_id", "turn", "content", "error", "object")
+
+
+@query(f"""with r as (select conv_id, list(json_object('case', text, 'status', 'PROPOSED_UNVERIFIED', 'provenance', 'SAME_LOCAL_MODEL_EXAMINER') order by turn) as cases from (select * from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 20) where {TEXT} <> '' group by 1)
+select distinct conv_id, cast(json_object('identity', cast(conv_id as varchar), 'function', 'talks', 'cases', coalesce(cases, []), 'evidence_note', '{render.EVIDENCE_NOTE}') as varchar) as content from (select distinct conv_id from conversations) left join r using (conv_id)""")
+def q_regression_artifact(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("identity_id"), F.col("turn").alias("ord"), F.col("text").alias("case"))
+    specs_ = c.select("identity_id").distinct().withColumn("function", F.lit("talks"))
+    return render.regression_artifact(specs_, render.regression_set(c)).select(F.col("identity_id").cast("long").alias("conv_id"), "content")
+
+
+@query(EXAMS + """select identity_id, '{"package_outcome":"' || case when base and clean then 'CONDITIONAL PASS' else 'FAIL' end || '","training_package_ready":' || case when base and clean then 'true' else 'false' end || ',"native_identity_qualification":"NOT_RUN","transfer_proxy_average":' || average || '}' as line from g""")
+def q_outcome_lines(spark, sf_dir):
+    return render.outcomes(gates.qualify(*_exams(spark, sf_dir), profile="audit"))
 
 
 @query("""with p as (select page_id, url, page_id % 16 as rounds from pages)
@@ -280,12 +533,12 @@ def q_score_history(spark, sf_dir):
     return scoring.score_history(e, ["user_id", "event_type"], "event_id").select("event_id", "score", "observations")
 
 
-@query()
+@query("select distinct cast(conv_id as varchar) as identity_id, name from conversations cross join (values ('IDENTITY_CAPSULE.md'), ('QUALIFICATION.json'), ('REGRESSION_SET.json'), ('TRAINING_AUDIT.json'), ('SUMMARY.md')) t(name)")
 def q_replayed_run(spark, sf_dir):
     c = _responses(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
     c = c.select(F.col("conv_id").cast("string").alias("identity_id"), F.when(F.col("back") <= 2, "transfer").otherwise("training").alias("phase"), F.col("turn").cast("int").alias("round_no"), "role", "object", (F.col("back") == 1).alias("adversarial"))
-    asked = c.groupBy("identity_id").agg(F.count("*").cast("int").alias("rounds")).select("identity_id", F.lit("talks").alias("function"), F.greatest(F.lit(0), F.col("rounds") - 2).alias("rounds"), F.array().cast("array<string>").alias("violations"))
-    caps = asked.select("identity_id", F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("cap_ord", "cap_id"), F.col("function").alias("description"), F.lit(True).alias("critical"), F.lit("").alias("evidence_url"), F.lit("").alias("evidence_quote"), F.lit(0).alias("score"), F.lit(0).alias("observations"))
+    asked = c.groupBy("identity_id").agg(F.count("*").cast("int").alias("rounds")).select("identity_id", F.lit("talks").alias("function"), F.lit("practitioner").alias("target"), F.greatest(F.lit(0), F.col("rounds") - 2).alias("rounds"), F.array().cast("array<string>").alias("violations"))
+    caps = asked.select("identity_id", F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("cap_ord", "cap_id"), F.col("function").alias("description"), F.lit(True).alias("critical"), F.lit("").alias("evidence_url"), F.lit("").alias("evidence_quote"))
     caps = caps.withColumn("name", F.col("cap_id"))
     tasks = c.select("identity_id", "phase", "round_no", F.array("role").alias("capability_ids"), "adversarial")
-    return run(asked, caps, tasks, c.select("identity_id", "phase", "round_no", "object"))["artifacts"]
+    return run(asked, caps, tasks, c.select("identity_id", "phase", "round_no", "object"))["artifacts"].where("length(content) > 0").select("identity_id", "name")

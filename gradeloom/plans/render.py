@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import truncate
+from ..functions.text import strip, truncate
 from ..operators.grounding import tail
 
 STATE_CHARS = 6_000
 
 
 def learned_state(function: Column, snapshot: Column, lessons: Column, last: int = 16) -> Column:
+    """A student's state of the core profile: function, scores, and the last lessons as a list."""
     recent = F.when(F.size(lessons) <= last, lessons).otherwise(F.slice(lessons, -last, last))
-    return truncate(F.concat_ws("\n", function, snapshot, F.array_join(recent, "\n")), STATE_CHARS)
+    lines = F.array_join(F.transform(recent, lambda x: F.concat(F.lit("- "), x)), "\n")
+    return truncate(F.concat(F.lit("FUNCTION: "), function, F.lit("\nCAPABILITY EVIDENCE:\n"), snapshot, F.lit("\nVALIDATED LESSONS/CORRECTIONS:\n"), lines), STATE_CHARS)
 
 
 def snapshot(capabilities: DataFrame) -> DataFrame:
@@ -53,20 +55,98 @@ def sections(**parts: Column) -> Column:
 
 def regression_set(cases: DataFrame) -> DataFrame:
     """The last 20 cases of each identity, then without blanks, labelled as unverified."""
-    last = tail(cases, ["identity_id"], "ord", 20).where(F.trim("case") != "")
+    last = tail(cases, ["identity_id"], "ord", 20).where(strip(F.col("case")) != "")
     return last.select("identity_id", "ord", "case", F.lit("PROPOSED_UNVERIFIED").alias("status"), F.lit("SAME_LOCAL_MODEL_EXAMINER").alias("provenance"))
 
 
-def capsule(capabilities: DataFrame) -> DataFrame:
-    """Markdown of each identity's evidenced capabilities and gaps; scopes are marked as unverified."""
-    line = F.concat(F.lit("- "), "name", F.lit(": [model-proposed scope, unverified] "), F.coalesce("description", F.lit("")))
-    good = F.col("status") == "PROXY_EVIDENCED"
-    rows = capabilities.groupBy("identity_id").agg(
-        F.array_sort(F.collect_list(F.when(good & (F.coalesce("description", F.lit("")) != ""), F.struct("cap_ord", line.alias("s"))))).alias("a"),
-        F.array_sort(F.collect_list(F.when(~good, F.struct("cap_ord", F.concat(F.lit("- "), "name").alias("s"))))).alias("b"),
-    )
-    text = lambda c: F.when(F.size(c) > 0, F.array_join(F.col(f"{c}.s"), "\n")).otherwise("- none")
-    return rows.select("identity_id", F.concat(F.lit("## Evidenced\n"), text("a"), F.lit("\n\n## Gaps\n"), text("b")).alias("capsule"))
+#: The capsule's headings, in order, and what its lists say.
+HEADINGS = (
+    "Function", "Target Level", "Scope", "Source-Grounded Capability Notes", "Proxy Capability Evidence", "Source Routing", "Remaining Gaps",
+    "Native Qualification Handoff",
+)
+SCOPE = "Bounded strictly by the supplied source set and external proxy exercises. It does not confer expert status or qualification by itself."
+NO_NOTES, NO_EVIDENCE, NO_SOURCES = "- No capability survived exact source-evidence admission.", "- No capability evidence was produced.", "- No source URL was successfully acquired."
+GAPS = (
+    "- The supplied source set is bounded and does not establish exhaustive coverage of the function.",
+    "- External proxy performance does not establish native competence.",
+    "- Capability descriptions have exact source anchors only, in bounded samples of the sources.",
+    "- Corrections of the examiner are hypotheses and are not promoted into this capsule.",
+)
+HANDOFF = "Native identity qualification has NOT been run. A native session that has read an audited version of this capsule is to be evaluated cold, on representative, adversarial, correction-handling and novel tasks."
+PROVISIONAL = "- Single-observation or weak proxy capabilities remain provisional: "
+
+
+def _lines(rows: DataFrame, order: str, line: Column, name: str) -> DataFrame:
+    """The lines (arrays of them, null where there are none) of each identity in order."""
+    got = rows.groupBy("identity_id").agg(F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct(F.col(order).alias("o"), line.alias("l"))))).alias("x"))
+    return got.select("identity_id", F.flatten("x.l").alias(name))
+
+
+def capsule(specs: DataFrame, sources: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """Markdown of each identity. specs(identity_id, function, target), sources(identity_id, source_ord, url, status), capabilities(identity_id,
+    cap_ord, name, description, evidence_quote, evidence_url, score, observations, status). Nothing but these is said: no
+    lessons, no free text. Scopes are marked as unverified; names that are not evidenced are among the gaps."""
+    text = lambda c: strip(F.coalesce(c, F.lit("")))
+    said = lambda c, *parts: F.when(text(F.col(c)) != "", F.concat(*parts))
+    name = F.concat(F.lit("- **"), F.col("name"), F.lit("**: "))
+    note = F.array_compact(F.array(
+        F.concat(name, F.lit(f"{SCOPE_STATUS}: "), text(F.col("description"))), said("evidence_quote", F.lit("  - Source anchor: “"), text(F.col("evidence_quote")), F.lit("”")),
+        said("evidence_url", F.lit("  - Source: "), text(F.col("evidence_url"))),
+    ))
+    proof = F.concat(name, F.col("status"), F.lit("; proxy score "), F.col("score"), F.lit("/4 across "), F.col("observations"), F.lit(" observation(s)."))
+    parts = [
+        _lines(capabilities, "cap_ord", F.when(text(F.col("description")) != "", note), "notes"), _lines(capabilities, "cap_ord", F.array(proof), "proofs"),
+        _lines(capabilities, "cap_ord", F.when(F.col("status") != "PROXY_EVIDENCED", F.array("name")), "weak"),
+        _lines(sources.where(F.col("url") != ""), "source_ord", F.when(F.col("status") == "ok", F.array(F.concat(F.lit("- "), F.col("url")))), "routes"),
+    ]
+    x = specs.select("identity_id", "function", "target")
+    for part in parts:
+        x = x.join(part, "identity_id", "left")
+    some = lambda c, none: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.col(c)).otherwise(F.array(F.lit(none)))
+    weak = F.when(F.size("weak") > 0, F.array(F.concat(F.lit(PROVISIONAL), F.array_join("weak", ", "), F.lit(".")))).otherwise(F.array().cast("array<string>"))
+    body = [
+        F.array("function"), F.array("target"), F.array(F.lit(SCOPE)), some("notes", NO_NOTES), some("proofs", NO_EVIDENCE), some("routes", NO_SOURCES),
+        F.concat(F.array(*map(F.lit, GAPS)), weak), F.array(F.lit(HANDOFF)),
+    ]
+    lines = [F.array(F.lit("# Identity Capsule"), F.lit(""))]
+    for heading, part in zip(HEADINGS, body):
+        lines += [F.array(F.lit(f"## {heading}")), part, F.array(F.lit(""))]
+    return x.select("identity_id", F.array_join(F.concat(*lines), "\n").alias("capsule"))
+
+
+#: The names of the artifacts.
+ARTIFACTS = ("IDENTITY_CAPSULE.md", "QUALIFICATION.json", "REGRESSION_SET.json", "TRAINING_AUDIT.json", "SUMMARY.md", "SOURCE_EXCERPTS.md")
+EVIDENCE_NOTE = "Suggestions of an examiner that is the same model: hypotheses, no validated cases until they are verified independently."
+
+
+def regression_artifact(specs: DataFrame, cases: DataFrame) -> DataFrame:
+    """identity_id, content: the JSON text of each identity's regression_set(), with the note on its evidence."""
+    rows = cases.groupBy("identity_id").agg(F.array_sort(F.collect_list(F.struct("ord", "case", "status", "provenance"))).alias("c"))
+    x = specs.select("identity_id", "function").join(rows, "identity_id", "left")
+    none = F.array().cast("array<struct<case: string, status: string, provenance: string>>")
+    items = F.coalesce(F.transform("c", lambda x: x.dropFields("ord")), none)
+    return x.select("identity_id", F.to_json(F.struct(F.col("identity_id").alias("identity"), "function", items.alias("cases"), F.lit(EVIDENCE_NOTE).alias("evidence_note"))).alias("content"))
+
+
+def summary(specs: DataFrame, qualification: DataFrame, capabilities: DataFrame, capsules: DataFrame, done: DataFrame) -> DataFrame:
+    """identity_id, content: the Markdown summary. done(identity_id, rounds_done, transfers_done)."""
+    line = F.concat(F.lit("- `"), F.col("cap_id"), F.lit("`: "), F.col("status"), F.lit("; "), F.col("score"), F.lit("/4 across "), F.col("observations"), F.lit(" proxy observation(s)"))
+    x = specs.select("identity_id", "function", "target", "rounds").join(qualification.select("identity_id", "ready", "condition"), "identity_id")
+    x = x.join(_lines(capabilities, "cap_ord", F.array(line), "lines"), "identity_id", "left").join(capsules, "identity_id", "left").join(done, "identity_id", "left")
+    field = lambda name, *value: F.concat(F.lit(f"**{name}:** "), *value, F.lit("  "))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    return x.select("identity_id", F.concat_ws(
+        "\n", F.concat(F.lit("# Training package: "), "identity_id"), F.lit(""), field("Function", F.col("function")), field("Target", F.col("target")),
+        field("Training rounds completed", count("rounds_done"), F.lit("/"), count("rounds")), field("Transfer proxy tasks completed", count("transfers_done"), F.lit("/2")),
+        field("Training package ready", F.col("ready").cast("string")), field("Native identity qualification", F.lit("NOT RUN")), F.lit("\n## Proxy capability evidence\n"),
+        F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n"), F.lit("\n## Qualification boundary\n"), "condition", F.lit("\n## Identity capsule\n"), F.coalesce("capsule", F.lit("")),
+    ).alias("content"))
+
+
+def outcomes(qualification: DataFrame) -> DataFrame:
+    """identity_id, line: the JSON line that is shown for each identity when a run ends."""
+    shown = F.struct(F.col("outcome").alias("package_outcome"), F.col("ready").alias("training_package_ready"), F.col("native_status").alias("native_identity_qualification"), F.col("average").alias("transfer_proxy_average"))
+    return qualification.select("identity_id", F.to_json(shown).alias("line"))
 
 
 def write_artifacts(artifacts: DataFrame, path: str) -> None:

@@ -1,7 +1,7 @@
 """A run over recorded exams: all identities at once, from checked specifications to artifacts.
 
 With the examiner's responses recorded, rounds need no loop: scores are one ordered fold over all observations, those
-of the transfers after those of the training.
+of the transfers after those of the training. live.py asks a model round by round and ends here too.
 """
 
 from __future__ import annotations
@@ -13,43 +13,87 @@ from ..operators import exams as E
 from ..operators import gates, scoring
 from . import render
 
+NO_SOURCES = "identity_id string, source_ord int, url string, status string"
 
-def scored(capabilities: DataFrame, exams: DataFrame) -> DataFrame:
-    """capabilities(identity_id, cap_id, ...) with score, observations and status after coerced
-    exams(identity_id, seq, score, capability_updates, capability_ids)."""
+
+def observed(capabilities: DataFrame, exams: DataFrame) -> DataFrame:
+    """The observations of coerced exams(identity_id, seq, score, capability_updates, capability_ids) on known capabilities."""
     known = capabilities.groupBy("identity_id").agg(F.collect_set("cap_id").alias("known_ids"))
-    seen = scoring.observations(exams.join(known, "identity_id"))
-    last = scoring.running_score(seen, ["identity_id", "cap_id"], ["seq", "sub"])
+    return scoring.observations(exams.join(known, "identity_id"))
+
+
+def scored(capabilities: DataFrame, exams: DataFrame) -> DataFrame:
+    """capabilities(identity_id, cap_id, ...) with score, observations and status after the exams."""
+    last = scoring.running_score(observed(capabilities, exams), ["identity_id", "cap_id"], ["seq", "sub"])
     zero = F.lit(0)
-    rows = capabilities.drop("score", "observations").join(last, ["identity_id", "cap_id"], "left")
+    rows = capabilities.drop("score", "observations", "status").join(last, ["identity_id", "cap_id"], "left")
     rows = rows.withColumns({"score": F.coalesce("score", zero), "observations": F.coalesce("observations", zero)})
     return rows.withColumn("status", scoring.status(F.col("score"), F.col("observations")))
 
 
-def run(specs: DataFrame, capabilities: DataFrame, tasks: DataFrame, responses: DataFrame, profile: str = "audit") -> dict[str, DataFrame]:
-    """specs(identity_id, function, rounds, violations), capabilities as of grounded_map(), tasks(identity_id, phase,
-    round_no, capability_ids, adversarial) and responses(identity_id, phase, round_no, object); phase is "training"
-    or "transfer". -> capabilities, qualification, lessons, regressions, states and artifacts. Identities with
-    violations take no part.
+def coerced(tasks: DataFrame, responses: DataFrame, profile: str) -> DataFrame:
+    """Tasks with their exams, and seq, which orders training before transfers."""
+    seq = F.struct((F.col("phase") == "transfer").alias("late"), "round_no")
+    return E.coerce(tasks.join(responses, ["identity_id", "phase", "round_no"]).withColumn("seq", seq), conservative=profile != "core")
+
+
+def run(specs: DataFrame, capabilities: DataFrame, tasks: DataFrame, responses: DataFrame, profile: str = "audit", sources: DataFrame | None = None, packs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """specs(identity_id, function, target, rounds, violations), capabilities as of grounded_map(), tasks(identity_id, phase, round_no,
+    capability_ids, adversarial, ...), responses(identity_id, phase, round_no, object, ...), sources(identity_id, source_ord, url, status, ...)
+    and packs(identity_id, pack); phase is "training" or "transfer". -> capabilities, history (scores after every observation),
+    qualification, lessons, regressions, states, capsules, outcomes and artifacts. Identities with violations take no part.
     """
     specs = specs.where(F.size("violations") == 0)
-    seq = F.struct((F.col("phase") == "transfer").alias("late"), "round_no")
-    x = tasks.join(responses, ["identity_id", "phase", "round_no"]).join(specs.select("identity_id"), "identity_id", "left_semi")
-    x = E.coerce(x.withColumn("seq", seq), conservative=profile != "core")
-    caps = scored(capabilities.join(specs.select("identity_id"), "identity_id", "left_semi"), x)
-    transfers = x.where("phase = 'transfer'").select("identity_id", F.col("round_no").alias("number"), "score", "passed", "critical_failure", F.size("corrections").alias("n_corrections"), "adversarial")
-    result = gates.gate(specs, x.where("phase = 'training'").select("identity_id", "critical_failure"), transfers, caps, profile)
-    training = x.where("phase = 'training'")
+    sources = sources if sources is not None else specs.sparkSession.createDataFrame([], NO_SOURCES)
+    mine = lambda rows: rows.join(specs.select("identity_id"), "identity_id", "left_semi")
+    x = mine(coerced(tasks, responses, profile))
+    caps = scored(mine(capabilities), x)
+    history = scoring.score_history(observed(mine(capabilities), x).withColumn("at", F.struct("seq", "sub")), ["identity_id", "cap_id"], "at")
+    transfers, training = x.where("phase = 'transfer'"), x.where("phase = 'training'")
+    exams = transfers.select("identity_id", F.col("round_no").alias("number"), "score", "passed", "critical_failure", "corrections", "adversarial")
+    result = gates.qualify(specs, training.select("identity_id", "round_no", "critical_failure"), exams, caps, profile)
+    lessons = E.lessons(training, ["identity_id", "round_no"])
     regressions = render.regression_set(E.regression_cases(training, ["identity_id", F.col("round_no").alias("ord")]))
-    states = specs.join(render.evidence_snapshot(caps), "identity_id", "left").select("identity_id", render.source_only_state(F.col("function"), F.coalesce("snapshot", F.lit("[]"))).alias("state"))
-    cases = regressions.groupBy("identity_id").agg(F.array_sort(F.collect_list(F.struct("ord", "case", "status", "provenance"))).alias("c"))
-    named = lambda rows, name, content: rows.select("identity_id", F.lit(name).alias("name"), content.alias("content"))
-    artifacts = (
-        named(result, "QUALIFICATION.json", F.to_json(F.struct("ready", "outcome", "average")))
-        .unionByName(named(cases, "REGRESSION_SET.json", F.to_json("c"))).unionByName(named(render.capsule(caps), "CAPSULE.md", F.col("capsule")))
-        .unionByName(named(render.snapshot(caps), "CAPABILITIES.json", F.col("snapshot")))
-    )
+    if profile == "core":
+        said = lessons.groupBy("identity_id").agg(F.array_sort(F.collect_list(F.struct("round_no", "sub", "lesson")))["lesson"].alias("lessons"))
+        held = specs.join(render.snapshot(caps), "identity_id", "left").join(said, "identity_id", "left")
+        state = render.learned_state(F.col("function"), F.coalesce("snapshot", F.lit("[]")), F.coalesce("lessons", F.array().cast("array<string>")))
+    else:
+        held = specs.join(render.evidence_snapshot(caps), "identity_id", "left")
+        state = render.source_only_state(F.col("function"), F.coalesce("snapshot", F.lit("[]")))
+    states = held.select("identity_id", state.alias("state"))
+    capsules = render.capsule(specs, mine(sources), caps)
+    done = x.groupBy("identity_id").agg(F.count_if(F.col("phase") == "training").alias("rounds_done"), F.count_if(F.col("phase") == "transfer").alias("transfers_done"))
     return {
-        "capabilities": caps, "qualification": result, "lessons": E.lessons(training, ["identity_id", "round_no"]), "regressions": regressions,
-        "states": states, "artifacts": artifacts,
+        "capabilities": caps, "history": history, "qualification": result, "lessons": lessons, "regressions": regressions, "states": states, "capsules": capsules,
+        "outcomes": render.outcomes(result), "artifacts": artifacts(specs, caps, x, result, regressions, capsules, done, mine(sources), packs),
+    }
+
+
+def artifacts(specs: DataFrame, caps: DataFrame, exams: DataFrame, result: DataFrame, regressions: DataFrame, capsules: DataFrame, done: DataFrame, sources: DataFrame, packs: DataFrame | None) -> DataFrame:
+    """identity_id, name, content: a row for each artifact of each identity."""
+    first = lambda l, r: F.when(l["__o"] < r["__o"], -1).when(l["__o"] > r["__o"], 1).otherwise(0)
+
+    def listed(rows: DataFrame, order: str, name: str) -> DataFrame:
+        item = F.struct(*[c for c in rows.columns if c not in ("identity_id", order, "seq")]).alias("x")
+        return rows.groupBy("identity_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), item)), first)["x"].alias(name))
+
+    parts = {
+        "capability_proxy_evidence": listed(caps, "cap_ord", "capability_proxy_evidence"), "source_evidence": listed(sources, "source_ord", "source_evidence"),
+        "rounds": listed(exams.where("phase = 'training'").withColumn("round", F.col("round_no")), "round_no", "rounds_done"),
+        "transfers": listed(exams.where("phase = 'transfer'").withColumn("transfer", F.col("round_no")), "round_no", "transfers"),
     }
+    x = specs.join(result, "identity_id")
+    for rows in parts.values():
+        x = x.join(rows, "identity_id", "left")
+    spec = F.struct(*[c for c in specs.columns if c != "violations"])
+    decided = F.struct(*[c for c in result.columns if c != "identity_id"])
+    named = lambda rows, k, content: rows.select("identity_id", F.lit(render.ARTIFACTS[k]).alias("name"), content.alias("content"))
+    out = (
+        named(capsules, 0, F.col("capsule"))
+        .unionByName(named(x, 1, F.to_json(F.struct(spec.alias("spec"), decided.alias("qualification"), "capability_proxy_evidence", "source_evidence"))))
+        .unionByName(named(render.regression_artifact(specs, regressions), 2, F.col("content")))
+        .unionByName(named(x, 3, F.to_json(F.struct(spec.alias("spec"), "source_evidence", F.col("rounds_done").alias("rounds"), "transfers"))))
+        .unionByName(named(render.summary(specs, result, caps, capsules, done), 4, F.col("content")))
+    )
+    return out if packs is None else out.unionByName(named(packs.join(specs.select("identity_id"), "identity_id", "left_semi"), 5, F.col("pack")))

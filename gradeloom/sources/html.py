@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -52,26 +52,50 @@ def is_html(content: Column) -> Column:
     return F.lower(F.substring(content, 1, 1000)).contains("<html")
 
 
-def acquire(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
-    """pages with text, status and error: unsafe URLs fail as rows, they don't stop the others."""
+def cut_text(content: Column, most: int = MAX_BYTES) -> Column:
+    """Text of the first bytes; a character that the cut breaks is replaced."""
+    cut = F.make_valid_utf8(F.substring(content.cast("binary"), 1, most).cast("string"))
+    return F.when(F.octet_length(content) > most, cut).otherwise(content)
+
+
+def acquire(pages: DataFrame, url: str = "url", body: str = "html", most: int = MAX_BYTES) -> DataFrame:
+    """pages with text, status and error: unsafe URLs fail as rows, they don't stop the others; bodies are read up to most bytes."""
     ok = safe_url(F.col(url))
-    cut = F.col(body)
+    cut = cut_text(F.col(body), most)
     text = F.when(ok, F.when(is_html(F.col(body)), html_text(cut)).otherwise(cut))
     return pages.withColumns({"text": text, "status": F.when(ok, "ok").otherwise("failed"), "error": F.when(~ok, F.lit("unsafe URL"))})
 
 
-def source_evidence(sources: DataFrame, key: str, n_sources: int, limit: int = 1500) -> DataFrame:
-    """sources(key, url, text, status, error) -> with sample, sha256 and lengths."""
-    budget = min(limit, min(3200, max(1800, 27000 // max(1, n_sources))))
-    sample = T.sample_segments(F.col("text"), budget)
-    return sources.select(
-        key, "url", "status", "error", sample.alias("sample"), T.content_hash(F.col("text")).alias("sha256"),
-        F.length("text").alias("source_chars"), F.length(sample).alias("sample_chars"),
+def source_evidence(sources: DataFrame, limit: int = 1500) -> DataFrame:
+    """sources(identity_id, source_ord, url, text, status, error) -> with sample, sha256 and lengths, null for those that failed. An
+    identity's sources, failed ones included, share its budget of characters."""
+    n = F.count("*").over(Window.partitionBy("identity_id"))
+    rows = sources.withColumn("__limit", F.least(F.lit(limit), T.sample_budget(n)))
+    sample = T.sample_segments(F.col("text"), F.col("__limit"))
+    ok = F.col("status") == "ok"
+    return rows.select(
+        "identity_id", "source_ord", "url", "status", "error", F.when(ok, F.col("text")).alias("text"), F.when(ok, sample).alias("sample"),
+        F.when(ok, T.content_hash(F.col("text"))).alias("sha256"), F.when(ok, F.length("text")).alias("source_chars"), F.when(ok, F.length(sample)).alias("sample_chars"),
     )
 
 
-def pack(evidence: DataFrame, key: str, order: str) -> DataFrame:
-    """One text per key: its sources' blocks in order."""
-    block = F.concat(F.lit("<SOURCE url="), F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2), F.lit(">\n"), "sample", F.lit("\n</SOURCE>"))
-    rows = evidence.where("status = 'ok'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, block.alias("block")))).alias("b"))
-    return rows.select(key, T.truncate(F.array_join(F.col("b.block"), "\n\n"), PACK_CHARS).alias("pack"))
+def block(url: Column, text: Column) -> Column:
+    """A source's text between its marks."""
+    quoted = F.to_json(F.array(url))
+    return F.concat(F.lit("<SOURCE url="), quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(">\n"), text, F.lit("\n</SOURCE>"))
+
+
+def packs(evidence: DataFrame) -> DataFrame:
+    """identity_id, pack: the blocks of its sources in order, cut; null where all failed."""
+    piece = F.when(F.col("status") == "ok", F.struct("source_ord", block(F.col("url"), F.col("sample")).alias("b")))
+    rows = evidence.groupBy("identity_id").agg(F.array_sort(F.collect_list(piece))["b"].alias("b"))
+    return rows.select("identity_id", F.when(F.size("b") > 0, T.truncate(F.array_join("b", "\n\n"), PACK_CHARS)).alias("pack"))
+
+
+def block_text(pack: Column, url: Column) -> Column:
+    """What a pack says between a URL's first mark and the next end mark (so a literal end mark in a text ends it); empty if there is none."""
+    quoted = F.to_json(F.array(url))
+    mark = F.concat(F.lit("<SOURCE url="), quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(">"))
+    rest = pack.substr(F.position(mark, pack) + F.length(mark), F.length(pack))
+    end = F.position(F.lit("</SOURCE>"), rest)
+    return F.when((F.position(mark, pack) > 0) & (end > 0), rest.substr(F.lit(1), end - 1)).otherwise("")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..functions.urls import safe_url
 
 #: Limits and defaults of a specification.
@@ -13,13 +16,32 @@ LEAST_ROUNDS, MOST_ROUNDS, MOST_SOURCES, ROUNDS, TARGET = 6, 12, 12, 10, "practi
 
 def cut_bytes(content: Column, most: int = 1_500_000) -> Column:
     """Text of the first bytes of a binary column; broken characters are replaced."""
-    return F.decode(F.substring(content, 1, most), "UTF-8")
+    return F.make_valid_utf8(F.substring(content, 1, most).cast("string"))
+
+
+def load(text: str) -> dict:
+    """One specification of a YAML mapping (of a JSON object where there is no YAML parser) as a row for check()."""
+    try:
+        import yaml
+
+        said = yaml.safe_load(text)
+    except ImportError:
+        said = json.loads(text)
+    if not isinstance(said, dict):
+        raise ValueError("a specification is a mapping")
+    word = lambda k: None if said.get(k) is None else str(said[k])
+    given = said.get("sources")
+    rounds = said.get("rounds", ROUNDS)
+    return {
+        "identity_id": word("identity"), "identity": word("identity"), "function": word("function"), "rounds": None if rounds is None else int(rounds),
+        "target": word("target"), "zero_cost": said.get("zero_cost", True) is True, "sources": [str(x) for x in given] if isinstance(given, list) else [],
+    }
 
 
 def check(specs: DataFrame) -> DataFrame:
     """specs(identity_id, identity, function, rounds, target, zero_cost, sources) -> trimmed, with defaults and
     violations: the rules that are broken, an empty array if none. identity_id is unique."""
-    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    trimmed = lambda c: strip(F.coalesce(c, F.lit("")))
     each = specs.select("identity_id", F.posexplode("sources").alias("pos", "url")).withColumn("url", trimmed(F.col("url")))
     each = each.withColumn("bad", F.when(~safe_url(F.col("url")), F.concat(F.lit("unsafe source URL: "), "url")))
     urls = each.groupBy("identity_id").agg(
@@ -29,7 +51,7 @@ def check(specs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     x = specs.join(urls, "identity_id", "left").select(
         "identity_id", trimmed(F.col("identity")).alias("identity"), trimmed(F.col("function")).alias("function"),
-        F.coalesce("rounds", F.lit(ROUNDS)).cast("int").alias("rounds"), F.trim(F.coalesce("target", F.lit(TARGET))).alias("target"),
+        F.coalesce("rounds", F.lit(ROUNDS)).cast("int").alias("rounds"), strip(F.coalesce("target", F.lit(TARGET))).alias("target"),
         F.coalesce("zero_cost", F.lit(True)).alias("zero_cost"), F.coalesce("clean", none).alias("sources"), F.coalesce("bad", none).alias("bad"),
     )
     rules = F.array(

@@ -1,4 +1,6 @@
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import jsonx, urls
 from gradeloom.functions import text as T
 from gradeloom.operators import capabilities, curriculum, exams, gates, grounding, scoring
-from gradeloom.plans import render, responder
+from gradeloom.plans import live, prompts, render, responder
 from gradeloom.plans.run import run
 from gradeloom.sources import html, specs
 
@@ -95,32 +97,62 @@ def test_curriculum(spark):
     assert first.hidden_rubric == [curriculum.NAMES_CHECK + "A.", curriculum.NEEDS_CHECK + "does a", curriculum.FACTS_GUARD, curriculum.PREMISE_GUARD]
 
 
-def test_coverage_repair(spark):
-    rows = [("i", k, f"t{k}", ["a"]) for k in range(6)] + [("j", 0, "t", ["a"])]
-    tasks = spark.createDataFrame(rows, "identity_id string, round_no int, task string, capability_ids array<string>")
-    crit = spark.createDataFrame([(i, k, c) for i in "ij" for k, c in enumerate("ab")], "identity_id string, cap_ord int, cap_id string")
-    got = curriculum.ensure_coverage(tasks, crit).collect()
-    mine = [r for r in got if r.identity_id == "i"]
-    assert len(mine) == 6 and sum("b" in r.capability_ids for r in mine) == 2 and sum("a" in r.capability_ids for r in mine) == 4
-    assert [r.error for r in got if r.identity_id == "j"] == ["more critical capabilities than tasks"]
+def test_which_tasks_give_way():
+    assert curriculum.replacements([["a"], ["a"], ["b"], ["a", "a"]], ["a", "b"], 2) == ({3: "b"}, None)
+    assert curriculum.replacements([["a"], ["a"], ["b"], ["a", "a"]], ["b", "a"], 2) == ({3: "b"}, "no task can give way to a")
+    assert curriculum.replacements([["a", "b"]] * 4, ["a", "b"], 2) == ({}, None) == curriculum.replacements([["x"]], [], 2)
+    assert curriculum.replacements([["a"]], ["a"], 2) == ({}, "more critical capabilities than tasks")
+    r = random.Random(5)
+    for _ in range(300):
+        must, ids = "abc"[: r.randint(1, 3)], [[r.choice("abcd") for _ in range(r.randint(1, 3))] for _ in range(r.randint(1, 10))]
+        given, error = curriculum.replacements(ids, must, 2)
+        after = [[given[k]] if k in given else x for k, x in enumerate(ids)]
+        assert error or all(sum(c in x for x in after) >= 2 or any(x.count(c) > 1 for x in ids) for c in must)
 
 
-def gate(spark, transfers, profile, failures=(False, False)):
+def test_coverage_repair(spark):
+    rows = [("i", k, f"t{k}", ["a"], ["some check of the answer"], k == 5, False) for k in range(6)] + [("j", 0, "t", ["a"], ["r"], False, False)]
+    tasks = spark.createDataFrame(rows, "identity_id string, round_no int, task string, capability_ids array<string>, hidden_rubric array<string>, adversarial boolean, critical boolean")
+    crit = spark.createDataFrame([(i, k, c, c.upper(), "d") for i in "ij" for k, c in enumerate("ab")], "identity_id string, cap_ord int, cap_id string, name string, description string")
+    got = sorted(curriculum.ensure_coverage(tasks, crit).collect(), key=lambda r: (r.identity_id, r.round_no))
+    assert [r.capability_ids for r in got[:6]] == [["a"]] * 4 + [["b"]] * 2
+    assert got[5].task == curriculum.EVIDENCE_TASK.format("B", "d") and (got[5].adversarial, got[5].critical, got[4].adversarial) == (True, True, False)
+    assert got[5].hidden_rubric == [curriculum.EVIDENCE_RUBRIC[0].format("B"), curriculum.EVIDENCE_RUBRIC[1], curriculum.PREMISE_GUARD] and len(got[4].hidden_rubric) == 2
+    assert [r.error for r in got[6:]] == ["more critical capabilities than tasks"]
+
+
+def test_white_space_of_all_kinds_is_stripped(spark):
+    (row,) = spark.createDataFrame([(["\t\n", "  a\n", None, "\u2003", "b\xa0"],)], "x array<string>").select(curriculum.clean_items(F.col("x")).alias("x")).collect()
+    assert row.x == ["a", "b"]
+    said = spark.createDataFrame([("i", '{"rounds": [{"task": " \\t", "capability_ids": ["a"], "hidden_rubric": ["x"]}]}'), ("j", '{"rounds": 1}')], "identity_id string, object string")
+    caps = spark.createDataFrame([("i", 0, "a", "A", "d", True)], "identity_id string, cap_ord int, cap_id string, name string, description string, critical boolean")
+    asked = spark.createDataFrame([("i", 1), ("j", 1)], "identity_id string, rounds int")
+    assert {r.identity_id: r.error for r in curriculum.grounded_curriculum(asked, said, caps).collect()} == {"i": "blank task", "j": "too few rounds"}
+
+
+def qualified(spark, transfers, profile, failures=(False, False), score=3):
     specs = spark.createDataFrame([("i", 2), ("empty", 2)], "identity_id string, rounds int")
-    rounds = spark.createDataFrame([("i", f) for f in failures], "identity_id string, critical_failure boolean")
-    tr = spark.createDataFrame([("i", k, *t) for k, t in enumerate(transfers)], "identity_id string, number int, score int, passed boolean, critical_failure boolean, n_corrections int, adversarial boolean")
-    caps = spark.createDataFrame([("i", True, 3, 2)], "identity_id string, critical boolean, score int, observations int")
-    return {r.identity_id: r.outcome for r in gates.gate(specs, rounds, tr, caps, profile).collect()}
+    rounds = spark.createDataFrame([("i", k, f) for k, f in enumerate(failures, 1)], "identity_id string, round_no int, critical_failure boolean")
+    tr = spark.createDataFrame([("i", k, *t) for k, t in enumerate(transfers, 1)], "identity_id string, number int, score int, passed boolean, critical_failure boolean, corrections array<string>, adversarial boolean")
+    caps = spark.createDataFrame([("i", 0, "c", True, score, 2), ("i", 1, "d", False, 0, 0)], "identity_id string, cap_ord int, cap_id string, critical boolean, score int, observations int")
+    return {r.identity_id: r for r in gates.qualify(specs, rounds, tr, caps, profile).collect()}
 
 
 def test_gates(spark):
-    clean = [(3, None, False, 0, False), (4, True, False, 0, True)]
-    assert gate(spark, clean, "audit") == {"i": "CONDITIONAL PASS", "empty": "FAIL"}
-    assert gate(spark, clean, "core")["i"] == "PASS"
-    assert gate(spark, clean, "audit", (True, False))["i"] == "FAIL"
-    for change in ([(3, True, False, 1, False), clean[1]], [clean[0], (4, False, False, 0, True)], clean[::-1], clean[:1]):
-        assert gate(spark, change, "audit")["i"] == "FAIL"
-    assert gate(spark, [(3, True, False, 1, False), clean[1]], "conservative")["i"] == "CONDITIONAL PASS"
+    clean = [(3, None, False, None, False), (4, True, False, [], True)]
+    got = qualified(spark, clean, "audit")
+    assert {k: r.outcome for k, r in got.items()} == {"i": "CONDITIONAL PASS", "empty": "FAIL"} and got["i"].native_status == "NOT_RUN" and got["i"].transfer_scores == [3, 4]
+    assert (got["empty"].transfer_clean, got["empty"].average, got["empty"].condition) == (False, 0.0, gates.NEXT_CLEAN)
+    core = qualified(spark, clean, "core")["i"]
+    assert (core.ready, core.outcome, core.condition) == (True, "CONDITIONAL PASS", gates.NEXT_QUALIFY)
+    failed = qualified(spark, clean, "audit", (True, False))["i"]
+    assert failed.outcome == "FAIL" and failed.critical_failures == ["1"]
+    assert qualified(spark, clean, "conservative", score=2)["i"].weak_critical == ["c"]
+    for change in ([(3, True, False, [" "], False), clean[1]], [clean[0], (4, False, False, [], True)], clean[::-1], clean[:1]):
+        assert qualified(spark, change, "audit")["i"].outcome == "FAIL"
+    fixed = qualified(spark, [(3, True, False, ["x", " "], False), (4, True, True, ["y"], True)], "audit")["i"]
+    assert fixed.transfer_corrections == ["x", "y"] and fixed.critical_failures == ["transfer-2"] and fixed.transfer_profile_ready
+    assert qualified(spark, [(3, True, False, ["x"], False), clean[1]], "conservative")["i"].outcome == "CONDITIONAL PASS"
 
 
 def test_regressions_tail_before_blanks(spark):
@@ -182,7 +214,7 @@ def test_score_history_ends_in_the_running_score(spark):
 
 
 def test_replayed_run(spark):
-    spec = spark.createDataFrame([("i", "f", 2, []), ("bad", "f", 2, ["x"])], "identity_id string, function string, rounds int, violations array<string>")
+    spec = spark.createDataFrame([("i", "f", "t", 2, []), ("bad", "f", "t", 2, ["x"])], "identity_id string, function string, target string, rounds int, violations array<string>")
     caps = spark.createDataFrame([("i", 0, "a", "A", "does a", True, "u", "q"), ("bad", 0, "a", "A", "", True, "u", "q")], "identity_id string, cap_ord int, cap_id string, name string, description string, critical boolean, evidence_url string, evidence_quote string")
     at = [("training", 1), ("training", 2), ("transfer", 1), ("transfer", 2)]
     tasks = spark.createDataFrame([(i, p, n, ["a"], (p, n) == at[3]) for i in ("i", "bad") for p, n in at], "identity_id string, phase string, round_no int, capability_ids array<string>, adversarial boolean")
@@ -195,7 +227,107 @@ def test_replayed_run(spark):
     assert [r.lesson for r in got["lessons"].collect()] == ["l"] and [r.case for r in got["regressions"].collect()] == ["r1"]
     (state,) = got["states"].collect()
     assert "MODEL-PROPOSED SCOPE (UNVERIFIED)" in state.state and state.state.startswith("FUNCTION: f\n")
-    assert sorted(r.name for r in got["artifacts"].collect()) == ["CAPABILITIES.json", "CAPSULE.md", "QUALIFICATION.json", "REGRESSION_SET.json"]
+    assert sorted(r.name for r in got["artifacts"].collect()) == sorted(render.ARTIFACTS[:5])
+    (audit,) = [json.loads(r.content) for r in got["artifacts"].collect() if r.name == "TRAINING_AUDIT.json"]
+    assert [x["score"] for x in audit["rounds"]] == [2, 4] and [x["transfer"] for x in audit["transfers"]] == [1, 2] and audit["spec"]["function"] == "f"
+    (line,) = got["outcomes"].collect()
+    assert json.loads(line.line)["package_outcome"] == "FAIL"
+
+
+TEXT = "Row level security policies decide which rows of a table may be read. Queues keep messages until they are handled and then archive them."
+NAMES = {"security policies": "rows table read", "queues messages": "keep handled archive", "table rows": "security policies", "level security": "rows read"}
+
+
+def knowing():
+    """A model that knows its sources; its first answer as an examiner of round 1 is no JSON, its first exam 2 is a known task."""
+
+    def model(r):
+        role, user = r["role"], r["user"]
+        if role == "architect":
+            url = re.search('url="([^"]+)"', user)[1]
+            return json.dumps({"capabilities": [{"id": n, "name": n, "description": d, "critical": True, "evidence_url": url, "evidence_quote": TEXT[:45] if k != 3 else "made up quote of enough length"} for k, (n, d) in enumerate(NAMES.items())]}), None
+        if role == "core architect":
+            return json.dumps({"capabilities": [{"id": f"c {k}", "critical": k < 2} for k in range(12)]}), None
+        ids = ["c_0", "c_1"] if "FUNCTION:\ncore" in user else ["security_policies", "queues_messages", "table_rows"]
+        task = lambda k, text: {"task": text, "capability_ids": [ids[k % len(ids)]], "hidden_rubric": ["x"], "adversarial": k % 2 == 1}
+        if role in ("trainer", "transfer"):
+            return json.dumps({"rounds": [task(k, f"{role} task {k}") for k in range(2 if role == "transfer" else 6 if "lazy" not in user else 3)]}), None
+        if role == "single transfer":
+            again = prompts.AGAIN in user or "NUMBER:\n1" in user
+            return json.dumps({"rounds": [task(0, "a new task " + user.split("NUMBER:\n")[1][0] if again else " TRAINER  task 1")]}), None
+        if role == "repair":
+            return '{"score": 3, "regression_case": "case"}', None
+        if "examiner" in role:
+            return ("grade: three", None) if "trainer task 0" in user else ('```json\n{"score": 4, "durable_lesson": "l"}\n```', None)
+        return "<think>hm</think> an answer", None
+
+    return model
+
+
+@pytest.mark.parametrize("profile", ["audit", "core"])
+def test_live_run(spark, profile, tmp_path):
+    rows = [(i, i, "core" if profile == "core" else "grounded", 6, None, True, [f"https://{i}.org/x", f"https://{i}.org/y"]) for i in ("good", "lazy", "lost")]
+    rows = [(i, i, f"{f} lazy" if i == "lazy" else f, *x) for i, _, f, *x in rows] + [("odd", "odd", " ", 6, None, True, ["https://a.org"])]
+    asked = specs.check(spark.createDataFrame(rows, "identity_id string, identity string, function string, rounds int, target string, zero_cost boolean, sources array<string>"))
+    pages = [(i, k, ("http" if i == "lost" else "https") + f"://{i}.org/{'xy'[k]}", f"<html><body><p>{TEXT}</p></body></html>") for i in ("good", "lazy", "lost") for k in (0, 1)]
+    got = live.run_live(asked, spark.createDataFrame(pages, "identity_id string, source_ord int, url string, html string"), responder.answering(knowing()), profile)
+    assert {(r.identity_id, r.step, r.error) for r in got["failures"].collect()} == {
+        ("odd", "specification", "identity and function are required"), ("lost", "sources", "no sources could be acquired"), ("lazy", "curriculum", "too few rounds")}
+    (q,) = got["qualification"].collect()
+    caps = sorted(got["capabilities"].collect(), key=lambda r: r.cap_ord)
+    assert (q.identity_id, q.outcome, q.transfer_scores) == ("good", "CONDITIONAL PASS", [4, 4])
+    if profile == "audit":
+        assert [(c.cap_id, c.critical) for c in caps] == [("security_policies", True), ("queues_messages", True), ("table_rows", True)]
+        assert [(c.score, c.observations) for c in caps] == [(4, 4), (4, 2), (4, 2)] and q.transfer_profile_ready  # 3, then 3.5 -> 4
+    else:
+        assert len(caps) == 10 and q.ready
+    art = {r.name: r.content for r in got["artifacts"].collect()}
+    assert sorted(art) == sorted(render.ARTIFACTS) and "https://good.org/x" in art["IDENTITY_CAPSULE.md"] and art["SOURCE_EXCERPTS.md"].count("<SOURCE ") == 2
+    assert [c["case"] for c in json.loads(art["REGRESSION_SET.json"])["cases"]] == ["case"] and "6/6" in art["SUMMARY.md"]
+    render.write_artifacts(got["artifacts"], str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 6
+    if profile == "core":
+        with pytest.raises(RuntimeError, match="odd: specification"):
+            live.run_live(asked, spark.createDataFrame(pages, "identity_id string, source_ord int, url string, html string"), responder.answering(knowing()), profile, strict=True)
+
+
+def test_calls():
+    asked = {"system": "s", "user": "u", "temperature": 0.1, "max_tokens": 900, "json_mode": True, "first_tokens": 400, "second_tokens": 800, "first_seconds": 180, "second_seconds": 300}
+    sent, waits = [], []
+
+    def post(said):
+        def one(body, seconds):
+            sent.append((body["max_tokens"], seconds, "response_format" in body))
+            x = said.pop(0)
+            if isinstance(x, Exception):
+                raise x
+            return {"choices": [{"message": {"content": x[0]}, "finish_reason": x[1]}]}
+
+        return one
+
+    assert responder.call(post([("{", "length"), ("{}", "stop")]), asked, sleep=waits.append) == ("{}", None)
+    assert sent == [(400, 180, True), (800, 300, True)] and waits == []
+    assert responder.call(post([OSError("down"), OSError("down")]), asked, sleep=waits.append) == (None, "OSError: down") and waits == [2, 4]
+    sent.clear()
+    assert responder.call(post([OSError(), OSError(), ("x", "length")]), asked, core=True, sleep=waits.append) == ("x", None)
+    assert sent == [(900, 180, False)] * 3 and waits == [2, 4, 2, 4]
+
+
+def test_runs_that_cost_are_refused(tmp_path):
+    event = tmp_path / "e.json"
+    event.write_text('{"repository": {"private": true}}')
+    for env in ({"ZERO_COST": "false"}, {"GITHUB_EVENT_PATH": str(event)}):
+        with pytest.raises(RuntimeError):
+            responder.assert_zero_cost(env)
+    event.write_text('{"repository": {"private": false}}')
+    responder.assert_zero_cost({"ZERO_COST": "TRUE", "GITHUB_EVENT_PATH": str(event)})
+
+
+def test_load_spec():
+    row = specs.load('{"identity": "A", "function": "f", "sources": ["https://a.org", 3], "rounds": "7", "extra": 1}')
+    assert (row["identity"], row["rounds"], row["zero_cost"], row["sources"], row["target"]) == ("A", 7, True, ["https://a.org", "3"], None)
+    with pytest.raises(ValueError):
+        specs.load("[1]")
 
 
 def test_entry_queries_match_sql(spark):

@@ -221,11 +221,11 @@ def top_k(vectors: DataFrame, query_step: int = 50, k: int = 5) -> DataFrame:
     asked = dealt.where(F.col("vec_id") % query_step == 0).select(*tree, "vec_id", F.xxhash64("v").alias("mark"), "v", "square").dropDuplicates(["vec_id", "mark"])
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    first = ranked(searched(asked.withColumn("least", F.lit(None).cast("long"))))
+    first = stored(ranked(searched(asked.withColumn("least", F.lit(None).cast("long")))), "first")
     least = stored(first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "mark", F.col("score").alias("least")), "least")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each tree of a region that reaches into the distance of the query's k-th score so far."""
+        """A row for each other tree of a region that reaches into the distance of the query's k-th score so far."""
         for b in by_length(batches):
             d = b.column("d")[0].as_py()
             x = lifted(b, m)
@@ -236,10 +236,13 @@ def top_k(vectors: DataFrame, query_step: int = 50, k: int = 5) -> DataFrame:
             i, g = np.nonzero(distances(x, tops[d]) - radii[d][None] <= reach[:, None] * (1 + 1e-9) + 1e-3)
             n = np.array([parts.get((d, int(y)), 0) for y in g])
             i, g, part = np.repeat(i, n), np.repeat(g, n), np.concatenate([np.arange(y) for y in n]) if len(n) else n
+            other = (g != b.column("region").to_numpy()[i]) | (part != b.column("part").to_numpy()[i])
+            i, g, part = i[other], g[other], part[other]
             yield pa.RecordBatch.from_arrays([
                 b.column("d").take(pa.array(i)), pa.array(g.astype(np.int32)), pa.array(part.astype(np.int32)), *(b.column(c).take(pa.array(i)) for c in ("vec_id", "mark", "v", "least")),
             ], ["d", "region", "part", "vec_id", "mark", "v", "least"])
 
-    asked = asked.select("d", "vec_id", "mark", "v", "square").join(least, ["vec_id", "mark"], "left")
+    asked = asked.join(least, ["vec_id", "mark"], "left")
     going = stored(asked.mapInArrow(spread, "d int, region int, part int, vec_id long, mark long, v array<double>, least long"), "asked")
-    return ranked(searched(going)).select("query_id", "rank", "vec_id", "score")
+    found = first.select("query_id", "mark", "vec_id", "score").unionAll(searched(going))
+    return ranked(found).select("query_id", "rank", "vec_id", "score")

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 SPACE = r"\x20\x09-\x0D"
+BATCH_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession, rows_per_batch: int = 1000) -> None:
-    """Bound the rows of an Arrow batch (texts can be long) and let workers import this package."""
+    """Bound the rows and the bytes of an Arrow batch (texts can be long) and let workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))

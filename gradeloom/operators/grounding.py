@@ -20,12 +20,18 @@ def lexical_support(name: Column, description: Column, source: Column) -> Column
 def token_overlap(claims: DataFrame, sources: DataFrame, share: float = 0.5) -> DataFrame:
     """claims(claim_id, text) x sources(source_id, text) -> pairs that share that part of the claim's tokens.
 
-    An equi-join on tokens; only ids travel with the tokens.
+    A source with k of a claim's n tokens has one of any n - k + 1 of them at least: candidates come from an equi-join on the
+    claim's longest ones, which are rare as a rule, so tokens that most sources have don't multiply. Whole token sets are
+    compared for candidates only.
     """
-    c = claims.select("claim_id", T.tokens(F.col("text")).alias("t")).withColumn("n", F.size("t")).select("claim_id", "n", F.explode("t").alias("token"))
-    s = sources.select("source_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    hits = c.join(s, "token").groupBy("claim_id", "source_id").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-    return hits.where(F.col("hits") >= F.ceil(F.col("n") * share)).select("claim_id", "source_id", "hits")
+    c = claims.select("claim_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0).withColumn("need", F.greatest(F.lit(1), F.ceil(F.size("t") * share)).cast("int"))
+    long_first = F.transform(F.array_sort(F.transform("t", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"])
+    rare = c.select("claim_id", F.explode(F.slice(long_first, F.lit(1), F.size("t") - F.col("need") + 1)).alias("token"))
+    held = sources.select("source_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    pairs = held.join(rare, "token").select("claim_id", "source_id").distinct()
+    both = pairs.join(sources.select("source_id", "text"), "source_id").join(c, "claim_id")
+    both = both.withColumn("hits", F.size(F.array_intersect("t", T.tokens(F.col("text")))).cast("long"))
+    return both.where(F.col("hits") >= F.col("need")).select("claim_id", "source_id", "hits")
 
 
 def verbatim(quotes: DataFrame, sources: DataFrame, least: int = 24) -> DataFrame:

@@ -291,6 +291,24 @@ def test_live_run(spark, profile, tmp_path):
             live.run_live(asked, spark.createDataFrame(pages, "identity_id string, source_ord int, url string, html string"), responder.answering(knowing()), profile, strict=True)
 
 
+def test_scores_over_a_stream(spark, tmp_path):
+    from gradeloom.streaming.scores import running_scores
+
+    r = random.Random(9)
+    rows = [(k % 5, k, r.randint(0, 4)) for k in range(60)]
+    for part in (rows[:25], rows[25:]):  # in order
+        spark.createDataFrame(part, "k int, i int, score int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema("k int, i int, score int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = running_scores(files, ["k"], "k int", "i", "score").writeStream.outputMode("update").format("memory").queryName("scores").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    last = {}
+    for x in spark.table("scores").collect():
+        last[x.k] = max(last.get(x.k, (0, 0)), (x.observations, x.score))
+    want = scoring.running_score(spark.createDataFrame(rows, "k int, i int, score int"), ["k"], ["i"]).collect()
+    assert last == {x.k: (x.observations, x.score) for x in want}
+
+
 def test_calls():
     asked = {"system": "s", "user": "u", "temperature": 0.1, "max_tokens": 900, "json_mode": True, "first_tokens": 400, "second_tokens": 800, "first_seconds": 180, "second_seconds": 300}
     sent, waits = [], []

@@ -458,6 +458,39 @@ def test_pii_windows(text, want):
     assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, pii.Field(pii.trained()))[1]] == want
 
 
+def test_pii_in_documents():
+    """Entities of forms that no base pattern finds, put between words of real texts: found with their bounds and kinds, and little else."""
+    import duckdb
+
+    r, field = random.Random(77), pii.Field(pii.trained())
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    name, host, top = (lambda: r.choice(("maria", "j.smith", "anna-lena", "tom88"))), (lambda: r.choice(("example", "mail-host", "acme"))), (lambda: r.choice(("com", "org", "de")))
+
+    def card():
+        while not pii.luhn(x := r.choice("345") + d(15)):
+            pass
+        return ".".join(x[i : i + 4] for i in range(0, 16, 4))
+
+    forms = [
+        ("email", lambda: f"{name()} at {host()} dot {top()}"), ("email", lambda: f"{name()}(at){host()}(dot){top()}"), ("email", lambda: f"{name()} @ {host()}.{top()}"),
+        ("phone", lambda: f"({d(3)}) {d(3)}-{d(4)}"), ("phone", lambda: f"{r.randint(200, 999)}-{r.randint(200, 999)}-{d(4)}"), ("card", card),
+    ]
+    found = total = wrong = added = 0
+    for (text,) in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' order by doc_id").fetchall():
+        base, before = pii.all_spans(text, field)
+        added += len(before) - len(base)
+        w = text.split(" ")
+        at = r.randrange(1, max(2, len(w) - 1))
+        kind, make = r.choice(forms)
+        head, entity = " ".join(w[:at]) + " ", make()
+        if not head[-2:-1].isalpha():
+            continue
+        after = pii.all_spans(head + entity + " " + " ".join(w[at:]), field)[1]
+        hit = (kind, len(head), len(head) + len(entity)) in after
+        found, total, wrong = found + hit, total + 1, wrong + max(0, len(after) - len(before) - hit)
+    assert total > 100 and found >= 0.97 * total and wrong <= 0.02 * total and added <= 4
+
+
 @pytest.mark.parametrize("text", ["7" * 1_000_000, "1 " + "." * 1_000_000, "+1" + " " * 1_000_000, "1" + "a" * 1_000_000])
 def test_pii_reads_long_runs_in_linear_time(text):
     began = time.time()

@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .workers import sent_by_value
+
+sent_by_value(__name__)
+
 FENCE = re.compile(r"^```(?:json)?\s*|\s*```$", re.I)
 RESULT = StructType([StructField("json", StringType()), StructField("error", StringType())])
 

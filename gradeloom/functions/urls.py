@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from .workers import sent_by_value
+
+sent_by_value(__name__)
+
 
 def _public(host: str | None) -> bool:
     try:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import truthy
 from ..functions.text import clean_list, strip, weak_rubric
+from ..functions.workers import sent_by_value
+
+sent_by_value(__name__)
 
 #: The texts that repaired rubrics carry.
 NAMES_CHECK = "Correctly address the assigned capability: "

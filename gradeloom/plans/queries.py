@@ -366,7 +366,7 @@ def q_rubric_repair(spark, sf_dir):
 select conv_id, min(turn) as turn from a x where turn between 1 and 2 and not exists (select 1 from a y where y.conv_id = x.conv_id and y.turn = 0 and y.key = x.key) and length(key) % 3 <> 0 group by conv_id""")
 def q_fresh_scenario(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("identity_id"), F.col("turn").alias("attempt"), "text")
-    known = c.where("attempt = 0").drop("attempt").unionAll(c.where(F.length(T.normalize_task(F.col("text"))) % 3 == 0).select("identity_id", F.concat(F.lit("\u2003 "), F.upper("text"))))
+    known = c.where("attempt = 0").drop("attempt").unionAll(c.where(F.length(T.normalize_task(F.col("text"))) % 3 == 0).select("identity_id", F.concat(F.lit("\u2003 "), F.lower("text"), F.lit("\t"))))
     tried = c.where("attempt > 0")
     return curriculum.first_fresh(tried, known, T.normalize_task(F.col("text")), 2).select(F.col("identity_id").alias("conv_id"), F.col("attempt").alias("turn"))
 

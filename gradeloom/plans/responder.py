@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.jsonx import json_object
+from ..functions.workers import sent_by_value
+
+sent_by_value(__name__)
 
 FIELDS = ("role", "system", "user", "temperature", "max_tokens")
 Responder = Callable[[DataFrame], DataFrame]

@@ -11,6 +11,9 @@ from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions.urls import safe_url
+from ..functions.workers import sent_by_value
+
+sent_by_value(__name__)
 
 SKIPPED = frozenset(("script", "style", "noscript", "svg", "nav", "footer"))
 MAX_BYTES, PACK_CHARS = 1_500_000, 30_000

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.workers import sent_by_value
+
+sent_by_value(__name__)
+
 
 def running_scores(rows: DataFrame, keys: list[str], key_schema: str, order: str, score: str) -> DataFrame:
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, minhash, mixing, mtree, pii, quality, substrings, toxicity, vectors
+from . import bpe, licenses, lloyd, minhash, mixing, mtree, pii, quality, substrings, toxicity, vectors
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -69,6 +69,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.lloyd(table(spark, sf_dir, "embeddings"))
+
+
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -106,3 +111,17 @@ l as materialized (select a, b from p join n x on x.id = a join n y on y.id = b
 SQL["op10_mtree"] = """with g as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
 select q.vec_id as query_id, cast(row_number() over (partition by q.vec_id order by list_inner_product(q.v, c.v) desc, c.vec_id) as integer) as rank, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
 from g q join g c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0 qualify rank <= 5"""
+
+
+_ROUND = """a{0} as materialized (select i, any_value(v) as v, min({{'d': list_inner_product(v, v) - 2 * list_inner_product(v, w) + list_inner_product(w, w), 'c': c}}) as b from e, c{0} group by i),
+n{0} as (select c, list(x order by k) as u from (select c, k, floor(sum(x) / count(*)) as x from (select b.c as c, unnest(v) as x, generate_subscripts(v, 1) as k from a{0}) group by c, k) group by c),
+c{1} as materialized (select c{0}.c, coalesce(u, w) as w from c{0} left join n{0} on c{0}.c = n{0}.c),
+"""
+
+SQL["op11_lloyd"] = f"""with e as materialized (select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+ where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select row_number() over (order by h nulls last, v) - 1 as c, v as w from (select sha256('2:' || vec_id) as h, v from e order by h nulls last, v limit 40)),
+{"".join(_ROUND.format(i, i + 1) for i in range(lloyd.ROUNDS))}f as (select i, min({{'d': list_inner_product(v, v) - 2 * list_inner_product(v, w) + list_inner_product(w, w), 'c': c}}) as b from e, c{lloyd.ROUNDS} group by i),
+g as (select vec_id, b.c as c, cast(b.d as bigint) as distance from f join e on e.i = f.i)
+select vec_id, cast(g.c as integer) as cluster, distance, cast(sum(distance) over (partition by g.c) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+ sha256(array_to_string(list_transform(w, lambda x: cast(cast(x as bigint) as varchar)), ',')) as centroid_sha256 from g join c{lloyd.ROUNDS} k on g.c = k.c"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, lloyd, minhash, mixing, mtree, pii, quality, substrings, toxicity, vectors
+from . import alignment, bpe, licenses, lloyd, minhash, mixing, mtree, pii, quality, substrings, toxicity, vectors
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.lloyd(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), **alignment.public_files())
+
+
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

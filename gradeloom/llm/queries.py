@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import alignment, bpe, licenses, lloyd, minhash, mixing, mtree, pii, quality, substrings, toxicity, vectors
+from . import alignment, bpe, chat, licenses, lloyd, minhash, mixing, mtree, pii, quality, substrings, toxicity, vectors
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -79,6 +80,14 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(table(spark, sf_dir, "documents"), **alignment.public_files())
 
 
+@query
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digest(turns.unionByName(more))
+
+
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -130,3 +139,21 @@ c0 as materialized (select row_number() over (order by h nulls last, v) - 1 as c
 g as (select vec_id, b.c as c, cast(b.d as bigint) as distance from f join e on e.i = f.i)
 select vec_id, cast(g.c as integer) as cluster, distance, cast(sum(distance) over (partition by g.c) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
  sha256(array_to_string(list_transform(w, lambda x: cast(cast(x as bigint) as varchar)), ',')) as centroid_sha256 from g join c{lloyd.ROUNDS} k on g.c = k.c"""
+
+_ESCAPED = r"replace(replace(replace({}, '\', '\-'), '##', '#\#'), '</turn>', '<\/turn>')"
+_BUDGET, _HISTORY, _CELL = chat.BUDGET, chat.HISTORY, max(chat.CELL, 4 * chat.BUDGET)
+
+SQL["op13_chat"] = rf"""with recursive i as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from (select conv_id, turn, role, text from conversations
+ union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+r as (select *, coalesce(conv_id::varchar, '-') as k, row_number() over w - 1 as pos, len({WORDS.format("text")}) + {chat.MARKS} as tokens,
+ len('### ' || replace({_ESCAPED.format("role")}, chr(10), '\+') || chr(10) || {_ESCAPED.format("text")} || chr(10) || '</turn>' || chr(10)) as chars from i window w as (partition by conv_id order by turn nulls first, md5(role || chr(10) || text))),
+p as materialized (select *, cast(sum(tokens) over (partition by k order by pos) - tokens as bigint) as b, b // {_CELL} as cell from r),
+s as (select k, tokens as s_tokens from p where pos = 0 and role = 'system'),
+g as materialized (select p.*, greatest({_BUDGET // 4}, {_BUDGET - _HISTORY} - coalesce(s_tokens, 0)) as room from p left join s on p.k = s.k),
+f as (select k, pos, cell, b + room as last, pos as first from g where pos = 0
+ union all select g.k, g.pos, g.cell, case when g.cell <> f.cell or g.b + g.tokens > f.last then g.b + g.room else f.last end, case when g.cell <> f.cell or g.b + g.tokens > f.last then g.pos else f.first end from f join g on g.k = f.k and g.pos = f.pos + 1),
+w as (select distinct k, first from f),
+h as (select w.k, w.first, sum(o.chars) as again from w join g on g.k = w.k and g.pos = w.first join g o on o.k = w.k and o.pos < w.first and (o.b >= g.b - {_HISTORY} or (o.pos = 0 and o.role = 'system')) group by all),
+x as (select w.k, count(*) as n_windows, coalesce(sum(again), 0) as again from w left join h on w.k = h.k and w.first = h.first group by w.k),
+d as (select k, any_value(conv_id) as conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by pos) as told, coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '') as learned, sum(chars) as chars from p group by k)
+select conv_id, n_turns, sha256(told) as turns_sha256, len(learned) as loss_chars, sha256(learned) as loss_sha256, cast(chars + again as bigint) as formatted_chars, n_windows from d join x on d.k = x.k"""

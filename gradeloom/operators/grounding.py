@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import written
 
 
 def lexical_support(name: Column, description: Column, source: Column) -> Column:
@@ -17,21 +18,39 @@ def lexical_support(name: Column, description: Column, source: Column) -> Column
     return (F.size(n) > 0) & named & ((F.size(rest) == 0) | (F.size(F.array_intersect(rest, s)) >= half))
 
 
-def token_overlap(claims: DataFrame, sources: DataFrame, share: float = 0.5) -> DataFrame:
-    """claims(claim_id, text) x sources(source_id, text) -> pairs that share that part of the claim's tokens.
+#: So many different tokens of claims, and claims, may go to all tasks; with more of either, both sides are shuffled.
+SENT_TOKENS, SENT_CLAIMS = 20_000, 100_000
 
-    A source with k of a claim's n tokens has one of any n - k + 1 of them at least: candidates come from an equi-join on the
-    claim's longest ones, which are rare as a rule, so tokens that most sources have don't multiply. Whole token sets are
-    compared for candidates only.
+
+def token_overlap(claims: DataFrame, sources: DataFrame, share: float = 0.5, sent_tokens: int = SENT_TOKENS, sent_claims: int = SENT_CLAIMS) -> DataFrame:
+    """claims(claim_id, text) x sources(source_id, text) -> pairs that share that part of the claim's tokens, with hits.
+
+    Texts are read and tokenised once: what is kept of a source is its tokens that some claim has, in a table. How many sources
+    have a token is counted there. A source with k of a claim's n tokens has one of any n - k + 1 of them: candidates come from a join on the
+    claim's rarest ones, a pair at the rarest one that both have, so none is found twice and nothing is gathered by source or by pair.
     """
     c = claims.select("claim_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0).withColumn("need", F.greatest(F.lit(1), F.ceil(F.size("t") * share)).cast("int"))
-    long_first = F.transform(F.array_sort(F.transform("t", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda x: x["x"])
-    rare = c.select("claim_id", F.explode(F.slice(long_first, F.lit(1), F.size("t") - F.col("need") + 1)).alias("token"))
-    held = sources.select("source_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    pairs = held.join(rare, "token").select("claim_id", "source_id").distinct()
-    both = pairs.join(sources.select("source_id", "text"), "source_id").join(c, "claim_id")
-    both = both.withColumn("hits", F.size(F.array_intersect("t", T.tokens(F.col("text")))).cast("long"))
-    return both.where(F.col("hits") >= F.col("need")).select("claim_id", "source_id", "hits")
+    c = written(c, "claims")
+    vocabulary = c.select(F.explode("t").alias("token")).distinct()
+    some = [r["token"] for r in vocabulary.limit(sent_tokens + 1).collect()]
+    small = len(some) <= sent_tokens and c.limit(sent_claims + 1).count() <= sent_claims
+    s = sources.select("source_id", T.tokens(F.col("text")).alias("t"))
+    if small:
+        listed = ", ".join(f"'{w}'" for w in some) or "''"
+        held = s.withColumn("t", F.expr(f"filter(t, x -> x in ({listed}))"))
+    else:
+        each = s.select(F.monotonically_increasing_id().alias("row"), "source_id", F.explode("t").alias("token"))
+        held = each.join(vocabulary, "token", "left_semi").groupBy("row", "source_id").agg(F.collect_list("token").alias("t")).drop("row")
+    held = written(held.where(F.size("t") > 0), "held")
+    each = held.select("source_id", "t", F.explode("t").alias("token"))
+    had = each.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = c.select("claim_id", "need", F.explode("t").alias("token")).join(had, "token", "left")
+    ranked = ranked.groupBy("claim_id", "need").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))["token"].alias("ranked"))
+    rare = ranked.withColumn("rare", F.slice("ranked", F.lit(1), F.size("ranked") - F.col("need") + 1))
+    rare = rare.select("claim_id", "need", "ranked", "rare", F.explode("rare").alias("token"))
+    pairs = each.join(F.broadcast(rare) if small else rare, "token").where(F.get(F.array_intersect("rare", "t"), F.lit(0)) == F.col("token"))
+    pairs = pairs.withColumn("hits", F.size(F.array_intersect("ranked", "t")).cast("long"))
+    return pairs.where(F.col("hits") >= F.col("need")).select("claim_id", "source_id", "hits")
 
 
 def verbatim(quotes: DataFrame, sources: DataFrame, least: int = 24) -> DataFrame:

@@ -6,12 +6,11 @@ that a step fails for leaves with a row in failures; in strict mode the first fa
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import written
 from ..operators import capabilities as C
 from ..operators import curriculum as U
 from ..operators import exams as E
@@ -23,12 +22,8 @@ KNOWLEDGE_CHARS = 9_000
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that the session names (one of our own where it names none, as in tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradeloom-"))
-    return df.checkpoint()
+    """df as a table in the folder that the session names."""
+    return written(df, "live")
 
 
 def transfer_tasks(rows: DataFrame, caps: DataFrame, tasks: DataFrame, respond: responder.Responder) -> tuple[DataFrame, DataFrame]:

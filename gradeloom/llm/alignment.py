@@ -36,7 +36,7 @@ from .shared import prepare, scratch, stored
 #: Pairs that go to all tasks at most.
 MOST_SENT = 1 << 16
 #: Documents in a block at most (blocks also end by their bytes), and the id that ends a word within it.
-ROWS, STOP = 1000, 1 << 20
+ROWS, STOP = 250, 1 << 20
 #: Pairs are one number: A's id times this, plus B's.
 SIDE = 1 << 31
 #: Texts up to here in code points are split alike by both programs that know A's pattern.
@@ -205,16 +205,18 @@ def _positions(ids: Column, of) -> Column:
     return F.array_compact(F.transform(ids, lambda x, i: F.when(of(x) == STOP, i)))
 
 
-def _between(stops: Column, k: Column) -> tuple[Column, Column]:
-    """Where word k begins, and how many there are before its stop."""
-    begin = F.when(k == 0, F.lit(0)).otherwise(F.get(stops, k - 1) + 1)
-    return begin, F.get(stops, k) - begin
+def _each(stops: Column, f) -> Column:
+    """For each word f of where it begins and of how many there are before its stop."""
 
+    def one(stop: Column, k: Column) -> Column:
+        begin = F.when(k == 0, F.lit(0)).otherwise(F.get(stops, k - 1) + 1)
+        return f(begin, stop - begin)
 
-def _runs(x: Column) -> Column:
-    """Of ascending numbers: pair (each once) and times."""
-    first = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
-    return let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(x, i).alias("pair"), (F.coalesce(F.get(f, k + 1), F.size(x)) - i).alias("times"))))
+    return F.transform(stops, one)
+
+
+def _counts(stops: Column) -> Column:
+    return let(stops, lambda v: _each(v, lambda begin, n: n))
 
 
 def public_files() -> dict[str, str]:
@@ -227,46 +229,39 @@ def public_files() -> dict[str, str]:
 def aligned(docs: DataFrame, a_path: str, b_path: str, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs(text), tokenizer files A and B; pattern is A's where a second program may be used for plain words.
 
-    -> the columns of keep, n_a, n_b, n_groups, n_links, groups_sha256, and pairs: the different linked pairs of ids, with times."""
+    -> the columns of keep, n_a, n_b, n_groups, n_links, groups_sha256, and links: for each pair of tokens that overlap, in order, A's id * 2^31 + B's."""
     prepare(docs.sparkSession, ROWS)
     for path in (a_path, b_path):
         docs.sparkSession.sparkContext.addFile(path)
     rows = docs.select(F.struct(*keep).alias("kept"), "text")
     schema = StructType([*BLOCK, StructField("docs", ArrayType(StructType([rows.schema["kept"], StructField("at", _INTS, False)]), False), False)])
     blocks = rows.mapInArrow(tokenised(os.path.basename(a_path), os.path.basename(b_path), pattern), schema)
-    none = F.array().cast("array<struct<pair:bigint,times:int>>")
     cuts = F.array_intersect("a_ends", "b_ends")
     stop_ends = F.array_compact(F.transform("a_ends", lambda e, i: F.when(F.get("a_ids", i) == STOP, e)))
     merged = F.sort_array(F.concat(_marks(F.col("a_ends"), 0), _marks(F.col("b_ends"), 1)))
 
     def words(x: Column) -> Column:
+        """Of each different word: how many tokens and groups, what the groups say, and the links."""
+        stops = _positions(x, lambda s: F.shiftright(s, 33))
         return F.struct(
-            F.transform(x, lambda s: F.shiftright(s, 2)).alias("links"), _positions(x, lambda s: F.shiftright(s, 33)).alias("link_stops"),
-            F.split(_groups(x), f";{STOP}\\|{STOP}(;|$)").alias("said"), _positions(F.col("a_ids"), lambda i: i).alias("a_stops"), _positions(F.col("b_ids"), lambda i: i).alias("b_stops"),
-            F.transform(_rank(stop_ends, cuts), lambda n: n - 1).alias("cut_stops"),
+            let(stops, lambda v: _each(v, lambda begin, n: F.transform(F.sequence(begin, begin + n - 1), lambda i: F.shiftright(F.get(x, i), 2)))).alias("links"),  # slice() would copy all of x
+            F.split(_groups(x), f";{STOP}\\|{STOP}(;|$)").alias("said"), _counts(_positions(F.col("a_ids"), lambda i: i)).alias("n_a"), _counts(_positions(F.col("b_ids"), lambda i: i)).alias("n_b"),
+            _counts(F.transform(_rank(stop_ends, cuts), lambda n: n - 1)).alias("n_groups"),
         )
 
     def doc(d: Column, w: Column) -> Column:
-        total = lambda stops: F.aggregate(d["at"], F.lit(0).cast("long"), lambda s, k: s + _between(w[stops], k)[1])
-
-        def links(k: Column) -> Column:
-            begin, n = _between(w["link_stops"], k)
-            return F.transform(F.sequence(begin, begin + n - 1), lambda i: F.get(w["links"], i))  # slice() would copy the whole array
-
-        some = F.size(d["at"]) > 0
-        return F.struct(
-            d["kept"].alias("kept"), total("a_stops").alias("n_a"), total("b_stops").alias("n_b"), total("cut_stops").alias("n_groups"), total("link_stops").alias("n_links"),
-            F.when(some, F.sha2(F.array_join(F.transform(d["at"], lambda k: F.get(w["said"], k)), ";"), 256)).otherwise(F.lit("")).alias("groups_sha256"),
-            F.when(some, let(F.sort_array(F.flatten(F.transform(d["at"], links))), _runs)).otherwise(none).alias("pairs"),
-        )
+        total = lambda name: F.aggregate(d["at"], F.lit(0), lambda s, k: s + F.get(w[name], k)).cast("long")
+        of = lambda name: F.transform(d["at"], lambda k: F.get(w[name], k))
+        said = F.when(F.size(d["at"]) > 0, F.sha2(F.array_join(of("said"), ";"), 256)).otherwise(F.lit(""))
+        return F.struct(d["kept"].alias("kept"), total("n_a").alias("n_a"), total("n_b").alias("n_b"), total("n_groups").alias("n_groups"), said.alias("groups_sha256"), F.flatten(of("links")).alias("links"))
 
     each = blocks.select(F.inline(let(let(_stretches(merged), words), lambda w: F.transform("docs", lambda d: doc(d, w)))))
-    return each.select("kept.*", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs")
+    return each.select("kept.*", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256", "links")
 
 
-def counted(pairs: DataFrame) -> DataFrame:
-    """pairs(pairs) of each document -> pair, held (documents that hold it linked), best (as many as any pair of its A id)."""
-    each = pairs.select(F.explode("pairs.pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("held"))
+def counted(docs: DataFrame) -> DataFrame:
+    """docs(links) -> pair, held (documents that hold it linked), best (as many as any pair of its A id)."""
+    each = docs.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("held"))
     each = stored(each, "align-counts")
     most = each.groupBy(F.expr(f"pair div {SIDE}").alias("a")).agg(F.max("held").alias("most"))
     return each.join(most, F.expr(f"pair div {SIDE}") == F.col("a")).select("pair", "held", (F.col("held") == F.col("most")).cast("long").alias("best"))
@@ -288,15 +283,15 @@ def digest(docs: DataFrame, a_path: str, b_path: str, pattern: str | None = None
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     numbers = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     with scratch() as keep:
-        t = stored(aligned(docs, a_path, b_path, pattern).select(F.monotonically_increasing_id().alias("row"), *numbers, "pairs"), "align")
+        t = stored(aligned(docs, a_path, b_path, pattern).select(F.monotonically_increasing_id().alias("row"), *numbers, "links"), "align")
         counts = stored(counted(t), "align-best")
         least = frequent(counts)
-        each = t.select("row", F.inline("pairs"))
+        each = t.select("row", F.explode("links").alias("pair"))
         sent = counts.where(F.col("held") >= least)
         first = each.join(F.broadcast(sent), "pair", "left")
-        summed = [F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("held")).alias("count_sum")]
+        summed = [F.sum("best").alias("n_best"), F.sum("held").alias("count_sum")]
         often = first.where("held is not null").groupBy("row").agg(*summed)
-        rest = first.where("held is null").select("row", "pair", "times").join(counts.where(F.col("held") < least).hint("merge"), "pair").groupBy("row").agg(*summed)
+        rest = first.where("held is null").select("row", "pair").join(counts.where(F.col("held") < least).hint("merge"), "pair").groupBy("row").agg(*summed)
         sums = often.unionAll(rest).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
         out = stored(t.select("row", *numbers).join(sums.hint("merge"), "row", "left").select(*numbers, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum"))), "align-out")
         keep(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +28,17 @@ def public_address(hosts: pd.Series) -> pd.Series:
     return hosts.map(_public).astype(bool)
 
 
+def safe(url: str) -> bool:
+    """safe_url() of one URL, where a task itself follows it."""
+    try:
+        u = urlsplit(url)
+        host = (u.hostname or "").lower().rstrip(".")
+    except ValueError:
+        return False
+    local = host in ("localhost", "localhost.localdomain") or host.endswith(".local")
+    return u.scheme == "https" and bool(host) and not (u.username or u.password) and not local and _public(host)
+
+
 def host_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
 
@@ -39,7 +51,7 @@ def named_host_ok(url: Column) -> Column:
 
 
 def safe_url(url: Column) -> Column:
-    """Only hosts that look like addresses go to Python."""
+    """A row's host goes to Python only if it looks like an address; all rows pass that stage."""
     host = host_of(url)
     address = host.rlike(r"^[0-9.]+$|^\[")
     return F.coalesce(named_host_ok(url) & (~address | public_address(F.when(address, host))), F.lit(False))

@@ -39,7 +39,7 @@ def token_overlap(claims: DataFrame, sources: DataFrame, share: float = 0.5, sen
         listed = ", ".join(f"'{w}'" for w in some) or "''"
         held = s.withColumn("t", F.expr(f"filter(t, x -> x in ({listed}))"))
     else:
-        each = s.select(F.monotonically_increasing_id().alias("row"), "source_id", F.explode("t").alias("token"))
+        each = s.withColumn("row", F.monotonically_increasing_id()).select("row", "source_id", F.explode("t").alias("token"))
         held = each.join(vocabulary, "token", "left_semi").groupBy("row", "source_id").agg(F.collect_list("token").alias("t")).drop("row")
     held = written(held.where(F.size("t") > 0), "held")
     each = held.select("source_id", "t", F.explode("t").alias("token"))

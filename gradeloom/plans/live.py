@@ -6,7 +6,13 @@ that a step fails for leaves with a row in failures; in strict mode the first fa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import argparse
+import os
+import sys
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,11 +20,15 @@ from ..functions.tables import written
 from ..operators import capabilities as C
 from ..operators import curriculum as U
 from ..operators import exams as E
-from ..sources import html
-from . import prompts, render, responder
-from .run import coerced, run, scored
+from ..operators import scoring
+from ..sources import fetch, html
+from ..sources import specs as spec_files
+from . import prompts, render, responder, sink
+from .run import coerced, observed, run
 
 KNOWLEDGE_CHARS = 9_000
+#: Lessons that are kept for later rounds and for the distiller, and characters of them that the distiller sees.
+LESSONS, LESSON_CHARS = 20, 7_000
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -52,8 +62,8 @@ def transfer_tasks(rows: DataFrame, caps: DataFrame, tasks: DataFrame, respond:
     return accepted.join(rows.select("identity_id"), "identity_id", "left_semi"), failures
 
 
-def run_live(specs: DataFrame, pages: DataFrame, respond: responder.Responder, profile: str = "audit", strict: bool = False) -> dict[str, DataFrame]:
-    """specs as of check(), pages(identity_id, source_ord, url, html) -> what run() gives, and failures(identity_id, step, error)."""
+def run_live(specs: DataFrame, pages: DataFrame, respond: responder.Responder, profile: str = "audit", strict: bool = False, model: str = "") -> dict[str, DataFrame]:
+    """specs as of check(), pages(identity_id, source_ord, url, html, or body as of fetched()) -> what run() gives, and failures(identity_id, step, error)."""
     core, failures = profile == "core", None
 
     def failed(step: str, rows: DataFrame) -> None:
@@ -65,7 +75,8 @@ def run_live(specs: DataFrame, pages: DataFrame, respond: responder.Responder, p
 
     failed("specification", specs.where(F.size("violations") > 0).select("identity_id", F.array_join("violations", "; ").alias("error")))
     specs = kept(specs.where(F.size("violations") == 0))
-    evidence = kept(html.source_evidence(html.acquire(pages), limit=3_200 if core else 1_500))
+    acquired = html.receive(pages) if "body" in pages.columns else html.acquire(pages)
+    evidence = kept(html.source_evidence(acquired, limit=3_200 if core else 1_500))
     packs = html.packs(evidence)
     rows = specs.join(packs, "identity_id", "left")
     failed("sources", rows.where("pack is null").select("identity_id", F.lit("no sources could be acquired").alias("error")))
@@ -97,12 +108,14 @@ def run_live(specs: DataFrame, pages: DataFrame, respond: responder.Responder, p
     rows = kept(rows.join(bad.select("identity_id"), "identity_id", "left_anti"))
     tasks = kept(planned.join(rows.select("identity_id"), "identity_id", "left_semi").drop("error").withColumn("phase", F.lit("training")))
 
-    responses = None
+    held, responses = Held(kept(zero), None), []
     last = rows.agg(F.max("rounds")).first()[0] or 0
     for n in range(1, last + 1):
         now = tasks.where(F.col("round_no") == n)
-        responses = ask(rows, caps, now, responses, tasks, respond, profile, "training")
-    designed = rows.join(render.evidence_snapshot(zero if responses is None else scored(caps, coerced(tasks, responses, profile))), "identity_id")
+        said = ask(rows, held, now, respond, profile, "training")
+        responses.append(said)
+        held = held.after(now, said, profile)
+    designed = rows.join(render.snapshot(held.capabilities) if core else render.evidence_snapshot(held.capabilities), "identity_id")
     if core:
         listed = tasks.groupBy("identity_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("round_no", "task")))["task"]).alias("prior"))
         two = responder.complete_json(prompts.both_transfers(designed.join(listed, "identity_id")), respond, kept)
@@ -115,29 +128,87 @@ def run_live(specs: DataFrame, pages: DataFrame, respond: responder.Responder, p
     failed("transfers", bad)
     rows = kept(rows.join(bad.select("identity_id"), "identity_id", "left_anti"))
     every = kept(tasks.unionByName(late.withColumn("phase", F.lit("transfer")), allowMissingColumns=True).join(rows.select("identity_id"), "identity_id", "left_semi"))
-    responses = ask(rows, caps, every.where("phase = 'transfer'"), responses, tasks, respond, profile, "transfer")
-    out = run(specs.join(rows.select("identity_id"), "identity_id", "left_semi"), caps, every, responses, profile, evidence.drop("text", "sample"), packs)
+    responses.append(ask(rows, held, every.where("phase = 'transfer'"), respond, profile, "transfer"))
+    distil = (lambda *parts: distilled(rows, respond, *parts)) if core else None
+    out = run(specs.join(rows.select("identity_id"), "identity_id", "left_semi"), caps, every, reduce(DataFrame.unionByName, responses), profile, evidence.drop("text", "sample"), packs, distil, model)
     return {**out, "failures": failures}
 
 
-def ask(rows: DataFrame, caps: DataFrame, now: DataFrame, before: DataFrame | None, tasks: DataFrame, respond: responder.Responder, profile: str, phase: str) -> DataFrame:
-    """Responses so far and those to the tasks of now: each answered from one state, then examined."""
+@dataclass
+class Held:
+    """What identities have when a round begins: capabilities with their scores, and in the core profile the last lessons."""
+
+    capabilities: DataFrame
+    lessons: DataFrame | None
+
+    def after(self, tasks: DataFrame, responses: DataFrame, profile: str) -> Held:
+        """With a round's responses merged in; those of earlier rounds aren't read."""
+        exams = coerced(tasks, responses, profile)
+        caps = kept(scoring.merge_scores(self.capabilities, observed(self.capabilities, exams), ["identity_id", "cap_id"], ["seq", "sub"]))
+        if profile != "core":
+            return Held(caps, None)
+        new = E.lessons(exams, ["identity_id", "round_no"]).groupBy("identity_id").agg(F.array_sort(F.collect_list(F.struct("round_no", "sub", "lesson")))["lesson"].alias("lessons"))
+        if self.lessons is not None:
+            none, before = F.array().cast("array<string>"), self.lessons.withColumnRenamed("lessons", "before")
+            both = F.concat(F.coalesce("before", none), F.coalesce("lessons", none))
+            new = before.join(new, "identity_id", "full").select("identity_id", F.when(F.size(both) > LESSONS, F.slice(both, -LESSONS, LESSONS)).otherwise(both).alias("lessons"))
+        return Held(caps, kept(new))
+
+
+def distilled(rows: DataFrame, respond: responder.Responder, specs: DataFrame, caps: DataFrame, lessons: DataFrame, result: DataFrame) -> DataFrame:
+    """identity_id, capsule: what the model makes of the evidence (core profile); identities without a response have none."""
+    said = lessons.groupBy("identity_id").agg(F.array_sort(F.collect_list(F.struct("round_no", "sub", "lesson")))["lesson"].alias("lessons"))
+    told = F.coalesce("lessons", F.array().cast("array<string>"))
+    told = F.array_join(F.transform(F.when(F.size(told) > LESSONS, F.slice(told, -LESSONS, LESSONS)).otherwise(told), lambda x: F.concat(F.lit("- "), x)), "\n")
+    decided = result.select("identity_id", F.to_json(F.struct(*[c for c in result.columns if c != "identity_id"])).alias("qualification"))
+    x = rows.select("identity_id", "function", "target", "knowledge").join(render.snapshot(caps), "identity_id", "left").join(said, "identity_id", "left").join(decided, "identity_id")
+    x = x.withColumns({"snapshot": F.coalesce("snapshot", F.lit("[]")), "told": T.truncate(told, LESSON_CHARS)})
+    capsules = responder.complete(prompts.distiller(x), respond, kept)
+    return capsules.select("identity_id", F.col("content").alias("capsule"))
+
+
+def ask(rows: DataFrame, held: Held, now: DataFrame, respond: responder.Responder, profile: str, phase: str) -> DataFrame:
+    """Responses to the tasks of now: each answered from one state, then examined."""
     core = profile == "core"
-    zero = caps.withColumns({"score": F.lit(0), "observations": F.lit(0)})
-    exams = None if before is None else coerced(tasks, before, profile)
-    held = zero if exams is None else scored(caps, exams)
     if core:
-        none, told = F.array().cast("array<string>"), rows.select("identity_id", F.array().cast("array<string>").alias("lessons"))
-        if exams is not None:
-            told = E.lessons(exams, ["identity_id", "round_no"]).groupBy("identity_id").agg(F.array_sort(F.collect_list(F.struct("round_no", "sub", "lesson")))["lesson"].alias("lessons"))
-        x = rows.join(render.snapshot(held), "identity_id", "left").join(told, "identity_id", "left")
+        none, told = F.array().cast("array<string>"), held.lessons if held.lessons is not None else rows.select("identity_id", F.array().cast("array<string>").alias("lessons"))
+        x = rows.join(render.snapshot(held.capabilities), "identity_id", "left").join(told, "identity_id", "left")
         state = render.learned_state(F.col("function"), F.coalesce("snapshot", F.lit("[]")), F.coalesce("lessons", none))
     else:
-        x = rows.join(render.evidence_snapshot(held), "identity_id", "left")
+        x = rows.join(render.evidence_snapshot(held.capabilities), "identity_id", "left")
         state = render.source_only_state(F.col("function"), F.coalesce("snapshot", F.lit("[]")))
     facing = x.select("identity_id", "function", "rounds", "knowledge", state.alias("state")).join(now, "identity_id")
     answered = responder.complete(prompts.student(facing) if phase == "training" else prompts.transfer_student(facing), respond, kept)
     graded = facing.join(answered.select("identity_id", "round_no", F.col("content").alias("answer")), ["identity_id", "round_no"])
     said = responder.complete_json(prompts.examiner(graded, core), respond, kept)
-    new = kept(said.select("identity_id", F.lit(phase).alias("phase"), "round_no", "object"))
-    return new if before is None else kept(before.unionByName(new))
+    return kept(said.join(answered.select("identity_id", "round_no", F.col("content").alias("answer")), ["identity_id", "round_no"]).select("identity_id", F.lit(phase).alias("phase"), "round_no", "object", "answer"))
+
+
+def main(arguments: list[str] | None = None) -> int:
+    """A run from the shell: specifications, sources from their URLs, a model server, artifacts. 0 if no identity failed."""
+    p = argparse.ArgumentParser(description=main.__doc__)
+    p.add_argument("specs", help="folder or file of specifications")
+    p.add_argument("out", help="folder in which the set of artifacts is published")
+    p.add_argument("--ledger", required=True, help="folder of the responses, which a later run uses again")
+    p.add_argument("--url", default=os.environ.get("LLM_URL", "http://127.0.0.1:8080/v1/chat/completions"))
+    p.add_argument("--model", default=os.environ.get("MODEL_NAME", "local"))
+    p.add_argument("--profile", default="audit", choices=("core", "conservative", "audit"))
+    p.add_argument("--strict", action="store_true", help="end at the first failure")
+    given = p.parse_args(arguments)
+    responder.assert_zero_cost()
+    spark = SparkSession.builder.getOrCreate()
+    asked = spec_files.check(spec_files.scan(spark, given.specs))
+    pages = kept(fetch.fetched(asked.where(F.size("violations") == 0).select("identity_id", F.posexplode("sources").alias("source_ord", "url"))))
+    answers = responder.Ledger(spark, given.ledger).through(responder.live(given.url, given.model, given.profile == "core"))
+    got = run_live(asked, pages, answers, given.profile, given.strict, model=given.model)
+    sink.publish(kept(got["artifacts"]), given.out)
+    for r in got["outcomes"].toLocalIterator():
+        print(r["line"], flush=True)
+    failed = got["failures"].orderBy("identity_id").limit(100).collect()
+    for r in failed:
+        print(f"{r['identity_id']}: {r['step']}: {r['error']}", file=sys.stderr)
+    return int(bool(failed))
+
+
+if __name__ == "__main__":
+    sys.exit(main())

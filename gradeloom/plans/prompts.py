@@ -92,3 +92,10 @@ def transfer_designer(rows: DataFrame, number: int, attempt: int) -> DataFrame:
 def both_transfers(rows: DataFrame) -> DataFrame:
     """The core profile's one request for two tasks; rows as for transfer_designer()."""
     return request(rows, "transfer", sections(function=F.col("function"), capabilities=F.col("snapshot"), prior_tasks=F.col("prior")))
+
+
+def distiller(rows: DataFrame) -> DataFrame:
+    """rows(identity_id, function, target, knowledge, snapshot, told: the lessons as a list, qualification: a JSON text)."""
+    return request(rows, "distiller", sections(
+        identity=F.col("identity_id"), function=F.col("function"), target=F.col("target"), source_data=F.col("knowledge"), capability_evidence=F.col("snapshot"), validated_lessons=F.col("told"), qualification=F.col("qualification"),
+    ))

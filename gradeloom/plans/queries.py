@@ -533,6 +533,15 @@ def q_score_history(spark, sf_dir):
     return scoring.score_history(e, ["user_id", "event_type"], "event_id").select("event_id", "score", "observations")
 
 
+@query("""with recursive x as materialized (select event_type, event_id, cast(cast(floor(value) as bigint) % 5 as integer) as x, row_number() over (partition by event_type order by event_id) as n from events),
+r as (select event_type, event_id, n, cast(x as double) as s from x where n = 1 union all select x.event_type, x.event_id, x.n, round_even((r.s * r.n + x.x) / (r.n + 1), 0) from r join x on x.event_type = r.event_type and x.n = r.n + 1)
+select event_id, cast(s as integer) as running, n as observations from r""")
+def q_score_scan(spark, sf_dir):
+    """A few keys with all rows between them."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", (F.floor("value") % 5).cast("int").alias("score"))
+    return scoring.score_scan(e, ["event_type"], ["event_id"]).select("event_id", "running", "observations")
+
+
 @query("select distinct cast(conv_id as varchar) as identity_id, name from conversations cross join (values ('IDENTITY_CAPSULE.md'), ('QUALIFICATION.json'), ('REGRESSION_SET.json'), ('TRAINING_AUDIT.json'), ('SUMMARY.md')) t(name)")
 def q_replayed_run(spark, sf_dir):
     c = _responses(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))

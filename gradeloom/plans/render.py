@@ -1,4 +1,4 @@
-"""Artifacts: capsules, regression sets, learned state, and the writers."""
+"""Artifacts: capsules, regression sets, learned state; sink.py publishes them."""
 
 from __future__ import annotations
 
@@ -48,11 +48,6 @@ def source_only_state(function: Column, evidence: Column) -> Column:
     return truncate(F.concat_ws("\n", F.concat(F.lit("FUNCTION: "), function), F.lit("SOURCE-ANCHORED CAPABILITY EVIDENCE:"), evidence, F.lit(STATE_NOTE)), STATE_CHARS)
 
 
-def sections(**parts: Column) -> Column:
-    """A prompt: a labelled section for each part that is not null, in order."""
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{k.upper().replace('_', ' ')}:\n"), v) for k, v in parts.items()])
-
-
 def regression_set(cases: DataFrame) -> DataFrame:
     """The last 20 cases of each identity, then without blanks, labelled as unverified."""
     last = tail(cases, ["identity_id"], "ord", 20).where(strip(F.col("case")) != "")
@@ -114,6 +109,14 @@ def capsule(specs: DataFrame, sources: DataFrame, capabilities: DataFrame) -> Da
     return x.select("identity_id", F.array_join(F.concat(*lines), "\n").alias("capsule"))
 
 
+#: What a qualification is called.
+PACKAGE, EVALUATION, COVERAGE = "EXTERNAL_IDENTITY_TRAINING_PACKAGE", "EXTERNAL_SEPARATE_CONTEXT_SAME_LOCAL_MODEL", "BOUNDED_TO_SUPPLIED_SOURCES_WITH_EXACT_CAPABILITY_QUOTES"
+#: What a qualification leaves open.
+DOUBTS = (
+    "One local model plays trainer, student and examiner; only their prompts are apart.", "Proxy scores are of the simulation and say nothing of a native identity.",
+    "The sources that were given cover a part of the domain.", "What examiners correct is kept for the audit and not taken into the capsule.",
+)
+CORE_DOUBTS = (DOUBTS[0], "Knowledge is made from bounded samples of the sources, which may leave things out.", "A fresh native session has to qualify before the identity counts as qualified.")
 #: The names of the artifacts.
 ARTIFACTS = ("IDENTITY_CAPSULE.md", "QUALIFICATION.json", "REGRESSION_SET.json", "TRAINING_AUDIT.json", "SUMMARY.md", "SOURCE_EXCERPTS.md")
 EVIDENCE_NOTE = "Suggestions of an examiner that is the same model: hypotheses, no validated cases until they are verified independently."
@@ -143,12 +146,21 @@ def summary(specs: DataFrame, qualification: DataFrame, capabilities: DataFrame,
     ).alias("content"))
 
 
+def core_summary(specs: DataFrame, qualification: DataFrame, capabilities: DataFrame, capsules: DataFrame, done: DataFrame) -> DataFrame:
+    """identity_id, content: the Markdown summary of the core profile."""
+    line = F.concat(F.lit("- `"), F.col("cap_id"), F.lit("`: "), F.col("score"), F.lit("/4 across "), F.col("observations"), F.lit(" observation(s)"))
+    x = specs.select("identity_id", "function", "target", "rounds").join(qualification.select("identity_id", "ready", "outcome", "average", "condition"), "identity_id")
+    x = x.join(_lines(capabilities, "cap_ord", F.array(line), "lines"), "identity_id", "left").join(capsules, "identity_id", "left")
+    field = lambda name, *value: F.concat(F.lit(f"**{name}:** "), *value, F.lit("  "))
+    return x.select("identity_id", F.concat_ws(
+        "\n", F.concat(F.lit("# Training result: "), "identity_id"), F.lit(""), field("Function", F.col("function")), field("Target", F.col("target")), field("Training rounds", F.col("rounds").cast("string")),
+        field("External pass", F.col("ready").cast("string")), field("Project qualification outcome", F.lit("**"), F.col("outcome"), F.lit("**")), field("Transfer average", F.col("average").cast("string"), F.lit("/4")),
+        F.lit("\n## Capability evidence\n"), F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n"), F.lit("\n## Condition\n"), "condition", F.lit("\n## Identity capsule\n"), F.coalesce("capsule", F.lit("")),
+    ).alias("content"))
+
+
 def outcomes(qualification: DataFrame) -> DataFrame:
     """identity_id, line: the JSON line that is shown for each identity when a run ends."""
     shown = F.struct(F.col("outcome").alias("package_outcome"), F.col("ready").alias("training_package_ready"), F.col("native_status").alias("native_identity_qualification"), F.col("average").alias("transfer_proxy_average"))
     return qualification.select("identity_id", F.to_json(shown).alias("line"))
 
-
-def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    """artifacts(identity_id, name, content), partitioned by name."""
-    artifacts.write.mode("overwrite").partitionBy("name").json(path)

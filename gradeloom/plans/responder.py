@@ -1,7 +1,8 @@
 """Model calls as a seam: requests in, responses out.
 
 A responder takes requests (request_hash, role, system, user, temperature, max_tokens, ...) and returns them with content and error.
-replaying() answers from recorded responses by request hash; answering() from a Python function; live() from a local model server.
+replaying() answers from recorded responses by request hash; answering() from a Python function; live() from a local model server;
+Ledger.through() keeps the responses of any of them, so that none is asked for twice.
 Nothing calls a server unless live() is asked for, which refuses to where runs must not cost anything.
 """
 
@@ -9,17 +10,20 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.jsonx import json_object
+from ..functions.tables import written
 from ..functions.workers import sent_by_value
 
 sent_by_value(__name__)
@@ -87,27 +91,92 @@ def call(post: Callable[[dict, int], dict], r: dict, core: bool = False, sleep:
     return None, error
 
 
-def answering(answer: Callable[[dict], tuple[str | None, str | None]]) -> Responder:
-    """A responder that calls answer for each planned request, where its partition is."""
+class Pace:
+    """Lets calls begin at most so often a second, in any number of threads."""
+
+    def __init__(self, per_second: float | None):
+        self.step, self.next, self.lock = 1 / per_second if per_second else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if self.step:
+            with self.lock:
+                now = time.monotonic()
+                begin = max(now, self.next)
+                self.next = begin + self.step
+            time.sleep(max(0.0, begin - now))
+
+
+#: Tasks that call at once, calls in flight in each of them, and requests that a task holds at a time.
+TASKS, IN_FLIGHT, HELD = 8, 8, 64
+
+
+def answering(answer: Callable[[dict], tuple[str | None, str | None]], tasks: int = TASKS, in_flight: int = IN_FLIGHT, per_second: float | None = None) -> Responder:
+    """A responder that calls answer for each planned request: in ``tasks`` tasks with ``in_flight`` calls each, which begin at most ``per_second`` times
+    a second all together. A call that waits or is tried again holds up no other one; responses are in the order of requests."""
 
     def run(asked: DataFrame) -> DataFrame:
         planned = plan(asked)
         names = planned.columns
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                got = [answer(dict(zip(names, r))) for r in b.itertuples(index=False, name=None)]
-                yield b.assign(content=pd.Series([g[0] for g in got], index=b.index, dtype=object), error=pd.Series([g[1] for g in got], index=b.index, dtype=object))[[*names, "content", "error"]]
+            pace = Pace(per_second and per_second / tasks)
+
+            def one(r: tuple) -> tuple[str | None, str | None]:
+                pace.wait()
+                return answer(dict(zip(names, r)))
+
+            with ThreadPoolExecutor(in_flight) as pool:
+                for batch in batches:
+                    for k in range(0, len(batch), HELD):
+                        b = batch.iloc[k : k + HELD]
+                        got = list(pool.map(one, b.itertuples(index=False, name=None)))
+                        yield b.assign(content=pd.Series([g[0] for g in got], index=b.index, dtype=object), error=pd.Series([g[1] for g in got], index=b.index, dtype=object))[[*names, "content", "error"]]
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in planned.schema.fields)
-        out = planned.mapInPandas(rows, f"{schema}, content string, error string").select(*asked.columns, "content", "error")
+        out = planned.repartition(tasks, "request_hash").mapInPandas(rows, f"{schema}, content string, error string").select(*asked.columns, "content", "error")
         return out.withColumn("content", T.strip_reasoning(F.col("content")))
 
     return run
 
 
-def live(url: str, model: str, core: bool = False) -> Responder:
-    """Calls to a model server with the chat-completions protocol. A task that is run again calls again: keep the result."""
+class Ledger:
+    """Responses by request hash, in a table at path, which outlives a run.
+
+    through() makes a responder of which no request is asked for again that has been answered: what is asked for is first reduced to one
+    row for each hash and to those that the table lacks (anti-join). Calls are made and written in ``chunks`` parts, each a commit of its own,
+    so a run that ends in between loses one part at most. Requests that failed are written with their errors and asked for again in
+    the next run. A task that Spark runs again within a part calls again; no table can know what a lost task had asked for.
+    """
+
+    SCHEMA = "request_hash string, content string, error string, at timestamp"
+
+    def __init__(self, spark: SparkSession, path: str, chunks: int = 4):
+        self.spark, self.path, self.chunks = spark, path, chunks
+        spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def answered(self) -> DataFrame:
+        return self.table().where("content is not null").groupBy("request_hash").agg(F.min_by("content", "at").alias("content"))
+
+    def through(self, respond: Responder) -> Responder:
+        def run(asked: DataFrame) -> DataFrame:
+            new = asked.dropDuplicates(["request_hash"]).join(self.answered().select("request_hash"), "request_hash", "left_anti").select(*asked.columns)
+            new = written(new.withColumn("__chunk", F.pmod(F.xxhash64("request_hash"), F.lit(self.chunks))), "asked")
+            for r in new.groupBy("__chunk").count().orderBy("__chunk").collect():
+                part = respond(new.where(F.col("__chunk") == r["__chunk"]).drop("__chunk"))
+                part.select("request_hash", "content", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(self.path)
+            failed = self.table().where("content is null").groupBy("request_hash").agg(F.max_by("error", "at").alias("error"))
+            out = asked.join(self.answered(), "request_hash", "left").join(failed, "request_hash", "left")
+            error = F.when(F.col("content").isNull(), F.coalesce("error", F.lit("no response")))
+            return out.select(*asked.columns, "content", error.alias("error"))
+
+        return run
+
+
+def live(url: str, model: str, core: bool = False, tasks: int = TASKS, in_flight: int = IN_FLIGHT, per_second: float | None = None) -> Responder:
+    """Calls to a model server with the chat-completions protocol; Ledger.through() keeps the responses."""
     assert_zero_cost()
 
     def post(body: dict, seconds: int) -> dict:
@@ -115,7 +184,7 @@ def live(url: str, model: str, core: bool = False) -> Responder:
         with urllib.request.urlopen(urllib.request.Request(url, data, {"Content-Type": "application/json"}), timeout=seconds) as f:
             return json.load(f)
 
-    return answering(lambda r: call(post, r, core))
+    return answering(lambda r: call(post, r, core), tasks, in_flight, per_second)
 
 
 def with_json(answered: DataFrame, repairs: DataFrame) -> DataFrame:

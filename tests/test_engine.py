@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import jsonx, urls
 from gradeloom.functions import text as T
 from gradeloom.operators import capabilities, curriculum, exams, gates, grounding, scoring
-from gradeloom.plans import live, prompts, render, responder
+from gradeloom.plans import live, prompts, render, responder, sink
 from gradeloom.plans.run import run
 from gradeloom.sources import html, specs
 
@@ -229,7 +229,7 @@ def test_replayed_run(spark):
     assert "MODEL-PROPOSED SCOPE (UNVERIFIED)" in state.state and state.state.startswith("FUNCTION: f\n")
     assert sorted(r.name for r in got["artifacts"].collect()) == sorted(render.ARTIFACTS[:5])
     (audit,) = [json.loads(r.content) for r in got["artifacts"].collect() if r.name == "TRAINING_AUDIT.json"]
-    assert [x["score"] for x in audit["rounds"]] == [2, 4] and [x["transfer"] for x in audit["transfers"]] == [1, 2] and audit["spec"]["function"] == "f"
+    assert [x["exam"]["score"] for x in audit["rounds"]] == [2, 4] and [x["capability_ids"] for x in audit["curriculum"]] == [["a"]] * 2 and [x["transfer"] for x in audit["transfers"]] == [1, 2] and audit["spec"]["function"] == "f"
     (line,) = got["outcomes"].collect()
     assert json.loads(line.line)["package_outcome"] == "FAIL"
 
@@ -282,10 +282,16 @@ def test_live_run(spark, profile, tmp_path):
     else:
         assert len(caps) == 10 and q.ready
     art = {r.name: r.content for r in got["artifacts"].collect()}
-    assert sorted(art) == sorted(render.ARTIFACTS) and "https://good.org/x" in art["IDENTITY_CAPSULE.md"] and art["SOURCE_EXCERPTS.md"].count("<SOURCE ") == 2
-    assert [c["case"] for c in json.loads(art["REGRESSION_SET.json"])["cases"]] == ["case"] and "6/6" in art["SUMMARY.md"]
-    render.write_artifacts(got["artifacts"], str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 6
+    assert sorted(art) == sorted(render.ARTIFACTS) and art["SOURCE_EXCERPTS.md"].count("<SOURCE ") == 2
+    said, audit = json.loads(art["QUALIFICATION.json"]), json.loads(art["TRAINING_AUDIT.json"])
+    assert sorted(audit) == ["curriculum", "rounds", "source_evidence", "spec", "transfers"] and len(audit["curriculum"]) == 6 and audit["rounds"][0]["answer"] == "an answer"
+    if profile == "core":  # the model makes the capsule
+        assert art["IDENTITY_CAPSULE.md"] == "an answer" and said["external_bootcamp_pass"] and len(said["capabilities"]) == 10 and {"model", "evaluation_type", "remaining_uncertainty", "source_evidence"} < set(said)
+    else:
+        assert "https://good.org/x" in art["IDENTITY_CAPSULE.md"] and said["training_package_ready"] is q.ready and said["capability_proxy_evidence"][0]["proxy_score"] == 4
+    assert [c["case"] for c in json.loads(art["REGRESSION_SET.json"])["cases"]] == ["case"] and ("**Training rounds:** 6 " if profile == "core" else "6/6") in art["SUMMARY.md"]
+    sink.publish(got["artifacts"], str(tmp_path / "out"))
+    assert {(r.identity_id, r.name): r.content.strip() for r in sink.published(spark, str(tmp_path / "out")).collect()} == {("good", n): c.strip() for n, c in art.items()}
     if profile == "core":
         with pytest.raises(RuntimeError, match="odd: specification"):
             live.run_live(asked, spark.createDataFrame(pages, "identity_id string, source_ord int, url string, html string"), responder.answering(knowing()), profile, strict=True)

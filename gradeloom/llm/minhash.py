@@ -15,7 +15,7 @@ asked for). 2 and 3 compare the classes of a block in one task, by the product o
 give one link for each two components that meet. No task ever holds a whole bucket.
 
 Cases: null and empty texts are kept, alone; texts of any length are read whole; rows with one doc_id are one
-node of the graph; ties go to the smaller doc_id; an empty table gives an empty result; other columns of
+node of the graph, whose texts link it (empty ones never do: their rows stay alone); ties go to the smaller doc_id; an empty table gives an empty result; other columns of
 the input are not looked at.
 """
 
@@ -202,6 +202,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _of_one_doc(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the representatives of the classes that a doc_id with several texts is in."""
+    key = F.struct("n", "k1", "k2")
+    several = stored(some.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select("doc_id"), "several")
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    reps = some.join(several, "doc_id", "left_semi").select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("doc_id", "rep")
+    reps = stored(reps, "several-reps")
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return reps.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signature of each row, and the component of each class (n, k1, k2) of equal sets."""
     spark = docs.sparkSession
@@ -222,7 +234,7 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     pairs = stored(member.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     linked = pairs.join(a_set, "a").join(b_set, "b").where(common * 100 >= (F.size("x") + F.size("y") - common) * percent)
-    links = stored(linked.select("a", "b"), "links")
+    links = stored(linked.select("a", "b").unionAll(_of_one_doc(some, classes)), "links")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     label = stored(components(links), "labels")
     for outer_only in (False, True):

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
+from zipfile import ZIP_DEFLATED, ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +18,21 @@ SPACE = r"\x20\x09-\x0D"
 BATCH_BYTES = 32 << 20
 
 
+#: The archive of this package, by the application that it was sent to.
+_sent: dict[str, Path] = {}
+
+
 def prepare(spark: SparkSession, rows_per_batch: int = 1000) -> None:
-    """Bound the rows and the bytes of an Arrow batch (texts can be long) and let workers import this package."""
+    """Bound the rows and the bytes of an Arrow batch (texts can be long) and send this package to the executors, which need no copy of it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    sc = spark.sparkContext
+    if _sent.get(sc.applicationId) is None:
+        _sent[sc.applicationId] = archive = Path(tempfile.mkdtemp(prefix="gradeloom-"), "gradeloom.zip")
+        with ZipFile(archive, "w", ZIP_DEFLATED) as z:
+            for file in sorted(Path(ROOT, "gradeloom").rglob("*.py")):
+                z.write(file, file.relative_to(ROOT))
+        sc.addPyFile(str(archive))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,24 +51,24 @@ def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    for scope in _scopes:
+    for scope in _scopes.get():
         scope[path] = spark
     return out
 
 
-#: Tables written in each open scratch().
-_scopes: list[dict[str, SparkSession]] = []
+#: Tables written in each open scratch() of this call: threads that run queries at once have scopes of their own.
+_scopes: ContextVar[tuple[dict[str, SparkSession], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[Callable[..., None]]:
     """Tables of stored() that are written inside are deleted at the end, but for those that the given function is called with."""
     scope: dict[str, SparkSession] = {}
-    _scopes.append(scope)
+    before = _scopes.set((*_scopes.get(), scope))
     try:
         yield lambda *tables: [scope.pop(df.stored_at, None) for df in tables]
     finally:
-        _scopes.pop()
+        _scopes.reset(before)
         for path, spark in scope.items():
             _delete(spark, path)
 

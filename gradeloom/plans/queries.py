@@ -264,10 +264,26 @@ def q_html_text(spark, sf_dir):
     return html.acquire(table(spark, sf_dir, "pages")).select("page_id", "text", "status", "error")
 
 
-@query("select page_id, case when octet_length(encode(html)) > 3000 then replace(decode(encode(html)[1:3000 - n]), chr(0), '') else html end as cut from (select *, 0 as n from pages) where octet_length(encode(html)) = length(html) or octet_length(encode(html)) <= 3000")
+@query("""with p as (select page_id, html, encode(html) as b from pages),
+q as (select *, case when octet_length(b) <= 3000 or hex(b[3001:3001]) not between '80' and 'BF' then 0 when hex(b[3000:3000]) >= 'C0' then 1 when hex(b[2999:2999]) >= 'C0' then 2 else 3 end as broken from p)
+select page_id, case when octet_length(b) > 3000 then decode(b[1:3000 - broken]) || case when broken > 0 then chr(65533) else '' end else html end as cut from q""")
 def q_byte_cap(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("octet_length(html) = length(html) or octet_length(html) <= 3000")
-    return p.select("page_id", html.cut_text(F.col("html"), 3_000).alias("cut"))
+    return table(spark, sf_dir, "pages").select("page_id", html.cut_text(F.col("html"), 3_000).alias("cut"))
+
+
+@query(f"""with p as (select page_id, url like 'https://%' and page_id % 5 <> 0 and page_id % 7 <> 0 as ok, page_id % 7 = 0 as lost, html, string_split_regex(regexp_replace(html, '<!--.*?-->|{TAGS}', '<>', 'gs'), '<[^>]*>') as parts,
+ page_id % 3 <> 0 or contains(lower(substr(html, 1, 900)), '<html') as page from pages)
+select page_id, case when ok then case when page then array_to_string(list_filter(list_transform(parts, lambda x: {strip_sql(DECODED)}), lambda x: x <> ''), chr(10)) else html end end as text, case when ok then 'ok' else 'failed' end as status,
+ case when lost then 'HTTPError: 404' when not ok then 'redirected to an unsafe URL' end as error from p""")
+def q_received(spark, sf_dir):
+    """Pages as responses of servers: every fifth was redirected to a private host, every seventh wasn't there, every third has no type."""
+    n = F.col("page_id")
+    gone = n % 7 == 0
+    said = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(n % 5 == 0, "https://10.1.2.3/x").otherwise(F.col("url")).alias("final_url"), F.when(n % 3 != 0, "text/HTML; charset=utf-8").alias("content_type"),
+        F.when(~gone, F.col("html").cast("binary")).alias("body"), F.when(gone, "failed").otherwise("ok").alias("status"), F.when(gone, "HTTPError: 404").alias("error"),
+    )
+    return html.receive(said).select("page_id", "text", "status", "error")
 
 
 @query("""select conv_id, turn, '{"text": ' || cast(to_json(text) as varchar) || ', "role": ' || cast(to_json(role) as varchar) || '}' as json, cast(null as varchar) as error, text <> '' as truthy from conversations""")
@@ -285,10 +301,13 @@ SAID = (
 quoted = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-@query("select * from (values " + ", ".join(f"({k}, {quoted(found)}, {str(found is None).lower()})" for k, (_, found) in enumerate(SAID)) + ") t(id, json, failed)")
+@query("with s(k, json, failed) as (values " + ", ".join(f"({k}, {quoted(found)}, {str(found is None).lower()})" for k, (_, found) in enumerate(SAID)) + f""")
+select conv_id, turn, replace(json, '1', cast(conv_id as varchar)) as json, failed from conversations join s on (conv_id * 8 + turn) % {len(SAID)} = k""")
 def q_json_responses(spark, sf_dir):
-    rows = spark.createDataFrame([(k, said) for k, (said, _) in enumerate(SAID)], "id int, said string").select("id", jsonx.json_object("said").alias("j"))
-    return rows.select("id", "j.json", F.col("j.error").isNotNull().alias("failed"))
+    """Turns as responses of models in all forms, with numbers of their own."""
+    form = F.element_at(F.array(*[F.lit(said) for said, _ in SAID]), ((F.col("conv_id") * 8 + F.col("turn")) % len(SAID) + 1).cast("int"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace(form, F.lit("1"), F.col("conv_id").cast("string")).alias("said"))
+    return said.select("conv_id", "turn", jsonx.json_object("said").alias("j")).select("conv_id", "turn", "j.json", F.col("j.error").isNotNull().alias("failed"))
 
 
 def _claims(spark, sf_dir):
@@ -380,13 +399,44 @@ REPAIRS = (
 EXPECTED = [(i, k, ids if not isinstance(after, list) else after[k - 1], after if isinstance(after, str) else None, isinstance(after, list) and after[k - 1] != ids) for i, _, before, after in REPAIRS for k, ids in enumerate(before, 1)]
 
 
-@query("select * from (values " + ", ".join(f"('{i}', {k}, '{ids}', {quoted(error)}, {quoted(curriculum.EVIDENCE_TASK.format(ids.upper(), 'does ' + ids) if new else f't{k}')}, {str(k % 2 == 1).lower()}, {str(new).lower()}, {quoted('|'.join([x.format(ids.upper()) for x in curriculum.EVIDENCE_RUBRIC] + [curriculum.PREMISE_GUARD] * (k % 2)) if new else 'r')})" for i, k, ids, error, new in EXPECTED) + ") t(identity_id, round_no, ids, error, task, adversarial, critical, rubric)")
+@query("with x(k, round_no, ids, error, task, adversarial, critical, rubric) as (values " + ", ".join(f"({[r[0] for r in REPAIRS].index(i)}, {k}, '{ids}', {quoted(error)}, {quoted(curriculum.EVIDENCE_TASK.format(ids.upper(), 'does ' + ids) if new else f't{k}')}, {str(k % 2 == 1).lower()}, {str(new).lower()}, {quoted('|'.join([x.format(ids.upper()) for x in curriculum.EVIDENCE_RUBRIC] + [curriculum.PREMISE_GUARD] * (k % 2)) if new else 'r')})" for i, k, ids, error, new in EXPECTED) + f""")
+select conv_id, round_no, ids, error, task, adversarial, critical, rubric from (select distinct conv_id from conversations) join x on conv_id % {len(REPAIRS)} = k""")
 def q_coverage_repair(spark, sf_dir):
-    rows = [(i, k, f"t{k}", ids.split(), ["r"], k % 2 == 1, False) for i, _, before, _ in REPAIRS for k, ids in enumerate(before, 1)]
-    tasks = spark.createDataFrame(rows, "identity_id string, round_no int, task string, capability_ids array<string>, hidden_rubric array<string>, adversarial boolean, critical boolean")
-    must = [(i, n, c, c.upper(), f"does {c}") for i, critical, *_ in REPAIRS for n, c in enumerate(critical)]
-    fixed = curriculum.ensure_coverage(tasks, spark.createDataFrame(must, "identity_id string, cap_ord int, cap_id string, name string, description string"))
-    return fixed.select("identity_id", "round_no", F.array_join("capability_ids", " ").alias("ids"), "error", "task", "adversarial", "critical", F.array_join("hidden_rubric", "|").alias("rubric"))
+    """A curriculum of one of the kinds above for each conversation."""
+    kinds = F.array(*[F.array(*map(F.lit, before)) for _, _, before, _ in REPAIRS])
+    k = (F.col("identity_id") % len(REPAIRS) + 1).cast("int")
+    talks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("identity_id")).distinct()
+    tasks = talks.select("identity_id", F.posexplode(F.element_at(kinds, k)).alias("pos", "ids")).select(
+        "identity_id", (F.col("pos") + 1).alias("round_no"), F.concat(F.lit("t"), F.col("pos") + 1).alias("task"), F.split("ids", " ").alias("capability_ids"), F.array(F.lit("r")).alias("hidden_rubric"), (F.col("pos") % 2 == 0).alias("adversarial"), F.lit(False).alias("critical"),
+    )
+    must = F.array(*[F.array(*map(F.lit, critical)).cast("array<string>") for _, critical, *_ in REPAIRS])
+    must = talks.select("identity_id", F.posexplode(F.element_at(must, k)).alias("cap_ord", "cap_id")).withColumns({"name": F.upper("cap_id"), "description": F.concat(F.lit("does "), "cap_id")})
+    fixed = curriculum.ensure_coverage(tasks, must)
+    return fixed.select(F.col("identity_id").alias("conv_id"), "round_no", F.array_join("capability_ids", " ").alias("ids"), "error", "task", "adversarial", "critical", F.array_join("hidden_rubric", "|").alias("rubric"))
+
+
+@query(f"""with {CURRICULA}, v as (select conv_id, case when n < 4 then 'too few rounds' else arg_min(error, round_no) filter (error is not null) end as error from e group by conv_id, n),
+r as (select e.*, [{strip_sql('substr(text, 1, 30)')}, 'short'] as items from e join v on e.conv_id = v.conv_id and v.error is null),
+s as (select *, case when len(list_filter(items, lambda i: length(i) >= 18)) = 0 then ['{curriculum.NAMES_CHECK}' || upper(role) || '.', '{curriculum.NEEDS_CHECK}' || 'does ' || role] else list_filter(items, lambda i: i <> '') end as base from r),
+g as (select *, list_concat(base, case when len(list_filter(base, lambda i: contains(lower(i), 'unsupported'))) = 0 then ['{curriculum.FACTS_GUARD}'] else [] end) as facts from s)
+select conv_id, cast(round_no as integer) as round_no, array_to_string(list_concat(facts, case when x > 4 and len(list_filter(facts, lambda i: contains(lower(i), 'false premise'))) = 0 then ['{curriculum.PREMISE_GUARD}'] else [] end)[1:5], '|') as rubric, cast(null as varchar) as error from g
+union all select conv_id, null, null, error from v where error is not null""")
+def q_grounded_curriculum(spark, sf_dir):
+    """Validated, with stronger rubrics, and covered; or why not."""
+    said, caps = _curricula(spark, sf_dir)
+    specs_ = said.select("identity_id", F.lit(4).alias("rounds"))
+    x = curriculum.grounded_curriculum(specs_, said, caps.withColumn("critical", F.lit(False)))
+    return x.select(F.col("identity_id").alias("conv_id"), "round_no", F.array_join("hidden_rubric", "|").alias("rubric"), "error")
+
+
+@query(f"""with c as (select conv_id, turn, text, role from conversations where turn < 4)
+select conv_id, turn, 'IDENTITY:' || chr(10) || conv_id || chr(10) || 'FUNCTION:' || chr(10) || 'talks' || chr(10) || 'SOURCE DATA:' || chr(10) || text || chr(10) || case when role = 'system' then '' else 'LEARNED STATE:' || chr(10) || role || chr(10) end
+ || 'PLACE:' || chr(10) || 'Training round ' || turn || '/4' || chr(10) || 'TASK:' || chr(10) || text as user, 'student' as role, {prompts.ASKED['student'][0]} as max_tokens, cast({prompts.ASKED['student'][1]} as double) as temperature from c""")
+def q_prompts(spark, sf_dir):
+    """Turns as tasks of a student; sections that are null are left out."""
+    c = table(spark, sf_dir, "conversations").where("turn < 4")
+    rows = c.select(F.col("conv_id").alias("identity_id"), F.lit("talks").alias("function"), F.col("text").alias("knowledge"), F.when(F.col("role") != "system", F.col("role")).alias("state"), F.col("turn").alias("round_no"), F.lit(4).alias("rounds"), F.col("text").alias("task"))
+    return prompts.student(rows).select(F.col("identity_id").alias("conv_id"), F.col("round_no").alias("turn"), "user", "role", "max_tokens", F.col("temperature").cast("double").alias("temperature"))
 
 
 def _capabilities(spark, sf_dir):
@@ -542,12 +592,31 @@ def q_score_scan(spark, sf_dir):
     return scoring.score_scan(e, ["event_type"], ["event_id"]).select("event_id", "running", "observations")
 
 
-@query("select distinct cast(conv_id as varchar) as identity_id, name from conversations cross join (values ('IDENTITY_CAPSULE.md'), ('QUALIFICATION.json'), ('REGRESSION_SET.json'), ('TRAINING_AUDIT.json'), ('SUMMARY.md')) t(name)")
+@query(f"""with t as (select conv_id, turn, role, {strip_sql('text')} as said, length(text) % 11 = 0 as critical, cast({BOUNDED} as integer) as score, cast(least({BOUNDED}, greatest(0, length(text) % 6 - 1)) as double) as x, row_number() over (partition by conv_id order by turn desc) as back, turn % 3 = 0 as corrected from conversations),
+o as (select conv_id, role, list({{'s': x, 'n': cast(1 as bigint)}} order by turn) as xs from t where role in ('user', 'assistant') group by all),
+f as (select conv_id, role, list_reduce(xs, lambda acc, y: {{'s': round_even((acc.s * acc.n + y.s) / (acc.n + 1), 0), 'n': acc.n + 1}}) as r from o),
+k as (select conv_id, cast(coalesce(max(r.s) filter (role = 'user'), 0) as integer) as u, coalesce(max(r.n) filter (role = 'user'), 0) as un, cast(coalesce(max(r.s) filter (role = 'assistant'), 0) as integer) as a, coalesce(max(r.n) filter (role = 'assistant'), 0) as an from f group by 1),
+g as (select conv_id, count(*) as n, coalesce(string_agg(score, ',' order by turn) filter (back <= 2), '') as transfer_scores, coalesce(string_agg(score, ',' order by turn) filter (back > 2), '') as round_scores,
+ coalesce(string_agg(case when back <= 2 then 'transfer-' else '' end || turn, ',' order by back <= 2, turn) filter (critical), '') as critical_failures, coalesce(string_agg(case when length(said) > 650 then substr(said, 1, 650) || chr(10) || '...[truncated]' else said end, '|' order by turn) filter (back between 3 and 22 and said <> ''), '') as cases,
+ bool_or(critical) as failed, min(score) filter (back <= 2) as lowest, bool_or(corrected) filter (back <= 2) as corrected from t group by 1)
+select cast(g.conv_id as varchar) as identity_id, transfer_scores, round_scores, critical_failures, cases, coalesce(u, 0) || ',' || coalesce(a, 0) as capability_scores,
+ coalesce(n > 2 and lowest >= 3 and not failed and not corrected and u >= 3 and un >= 2 and a >= 3 and an >= 2, false) as ready, '# Training package: ' || g.conv_id as title, cast(greatest(0, n - 2) as integer) as planned from g left join k on g.conv_id = k.conv_id""")
 def q_replayed_run(spark, sf_dir):
+    """What the artifacts of a run say: the qualification, the audit, the regression set, the summary."""
     c = _responses(spark, sf_dir).withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
     c = c.select(F.col("conv_id").cast("string").alias("identity_id"), F.when(F.col("back") <= 2, "transfer").otherwise("training").alias("phase"), F.col("turn").cast("int").alias("round_no"), "role", "object", (F.col("back") == 1).alias("adversarial"))
     asked = c.groupBy("identity_id").agg(F.count("*").cast("int").alias("rounds")).select("identity_id", F.lit("talks").alias("function"), F.lit("practitioner").alias("target"), F.greatest(F.lit(0), F.col("rounds") - 2).alias("rounds"), F.array().cast("array<string>").alias("violations"))
     caps = asked.select("identity_id", F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("cap_ord", "cap_id"), F.col("function").alias("description"), F.lit(True).alias("critical"), F.lit("").alias("evidence_url"), F.lit("").alias("evidence_quote"))
     caps = caps.withColumn("name", F.col("cap_id"))
     tasks = c.select("identity_id", "phase", "round_no", F.array("role").alias("capability_ids"), "adversarial")
-    return run(asked, caps, tasks, c.select("identity_id", "phase", "round_no", "object"))["artifacts"].where("length(content) > 0").select("identity_id", "name")
+    said = run(asked, caps, tasks, c.select("identity_id", "phase", "round_no", "object"))["artifacts"]
+    said = said.groupBy("identity_id").pivot("name", list(render.ARTIFACTS[:5])).agg(F.first("content"))
+    q = F.from_json(F.col("`QUALIFICATION.json`"), "transfer_proxy_scores array<int>, critical_failures array<string>, capability_proxy_evidence array<struct<proxy_score:int>>, training_package_ready boolean")
+    audit = F.from_json(F.col("`TRAINING_AUDIT.json`"), "rounds array<struct<exam:struct<score:int>>>, spec struct<rounds:int>")
+    cases = F.from_json(F.col("`REGRESSION_SET.json`"), "cases array<struct<case:string>>")
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return said.select(
+        "identity_id", text(q["transfer_proxy_scores"]).alias("transfer_scores"), text(audit["rounds"]["exam"]["score"]).alias("round_scores"), text(q["critical_failures"]).alias("critical_failures"),
+        F.coalesce(F.array_join(cases["cases"]["case"], "|"), F.lit("")).alias("cases"), text(q["capability_proxy_evidence"]["proxy_score"]).alias("capability_scores"), q["training_package_ready"].alias("ready"),
+        F.split_part(F.col("`SUMMARY.md`"), F.lit("\n"), F.lit(1)).alias("title"), audit["spec"]["rounds"].alias("planned"),
+    )

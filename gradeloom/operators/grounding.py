@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.tables import written
+from ..functions.workers import sent_by_value
+
+sent_by_value(__name__)
 
 
 def lexical_support(name: Column, description: Column, source: Column) -> Column:
@@ -53,23 +62,51 @@ def token_overlap(claims: DataFrame, sources: DataFrame, share: float = 0.5, sen
     return pairs.where(F.col("hits") >= F.col("need")).select("claim_id", "source_id", "hits")
 
 
-def verbatim(quotes: DataFrame, sources: DataFrame, least: int = 24) -> DataFrame:
+#: Bytes of quotes that one automaton holds; more are searched for in blocks, each in a pass of its own.
+QUOTE_BYTES = 4 << 20
+
+
+def _automaton(quotes: list[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for quote in quotes:
+        out.add_word(quote, quote)
+    out.make_automaton()
+    return out
+
+
+def _finds(sent: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quotes = sent.value  # a worker process has it once
+        for batch in batches:
+            at, said = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if text:
+                    mine = {quote for _, quote in quotes.iter(text)}
+                    at += [k] * len(mine)
+                    said += mine
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(said, pa.string())], names=["source_id", "quote"])
+
+    return run
+
+
+def verbatim(quotes: DataFrame, sources: DataFrame, least: int = 24, quote_bytes: int = QUOTE_BYTES) -> DataFrame:
     """quotes(quote_id, quote) x sources(source_id, text) -> pairs where the quote is in the text, white space aside.
 
-    Candidates come from an equi-join on the hash of the quote's longest inner word (the least frequent one would
-    need a count of all); the text is compared for candidates only.
+    All different quotes are in one automaton, which reads each text once and finds them wherever they overlap; it is built from at most about
+    ``quote_bytes``. With more of them the texts are read once for each block of quotes. No pair is a candidate that isn't a find.
     """
-    q = quotes.select("quote_id", T.normalize_space(F.col("quote")).alias("quote")).where(F.length("quote") >= least)
-    words = F.split("quote", " ")
-    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.greatest(F.lit(1), F.size(words) - 2)))
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    q = q.withColumn("word", key)
-    s = sources.select("source_id", T.normalize_space(F.col("text")).alias("text"))
-    held = s.select("source_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    pairs = held.join(q.where("word is not null").select("quote_id", "word"), "word").select("quote_id", "source_id")
-    few = q.where("word is null").select("quote_id", "quote").join(s, F.contains("text", "quote")).select("quote_id", "source_id")
-    found = pairs.join(s, "source_id").join(q.select("quote_id", "quote"), "quote_id").where(F.contains("text", "quote"))
-    return found.select("quote_id", "source_id").unionAll(few)
+    q = written(quotes.select("quote_id", T.normalize_space(F.col("quote")).alias("quote")).where(F.length("quote") >= least), "quotes")
+    every = q.select("quote").distinct()
+    total = every.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
+    blocks, spark = max(1, -(-total // quote_bytes)), q.sparkSession
+    s = sources.select("source_id", T.normalize_space(F.col("text")).alias("text")).where(F.length("text") >= least)
+    schema, found = StructType([s.schema["source_id"], StructField("quote", StringType())]), None
+    for k in range(blocks):
+        listed = [r["quote"] for r in every.where(F.pmod(F.xxhash64("quote"), F.lit(blocks)) == k).collect()]
+        if listed or not k:
+            part = s.mapInArrow(_finds(spark.sparkContext.broadcast(_automaton(listed))), schema) if listed else s.where("false").select("source_id", F.col("text").alias("quote"))
+            found = part if found is None else found.unionAll(part)
+    return found.join(q, "quote").select("quote_id", "source_id")
 
 
 def exact_evidence(claims: DataFrame, blocks: DataFrame) -> DataFrame:

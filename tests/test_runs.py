@@ -272,3 +272,18 @@ def test_token_overlap(spark, sent):
     t = lambda s: {w[:-1] if w.endswith("s") and len(w) > 4 else w for w in (s or "").split()}
     want = {(c, s, len(t(x) & t(y))) for c, x in claims if x and x != "the and" for s, y in sources if len(t(x) & t(y)) >= max(1, -(-len(t(x)) // 2))}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("quote_bytes", [1 << 20, 60])
+def test_verbatim(spark, quote_bytes):
+    r = random.Random(2)
+    say = lambda n: " ".join(r.choice(("alpha", "beta", "ga", "δελτα", "aaaa")) for _ in range(n))
+    sources = [(f"s{k}", say(r.randint(0, 60)).replace(" ", r.choice((" ", "\n", "  ")), 3)) for k in range(60)] + [("none", None), ("none", "")]
+    cut = lambda t: (t or "")[(at := r.randint(0, 40)) : at + r.randint(20, 60)]
+    quotes = [(k, cut(r.choice(sources)[1])) for k in range(80)] + [(80, "a" * 30), (81, None), (82, ""), (83, " ".join(["aaaa"] * 6)), (84, say(6)), (84, say(6))]
+    sources += [("run", "a" * 40), ("s1", "again " + (sources[1][1] or ""))]
+    plain = lambda t: " ".join((t or "").split())
+    want = Counter((q, s) for q, x in quotes if len(plain(x)) >= 24 for s, y in sources if plain(x) in plain(y))
+    got = grounding.verbatim(spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(sources, "source_id string, text string"), quote_bytes=quote_bytes)
+    assert Counter(map(tuple, got.collect())) == want and (80, "run") in want
+    assert grounding.verbatim(spark.createDataFrame([], "quote_id int, quote string"), spark.createDataFrame(sources, "source_id string, text string")).count() == 0

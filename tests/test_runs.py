@@ -287,3 +287,34 @@ def test_verbatim(spark, quote_bytes):
     got = grounding.verbatim(spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(sources, "source_id string, text string"), quote_bytes=quote_bytes)
     assert Counter(map(tuple, got.collect())) == want and (80, "run") in want
     assert grounding.verbatim(spark.createDataFrame([], "quote_id int, quote string"), spark.createDataFrame(sources, "source_id string, text string")).count() == 0
+
+
+def test_scores_in_event_time(spark, tmp_path):
+    """Rows arrive shuffled within the delay; the result is that of the batch."""
+    from datetime import datetime, timedelta
+
+    from gradeloom.streaming.scores import ordered_scores
+
+    r, start = random.Random(3), datetime(2024, 1, 1)
+    rows = [(k % 3, start + timedelta(seconds=k // 2), k, r.randint(0, 4)) for k in range(120)]
+    arrive = sorted(rows, key=lambda x: x[1] + timedelta(seconds=r.uniform(0, 12)))
+    last = [(k, start + timedelta(hours=1), 999, 0) for k in range(3)]  # lets the watermark pass all others
+    for k, part in enumerate([arrive[:30], arrive[30:60], arrive[60:90], arrive[90:], last[:1], last[1:]]):
+        spark.createDataFrame(part, "k int, at timestamp, i long, score int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1 if k else 0)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        came = spark.readStream.schema("k int, at timestamp, i long, score int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = ordered_scores(came, ["k"], "k int", "at", "i", "score", "20 seconds").writeStream.format("memory").queryName("in_time").outputMode("append")
+        q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(200)
+        got = sorted((x.k, x.at, x.seq, x.score, x.observations) for x in spark.table("in_time").collect() if x.seq != 999)
+    finally:
+        spark.conf.unset(store)
+    want = []
+    for k in range(3):
+        s = 0
+        for n, (_, at, i, x) in enumerate(sorted((y for y in rows if y[0] == k), key=lambda y: (y[1], y[2]))):
+            s = x if n == 0 else round((s * n + x) / (n + 1))
+            want.append((k, at, i, s, n + 1))
+    assert got == sorted(want)

@@ -620,3 +620,47 @@ def q_replayed_run(spark, sf_dir):
         F.coalesce(F.array_join(cases["cases"]["case"], "|"), F.lit("")).alias("cases"), text(q["capability_proxy_evidence"]["proxy_score"]).alias("capability_scores"), q["training_package_ready"].alias("ready"),
         F.split_part(F.col("`SUMMARY.md`"), F.lit("\n"), F.lit(1)).alias("title"), audit["spec"]["rounds"].alias("planned"),
     )
+
+
+def _saying(content):
+    """A responder that answers every request with an expression of it."""
+    return lambda asked: asked.withColumns({"content": T.strip_reasoning(content), "error": F.when(content.isNull(), F.lit("no response"))})
+
+
+@query("""with p as (select conv_id, string_agg(text, chr(10) order by turn) as pack from conversations group by 1),
+u as (select conv_id, 'FUNCTION:' || chr(10) || 'talks' || chr(10) || 'SOURCE DATA:' || chr(10) || pack as said from p)
+select conv_id, case when conv_id % 4 = 0 then null when length(said) > 900 then substr(said, 1, 900) || chr(10) || '...[truncated]' else said end as knowledge, case when conv_id % 4 = 0 then 'no response' end as error from u""")
+def q_knowledge(spark, sf_dir):
+    """Notes on sources from a model that says what it is told; of every fourth it says nothing."""
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("identity_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("pack"))
+    asked = prompts.notes(c.withColumn("function", F.lit("talks")))
+    said = responder.complete(asked, _saying(F.when(F.col("identity_id") % 4 != 0, F.concat(F.lit("<think>hm</think> "), F.col("user")))), lambda df: df)
+    return said.select(F.col("identity_id").alias("conv_id"), T.truncate(F.col("content"), 900).alias("knowledge"), "error")
+
+
+@query(f"""with c as (select conv_id, turn, text, {normal_sql("lower(text)")} as key from conversations),
+p as (select conv_id, list(key) as known, count(*) as n from c group by 1),
+one as (select conv_id, n, 'new 1 of ' || conv_id as task from p where n % 3 <> 0),
+two as (select conv_id, case when n % 2 = 0 then 'new 2 of ' || conv_id || ' again' else 'new 2 of ' || conv_id end as task from one where n <> 7)
+select conv_id, 1 as number, task, false as adversarial, cast(null as varchar) as error from one where n <> 7 union all select conv_id, 2, task, true, null from two
+union all select conv_id, null, null, null, 'no usable transfer exam 1' from p where n % 3 = 0 union all select conv_id, null, null, null, 'no usable transfer exam 2' from one where n = 7""")
+def q_transfer_tasks(spark, sf_dir):
+    """The two transfers of each conversation: where its turns are a multiple of three the first is one of its own tasks, where they are even the second attempt is the
+    first that is new, where they are seven none is."""
+    c = table(spark, sf_dir, "conversations")
+    tasks = c.select(F.col("conv_id").alias("identity_id"), F.col("turn").cast("int").alias("round_no"), F.col("text").alias("task"))
+    talks = tasks.groupBy("identity_id").agg(F.count("*").alias("n"), F.min_by("task", "round_no").alias("own"))
+    caps = talks.select("identity_id", F.lit("a").alias("cap_id"), F.lit("A").alias("name"), F.lit("does a").alias("description"))
+
+    def respond(asked: DataFrame) -> DataFrame:
+        x = asked.join(talks, "identity_id")
+        again, first = F.contains("user", F.lit(prompts.AGAIN)), F.contains("user", F.lit("NUMBER:\n1"))
+        new = F.concat(F.lit("new "), F.when(first, "1").otherwise("2"), F.lit(" of "), F.col("identity_id"), F.when(again, " again").otherwise(""))
+        old = F.when(first, F.col("n") % 3 == 0).otherwise(((F.col("n") % 2 == 0) & ~again) | (F.col("n") == 7))
+        task = F.struct(F.when(old, F.concat(F.lit(" \t"), F.lower("own"), F.lit("\u2003"))).otherwise(new).alias("task"), F.array(F.lit("a")).alias("capability_ids"), F.array(F.lit("a check of enough length")).alias("hidden_rubric"))
+        return x.withColumns({"content": F.to_json(F.struct(F.array(task).alias("rounds"))), "error": F.lit(None).cast("string")}).select(*asked.columns, "content", "error")
+
+    rows = talks.select("identity_id", F.lit("talks").alias("function"), F.lit("[]").alias("snapshot"))
+    found, failed = live.transfer_tasks(rows, caps, tasks, respond)
+    return found.select(F.col("identity_id").alias("conv_id"), F.col("round_no").alias("number"), "task", "adversarial", F.lit(None).cast("string").alias("error")).unionByName(
+        failed.select(F.col("identity_id").alias("conv_id"), "error"), allowMissingColumns=True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import urls
 from gradeloom.operators import grounding, scoring
-from gradeloom.plans import live, render, responder, sink
+from gradeloom.plans import live, prompts, render, responder, sink
 from gradeloom.sources import fetch, html, specs
 from gradeloom.functions.workers import sent_by_value
 from test_engine import TEXT, knowing
@@ -62,9 +62,8 @@ def given(spark, profile="audit", names=("good", "also")):
     return asked, spark.createDataFrame(pages, "identity_id string, source_ord int, url string, html string")
 
 
-@pytest.mark.parametrize("profile", ["audit", "core"])
-def test_a_killed_run_goes_on_without_asking_again(spark, tmp_path, profile):
-    calls, asked = tmp_path / "calls", given(spark, profile)
+def test_a_killed_run_goes_on_without_asking_again(spark, tmp_path):
+    calls, asked, profile = tmp_path / "calls", given(spark, names=("good",)), "audit"
     calls.mkdir()
     ledger = lambda answer: responder.Ledger(spark, str(tmp_path / "ledger"), chunks=1).through(responder.answering(answer))
     with pytest.raises(Exception, match="killed"):
@@ -81,7 +80,7 @@ def test_a_killed_run_goes_on_without_asking_again(spark, tmp_path, profile):
 
 
 def test_a_round_reads_its_own_responses_only(spark, tmp_path, monkeypatch):
-    asked, seen = given(spark), []
+    asked, seen = given(spark, names=("good",)), []
     after = live.Held.after
 
     def watched(self, tasks, responses, profile):
@@ -318,3 +317,40 @@ def test_scores_in_event_time(spark, tmp_path):
             s = x if n == 0 else round((s * n + x) / (n + 1))
             want.append((k, at, i, s, n + 1))
     assert got == sorted(want)
+
+
+class Model(BaseHTTPRequestHandler):
+    """A model server: knows its role by the system text."""
+
+    role_of = None
+
+    def do_POST(self):  # noqa: N802
+        said = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        system, user = (m["content"] for m in said["messages"])
+        assert said["model"] == "m" and user.endswith("\n/no_think")
+        role = next(r for r, text in prompts.SYSTEMS.items() if text == system)
+        content, _ = knowing()({"role": role, "user": user.removesuffix("\n/no_think")})
+        data = json.dumps({"choices": [{"message": {"content": content}, "finish_reason": "stop"}]}).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_main(spark, tmp_path, monkeypatch, capsys):
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    (tmp_path / "specs").mkdir()
+    for name in ("good", "bad"):
+        (tmp_path / "specs" / f"{name}.yaml").write_text(f"identity: {name}\nfunction: grounded\nrounds: {6 if name == 'good' else 60}\nsources:\n  - https://{name}.org/x\n")
+    page = f"<html><body><p>{TEXT}</p></body></html>".encode()
+    monkeypatch.setattr(live.fetch, "fetched", lambda rows: rows.withColumns({"final_url": F.col("url"), "content_type": F.lit("text/html"), "body": F.lit(page), "status": F.lit("ok"), "error": F.lit(None).cast("string")}))
+    arguments = [str(tmp_path / "specs"), str(tmp_path / "out"), "--ledger", str(tmp_path / "ledger"), "--url", f"http://127.0.0.1:{s.server_port}/v1/chat/completions", "--model", "m"]
+    assert live.main(arguments) == 1  # one specification is bad
+    out = capsys.readouterr()
+    assert '"package_outcome":"CONDITIONAL PASS"' in out.out and "bad: specification: rounds must be" in out.err
+    assert "https://good.org/x" in sink.place("good", "IDENTITY_CAPSULE.md", str(tmp_path / "out")).read_text()
+    s.shutdown()

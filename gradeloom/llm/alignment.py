@@ -35,8 +35,8 @@ from .shared import prepare, scratch, stored
 
 #: Pairs that go to all tasks at most.
 MOST_SENT = 1 << 16
-#: Documents in a block at most (blocks also end by their bytes), and the id that ends a word within it.
-ROWS, STOP = 250, 1 << 20
+#: Documents of a block at most, characters with which it ends, and the id that ends a word within it.
+ROWS, CHARS, STOP = 250, 1_000_000, 1 << 20
 #: Pairs are one number: A's id times this, plus B's.
 SIDE = 1 << 31
 #: Texts up to here in code points are split alike by both programs that know A's pattern.
@@ -115,6 +115,30 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
 
 
+def _block(t: Tokenizers, kept: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    number: dict[str, int] = {}
+    docs = [[number.setdefault(w, len(number)) for w in t.words(x)] if x else [] for x in texts]
+    words = list(number)
+    a, b = t.tokens(words)
+    if odd := {number[w] for w in t.odd(words, a, b)}:
+        for k, at in enumerate(docs):
+            if not odd.isdisjoint(at):
+                both = [[i for w in at for i in ids[w]] for ids in (a, b)]
+                docs[k] = []
+                if all(b"".join([of[i] for i in ids]) == (" " + texts[k]).encode() for ids, of in zip(both, (t.a_bytes, t.b_bytes))):
+                    docs[k] = [len(a)]  # the text as one word
+                    a.append(both[0])
+                    b.append(both[1])
+        for i in odd:
+            a[i] = b[i] = [STOP + 1]  # no document has it
+    columns = []
+    for ids, of in ((a, t.a_len), (b, t.b_len)):
+        flat = np.fromiter((i for x in ids for i in (*x, STOP)), np.int32)
+        columns += [_lists([flat]), _lists([np.append(of, 1)[np.minimum(flat, len(of))].cumsum(dtype=np.int32)])]
+    each = pa.StructArray.from_arrays([kept, _lists([np.array(x, np.int32) for x in docs])], ["kept", "at"])
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), each)], names=[*(f.name for f in BLOCK), "docs"])
+
+
 def tokenised(a_file: str, b_file: str, pattern: str | None) -> Callable:
     """A row for a block of documents: ids and byte ends of the tokens of its different words, one after another, each word followed by the
     token STOP of one byte on both sides; and of each document its words' numbers."""
@@ -122,33 +146,13 @@ def tokenised(a_file: str, b_file: str, pattern: str | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_file, b_file) not in _loaded:
             _loaded[a_file, b_file] = Tokenizers(SparkFiles.get(a_file), SparkFiles.get(b_file), pattern)
-        t = _loaded[a_file, b_file]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column(1).to_pylist()
-            number: dict[str, int] = {}
-            docs = [[number.setdefault(w, len(number)) for w in t.words(x)] if x else [] for x in texts]
-            words = list(number)
-            a, b = t.tokens(words)
-            if odd := {number[w] for w in t.odd(words, a, b)}:
-                for k, at in enumerate(docs):
-                    if not odd.isdisjoint(at):
-                        both = [[i for w in at for i in ids[w]] for ids in (a, b)]
-                        docs[k] = []
-                        if all(b"".join([of[i] for i in ids]) == (" " + texts[k]).encode() for ids, of in zip(both, (t.a_bytes, t.b_bytes))):
-                            docs[k] = [len(a)]  # the text as one word
-                            a.append(both[0])
-                            b.append(both[1])
-                for i in odd:
-                    a[i] = b[i] = [STOP + 1]  # no document has it
-            columns = []
-            for ids, of in ((a, t.a_len), (b, t.b_len)):
-                flat = np.fromiter((i for x in ids for i in (*x, STOP)), np.int32)
-                columns += [flat, np.append(of, 1)[np.minimum(flat, len(of))].cumsum(dtype=np.int32)]
-            whole = [_lists([x]) for x in columns]
-            each = pa.StructArray.from_arrays([batch.column(0), _lists([np.array(x, np.int32) for x in docs])], ["kept", "at"])
-            yield pa.RecordBatch.from_arrays([*whole, pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), each)], names=[*(f.name for f in BLOCK), "docs"])
+            texts, begin, size = batch.column(1).to_pylist(), 0, 0
+            for end, text in enumerate(texts, 1):
+                size += len(text or "")
+                if size >= CHARS or end == len(texts):
+                    yield _block(_loaded[a_file, b_file], batch.column(0).slice(begin, end - begin), texts[begin:end])
+                    begin, size = end, 0
 
     return run
 

@@ -358,7 +358,7 @@ def test_queries_match_sql(spark):
     from gradeloom.llm import queries
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in queries.SQL.items():
         df, rel = queries.Q[name](spark, sf), con.sql(sql)

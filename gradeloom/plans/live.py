@@ -1,7 +1,7 @@
 """A whole run with a model: every step asks for all identities at once, and its responses are kept before the next one.
 
 Rounds depend on the scores of those before, so there is one pass for each round number, a dozen at most. An identity
-that a step fails for leaves with a row in failures; in strict mode the first failure ends the run.
+that a step fails for leaves with a row in failures; in strict mode, or with more failures than are allowed, the run ends.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import sys
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -62,15 +62,21 @@ def transfer_tasks(rows: DataFrame, caps: DataFrame, tasks: DataFrame, respond:
     return accepted.join(rows.select("identity_id"), "identity_id", "left_semi"), failures
 
 
-def run_live(specs: DataFrame, pages: DataFrame, respond: responder.Responder, profile: str = "audit", strict: bool = False, model: str = "") -> dict[str, DataFrame]:
-    """specs as of check(), pages(identity_id, source_ord, url, html, or body as of fetched()) -> what run() gives, and failures(identity_id, step, error)."""
-    core, failures = profile == "core", None
+def run_live(specs: DataFrame, pages: DataFrame, respond: responder.Responder, profile: str = "audit", strict: bool = False, model: str = "", most_failures: int | None = None) -> dict[str, DataFrame]:
+    """specs as of check(), pages(identity_id, source_ord, url, html, or body as of fetched()) -> what run() gives, failures(identity_id, step, error) and
+    failed_by_step(step, n). More failures than ``most_failures`` (strict: any) end the run."""
+    core, failures, counts = profile == "core", None, {}
+    most = 0 if strict else most_failures
 
     def failed(step: str, rows: DataFrame) -> None:
+        """Keeps the failures of a step; how many there are is observed while they are written."""
         nonlocal failures
-        rows = kept(rows.select("identity_id", F.lit(step).alias("step"), "error"))
-        if strict and (first := rows.first()):
-            raise RuntimeError(f"{first.identity_id}: {first.step}: {first.error}")
+        seen, said = Observation(f"failed {step}"), F.concat_ws(": ", "identity_id", "step", "error")
+        rows = rows.select("identity_id", F.lit(step).alias("step"), "error").observe(seen, F.count(F.lit(1)).alias("n"), F.min(said).alias("first"))
+        rows = kept(rows)
+        counts[step] = seen.get["n"]
+        if most is not None and sum(counts.values()) > most:
+            raise RuntimeError(f"{seen.get['first']} ({sum(counts.values())} failed, {most} may)")
         failures = rows if failures is None else failures.unionByName(rows)
 
     failed("specification", specs.where(F.size("violations") > 0).select("identity_id", F.array_join("violations", "; ").alias("error")))
@@ -131,7 +137,7 @@ def run_live(specs: DataFrame, pages: DataFrame, respond: responder.Responder, p
     responses.append(ask(rows, held, every.where("phase = 'transfer'"), respond, profile, "transfer"))
     distil = (lambda *parts: distilled(rows, respond, *parts)) if core else None
     out = run(specs.join(rows.select("identity_id"), "identity_id", "left_semi"), caps, every, reduce(DataFrame.unionByName, responses), profile, evidence.drop("text", "sample"), packs, distil, model)
-    return {**out, "failures": failures}
+    return {**out, "failures": failures, "failed_by_step": specs.sparkSession.createDataFrame(sorted(counts.items()), "step string, n long")}
 
 
 @dataclass

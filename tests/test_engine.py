@@ -273,6 +273,7 @@ def test_live_run(spark, profile, tmp_path):
     got = live.run_live(asked, spark.createDataFrame(pages, "identity_id string, source_ord int, url string, html string"), responder.answering(knowing()), profile)
     assert {(r.identity_id, r.step, r.error) for r in got["failures"].collect()} == {
         ("odd", "specification", "identity and function are required"), ("lost", "sources", "no sources could be acquired"), ("lazy", "curriculum", "too few rounds")}
+    assert {r.step: r.n for r in got["failed_by_step"].collect() if r.n} == {"specification": 1, "sources": 1, "curriculum": 1}
     (q,) = got["qualification"].collect()
     caps = sorted(got["capabilities"].collect(), key=lambda r: r.cap_ord)
     assert (q.identity_id, q.outcome, q.transfer_scores) == ("good", "CONDITIONAL PASS", [4, 4])
@@ -295,6 +296,8 @@ def test_live_run(spark, profile, tmp_path):
     if profile == "core":
         with pytest.raises(RuntimeError, match="odd: specification"):
             live.run_live(asked, spark.createDataFrame(pages, "identity_id string, source_ord int, url string, html string"), responder.answering(knowing()), profile, strict=True)
+        with pytest.raises(RuntimeError, match=r"lost: sources: .*\(2 failed, 1 may\)"):
+            live.run_live(asked, spark.createDataFrame(pages, "identity_id string, source_ord int, url string, html string"), responder.answering(knowing()), profile, most_failures=1)
 
 
 def test_scores_over_a_stream(spark, tmp_path):

@@ -13,6 +13,9 @@ from zipfile import ZIP_DEFLATED, ZipFile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import delete as _delete
+from ..functions.tables import shared_folder
+
 ROOT = str(Path(__file__).resolve().parents[2])
 SPACE = r"\x20\x09-\x0D"
 BATCH_BYTES = 32 << 20
@@ -35,15 +38,6 @@ def prepare(spark: SparkSession, rows_per_batch: int = 1000) -> None:
         sc.addPyFile(str(archive))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (local tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, executors may go."""
     spark = df.sparkSession
@@ -79,11 +73,6 @@ def dropped(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df.stored_at)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Bits of maybe_in(); its bitmaps are BITS / 8 bytes whatever the data, so they can be broadcast.
 BITS = 1 << 25
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html import entities
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,6 +19,8 @@ sent_by_value(__name__)
 
 SKIPPED = frozenset(("script", "style", "noscript", "svg", "nav", "footer"))
 MAX_BYTES, PACK_CHARS = 1_500_000, 30_000
+#: An ampersand with the reference that it begins, and what stands for one that begins none (no valid text has it).
+REFERENCE, PLAIN = re.compile(r"&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)?"), "\udc00"
 
 
 class _Text(HTMLParser):
@@ -35,13 +39,19 @@ class _Text(HTMLParser):
                 pass
 
     def handle_data(self, data):
-        if not self.skipped and (s := data.strip()):
+        if not self.skipped and (s := data.replace(PLAIN, "&").strip()):
             self.out.append(s)
 
 
-def text_of(html: str | None) -> str:
+def _closed(m: re.Match) -> str:
+    said = m[1] or ""
+    return m[0] if said[:1] == "#" or said in entities.html5 else PLAIN + said
+
+
+def text_of(html: str | None, closed: bool = False) -> str:
+    """Text of a page. References that lack their semicolon are read as browsers do, or stay as they are where closed ones are asked for."""
     p = _Text()
-    p.feed(html or "")
+    p.feed(REFERENCE.sub(_closed, html or "") if closed else html or "")
     p.close()
     return "\n".join(p.out)
 
@@ -51,6 +61,11 @@ def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(text_of)
 
 
+@F.pandas_udf(StringType())
+def html_text_closed(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda page: text_of(page, True))
+
+
 def is_html(content: Column) -> Column:
     return F.lower(F.substring(content, 1, 1000)).contains("<html")
 
@@ -61,11 +76,12 @@ def cut_text(content: Column, most: int = MAX_BYTES) -> Column:
     return F.when(F.octet_length(content) > most, cut).otherwise(content)
 
 
-def acquire(pages: DataFrame, url: str = "url", body: str = "html", most: int = MAX_BYTES) -> DataFrame:
-    """pages with text, status and error: unsafe URLs fail as rows, they don't stop the others; bodies are read up to most bytes."""
+def acquire(pages: DataFrame, url: str = "url", body: str = "html", most: int = MAX_BYTES, closed: bool = False) -> DataFrame:
+    """pages with text, status and error: unsafe URLs fail as rows, they don't stop the others; bodies are read up to most bytes.
+    ``closed``: only references with their semicolon are read."""
     ok = safe_url(F.col(url))
     cut = cut_text(F.col(body), most)
-    text = F.when(ok, F.when(is_html(F.col(body)), html_text(cut)).otherwise(cut))
+    text = F.when(ok, F.when(is_html(F.col(body)), (html_text_closed if closed else html_text)(cut)).otherwise(cut))
     return pages.withColumns({"text": text, "status": F.when(ok, "ok").otherwise("failed"), "error": F.when(~ok, F.lit("unsafe URL"))})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import jsonx, urls
 from gradeloom.functions import text as T
 from gradeloom.operators import capabilities, curriculum, exams, gates, grounding, scoring
-from gradeloom.plans import live, prompts, render, responder, sink
+from gradeloom.plans import live, prompts, queries, render, responder, sink
 from gradeloom.plans.run import run
 from gradeloom.sources import html, specs
 
@@ -59,6 +59,22 @@ def test_html():
     assert html.text_of(page) == "T\na\nb\n&d"
 
 
+def test_html_references():
+    page = "<p>a&amp</p><p>&lt;b &ampx; &nope; &#65; &#65 c & d</p><xmp>&amp; &</xmp>"
+    assert html.text_of(page).startswith("a&\n<b &x; &nope; A A c & d")
+    assert html.text_of(page, closed=True) == html.text_of(page).replace("a&\n", "a&amp\n").replace("&x;", "&ampx;").replace("A A", "A &#65")
+
+
+@pytest.mark.parametrize("name", ["q_html_text"])
+def test_pages_with_open_references(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    pages = [(i, f"https://example.com/{i}", f"<html><title>und&amp;&amp{'x' * (i % 3)}</title><p>a&amp</p><p>&lt;b&gt &quot;c&quot</p></html>") for i in range(1, 12)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(map(tuple, queries.Q[name](spark, str(tmp_path)).collect())) == sorted(con.execute(queries.SQL[name]).fetchall())
+
+
 def test_running_score_is_order_exact(spark):
     r = random.Random(1)
     rows = [(k, i, r.randint(0, 4)) for k in range(20) for i in range(12)]

@@ -85,14 +85,15 @@ def acquire(pages: DataFrame, url: str = "url", body: str = "html", most: int =
     return pages.withColumns({"text": text, "status": F.when(ok, "ok").otherwise("failed"), "error": F.when(~ok, F.lit("unsafe URL"))})
 
 
-def receive(fetched: DataFrame, most: int | None = None) -> DataFrame:
+def receive(fetched: DataFrame, most: int | None = None, closed: bool = False) -> DataFrame:
     """Responses (final_url, content_type, body, status, error, ...) with text. Where a redirect ended is checked once more; a body is a
-    page by its type or by how it begins. ``most`` cuts bodies that weren't cut when they were read: after the chunk of 64 KiB that passes it."""
+    page by its type or by how it begins. ``most`` cuts bodies that weren't cut when they were read: after the chunk of 64 KiB that passes it.
+    ``closed``: only references with their semicolon are read."""
     body = F.col("body") if most is None else F.substring(F.col("body"), 1, (most // 65_536 + 1) * 65_536)
     said = F.make_valid_utf8(body.cast("string"))
     ok = (F.col("status") == "ok") & safe_url(F.col("final_url"))
     page = F.contains(F.coalesce(F.lower("content_type"), F.lit("")), F.lit("html")) | F.contains(F.lower(F.make_valid_utf8(F.substring(F.col("body"), 1, 1000).cast("string"))), F.lit("<html"))
-    text = F.when(ok, F.when(page, html_text(F.when(page, said))).otherwise(said))
+    text = F.when(ok, F.when(page, (html_text_closed if closed else html_text)(F.when(page, said))).otherwise(said))
     error = F.when(F.col("status") != "ok", F.coalesce("error", F.lit("failed"))).when(~ok, F.lit("redirected to an unsafe URL"))
     return fetched.withColumns({"text": text, "error": error, "status": F.when(ok, "ok").otherwise("failed")})
 

@@ -65,7 +65,7 @@ def test_html_references():
     assert html.text_of(page, closed=True) == html.text_of(page).replace("a&\n", "a&amp\n").replace("&x;", "&ampx;").replace("A A", "A &#65")
 
 
-@pytest.mark.parametrize("name", ["q_html_text"])
+@pytest.mark.parametrize("name", ["q_html_text", "q_received"])
 def test_pages_with_open_references(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     pages = [(i, f"https://example.com/{i}", f"<html><title>und&amp;&amp{'x' * (i % 3)}</title><p>a&amp</p><p>&lt;b&gt &quot;c&quot</p></html>") for i in range(1, 12)]

@@ -1,16 +1,19 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes.
 
-Python only tokenises: a row gets the ids and the byte ends of its tokens by A (a byte-level BPE) and by B (pieces with a leading
-space). All that follows are Spark's array functions. Ends that both have (array_intersect) cut the tokens into groups. For the
-links, ends of both sides are merged by one sort of longs (two ascending runs): the i-th of them, if it is the j-th end of A,
-has i - j ends of B before it, so it lies in the token i - j of B, and likewise the other way round; every stretch between two
-neighbouring ends is one link. So no token is compared with another one, and the work follows the number of tokens.
+Tokens of neither side go over the border of a word and the spaces after it, which `Tokenizers` checks in the files; so words are aligned,
+and documents put together from them. Where B's pieces or its normalisation say otherwise, whole texts are the words.
 
-How many documents hold a pair linked is counted over all documents. Pairs that at least so many documents hold that no more than
-``MOST_SENT`` pairs can (a histogram of counts says from where on) go to all tasks; the rest of the pairs are joined.
+A task deals its documents into blocks. Python tokenises each different word of a block once: a row gets the ids and the byte ends of its
+tokens by A (a byte-level BPE) and by B (pieces with a leading space). Spark's array functions align each row. Ends that both have
+(array_intersect) cut the tokens into groups. For the links, ends of both sides are merged by one sort of longs: the i-th of them, if it is
+the j-th end of A, has i - j ends of B before it, so it lies in the token i - j of B, and likewise the other way round; every stretch
+between two neighbouring ends is one link. So no token is compared with another one, and the work follows the number of tokens.
+The rows of a block's words, with the documents after them, then come to Python once more, in the same task: there documents get the sums
+over their words, what their words' groups say, and their words' links.
 
-A block of documents tokenises each of its different words once: tokens of neither side go over the border of a word and the spaces after
-it, which `Tokenizers` checks in the files. Where B's pieces or its normalisation say otherwise, whole texts are the words.
+How many documents hold a pair linked is counted over all documents, from each document's different pairs and how often it has them.
+Pairs that at least so many documents hold that no more than ``MOST_SENT`` pairs can (a histogram of counts says from where on) go to all
+tasks; the rest of the pairs are joined.
 
 Cases: texts that are null, empty, or whose tokens of either side do not give back the bytes of a space and the text, have no tokens: zeros
 and an empty groups_sha256. Rows are documents of their own whatever their doc_id (null and repeated ones too). Very
@@ -19,29 +22,39 @@ long texts and words are read whole. An empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
+from array import array
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .shared import prepare, scratch, stored
 
 #: Pairs that go to all tasks at most.
 MOST_SENT = 1 << 16
-#: Documents of a block at most, characters with which it ends, and the id that ends a word within it.
-ROWS, CHARS, STOP = 250, 1_000_000, 1 << 20
+#: Words that are tokenised at once.
+AT_ONCE = 10_000
+#: Rows of a batch, characters with which a block of documents ends, and links that are put together at once (of several documents).
+ROWS, CHARS, LINKS = 1_000, 8_000_000, 1 << 18
 #: Pairs are one number: A's id times this, plus B's.
 SIDE = 1 << 31
 #: Texts up to here in code points are split alike by both programs that know A's pattern.
 LATIN = "ɐ"
 WORD = re.compile(r"(?<=\S)(?= )")
+#: Words that the second program may take one after another in a text: no spaces at their end go together with those of the next one.
+PLAIN = re.compile(r"[\x00-ɏ]{1,499}(?<!\s)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -87,8 +100,16 @@ class Tokenizers:
 
     def tokens(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids by A and by B of each word."""
-        quick, none = self.quick, []
-        a = [quick.encode_ordinary(w) if quick and len(w) < 500 and max(w) < LATIN else none for w in words]
+        a: list[list[int]] = [[]] * len(words)
+        plain = [i for i, w in enumerate(words) if PLAIN.fullmatch(w)] if self.quick else []
+        for k in range(0, len(plain), 1000):
+            some = plain[k : k + 1000]
+            ids = self.quick.encode_ordinary("".join([words[i] for i in some]))
+            ends, borders = self.a_len[ids].cumsum(), np.cumsum([len(words[i].encode()) for i in some])
+            at = np.searchsorted(ends, borders)
+            if at[-1] < len(ends) and (ends[at] == borders).all():
+                for i, begin, end in zip(some, [0, *(at[:-1] + 1).tolist()], (at + 1).tolist()):
+                    a[i] = ids[begin:end]
         if others := [i for i, x in enumerate(a) if not x]:
             for i, e in zip(others, self.a.encode_batch_fast([words[i] for i in others], add_special_tokens=False)):
                 a[i] = e.ids
@@ -98,61 +119,190 @@ class Tokenizers:
     def odd(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> set[str]:
         """Words whose tokens give other bytes."""
         all_said = [w.encode() for w in words]
-        given = [(ids, of) for ids, of in ((a, self.a_bytes), (b, self.b_bytes))]
-        if all([sum([len(of[i]) for i in x]) for x in ids] == [len(w) for w in all_said] and b"".join([of[i] for x in ids for i in x]) == b"".join(all_said) for ids, of in given):
+        ends, whole = np.cumsum([len(w) for w in all_said], dtype=np.int64), b"".join(all_said)
+
+        def same(ids: list[list[int]], of: list[bytes], n: np.ndarray) -> bool:
+            flat, counts = _flat(ids)
+            sums = np.append(0, n[flat].cumsum(dtype=np.int64))
+            return (sums[counts.cumsum()] == ends).all() and b"".join(map(of.__getitem__, flat.tolist())) == whole
+
+        if same(a, self.a_bytes, self.a_len) and same(b, self.b_bytes, self.b_len):
             return set()
+        given = [(ids, of) for ids, of in ((a, self.a_bytes), (b, self.b_bytes))]
         return {w for k, w in enumerate(words) if any(b"".join([of[i] for i in ids[k]]) != all_said[k] for ids, of in given)}
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
-_INTS = ArrayType(IntegerType(), False)
-BLOCK = [StructField(c, _INTS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")]
-
-
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(x) for x in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
-
-
-def _block(t: Tokenizers, kept: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-    number: dict[str, int] = {}
-    docs = [[number.setdefault(w, len(number)) for w in t.words(x)] if x else [] for x in texts]
-    words = list(number)
-    a, b = t.tokens(words)
-    if odd := {number[w] for w in t.odd(words, a, b)}:
-        for k, at in enumerate(docs):
-            if not odd.isdisjoint(at):
-                both = [[i for w in at for i in ids[w]] for ids in (a, b)]
-                docs[k] = []
-                if all(b"".join([of[i] for i in ids]) == (" " + texts[k]).encode() for ids, of in zip(both, (t.a_bytes, t.b_bytes))):
-                    docs[k] = [len(a)]  # the text as one word
-                    a.append(both[0])
-                    b.append(both[1])
-        for i in odd:
-            a[i] = b[i] = [STOP + 1]  # no document has it
-    columns = []
-    for ids, of in ((a, t.a_len), (b, t.b_len)):
-        flat = np.fromiter((i for x in ids for i in (*x, STOP)), np.int32)
-        columns += [_lists([flat]), _lists([np.append(of, 1)[np.minimum(flat, len(of))].cumsum(dtype=np.int32)])]
-    each = pa.StructArray.from_arrays([kept, _lists([np.array(x, np.int32) for x in docs])], ["kept", "at"])
-    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), each)], names=[*(f.name for f in BLOCK), "docs"])
+_INTS, _LONGS = ArrayType(IntegerType(), False), ArrayType(LongType(), False)
+#: Words have ids (shifted to their places in a stretch) and ends, documents have the numbers of their words in the block.
+WORDS = [StructField("at", _INTS), *(StructField(c, kind) for side in "ab" for c, kind in ((f"{side}_ids", _LONGS), (f"{side}_ends", _INTS)))]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
+
+
+def _lists(values: np.ndarray | pa.Array, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, counts.cumsum()).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _numbered(t: Tokenizers, texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+    """The different words of texts, and of each text its words' numbers."""
+    number: dict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    at, ends = array("i"), []
+    for x in texts:
+        if x:
+            at.extend(map(number.__getitem__, x.split(" ") if t.by_word else [x]))
+        ends.append(len(at))
+    docs = np.split(np.frombuffer(at, np.int32), ends[:-1]) if at else [np.empty(0, np.int32)] * len(texts)
+    if t.by_word and (loose := np.array([w == "" or w[-1].isspace() for w in number], bool)).any():
+        for k in {bisect_right(ends, i) for i in np.flatnonzero(loose[np.frombuffer(at, np.int32)]).tolist()}:  # spaces after spaces
+            docs[k] = np.array([number[w[1:]] for w in t.words(texts[k])], np.int32)
+    return [" " + w for w in number], docs
+
+
+def _block(t: Tokenizers, kept: pa.Array, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+    words, docs = _numbered(t, texts)
+    names = ["kept", *(f.name for f in WORDS)]
+
+    def rows(a: list[list[int]], b: list[list[int]]) -> pa.RecordBatch:
+        sides = []
+        for ids, of, place in ((a, t.a_len, 33), (b, t.b_len, 2)):
+            flat, counts = _flat(ids)
+            ends = np.append(0, of[flat].cumsum(dtype=np.int64))
+            before = ends[counts.cumsum() - counts]
+            sides += [_lists(flat.astype(np.int64) << place, counts), _lists((ends[1:] - np.repeat(before, counts)).astype(np.int32), counts)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), kept.type), pa.nulls(len(a), sides[1].type), *sides], names=names)
+
+    odd = np.zeros(len(words), bool)
+    for k in range(0, len(words), AT_ONCE):
+        some = words[k : k + AT_ONCE]
+        a, b = t.tokens(some)
+        if found := t.odd(some, a, b):
+            for i in (i for i, w in enumerate(some) if w in found):
+                a[i] = b[i] = []  # no document has it
+                odd[k + i] = True
+        yield rows(a, b)
+    if odd.any():
+        whole: tuple[list[list[int]], list[list[int]]] = [], []
+        for k in (k for k, at in enumerate(docs) if odd[at].any()):
+            both = [[*chain.from_iterable(ids)] for ids in t.tokens([words[i] for i in docs[k].tolist()])]
+            docs[k] = docs[k][:0]
+            if all(b"".join([of[i] for i in ids]) == (" " + texts[k]).encode() for ids, of in zip(both, (t.a_bytes, t.b_bytes))):
+                docs[k] = np.array([len(words) + len(whole[0])], np.int32)  # the text as one word
+                for side, ids in zip(whole, both):
+                    side.append(ids)
+        if whole[0]:
+            yield rows(*whole)
+    at = _lists(np.concatenate(docs), np.array([len(x) for x in docs]))
+    yield pa.RecordBatch.from_arrays([kept, at, *(pa.nulls(len(docs), pa.list_(x)) for x in (pa.int64(), pa.int32()) * 2)], names=names)
 
 
 def tokenised(a_file: str, b_file: str, pattern: str | None) -> Callable:
-    """A row for a block of documents: ids and byte ends of the tokens of its different words, one after another, each word followed by the
-    token STOP of one byte on both sides; and of each document its words' numbers."""
+    """For each block of documents, rows of its different words with ids and byte ends of their tokens, then its documents with the numbers of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_file, b_file) not in _loaded:
             _loaded[a_file, b_file] = Tokenizers(SparkFiles.get(a_file), SparkFiles.get(b_file), pattern)
+        kept, texts, size = [], [], 0
         for batch in batches:
-            texts, begin, size = batch.column(1).to_pylist(), 0, 0
-            for end, text in enumerate(texts, 1):
+            begin, of_batch = 0, batch.column(1).to_pylist()
+            for end, text in enumerate(of_batch, 1):
                 size += len(text or "")
-                if size >= CHARS or end == len(texts):
-                    yield _block(_loaded[a_file, b_file], batch.column(0).slice(begin, end - begin), texts[begin:end])
-                    begin, size = end, 0
+                if size >= CHARS or end == len(of_batch):
+                    kept.append(batch.column(0).slice(begin, end - begin))
+                    texts += of_batch[begin:end]
+                    begin = end
+                if size >= CHARS:
+                    yield from _block(_loaded[a_file, b_file], pa.concat_arrays(kept), texts)
+                    kept, texts, size = [], [], 0
+                    pa.default_memory_pool().release_unused()
+        if texts:
+            yield from _block(_loaded[a_file, b_file], pa.concat_arrays(kept), texts)
+
+    return run
+
+
+def _said(x: np.ndarray, groups: np.ndarray) -> pa.Array:
+    """`a1,a2|b1;a3|b2,b3` of words, from their stretches, the last of which is a cut, and the numbers of their groups."""
+
+    def side(flag: int, ids: np.ndarray) -> pa.Array:
+        own = (x & flag) != 0
+        cuts = np.flatnonzero((x[own] & 3) == 3) + 1
+        return pc.binary_join(_lists(ids[own], np.diff(cuts, prepend=0)).cast(pa.list_(pa.string())), ",")
+
+    both = pc.binary_join_element_wise(side(2, x >> 33), side(1, (x >> 2) & (SIDE - 1)), "|")
+    return pc.binary_join(_lists(both, groups), ";")
+
+
+class _Aligned:
+    """The aligned words of a block."""
+
+    def __init__(self, parts: list[pa.RecordBatch], different: bool):
+        column = lambda name: [p.column(name) for p in parts]
+        numbers = lambda arrays, kind: np.concatenate([np.empty(0, kind), *(x.to_numpy(zero_copy_only=False) for x in arrays)]).astype(kind)
+        self.n = [numbers(column(c), np.int64) for c in ("n_a", "n_b", "n_groups")]
+        self.counts = numbers([pc.list_value_length(x) for x in column("stretches")], np.int64)
+        self.begins = self.counts.cumsum() - self.counts
+        stretches = numbers([x.flatten() for x in column("stretches")], np.int64)
+        self.links, self.said = stretches >> 2, _said(stretches, self.n[2]).to_pylist()
+        if different:
+            self.pairs, codes = np.unique(self.links, return_inverse=True)
+            self.codes = codes.astype(np.int32)
+
+    def at(self, words: np.ndarray) -> np.ndarray:
+        """Where the links of these words are, one word after another."""
+        n = self.counts[words]
+        return np.arange(n.sum()) + np.repeat(self.begins[words] - (n.cumsum() - n), n)
+
+
+def _documents(w: _Aligned, kept: pa.Array, at: pa.ListArray, different: bool) -> Iterator[pa.RecordBatch]:
+    """Documents, so many at once that they have no more than twice LINKS links; one with more than LINKS is alone."""
+    words, sizes = at.flatten().to_numpy(), pc.list_value_length(at).to_numpy().astype(np.int64)
+    ends = np.append(0, sizes.cumsum())
+    sums = [np.append(0, x[words].cumsum())[ends] for x in (*w.n, w.counts)]
+    large = np.diff(sums[3]) > LINKS
+    cuts = np.flatnonzero((np.diff(sums[3][1:] // LINKS) > 0) | large[1:] | large[:-1]) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        own, n = words[ends[begin] : ends[end]], [np.diff(x[begin : end + 1]) for x in sums]
+        said = [";".join([w.said[i] for i in words[i:j].tolist()]) for i, j in zip(ends[begin:end], ends[begin + 1 : end + 1])]
+        digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in said]
+        if not different:
+            found = [_lists(w.links[w.at(own)], n[3])]
+        elif end - begin == 1:
+            own, often = np.unique(own, return_counts=True)
+            times = np.bincount(w.codes[w.at(own)], np.repeat(often, w.counts[own]), len(w.pairs)).astype(np.int64)
+            has = np.flatnonzero(times)
+            found = [_lists(x, np.array([len(has)])) for x in (w.pairs[has], times[has])]
+        else:
+            each = np.repeat(np.arange(end - begin), n[3]) * len(w.pairs) + w.codes[w.at(own)]
+            each.sort()
+            first = np.flatnonzero(np.diff(each, prepend=-1))
+            doc, pair = np.divmod(each[first], max(1, len(w.pairs)))
+            found = [_lists(x, np.bincount(doc, minlength=end - begin)) for x in (w.pairs[pair], np.diff(first, append=len(each)))]
+        yield pa.RecordBatch.from_arrays([kept.slice(begin, end - begin), *map(pa.array, n), pa.array(digests, pa.string()), *found], names=["kept", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["pairs", "times"] if different else ["links"])])
+
+
+def assembled(different: bool) -> Callable:
+    """Documents from the aligned words of their block, which come before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, words = [], _Aligned([], different)
+        for batch in batches:
+            of_docs = batch.column("at").is_valid().to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero(of_docs[1:] != of_docs[:-1]) + 1).tolist()
+            for begin, end in zip([0, *cuts], [*cuts, len(of_docs)]):
+                part = batch.slice(begin, end - begin)
+                if end > begin and not of_docs[begin]:
+                    parts.append(part)
+                elif end > begin:
+                    if parts:
+                        words = None  # those of the block before go first
+                        words, parts = _Aligned(parts, different), []
+                        pa.default_memory_pool().release_unused()
+                    yield from _documents(words, part.column("kept"), part.column("at"), different)
 
     return run
 
@@ -170,59 +320,19 @@ def _second(mark: Column) -> Column:
     return mark.bitwiseAND(F.lit(SIDE).cast("long")) != 0
 
 
-def _rank(cuts: Column, ends: Column) -> Column:
-    """For each cut, how many ends are at or before it."""
-    both = F.sort_array(F.concat(_marks(ends, 0), _marks(cuts, 1)))
-    return F.array_compact(F.transform(both, lambda x, i: F.when(_second(x), i - _number(x))))
-
-
-def let(value: Column, f) -> Column:
-    """f of a value that is computed once, however often a lambda in f reads it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _stretches(ends: Column) -> Column:
     """For each stretch between two neighbouring ends of either side, which is a link: A's id * 2^31 + B's id, times 4, plus 2 if A's token ends there, plus 1 if B's does."""
-    code = lambda a, b, flags: (F.shiftleft(F.get("a_ids", a).cast("long"), 31) + F.get("b_ids", b)) * 4 + flags
+    code = lambda a, b, flags: F.get("a_ids", a).bitwiseOR(F.get("b_ids", b)).bitwiseOR(flags)
+    long = lambda n: F.lit(n).cast("long")
 
     def stretch(x: Column, i: Column) -> Column:
         j, end = _number(x), F.shiftright(x, 32).cast("int")
-        of_a = code(j, i - j, F.when(F.get("b_ends", i - j) == end, 3).otherwise(2))
-        return F.when(~_second(x), of_a).when(F.coalesce(F.get("a_ends", i - j - 1) != end, F.lit(True)), code(i - j, j, F.lit(1)))
+        of_a = code(j, i - j, F.when(F.get("b_ends", i - j) == end, long(3)).otherwise(long(2)))
+        return F.when(~_second(x), of_a).when(F.coalesce(F.get("a_ends", i - j - 1) != end, F.lit(True)), code(i - j, j, long(1)))
 
     return F.array_compact(F.transform(ends, stretch))
 
 
-def _groups(x: Column) -> Column:
-    """`a1,a2|b1;a3|b2,b3` of stretches, the last of which is a cut."""
-
-    def side(flag: int, of) -> Column:
-        own = F.filter(x, lambda s: s.bitwiseAND(F.lit(flag).cast("long")) != 0)
-        said = F.array_join(F.transform(own, lambda s: F.concat(of(F.shiftright(s, 2)).cast("string"), F.when(s.bitwiseAND(F.lit(3).cast("long")) == 3, ";").otherwise(","))), "")
-        return F.split(F.substring(said, F.lit(1), F.length(said) - 1), ";")
-
-    a, b = side(2, lambda p: F.shiftright(p, 31)), side(1, lambda p: p.bitwiseAND(F.lit(SIDE - 1).cast("long")))
-    return F.array_join(F.zip_with(a, b, lambda p, q: F.concat(p, F.lit("|"), q)), ";")
-
-
-def _positions(ids: Column, of) -> Column:
-    return F.array_compact(F.transform(ids, lambda x, i: F.when(of(x) == STOP, i)))
-
-
-def _each(stops: Column, f) -> Column:
-    """For each word f of where it begins and of how many there are before its stop."""
-
-    def one(stop: Column, k: Column) -> Column:
-        begin = F.when(k == 0, F.lit(0)).otherwise(F.get(stops, k - 1) + 1)
-        return f(begin, stop - begin)
-
-    return F.transform(stops, one)
-
-
-def _counts(stops: Column) -> Column:
-    return let(stops, lambda v: _each(v, lambda begin, n: n))
-
-
 def public_files() -> dict[str, str]:
     """The two public tokenizers, and the pattern by which A cuts texts."""
     import public_tokenizers
@@ -230,42 +340,27 @@ def public_files() -> dict[str, str]:
     return {"a_path": public_tokenizers.path("byte_bpe_50k.json"), "b_path": public_tokenizers.path("piece_bpe_32k.model"), "pattern": public_tokenizers.PATTERN}
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def aligned(docs: DataFrame, a_path: str, b_path: str, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",), different: bool = False) -> DataFrame:
     """docs(text), tokenizer files A and B; pattern is A's where a second program may be used for plain words.
 
-    -> the columns of keep, n_a, n_b, n_groups, n_links, groups_sha256, and links: for each pair of tokens that overlap, in order, A's id * 2^31 + B's."""
+    -> the columns of keep, n_a, n_b, n_groups, n_links, groups_sha256, and links: for each pair of tokens that overlap, in order, A's id * 2^31 + B's.
+    In place of links, if different: pairs, the different ones, and times, how often each is there."""
     prepare(docs.sparkSession, ROWS)
     for path in (a_path, b_path):
         docs.sparkSession.sparkContext.addFile(path)
     rows = docs.select(F.struct(*keep).alias("kept"), "text")
-    schema = StructType([*BLOCK, StructField("docs", ArrayType(StructType([rows.schema["kept"], StructField("at", _INTS, False)]), False), False)])
-    blocks = rows.mapInArrow(tokenised(os.path.basename(a_path), os.path.basename(b_path), pattern), schema)
-    cuts = F.array_intersect("a_ends", "b_ends")
-    stop_ends = F.array_compact(F.transform("a_ends", lambda e, i: F.when(F.get("a_ids", i) == STOP, e)))
+    kept = StructField("kept", rows.schema["kept"].dataType)
+    words = rows.mapInArrow(tokenised(os.path.basename(a_path), os.path.basename(b_path), pattern), StructType([kept, *WORDS]))
     merged = F.sort_array(F.concat(_marks(F.col("a_ends"), 0), _marks(F.col("b_ends"), 1)))
-
-    def words(x: Column) -> Column:
-        """Of each different word: how many tokens and groups, what the groups say, and the links."""
-        stops = _positions(x, lambda s: F.shiftright(s, 33))
-        return F.struct(
-            let(stops, lambda v: _each(v, lambda begin, n: F.transform(F.sequence(begin, begin + n - 1), lambda i: F.shiftright(F.get(x, i), 2)))).alias("links"),  # slice() would copy all of x
-            F.split(_groups(x), f";{STOP}\\|{STOP}(;|$)").alias("said"), _counts(_positions(F.col("a_ids"), lambda i: i)).alias("n_a"), _counts(_positions(F.col("b_ids"), lambda i: i)).alias("n_b"),
-            _counts(F.transform(_rank(stop_ends, cuts), lambda n: n - 1)).alias("n_groups"),
-        )
-
-    def doc(d: Column, w: Column) -> Column:
-        total = lambda name: F.aggregate(d["at"], F.lit(0), lambda s, k: s + F.get(w[name], k)).cast("long")
-        of = lambda name: F.transform(d["at"], lambda k: F.get(w[name], k))
-        said = F.when(F.size(d["at"]) > 0, F.sha2(F.array_join(of("said"), ";"), 256)).otherwise(F.lit(""))
-        return F.struct(d["kept"].alias("kept"), total("n_a").alias("n_a"), total("n_b").alias("n_b"), total("n_groups").alias("n_groups"), said.alias("groups_sha256"), F.flatten(of("links")).alias("links"))
-
-    each = blocks.select(F.inline(let(let(_stretches(merged), words), lambda w: F.transform("docs", lambda d: doc(d, w)))))
-    return each.select("kept.*", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256", "links")
+    words = words.select("kept", "at", _stretches(merged).alias("stretches"), *(F.size(x).alias(n) for x, n in (("a_ids", "n_a"), ("b_ids", "n_b"), (F.array_intersect("a_ends", "b_ends"), "n_groups"))))
+    found = [("pairs", _LONGS), ("times", _LONGS)] if different else [("links", _LONGS)]
+    schema = StructType([kept, *(StructField(c, LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")), StructField("groups_sha256", StringType()), *(StructField(*x) for x in found)])
+    return words.mapInArrow(assembled(different), schema).select("kept.*", *schema.names[1:])
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """docs(links) -> pair, held (documents that hold it linked), best (as many as any pair of its A id)."""
-    each = docs.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("held"))
+    """docs(pairs: different ones) -> pair, held (documents that hold it linked), best (as many as any pair of its A id)."""
+    each = docs.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("held"))
     each = stored(each, "align-counts")
     most = each.groupBy(F.expr(f"pair div {SIDE}").alias("a")).agg(F.max("held").alias("most"))
     return each.join(most, F.expr(f"pair div {SIDE}") == F.col("a")).select("pair", "held", (F.col("held") == F.col("most")).cast("long").alias("best"))
@@ -287,15 +382,15 @@ def digest(docs: DataFrame, a_path: str, b_path: str, pattern: str | None = None
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     numbers = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     with scratch() as keep:
-        t = stored(aligned(docs, a_path, b_path, pattern).select(F.monotonically_increasing_id().alias("row"), *numbers, "links"), "align")
+        t = stored(aligned(docs, a_path, b_path, pattern, different=True).select(F.monotonically_increasing_id().alias("row"), *numbers, "pairs", "times"), "align")
         counts = stored(counted(t), "align-best")
         least = frequent(counts)
-        each = t.select("row", F.explode("links").alias("pair"))
+        each = t.select("row", F.inline(F.arrays_zip("pairs", "times"))).withColumnRenamed("pairs", "pair")
         sent = counts.where(F.col("held") >= least)
         first = each.join(F.broadcast(sent), "pair", "left")
-        summed = [F.sum("best").alias("n_best"), F.sum("held").alias("count_sum")]
+        summed = [F.sum(F.col("best") * F.col("times")).alias("n_best"), F.sum(F.col("held") * F.col("times")).alias("count_sum")]
         often = first.where("held is not null").groupBy("row").agg(*summed)
-        rest = first.where("held is null").select("row", "pair").join(counts.where(F.col("held") < least).hint("merge"), "pair").groupBy("row").agg(*summed)
+        rest = first.where("held is null").select("row", "pair", "times").join(counts.where(F.col("held") < least).hint("merge"), "pair").groupBy("row").agg(*summed)
         sums = often.unionAll(rest).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
         out = stored(t.select("row", *numbers).join(sums.hint("merge"), "row", "left").select(*numbers, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum"))), "align-out")
         keep(out)

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,9 @@ TEXTS = [
 ]
 
 
+NAMES = ["kept", "at", "stretches", "n_a", "n_b", "n_groups"]
+
+
 def rows_of(texts):
     return [(i, t) for i, t in enumerate(texts)] + [(3, "The cat again"), (None, "The cat sat"), (None, "The cat sat")]
 
@@ -120,3 +124,36 @@ def test_words_are_tokenised_alike_by_both_programs():
     t = alignment.Tokenizers(**FILES)
     words = [f" {x}{chr(c)}{y}" for c in range(1, ord(alignment.LATIN)) for x in ("a", "1", "'", " ") for y in ("b", "2", "?", "")]
     assert [t.quick.encode_ordinary(w) for w in words] == [e.ids for e in t.a.encode_batch(words, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("links", [1, 40, 1 << 18])
+def test_alignment_by_blocks(plain, monkeypatch, links):
+    """Blocks and parts of any size: the same documents, and links in order as different ones with their numbers."""
+    monkeypatch.setattr(alignment, "LINKS", links)
+    rows = rows_of(TEXTS)
+    t = alignment.Tokenizers(**FILES)
+    kept = pa.StructArray.from_arrays([pa.array([i for i, _ in rows], pa.int64())], ["doc_id"])
+    blocks = [b for k in range(0, len(rows), 7) for b in alignment._block(t, kept.slice(k, 7), [x for _, x in rows[k : k + 7]])]
+
+    def aligned(b):
+        """Words by hand, as Spark's functions align them."""
+        if b.column("at").null_count == 0:
+            return pa.RecordBatch.from_arrays([b.column("kept"), b.column("at"), *(pa.nulls(b.num_rows, x) for x in (pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32()))], names=NAMES)
+        out = []
+        for a, a_ends, c, c_ends in zip(*(b.column(n).to_pylist() for n in ("a_ids", "a_ends", "b_ids", "b_ends"))):
+            i = j = 0
+            x = []
+            while i < len(a):
+                end = min(a_ends[i], c_ends[j])
+                flags = 2 * (a_ends[i] == end) + (c_ends[j] == end)
+                x.append(a[i] | c[j] | flags)
+                i, j = i + flags // 2, j + flags % 2
+            out.append((x, len(a), len(c), len({*a_ends} & {*c_ends})))
+        return pa.RecordBatch.from_arrays([b.column("kept"), b.column("at"), *(pa.array(x, kind) for x, kind in zip(zip(*out), (pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32())))], names=NAMES)
+
+    words = [aligned(b) for b in blocks]
+    in_order, different = (pa.Table.from_batches(alignment.assembled(x)(iter(words))).to_pylist() for x in (False, True))
+    want = expected(plain, rows)
+    assert Counter((r["kept"]["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"]) for r in in_order) == Counter((*w[:5], w[7]) for w in want.elements())
+    for x, y in zip(in_order, different, strict=True):
+        assert len(x["links"]) == x["n_links"] and Counter(x["links"]) == Counter(dict(zip(y["pairs"], y["times"])))

@@ -85,6 +85,37 @@ def test_substrings_of_planted_passages(spark, bound, monkeypatch):
     assert Counter(map(tuple, substrings.remove_repeats(df).collect())) == removed(rows)
 
 
+def test_substrings_of_cells():
+    """Groups of aligned cells, some settled, in one batch, against plain counting."""
+    r = random.Random(3)
+    for _ in range(150):
+        batch, want = substrings.Batch(), set()
+        for g in range(r.randint(1, 3)):
+            w, letters = r.randint(0, 9), r.choice((b"a", b"ab", b"abcd"))
+            side = lambda w=w, letters=letters: bytes(r.choice(letters) for _ in range(r.randint(0, w)))
+            cells = sorted({(side(), side()) for _ in range(r.randint(2, 14))})
+            group = [(None if r.random() < 0.2 else (g, k, 1000), a, b) for k, (a, b) in enumerate(cells)]
+            windows = lambda a, b, w=w: {(n, a[len(a) - n :], b[: w - n]) for n in range(len(a) + 1) if 0 <= w - n <= len(b)}
+            count = Counter(x for _, a, b in group for x in windows(a, b))
+            for owner, a, b in group:
+                want |= {(*owner[:2], x) for n, *sides in windows(a, b) if owner and count[n, *sides] > 1 for x in range(1000 - n, 1400 - n)}
+            batch.add(w, group)
+        assert {(doc, mark, x) for doc, mark, a, b in batch.repeats() for x in range(a, b)} == want
+
+
+def test_substrings_cells_are_cut_by_their_own_partners_only():
+    """Cells of two families that share nothing but the core: none has more symbols for the other family's columns."""
+    r, w = random.Random(4), 91
+    texts = [(bytes(r.choice(letters) for _ in range(w)), bytes(r.choice(letters) for _ in range(w))) for letters in (b"abcd", b"efgh")]
+    family = lambda f: [((f, k, 1000), texts[f][0][w - k :], texts[f][1][: w + 3 - k]) for k in range(f + 5, w, 4)]
+    sizes = []
+    for group in (family(0), family(1), family(0) + family(1)):
+        batch = substrings.Batch()
+        batch.add(w, group)
+        sizes.append(len(batch.text))
+    assert sizes[0] > 100 and sizes[2] == sizes[0] + sizes[1]
+
+
 def test_substrings_empty(spark):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
